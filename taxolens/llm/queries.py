@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolens.llm import decontaminate, mixing, quality, secrets, urlfilter
+from taxolens.llm import decontaminate, mixing, parity_join, ppm, quality, secrets, toxicity, urlfilter, warc, wavelet
 from taxolens.llm.common import table
 
 
@@ -21,6 +21,37 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), into="s").select("doc_id", "s.*")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ppm.score(docs, docs.where(ppm.fold() != ppm.HELD_OUT))
+    return scored.select("doc_id", (ppm.fold() == ppm.HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    revisit = F.col("answer.kind") == "revisit"
+    return captures.select(
+        "page_id", F.when(revisit, F.col("original.response_bytes")).otherwise(F.col("answer.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("original.response_digest")).otherwise(F.col("answer.payload_digest")).alias("payload_digest"),
+        F.col("answer.kind").alias("record_type"), F.when(revisit, F.col("original.response_page")).alias("refers_to"),
+    )
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.assess(docs, model, into="score")
+    return scored.select("doc_id", (toxicity.fold() == toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.tokenised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), into="m")
     ids = F.array_sort("m.items")
@@ -41,6 +72,11 @@ def queries() -> dict:
         "op1_mix_sources": op1_mix_sources,
         "op2_url_filter": op2_url_filter,
         "op3_secret_scan": op3_secret_scan,
+        "op4_lm_score": op4_lm_score,
+        "op5_warc": op5_warc,
+        "op6_jaccard_join": op6_jaccard_join,
+        "op7_toxicity": op7_toxicity,
+        "op8_token_shards": op8_token_shards,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality": op10_quality,
     }
