@@ -215,6 +215,25 @@ def cut(text: bytes, hit: list[int]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _clean(automaton: Automaton, most: float):
+    @F.arrow_udf("text string, dirty boolean, gone boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        rows = []
+        for text in utf8(texts):
+            words = text.translate(KEPT).split()
+            hit, _ = automaton.scan(words)
+            dirty, gone = bool(hit), bool(hit) and len(hit) > most * len(words)
+            while hit and not gone:
+                text = cut(text, hit)
+                words = text.translate(KEPT).split()
+                gone = not words
+                hit, _ = automaton.scan(words)
+            rows.append((text.decode("utf-8", "replace") if dirty else None, dirty, gone))
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.bool_()))], ["text", "dirty", "gone"])
+
+    return clean
+
+
 def remove(docs: DataFrame, items: DataFrame, most: float = MOST_COVERAGE, block: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without benchmark passages: hit runs of words are cut out, and rows
     that are hit beyond ``most`` of their words (or of which no word is left) go.
@@ -223,23 +242,7 @@ def remove(docs: DataFrame, items: DataFrame, most: float = MOST_COVERAGE, block
     small_batches(docs.sparkSession)
     names, out = docs.columns, docs
     for automaton in automata(items, block):
-
-        @F.arrow_udf("text string, dirty boolean, gone boolean")
-        def clean(texts: pa.Array, a: Automaton = automaton) -> pa.Array:
-            rows = []
-            for text in utf8(texts):
-                words = text.translate(KEPT).split()
-                hit, _ = a.scan(words)
-                dirty, gone = bool(hit), bool(hit) and len(hit) > most * len(words)
-                while hit and not gone:
-                    text = cut(text, hit)
-                    words = text.translate(KEPT).split()
-                    gone = not words
-                    hit, _ = a.scan(words)
-                rows.append((text.decode("utf-8", "replace") if dirty else None, dirty, gone))
-            return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.bool_()))], ["text", "dirty", "gone"])
-
-        out = out.withColumn("__clean", clean(F.col("text"))).where("not __clean.gone")
+        out = out.withColumn("__clean", _clean(automaton, most)(F.col("text"))).where("not __clean.gone")
         changed = {"text": F.when(F.col("__clean.dirty"), F.col("__clean.text")).otherwise(F.col("text"))}
         if "n_chars" in names:
             changed["n_chars"] = F.when(F.col("__clean.dirty"), F.char_length("__clean.text").cast("long")).otherwise(F.col("n_chars"))
