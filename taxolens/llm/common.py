@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,13 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@lru_cache(maxsize=1)
+def word_cache() -> WordHash:
+    """A Python worker's own cache. Functions sent to executors call this by name, so
+    it lives as long as the worker; a module's variable would be sent as a copy."""
+    return WordHash()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply), on a fresh array."""
     x = x ^ (x >> np.uint64(31))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import WordHash, small_batches, utf8
+from taxolens.llm.common import small_batches, utf8, word_cache
 
 #: Buckets for words and for byte n-grams, each.
 BITS = 15
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def extract(batches):
-        cache = WordHash()
+        cache = word_cache()
         for batch in batches:
             found = [_features(t, cache.array(t.lower().split())) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
@@ -166,7 +166,7 @@ def judge(model: QualityModel | None, reject_below: float = REJECT_BELOW):
 
     @F.arrow_udf(RESULT)
     def quality(texts: pa.Array) -> pa.Array:
-        cache = _CACHE
+        cache = word_cache()
         out: list[tuple] = []
         for text in utf8(texts):
             words = text.split()
@@ -182,8 +182,6 @@ def judge(model: QualityModel | None, reject_below: float = REJECT_BELOW):
     return quality
 
 
-_CACHE = WordHash()
-
 
 def assess(docs: DataFrame, model: QualityModel | None, text: Column | None = None, into: str = "quality") -> DataFrame:
     """``docs`` with one struct column more, of the name given by ``into``."""
