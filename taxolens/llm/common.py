@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxolens.session import ship
+
 #: Words in Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow batches hold so many documents: at 100 kB each, about 25 MB.
@@ -26,11 +28,14 @@ BATCH_ROWS = 256
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir`` (any path Spark can read)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts can weigh in a Python worker."""
+    """Bound what one Arrow batch of whole texts can weigh in a Python worker, and see
+    that workers have this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

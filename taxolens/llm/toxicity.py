@@ -66,7 +66,8 @@ class ToxicModel:
             return np.zeros(3)
         get, n = self.words.get, len(self.words)
         ids = np.fromiter((get(w, n) for w in tokens), np.int64, len(tokens))
-        each = self.ratio[ids]
+        alone = self.ratio[ids]
+        each = alone.copy()
         if ids.size > 1:
             each[1:] += self.after[ids[:-1]]
             both = np.flatnonzero((ids[:-1] < n) & (ids[1:] < n))
@@ -75,7 +76,8 @@ class ToxicModel:
             at[at == self.pairs.size] = 0
             known = self.pairs[at] == key if self.pairs.size else np.zeros(both.size, bool)
             each[both[known] + 1] = self.pair_ratio[at[known]]
-        top = np.sort(each[np.argpartition(each, -TOP)[-TOP:]] if each.size > TOP else each)
+        # pairs are too rare to single out; the most toxic tokens are judged as words
+        top = np.sort(alone[np.argpartition(alone, -TOP)[-TOP:]] if alone.size > TOP else alone)
         return np.array([each.mean(), top[-1], top.mean()])
 
     def score(self, text: bytes) -> float:
