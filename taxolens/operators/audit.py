@@ -109,7 +109,7 @@ def assess(topics: DataFrame, k: int = 10, level: str = "subfield", near: DataFr
     """One row per topic: status, score, margin, strength, neighbour_count, stated and
     plurality parent at ``level``."""
     check_parameters(k, level)
-    near = neighbours(topics, k) if near is None else near
+    near = store(neighbours(topics, k), "near") if near is None else near
     best = plurality(parent_shares(near, topics, level))
     strength = near.groupBy("src").agg((sorted_sum(F.collect_list("similarity")) / k).alias("strength"), F.count(F.lit(1)).alias("neighbour_count")).withColumnRenamed("src", "topic_id")
     margin = F.coalesce(F.greatest(F.lit(0.0), F.round(F.col("plurality_share") - F.col("stated_share"), COMPARE)), F.lit(0.0))
@@ -149,7 +149,7 @@ def summary(assessed: DataFrame) -> DataFrame:
 def evidence(topics: DataFrame, k: int = 10) -> DataFrame:
     """(topic_id, parents, neighbours): all levels' distributions and each neighbour
     with its similarity, shared keywords and parents, as nested columns."""
-    near = neighbours(topics, k)
+    near = store(neighbours(topics, k), "near")
     levels = None
     for level in LEVELS:
         own = parent_shares(near, topics, level).groupBy("topic_id").agg(

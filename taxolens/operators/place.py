@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolens.functions.stats import dot, fitted_threshold, selective_metrics, unit, vector_sums
+from taxolens.operators.components import store
 
 ROUTE = ("domain", "field", "subfield")
 PARENT = {"field": "domain", "subfield": "field"}
@@ -42,7 +43,7 @@ class CentroidScorer:
         self.identity = {"scorer": "centroid", "sharpness": sharpness}
         self.vectors, self.sharpness = vectors, sharpness
         self.centroids = {
-            level: vector_sums(vectors.join(train.select("work_id", F.col(level).alias("option_id")), "work_id"), ["option_id"], "vector").select("option_id", unit(F.col("s")).alias("centroid"))
+            level: store(vector_sums(vectors.join(train.select("work_id", F.col(level).alias("option_id")), "work_id"), ["option_id"], "vector").select("option_id", unit(F.col("s")).alias("centroid")), "centroids")
             for level in ROUTE
         }
 
@@ -106,12 +107,12 @@ def hierarchical(records: DataFrame, taxonomy: DataFrame, scorer: Scorer, level:
         single = asked.groupBy("work_id").agg(F.count(F.lit(1)).alias("n"), F.first("option_id").alias("option_id")).where("n = 1")
         alone = single.select("work_id", "option_id", F.lit(1.0).alias("p"))
         scored = probabilities(scorer.logits(asked.join(single.select("work_id"), "work_id", "left_anti"), current))
-        p = scored.unionByName(alone)
+        p = store(scored.unionByName(alone), "scores")  # used by route and candidates
         best = _ranked(p).where("place = 1").select("work_id", "option_id", "p")
         last = p.join(state.select("work_id", "path"), "work_id").select("work_id", "option_id", (F.col("p") * F.col("path")).alias("p"))
         names = options.select("option_id", "option_name").distinct()
         step = F.struct(F.lit(current).alias("level"), F.col("option_id").alias("id"), F.col("p").alias("probability"))
-        state = state.join(best, "work_id").select("work_id", F.col("option_id").alias("chosen"), (F.col("path") * F.col("p")).alias("path"), F.array_append("route", step).alias("route"))
+        state = store(state.join(best, "work_id").select("work_id", F.col("option_id").alias("chosen"), (F.col("path") * F.col("p")).alias("path"), F.array_append("route", step).alias("route")), "route")
     return state.select("work_id", F.col("chosen").alias("prediction"), F.col("path").alias("confidence"), "route").join(candidates(last, names), "work_id")
 
 

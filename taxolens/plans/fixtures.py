@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from taxolens.functions.stats import unit
 from taxolens.functions.text import short_id
 from taxolens.operators import partition, place
+from taxolens.session import ship
 
 PREFIX = "https://openalex.org/"
 #: Keywords come from lines of at least this quantity ("quality"), or all ("bench").
@@ -38,6 +39,7 @@ class Fixture:
     """Topics, works and sinks of one folder of tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship(spark)
         self.spark, self.t = spark, Tables(spark, folder)
 
     # -- topics
