@@ -122,7 +122,7 @@ def text_sink(spark, titles):
     return split.tfidf_rows(spark.createDataFrame(rows, "sink string, work_id string, text string"), "text", split.STOP_WORDS)
 
 
-SUBJECTS = ["photon laser quantum optical resonance study %d" % i for i in range(30)] + ["soil roots fungal plant symbiosis study %d" % i for i in range(30)]
+SUBJECTS = ["photon laser quantum optical resonance study %d" % i for i in range(30)] + ["soil roots fungal plant symbiosis study %d" % i for i in range(30, 60)]
 
 
 def test_two_subjects_are_parted(spark):
