@@ -82,5 +82,54 @@ def queries() -> dict:
     }
 
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+REST = "CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+_RULES = sorted(urlfilter.RULES, key=lambda r: -len(r[0] + r[1]))
+OP2 = f"""WITH r AS (SELECT page_id, coalesce({REST}, '') AS rest FROM pages),
+h AS (SELECT page_id, {LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM r)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for h, p, _ in _RULES)} END AS rule,
+  CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for h, p, v in _RULES)}
+  WHEN list_has_any(string_split(host, '.')[-3:], [{", ".join(f"'{x}'" for x in urlfilter.LISTED_LABELS)}]) THEN 'block' ELSE 'allow' END AS verdict FROM h"""
+
+OP5 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT html, max(page_id) AS top FROM p WHERE payload_bytes >= {warc.REVISIT_BYTES} GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p LEFT JOIN m USING (html)"""
+
+OP6 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 3)) AS i) WHERE len(ws) >= 5
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') || ' |' || len(ws) FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT u AS doc_id, min(v) AS low FROM reach GROUP BY 1) USING (doc_id)"""
+
+_TERMS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP9 = f"""WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents), b AS (SELECT item_id, {_TERMS} AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS x
+  FROM (SELECT item_id, ws, least(10, len(ws)) AS size FROM b WHERE len(ws) > 0), LATERAL (SELECT unnest(range(1, len(ws) - size + 2)) AS i)),
+sizes AS (SELECT DISTINCT size FROM win),
+found AS (
+  SELECT doc_id, i, win.size, item_id FROM (
+    SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS x FROM d, sizes, LATERAL (SELECT unnest(range(1, len(ws) - size + 2)) AS i)) o JOIN win USING (size, x)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Models, tokenizers, random rounding and linked spans are beyond SQL; the tests
+    compare those queries with brute force."""
+    return {"op2_url_filter": OP2, "op5_warc": OP5, "op6_jaccard_join": OP6, "op9_decontaminate": OP9}
