@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taxolens.session import ship
+
 #: White space of Unicode strings, with the separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 #: Word characters by category (letters, numbers, underscore).
@@ -52,6 +54,7 @@ def _phrases(values: pa.Array) -> pa.Array:
 def normalise_keywords(keywords: DataFrame, column: str = "keyword", into: str = "keyword") -> DataFrame:
     """Rows of ``keywords`` with ``column`` in normal form. ASCII goes through built-in
     functions; what else there is is folded in Arrow batches, each distinct text once."""
+    ship(keywords.sparkSession)
     plain = F.col(column).rlike(r"^[\x00-\x7F]*$")
     rest = keywords.where(~plain).select(F.col(column).alias("__raw")).distinct()
     folded = rest.select("__raw", F.arrow_udf(_phrases, "string")("__raw").alias("__folded"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolens.functions.stats import coherence, dot, unit, vector_sums
+from taxolens.session import ship
 
 # Fixed values.
 MIN_DF, MAX_DF, MAX_FEATURES = 2, 0.95, 10_000
@@ -250,6 +251,7 @@ def split_sinks(rows: DataFrame, seed: int = 42, max_clusters: int = 8, minimum_
     array<string>, weights array<double>, vector array<double> (null for TF-IDF)."""
     if not 2 <= max_clusters <= 20 or minimum_cluster < 2:
         raise ValueError("max-clusters must be 2-20 and minimum-cluster at least 2")
+    ship(rows.sparkSession)
 
     def run(key, t):
         if t.num_rows > MOST_SAMPLED:
