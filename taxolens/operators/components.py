@@ -8,26 +8,17 @@ where a node has very many edges. Lineage is cut by a table in a shared folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:  # one machine, as in tests
-        found = spark.conf.get("taxolens.local.shared", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="taxolens-shared-")
-            spark.conf.set("taxolens.local.shared", found)
-    return found.rstrip("/")
+from taxolens.session import shared_dir
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
-    path = f"{_folder(df.sparkSession)}/taxolens/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/taxolens/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

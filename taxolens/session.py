@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,3 +24,19 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     context.addPyFile(str(path))
     context._taxolens_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Only where the session names none (one machine, as in tests) is one made, which goes
+    when Python ends."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.conf.get("taxolens.local.shared", None)
+        if not found:
+            path = tempfile.mkdtemp(prefix="taxolens-shared-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+            found = f"file://{path}"
+            spark.conf.set("taxolens.local.shared", found)
+    return found.rstrip("/")
