@@ -8,7 +8,6 @@ Word rules used throughout (ASCII only, byte exact):
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from functools import lru_cache
 
@@ -18,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolens.session import ship
+from taxolens.session import shared_dir, ship
 
 #: Words in Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,20 +39,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) is one made.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("taxolens.local.shared", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="taxolens-shared-")
-            spark.conf.set("taxolens.local.shared", found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_dir(spark)}/taxolens/{label}-{uuid.uuid4().hex}"
