@@ -20,8 +20,11 @@ each (nulls first); a text of any length stays in one shard; no rows, no files.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,31 +40,80 @@ MAGIC = b"WMX1"
 SHARD_TOKENS = 1 << 21
 END_ID = 1
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 800_000
+#: Letters, then punctuation that the tokenizer parts from them.
+LETTERS_END = re.compile(rb"([A-Za-z\x80-\xff]+)([.,!?;:]+)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable
+    Latin-1 stands for itself, the others follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class WordEncoder(dict):
-    """ASCII-white-space word -> its ids as bytes. The tokenizer's own rules never
-    join or look across ASCII white space, so a text's ids are those of its words."""
+    """ASCII-white-space word -> its ids as bytes.
+
+    The tokenizer's rules never join or look across ASCII white space, fold case, and
+    part a run of letters from the punctuation behind it, so a text's ids are those of
+    its lower-case words, and a word's those of its letters and of what follows. Words
+    with marks of special tokens in their text are left as they are written."""
 
     def __init__(self, path: str):
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def text(self, data: bytes) -> bytes:
-        words = data.split()
+        self.model = self.tokenizer.model
+
+    @staticmethod
+    def letters(word: bytes) -> str | None:
+        """A word of Latin letters as the model takes it, or None. Such a word is one
+        run for the tokenizer: its normaliser only folds case."""
+        if word.isalpha():
+            return word.lower().decode()
         try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            missing = [w for w in dict.fromkeys(words) if w not in self]
-            if len(self) + len(missing) > CACHE_WORDS:
-                self.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
-            return b"".join(map(self.__getitem__, words))
+            s = word.decode()
+        except UnicodeDecodeError:
+            return None
+        if not s.isalpha() or max(s) >= "\u0180" or "\u0130" in s:
+            return None
+        return s.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+
+    def words(self, text: bytes) -> list[bytes]:
+        return (text if b"<|" in text else text.lower()).split()
+
+    def __missing__(self, word: bytes) -> bytes:
+        """A word's ids, from the older generation if it is there: words in use move to
+        the younger one, and the older is dropped when the younger is full."""
+        if (ids := self.old.get(word)) is None:
+            if (run := self.letters(word)) is not None:
+                ids = array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
+            elif (m := LETTERS_END.fullmatch(word)) and self.letters(m[1]):
+                ids = self[m[1]] + self[m[2]]
+            else:
+                ids = array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        if len(self) >= CACHE_WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.__getitem__, self.words(text)))
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """A worker's own encoder: what it has learnt serves the worker's next tasks."""
+    return WordEncoder(path)
 
 
 def build_planes(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -186,7 +238,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens
     dealt = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary"))).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         part, number = TaskContext.get().partitionId(), 0
         doc_ids, lengths, pieces, size = [], [], [], 0
         end = np.array([END_ID], "<u4").tobytes()
@@ -198,7 +250,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                ids = encoder.text(text) + end
+                ids = encoder.encode(text) + end
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4)
                 pieces.append(ids)

@@ -340,7 +340,7 @@ def test_words_alone_have_the_ids_of_the_text():
     e = wavelet.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     odd = ["", "İstanbul É́a ñ naïve ŒUVRE ſtraße", "a<|endoftext|>b <|ENDOFTEXT|>", "don't we'll I'VE 12ab34 x_y --- “q” 日本語 é", "ǅ K Å ﬁ Ω.. école, Été!!", " x y​z", "Ab.cd ef.,! g"]
     want = [np.array(r.ids, "<u4").tobytes() for r in e.tokenizer.encode_batch(odd, add_special_tokens=False)]
-    assert e.encode([o.encode() for o in odd]) == want
+    assert [e.encode(o.encode()) for o in odd] == want
 
 
 def test_wavelet_queries():
