@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import WordHash, keep, mix64, small_batches, utf8
+from taxolens.llm.common import WordHash, keep, mix64, small_batches, utf8, word_cache
 from taxolens.operators.components import connected_components
 
 WORDS = 5
@@ -128,7 +128,7 @@ def describe(docs: DataFrame) -> DataFrame:
     def about(texts: pa.Array) -> pa.Array:
         out = []
         for text in utf8(texts):
-            tokens = shingles(text, _CACHE)
+            tokens = shingles(text, word_cache())
             out.append((tokens.size, *set_id(tokens), bit_sketch(tokens)))
         return pa.StructArray.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["n", "s1", "s2", "sketch"])
 
@@ -155,7 +155,7 @@ def _scatter(buckets: int):
 
         for batch in batches:
             for text in utf8(batch.column(0)):
-                tokens = shingles(text, _CACHE)
+                tokens = shingles(text, word_cache())
                 if not tokens.size:
                     continue
                 name = set_id(tokens)[0]
@@ -250,8 +250,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         out, last, own = [], None, None
         for a, b in zip(utf8(x), utf8(y)):
             if own is None or a != last:
-                last, own = a, shingles(a, _CACHE)
-            other = shingles(b, _CACHE)
+                last, own = a, shingles(a, word_cache())
+            other = shingles(b, word_cache())
             same = np.intersect1d(own, other, assume_unique=True).size
             out.append(same > 0 and 100 * same >= 75 * (own.size + other.size - same))
         return pa.array(out, pa.bool_())
@@ -260,8 +260,9 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("ra", "ta"), "ra").join(side("rb", "tb"), "rb").where(linked("ta", "tb")).select("ra", "rb")
 
 
-def _across(members: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (ra, rb) within groups that still span components, by bit sketches.
+def _across(members: DataFrame, label: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (ra, rb) within groups that still span components, by bit sketches: all of
+    them, or only a forest over the components, of the closest pairs.
 
     Groups are cut into blocks of about BLOCK members; every two blocks of a group meet
     in one task, so a task's work is bounded whatever the group's size."""
@@ -272,23 +273,114 @@ def _across(members: DataFrame, label: DataFrame, classes: DataFrame) -> DataFra
     met = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("g", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.col("block").alias("mine"), "rep", "component", "n", "sketch")
 
-    def compare(key, t):
-        rows = t.sort_by("rep")
-        mine, rep_, comp, n = (rows.column(c).to_numpy() for c in ("mine", "rep", "component", "n"))
-        sketch = rows.column("sketch").to_pylist()
-        i, j = key[1].as_py(), key[2].as_py()
-        order = np.argsort(n, kind="stable")
-        size = n[order]
+    dealt = met.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return dealt.mapInArrow(_compare_blocks(forest), "ra long, rb long").distinct()
+
+
+def _fold(sketches: list[bytes], m: int) -> np.ndarray:
+    """Bit sketches of at least ``m`` bytes, folded to it: a row of words each."""
+    out = np.empty((len(sketches), m), np.uint8)
+    for i, s in enumerate(sketches):
+        x = np.frombuffer(s, np.uint8)
+        out[i] = np.bitwise_xor.reduce(x.reshape(-1, m), axis=0) if x.size > m else x
+    return out.view(np.uint64)
+
+
+def _forest(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which edges of a graph, by ascending distance, join what was apart."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = up[x]
+        return x
+
+    taken = []
+    order = np.argsort(distance, kind="stable")
+    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        if (x := root(x)) != (y := root(y)):
+            up[x] = y
+            taken.append(i)
+    return np.array(taken, np.int64)
+
+
+def _compare(t: pa.Table, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one block (or two) that bit sketches let through, as (least, other)."""
+    n = t.column("n").to_numpy()
+    order = np.argsort(n, kind="stable")
+    n = n[order]
+    mine, rep, comp = (t.column(c).to_numpy()[order] for c in ("mine", "rep", "component"))
+    sketch = t.column("sketch").to_pylist()
+    sketch = [sketch[i] for i in order.tolist()]
+    size = np.array([len(s) for s in sketch])
+    within = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+    tops = np.searchsorted(n, 4 * n // 3, "right")
+    left, right, distance = [], [], []
+    for m in np.unique(size).tolist():  # sizes ascend with n: partners are as long or longer
+        from_ = int(np.flatnonzero(size >= m)[0])
+        bits = _fold(sketch[from_:], m)
+        for x in np.flatnonzero(size == m).tolist():
+            a, b = x + 1, int(tops[x])
+            if a >= b:
+                continue
+            ok = comp[a:b] != comp[x]
+            if not within:
+                ok &= mine[a:b] != mine[x]
+            at = np.flatnonzero(ok)
+            if not at.size:
+                continue
+            far = np.bitwise_count(bits[at + (a - from_)] ^ bits[x - from_]).sum(1)
+            near = far <= (n[x] + n[at + a]) // 7
+            if near.any():
+                right.append(at[near] + a)
+                left.append(np.full(right[-1].size, x))
+                distance.append(far[near])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = np.concatenate(left), np.concatenate(right)
+    if forest:
+        keep_ = _forest(np.concatenate(distance), comp[x], comp[y])
+        x, y = x[keep_], y[keep_]
+    return np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+
+
+def _compare_blocks(forest: bool):
+    """Blocks in order of (g, i, j); one that a batch ends in waits for the next."""
+
+    def told(t, seen):
+        key = np.stack([t.column(c).to_numpy() for c in ("g", "i", "j")], 1)
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
         ra, rb = [], []
-        for at, x in enumerate(order.tolist()):
-            top = np.searchsorted(size, 4 * int(n[x]) // 3, "right")
-            for y in order[at + 1 : top].tolist():
-                if comp[x] != comp[y] and (i == j or mine[x] != mine[y]) and hamming(sketch[x], sketch[y]) <= may_link(int(n[x]), int(n[y])):
-                    ra.append(min(int(rep_[x]), int(rep_[y])))
-                    rb.append(max(int(rep_[x]), int(rep_[y])))
-        return pa.table({"ra": pa.array(ra, pa.int64()), "rb": pa.array(rb, pa.int64())})
-
-    return met.groupBy("g", "i", "j").applyInArrow(compare, "ra long, rb long").distinct()
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if b - a > 1:
+                x, y = _compare(t.slice(a, b - a), forest)
+                for p in zip(x.tolist(), y.tolist()):
+                    if p not in seen:
+                        if len(seen) < 500_000:
+                            seen.add(p)
+                        ra.append(p[0])
+                        rb.append(p[1])
+        return pa.RecordBatch.from_arrays([pa.array(ra, pa.int64()), pa.array(rb, pa.int64())], ["ra", "rb"])
+
+    def compare(batches):
+        kept, seen = None, set()
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if t.num_rows == 0:
+                continue
+            if kept is not None:
+                t = pa.concat_tables([kept, t]).combine_chunks()
+            last = [t.column(c)[-1].as_py() for c in ("g", "i", "j")]
+            whole = np.flatnonzero(np.logical_or.reduce([t.column(c).to_numpy() != v for c, v in zip(("g", "i", "j"), last)]))
+            cut = int(whole[-1]) + 1 if whole.size else 0
+            kept = t.slice(cut)
+            if cut:
+                yield told(t.slice(0, cut), seen)
+        if kept is not None:
+            yield told(kept, seen)
+
+    return compare
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -307,17 +399,23 @@ def components(docs: DataFrame) -> DataFrame:
     texts = keep(docs.select(F.col("doc_id").alias("rep"), "text").join(ends, "rep", "left_semi"), "texts")
 
     label = spark.createDataFrame([], "id long, component long")
-    links = None
-    tried = near.groupBy("rb").agg(F.min("ra").alias("ra")).select("ra", "rb")  # first, one pair a document
-    for step in range(3):
-        if step == 1:
+    members = found.where("kind = 1").select("a", "b").distinct()
+    links, done = None, near
+    # one pair a document; all stars; a forest over components within groups; what is left
+    for step in ("first", "stars", "forest", "rest"):
+        if step == "first":
+            tried = near.groupBy("rb").agg(F.min("ra").alias("ra")).select("ra", "rb")
+        elif step == "stars":
             tried = _apart(near, label)
-        elif step == 2:
-            tried = keep(_across(found.where("kind = 1").select("a", "b").distinct(), label, classes), "across").join(near, ["ra", "rb"], "left_anti")
-            more = tried.select(F.col("ra").alias("rep")).unionByName(tried.select(F.col("rb").alias("rep"))).distinct().join(ends, "rep", "left_anti")
-            texts = texts.unionByName(docs.select(F.col("doc_id").alias("rep"), "text").join(more, "rep", "left_semi"))
+        else:
+            tried = keep(_across(members, label, classes, step == "forest").join(done, ["ra", "rb"], "left_anti"), "across")
+            done = done.unionByName(tried)
+            more = tried.select(F.col("ra").alias("rep")).unionByName(tried.select(F.col("rb").alias("rep"))).distinct().join(texts.select("rep"), "rep", "left_anti")
+            texts = texts.unionByName(keep(docs.select(F.col("doc_id").alias("rep"), "text").join(more, "rep", "left_semi"), "texts"))
         got = keep(_verify(tried, texts), "links")
         if got.isEmpty():
+            if step == "forest" and tried.isEmpty():
+                break
             continue
         links = got if links is None else links.unionByName(got)
         label = connected_components(links.select(F.col("ra").alias("u"), F.col("rb").alias("v")))
@@ -343,5 +441,3 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = docs.where("doc_id is not null").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
-
-_CACHE = WordHash()
