@@ -70,7 +70,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash; bounded, so a worker's memory is too."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

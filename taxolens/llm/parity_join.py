@@ -39,8 +39,8 @@ WHOLE_BELOW = 256
 #: Parts of a band per token of its smallest set.
 PARTS = 0.7
 #: Signatures in one bucket, on average, and in one forwarded piece.
-BUCKET = 1_500_000
-PIECE = 1 << 20
+BUCKET = 700_000
+PIECE = 1 << 19
 #: Members of one block where a group is compared in full.
 BLOCK = 1024
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -161,7 +161,7 @@ def _scatter(buckets: int):
                 name = set_id(tokens)[0]
                 if name in done:
                     continue
-                if len(done) < 200_000:
+                if len(done) < 50_000:
                     done.add(name)
                 own = signatures(tokens)
                 sigs.append(own)
@@ -357,7 +357,7 @@ def _compare_blocks(forest: bool):
                 x, y = _compare(t.slice(a, b - a), forest)
                 for p in zip(x.tolist(), y.tolist()):
                     if p not in seen:
-                        if len(seen) < 500_000:
+                        if len(seen) < 100_000:
                             seen.add(p)
                         ra.append(p[0])
                         rb.append(p[1])

@@ -23,7 +23,7 @@ from taxolens.llm.common import small_batches, utf8, word_cache
 #: Buckets for words and for byte n-grams, each.
 BITS = 15
 #: The classifier is fitted on at most so many labelled rows of each class.
-FIT_ROWS_PER_CLASS = 1500
+FIT_ROWS_PER_CLASS = 1000
 #: Reject below this calibrated probability of quality 1.
 REJECT_BELOW = 0.15
 SYMBOLS = b"#*$%&|<>"

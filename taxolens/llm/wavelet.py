@@ -37,10 +37,10 @@ from taxolens.llm.common import fresh_path, keep, open_shared, publish, small_ba
 
 MAGIC = b"WMX1"
 #: A shard is closed when it has so many ids.
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 END_ID = 1
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 #: Letters, then punctuation that the tokenizer parts from them.
 LETTERS_END = re.compile(rb"([A-Za-z\x80-\xff]+)([.,!?;:]+)")
 
