@@ -7,10 +7,11 @@ context that the trie has. If the byte was seen there, it costs ``n / (total + k
 of the mass; if not, an escape costs ``kinds / (total + kinds)`` and the next shorter
 context decides with the symbols already excluded, down to a uniform order -1 over 256.
 
-Counting is distributed: tasks pre-aggregate distinct (context, byte) pairs. The trie
-that executors score with holds at most ``MAX_NODES`` pairs of full order, those seen
-most often, by a count threshold found from a histogram; shorter contexts come from all
-pairs by sums, so they and all word statistics cover the whole corpus.
+Counting is distributed: tasks pre-aggregate distinct (context, byte) pairs; shorter
+contexts come from all pairs by sums. A corpus of at most ``MAX_NODES`` pairs of full
+order travels to the executors as a trie. Of a larger one only the costs of its most
+frequent pairs travel; all other pairs of a text, seen or not, are joined by code with
+costs that come from all pairs of all orders. Both ways give the same scores.
 
 Word counts for the base score are kept by a 64-bit hash of the word. The most frequent
 ``HEAD_WORDS`` travel with the scorer; rarer words (each in few documents, so no task is
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from taxolens.llm.common import keep, small_batches, utf8, word_cache
 
 ORDER = 5
+#: Pairs of full order that travel with the scorer.
 MAX_NODES = 4 << 20
 HEAD_WORDS = 1 << 19
 #: The end of a text; no word has it. It also fills the contexts before the first byte.
@@ -128,10 +130,6 @@ class Trie:
         self.table = np.log10(n / (self.totals[-1][at] + kinds[at])).astype(np.float32) if full.size else np.zeros(0, np.float32)
         self.slow: dict[int, float] = {}
 
-    @classmethod
-    def of(cls, full: np.ndarray, full_n: np.ndarray, lower: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Trie:
-        return cls([c for c, _ in lower] + [full], [n for _, n in lower] + [full_n], order)
-
     def _follow(self, k: int, context: int) -> tuple[np.ndarray, np.ndarray] | None:
         """Bytes after a context of ``k`` bytes with their counts."""
         heads = self.heads[k]
@@ -196,21 +194,82 @@ def _threshold(counts: DataFrame, most: int, n: str = "n") -> int:
     return low
 
 
-def train_trie(docs: DataFrame, order: int = ORDER, most: int = MAX_NODES) -> Trie:
-    """The trie of the texts of ``docs``."""
-    counts = keep(count_grams(docs, order), "grams")
-    lower = []
-    part = counts
-    for k in range(order):  # orders 0 .. order - 1, from sums over longer contexts
-        mask = F.lit((1 << (8 * (k + 1))) - 1)
-        short = counts.groupBy(F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n"))
-        if k >= 2:
-            short = keep(short, "grams-short")
-            short = short.where(F.col("n") >= _threshold(short, most))
-        got = short.toArrow().sort_by("code")
-        lower.append((got.column("code").to_numpy(), got.column("n").to_numpy()))
-    got = part.where(F.col("n") >= _threshold(part, most)).toArrow().sort_by("code")
-    return Trie.of(got.column("code").to_numpy(), got.column("n").to_numpy(), lower, order)
+def gram_tables(docs: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """(code, n) of all pairs of the texts of ``docs``, by order."""
+    tables = [keep(count_grams(docs, order), "grams")]
+    for k in reversed(range(order)):  # sums over longer contexts
+        short = tables[0].groupBy(_last(k).alias("code")).agg(F.sum("n").alias("n"))
+        tables.insert(0, keep(short, "grams-short") if k >= 2 else short)
+    return tables
+
+
+def _last(k: int):
+    """Spark column: the pair of order ``k`` that ends a longer pair."""
+    return F.col("code").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+
+
+def _context(k: int):
+    """Spark column: the context of ``k`` bytes of a pair of that order or a longer one."""
+    return F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * k)) - 1))
+
+
+def train_trie(docs: DataFrame, order: int = ORDER) -> Trie:
+    """The trie of the texts of ``docs``, with all their pairs."""
+    return _trie(gram_tables(docs, order), order)
+
+
+def _trie(tables: list[DataFrame], order: int) -> Trie:
+    got = [t.toArrow().sort_by("code") for t in tables]
+    return Trie([g.column("code").to_numpy() for g in got], [g.column("n").to_numpy() for g in got], order)
+
+
+@dataclass
+class Head:
+    """Sorted codes of frequent pairs of full order and their costs over all pairs."""
+
+    codes: np.ndarray
+    table: np.ndarray
+
+    def costs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities (0 outside the head); and which pairs are outside."""
+        if not self.codes.size:
+            return np.zeros(codes.size), np.ones(codes.size, bool)
+        at = np.searchsorted(self.codes, codes)
+        at[at == self.codes.size] = 0
+        known = self.codes[at] == codes
+        return np.where(known, self.table[at], 0.0), ~known
+
+
+def _contexts(table: DataFrame, k: int) -> DataFrame:
+    return table.groupBy(_context(k).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+
+
+def _seen_costs(tables: list[DataFrame], order: int) -> DataFrame:
+    """(code, n, cost) of all pairs of full order."""
+    full = tables[order].withColumn("context", _context(order))
+    return full.join(_contexts(tables[order], order), "context").select("code", "n", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("cost"))
+
+
+def _unseen_costs(codes: DataFrame, tables: list[DataFrame], order: int) -> DataFrame:
+    """(code, cost) of pairs that full order lacks, as ``Trie.cost`` has them. All bytes
+    after a context also follow its shorter contexts, so what is excluded in a context
+    is what follows the next longer one, if that occurs."""
+    part = codes.select("code", F.lit(0.0).alias("cost"), F.lit(False).alias("done"))
+    for k in range(order, -1, -1):
+        part = part.withColumns({"context": _context(k), "pair": _last(k)}).join(_contexts(tables[k], k), "context", "left")
+        part = part.join(tables[k].select(F.col("code").alias("pair"), "n"), "pair", "left")
+        if k < order:
+            longer = tables[k + 1].select(_context(k + 1).alias("longer"), _last(k).alias("code")).join(tables[k], "code")
+            gone = longer.groupBy("longer").agg(F.sum("n").alias("gone"), F.count(F.lit(1)).alias("out"))
+            part = part.withColumn("longer", _context(k + 1)).join(gone, "longer", "left")
+        else:
+            part = part.withColumns({"gone": F.lit(0), "out": F.lit(0)})
+        free = F.col("kinds") - F.coalesce("out", F.lit(0))
+        mass = F.col("total") - F.coalesce("gone", F.lit(0)) + free
+        more = F.when(F.col("done"), 0.0).when(F.col("n").isNotNull(), F.log10(F.col("n") / mass)).when(free > 0, F.log10(free / mass)).otherwise(0.0)
+        part = part.select("code", (F.col("cost") + more).alias("cost"), (F.col("done") | F.col("n").isNotNull()).alias("done"))
+    left = max(1, 256 - tables[0].count())
+    return part.select("code", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") - float(np.log10(left))).alias("cost"))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -245,26 +304,39 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, most: int =
     small_batches(spark)
     words = keep(count_words(training), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    trie = train_trie(training, order, most)
+    tables = gram_tables(training, order)
+    trie = seen = frequent = None
+    if tables[order].count() <= most:
+        trie = _trie(tables, order)
+    else:
+        seen = keep(_seen_costs(tables, order), "costs")
+        got = seen.where(F.col("n") >= _threshold(seen, most)).select("code", "cost").toArrow().sort_by("code")
+        frequent = Head(got.column("code").to_numpy(), got.column("cost").to_numpy())
     below = np.log10(total + 0.5 * (distinct + 1))
     top = words.where(F.col("c") >= _threshold(words, head, "c")).toArrow().sort_by("word") if total else None
     head_words = top.column("word").to_numpy() if top else np.zeros(0, np.int64)
     head_cost = np.log10(top.column("c").to_numpy() + 0.5) if top else np.zeros(0)
-    names = ["n_tokens", "n_known", "head_score", "score", "tail", "times"]
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["n_tokens", "n_known", "head_score", "pair_score", "tail", "times", "pairs", "pair_times"]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64()), pa.list_(pa.int32())] * 2]
 
-    @F.arrow_udf("n_tokens long, n_known long, head_score double, score double, tail array<long>, times array<int>")
+    @F.arrow_udf("n_tokens long, n_known long, head_score double, pair_score double, tail array<long>, times array<int>, pairs array<long>, pair_times array<int>")
     def first(texts: pa.Array) -> pa.Array:
         cache, out = word_cache(), []
         split = [t.lower().split() for t in utf8(texts)]
         canon = [_canonical(w) for w in split]
-        i, costs = 0, []
+        i, costs, others = 0, [], []
         while i < len(canon):
             j, size = i, 0
             while j < len(canon) and (size == 0 or size + len(canon[j]) < PIECE):
                 size, j = size + len(canon[j]), j + 1
             codes, edges = grams(canon[i:j], order)
-            costs.extend(np.add.reduceat(trie.costs(codes), edges[:-1]).tolist())
+            if trie is not None:
+                value = trie.costs(codes)
+                others.extend([(np.zeros(0, np.int64), np.zeros(0, np.int64))] * (j - i))
+            else:
+                value, rest_ = frequent.costs(codes)
+                others.extend(np.unique(codes[a:b][rest_[a:b]], return_counts=True) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()))
+            costs.extend(np.add.reduceat(value, edges[:-1]).tolist())
             i = j
         flat = np.append(cache.array([w for ws in split for w in ws]).view(np.int64), END_HASH)
         at = np.searchsorted(head_words, flat)
@@ -272,7 +344,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, most: int =
         known = head_words[at] == flat if head_words.size else np.zeros(flat.size, bool)
         cost = np.where(known, head_cost[at] if head_words.size else 0.0, 0.0)
         edge = 0
-        for ws, c in zip(split, costs):
+        for ws, c, (pairs, pair_times) in zip(split, costs, others):
             own = slice(edge, edge + len(ws))
             edge += len(ws)
             k, rare = known[own], flat[own][~known[own]]
@@ -281,7 +353,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, most: int =
             base = float(cost[own].sum()) + float(cost[-1])
             if not known[-1]:
                 tail, times = np.append(tail, END_HASH), np.append(times, 1)
-            out.append((len(ws) + 1, n, base, c, tail, times.astype(np.int32)))
+            out.append((len(ws) + 1, n, base, c, tail, times.astype(np.int32), pairs, pair_times.astype(np.int32)))
         return pa.StructArray.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
     rest = [c for c in docs.columns if c != "text"]
@@ -292,8 +364,15 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, most: int =
         .groupBy("__row")
         .agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("tail_score"))
     )
+    score = F.col("pair_score")
+    if seen is not None:
+        pairs = keep(part.select("__row", F.explode(F.arrays_zip("pairs", "pair_times")).alias("p")).select("__row", F.col("p.pairs").alias("code"), F.col("p.pair_times").alias("times")), "pairs")
+        unseen = keep(pairs.select("code").distinct().join(seen, "code", "left_anti"), "unseen")
+        costs = seen.select("code", "cost").unionByName(_unseen_costs(unseen, tables, order))
+        more = pairs.join(costs, "code").groupBy("__row").agg(F.sum(F.col("times") * F.col("cost")).alias("more_score"))
+        part, score = part.join(more, "__row", "left"), score + F.coalesce("more_score", F.lit(0.0))
     return part.join(tail, "__row", "left").select(
         *rest, "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(below))).alias("base_score"), "score",
+        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(below))).alias("base_score"), score.alias("score"),
     )
 

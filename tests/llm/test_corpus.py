@@ -212,6 +212,17 @@ def test_trie_equals_definition(spark):
     assert total == pytest.approx(1)
 
 
+@pytest.mark.parametrize("most", [0, 60, 400])
+def test_scores_use_all_pairs(docs, most):
+    got = ppm.score(docs, docs.where(ppm.fold() != ppm.HELD_OUT), order=3, most=most).collect()
+    canon = lambda t: " ".join(words((t or "").translate(LOW))).encode()
+    cost = brute_ppm([canon(t) for i, t, *_ in ROWS if zlib.crc32(str(i).encode()) % 5 != 1], 3)
+    text = {i: t for i, t, *_ in ROWS}
+    assert len(got) == len(ROWS)
+    for r in got:
+        assert r.score == pytest.approx(cost(canon(text[r.doc_id])))
+
+
 # ---- 5
 
 
