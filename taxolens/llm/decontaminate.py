@@ -7,7 +7,8 @@ state names the items. Items of fewer words are windows as a whole. Only runs of
 words whose neighbouring pairs all occur in items are walked.
 
 The automaton is sent to all executors, so it is built for at most ``BLOCK_BYTES`` of
-item text; more items make more automata, which documents meet one after the other.
+item text; more items make more automata, whose hits are united before documents are
+judged or cut.
 
 Defined cases: a null text has no words, a null or wordless item has no window;
 repeated items are one if they share an id; an item without an id marks words but is
@@ -187,8 +188,11 @@ def _scan(automaton: Automaton):
 
 def match(docs: DataFrame, items: DataFrame, text: str = "text", into: str = "match", block: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct more: n_words, hit (positions of words) and items."""
+    return _match(docs, automata(items, block), text, into)
+
+
+def _match(docs: DataFrame, found: list[Automaton], text: str, into: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    found = automata(items, block)
     out = docs.withColumn(into, _scan(found[0])(F.col(text)))
     for more in found[1:]:
         out = keep(out, "match").withColumn("__more", _scan(more)(F.col(text)))
@@ -238,13 +242,39 @@ def remove(docs: DataFrame, items: DataFrame, most: float = MOST_COVERAGE, block
     """``docs`` without benchmark passages: hit runs of words are cut out, and rows
     that are hit beyond ``most`` of their words (or of which no word is left) go.
     ``n_chars``, where there is such a column, follows the text; clean rows stay as
-    they are. Cutting goes on until no window occurs across a cut either."""
+    they are. Cutting goes on until no window occurs across a cut either. Hits are those
+    of all items, in however many blocks they come."""
     small_batches(docs.sparkSession)
-    names, out = docs.columns, docs
-    for automaton in automata(items, block):
-        out = out.withColumn("__clean", _clean(automaton, most)(F.col("text"))).where("not __clean.gone")
-        changed = {"text": F.when(F.col("__clean.dirty"), F.col("__clean.text")).otherwise(F.col("text"))}
+    names, found = docs.columns, automata(items, block)
+    if len(found) > 1:
+        return _remove_by_rounds(docs, found, most)
+    out = docs.withColumn("__clean", _clean(found[0], most)(F.col("text"))).where("not __clean.gone")
+    changed = {"text": F.when(F.col("__clean.dirty"), F.col("__clean.text")).otherwise(F.col("text"))}
+    if "n_chars" in names:
+        changed["n_chars"] = F.when(F.col("__clean.dirty"), F.char_length("__clean.text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*names)
+
+
+def _cut():
+    @F.arrow_udf("string")
+    def less(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        return pa.array([cut(t, h).decode("utf-8", "replace") for t, h in zip(utf8(texts), hits.to_pylist())], pa.string())
+
+    return less
+
+
+def _remove_by_rounds(docs: DataFrame, found: list[Automaton], most: float) -> DataFrame:
+    """``remove`` with several automata: each round unites the hits of all of them, and
+    only what it cuts goes through the next one."""
+    names, hit = docs.columns, F.size("__m.hit")
+    seen = keep(_match(docs, found, "text", "__m"), "hits")
+    out = seen.where(hit == 0).select(*names)
+    dirty = seen.where((hit > 0) & (hit <= most * F.col("__m.n_words")))
+    while not dirty.isEmpty():
+        less = dirty.withColumn("text", _cut()(F.col("text"), F.array_sort("__m.hit"))).select(*names)
         if "n_chars" in names:
-            changed["n_chars"] = F.when(F.col("__clean.dirty"), F.char_length("__clean.text").cast("long")).otherwise(F.col("n_chars"))
-        out = out.withColumns(changed).select(*names)
+            less = less.withColumn("n_chars", F.char_length("text").cast("long"))
+        seen = keep(_match(keep(less, "cut"), found, "text", "__m"), "hits")
+        out = out.unionByName(seen.where((hit == 0) & (F.col("__m.n_words") > 0)).select(*names))
+        dirty = seen.where(hit > 0)
     return out

@@ -410,6 +410,22 @@ def test_matching_equals_search(spark, docs, none, block, short):
     assert decontaminate.match(none, table).isEmpty() and not any(r.m.hit for r in decontaminate.match(docs, table.where("false"), into="m").collect())
 
 
+@pytest.mark.parametrize("block", [1 << 24, 200])
+def test_removal_unites_blocks(spark, block):
+    own = {i: [f"w{i}x{k}" for k in range(12)] for i in range(6)}
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in own.items()], "item_id long, text string")
+    rest = [f"other{k}" for k in range(40)]
+    pairs = [(a, b) for a in own for b in own if a != b]
+    half = [(a * 10 + b, " ".join(own[a] + rest[:12] + own[b])) for a, b in pairs]  # a third of one item, a third of the other
+    around = [(100 + a * 10 + b, " ".join(rest + own[a][:6] + own[b] + own[a][6:])) for a, b in pairs]  # one item closes up when the other is cut
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in half + around + [(999, "clean"), (1000, None)]], "doc_id long, text string, n_chars long")
+    assert (len(decontaminate.automata(table, block)) > 1) == (block == 200)
+    left = by_id(decontaminate.remove(docs, table, block=block))
+    assert sorted(left) == sorted([i for i, _ in around] + [999, 1000])
+    assert all(left[i].text.split() == rest and left[i].n_chars == len(left[i].text) for i, _ in around)
+    assert (left[999].text, left[1000].text) == ("clean", None)
+
+
 # ---- 10
 
 
