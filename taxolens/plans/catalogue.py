@@ -416,6 +416,25 @@ def judgment_counts(x: Fixture) -> DataFrame:
     return rows.groupBy("judgment").agg(F.count(F.lit(1)).alias("topics"))
 
 
+# ---- keywords of all lines ---------------------------------------------------------------------
+
+
+def over_all_lines(f) -> None:
+    """Register a query on topics once more, with the keywords of all lines."""
+
+    def run(spark, folder: str) -> DataFrame:
+        return f(Fixture(spark, folder, least=0))
+
+    QUERIES[f"{f.__name__}_all"] = run
+
+
+for _f in (
+    keyword_memberships, keyword_overlap, keyword_overlap_salted, jaccard_topk, parent_shares, plurality_parent,
+    audit_subfield, audit_field, audit_domain, audit_summary, audit_top50, topic_csv_projection,
+):
+    over_all_lines(_f)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

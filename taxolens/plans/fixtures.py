@@ -38,20 +38,20 @@ class Tables:
 class Fixture:
     """Topics, works and sinks of one folder of tables."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, least: int = QUALITY):
         ship(spark)
-        self.spark, self.t = spark, Tables(spark, folder)
+        self.spark, self.t, self.least = spark, Tables(spark, folder), least
 
     # -- topics
-    def keywords(self, least: int = QUALITY) -> DataFrame:
+    def keywords(self, least: int | None = None) -> DataFrame:
         """(topic_id, keyword), repeated as ordered."""
-        t = self.t
+        t, least = self.t, self.least if least is None else least
         lines = t.lineitem.where(F.col("l_quantity") >= least).select("l_orderkey", "l_partkey")
         words = t.part.select("p_partkey", F.lower(F.concat_ws(" ", "p_brand", "p_name", "p_type", "p_size")).alias("keyword"))
         orders = t.orders.select("o_orderkey", F.concat(F.lit(PREFIX + "T"), "o_custkey").alias("topic_id"))
         return lines.join(words, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("topic_id", "keyword")
 
-    def topics(self, least: int = QUALITY) -> DataFrame:
+    def topics(self, least: int | None = None) -> DataFrame:
         t = self.t
         words = self.keywords(least).groupBy("topic_id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
         works = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("works_count"))

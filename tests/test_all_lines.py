@@ -1,0 +1,24 @@
+"""Queries on topics with the keywords of all lines, against the SQL without its filter."""
+
+import pytest
+
+from comparison import connect, differences
+from taxolens.plans import catalogue
+
+FOLDER = "/root/testdata/sf0.001"
+SQL = catalogue.oracle_sql()
+NAMES = [
+    "keyword_memberships", "keyword_overlap", "keyword_overlap_salted", "jaccard_topk", "parent_shares", "plurality_parent",
+    "audit_subfield", "audit_field", "audit_domain", "audit_summary", "audit_top50", "topic_csv_projection",
+]
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return connect(FOLDER)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_same_as_sql_over_all_lines(spark, duck, name):
+    assert SQL[name].count("l_quantity >= 46") == 1
+    assert not differences(catalogue.queries()[f"{name}_all"](spark, FOLDER), duck, SQL[name].replace("l_quantity >= 46", "true"))
