@@ -408,14 +408,15 @@ def components(docs: DataFrame) -> DataFrame:
         elif step == "stars":
             tried = _apart(near, label)
         else:
-            tried = keep(_across(members, label, classes, step == "forest").join(done, ["ra", "rb"], "left_anti"), "across")
+            across = keep(_across(members, label, classes, step == "forest"), "across")
+            if step == "forest" and across.isEmpty():
+                break  # no group spans components by its sketches
+            tried = keep(across.join(done, ["ra", "rb"], "left_anti"), "tried")
             done = done.unionByName(tried)
             more = tried.select(F.col("ra").alias("rep")).unionByName(tried.select(F.col("rb").alias("rep"))).distinct().join(texts.select("rep"), "rep", "left_anti")
             texts = texts.unionByName(keep(docs.select(F.col("doc_id").alias("rep"), "text").join(more, "rep", "left_semi"), "texts"))
         got = keep(_verify(tried, texts), "links")
         if got.isEmpty():
-            if step == "forest" and tried.isEmpty():
-                break
             continue
         links = got if links is None else links.unionByName(got)
         label = connected_components(links.select(F.col("ra").alias("u"), F.col("rb").alias("v")))

@@ -283,6 +283,16 @@ def test_join_equals_all_pairs(docs, none, monkeypatch):
     assert parity_join.components(none).isEmpty()
 
 
+def test_left_pairs_are_tried_after_a_known_forest(spark, monkeypatch):
+    own = [f"w{k}" for k in range(100)]
+    texts = [own, [f"v{k}" for k in range(100)], [*own, "more"]]  # 0 and 2 link, 0 and 1 don't
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    pair = lambda a, b: spark.createDataFrame([(a, b)], "ra long, rb long")
+    monkeypatch.setattr(parity_join, "_near", lambda pairs, classes: pair(0, 1))
+    monkeypatch.setattr(parity_join, "_across", lambda members, label, classes, forest: pair(0, 1) if forest else pair(0, 2))
+    assert {r.doc_id: r.component_id for r in parity_join.components(docs).collect()} == {0: 0, 1: 1, 2: 0}
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     for n in (5, 60, 300, 900):
