@@ -248,7 +248,8 @@ def remove(docs: DataFrame, items: DataFrame, most: float = MOST_COVERAGE, block
     names, found = docs.columns, automata(items, block)
     if len(found) > 1:
         return _remove_by_rounds(docs, found, most)
-    out = docs.withColumn("__clean", _clean(found[0], most)(F.col("text"))).where("not __clean.gone")
+    # as not deterministic, it runs once a row, not again for the filter in workers of its own
+    out = docs.withColumn("__clean", _clean(found[0], most).asNondeterministic()(F.col("text"))).where("not __clean.gone")
     changed = {"text": F.when(F.col("__clean.dirty"), F.col("__clean.text")).otherwise(F.col("text"))}
     if "n_chars" in names:
         changed["n_chars"] = F.when(F.col("__clean.dirty"), F.char_length("__clean.text").cast("long")).otherwise(F.col("n_chars"))
