@@ -34,8 +34,8 @@ from taxolens.llm.quality import class_sample
 
 FIT_ROWS_PER_CLASS = 2500
 DISCOUNT = 0.75
-#: Words and pairs seen less often in the sample are treated as unseen.
-LEAST_COUNT = 2
+#: Words and pairs seen less often in the sample are treated as unseen: none.
+LEAST_COUNT = 1
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Tokens are lower-cased runs of ASCII letters, digits and non-ASCII bytes.

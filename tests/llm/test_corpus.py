@@ -334,6 +334,14 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert toxicity.assess(none, model).isEmpty()
 
 
+def test_words_and_pairs_seen_once_count():
+    texts = [b"good day to you", b"a good day", b"vile day to you"]
+    model = toxicity._kneser_ney([t.split() for t in texts], [0, 0, 1], toxicity.LEAST_COUNT)
+    assert set(model.words) == {w for t in texts for w in t.split()}
+    assert model.pairs.size == len({p for t in texts for p in zip(t.split(), t.split()[1:])})
+    assert model.ratio[model.words[b"vile"]] > 0 > model.ratio[model.words[b"a"]]
+
+
 # ---- 8
 
 
