@@ -7,6 +7,7 @@ Word rules used throughout (ASCII only, byte exact):
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from functools import lru_cache
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from taxolens.session import shared_dir, ship
 
+#: The C library's own way to return freed memory, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Words in Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow batches hold so many documents: at 100 kB each, about 25 MB.
@@ -89,6 +92,27 @@ def word_cache() -> WordHash:
     return WordHash()
 
 
+def unused(names: list[str], stem: str) -> str:
+    """A column name like ``stem`` that none of ``names`` equals, whatever the case."""
+    taken = {n.lower() for n in names}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names as Spark takes them when they hold dots or back-quotes."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
+def release() -> None:
+    """Give what a finished task has freed back to the system: a Python worker outlives
+    its tasks, and an executor's limit counts what its workers hold."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply), on a fresh array."""
     x = x ^ (x >> np.uint64(31))

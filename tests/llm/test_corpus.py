@@ -274,7 +274,9 @@ def test_join_equals_all_pairs(docs, none, monkeypatch):
     want = brute_components([(i, t) for i, t, *_ in ROWS])
     for whole in (256, 4):  # parts of several tokens for all sizes, too
         monkeypatch.setattr(parity_join, "WHOLE_BELOW", whole)
-        monkeypatch.setattr(parity_join, "BLOCK", 3)
+        monkeypatch.setattr(parity_join, "QUERY_BYTES", 100)
+        monkeypatch.setattr(parity_join, "GROUP_BYTES", 200)
+        monkeypatch.setattr(parity_join, "HOT", 1)  # frequent parts are dealt over tasks
         got = parity_join.components(docs.withColumn("n", F.lit(1)).withColumn("rep", F.lit("x"))).collect()
         assert len(got) == len(ROWS)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
@@ -283,13 +285,46 @@ def test_join_equals_all_pairs(docs, none, monkeypatch):
     assert parity_join.components(none).isEmpty()
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_join_of_a_family_and_a_common_passage(spark, monkeypatch, small):
+    """Variants of one text at all distances, a passage in many texts, and rows that
+    share an id but not their text."""
+    if small:
+        monkeypatch.setattr(parity_join, "QUERY_BYTES", 300)
+        monkeypatch.setattr(parity_join, "GROUP_BYTES", 3000)
+        monkeypatch.setattr(parity_join, "HOT", 4)
+    rng = random.Random(11)
+    say = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    base, passage = say(120), say(60)
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(12)):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(40)}"
+        texts.append(own)
+    texts += [passage + say(rng.randrange(5, 60)) for _ in range(80)] + [say(1), say(4)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.components(docs).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 100
+    shared = spark.createDataFrame([(1, "a b c d e f g"), (1, "k l m n o p q"), (2, "k l m n o p q"), (3, "a b c d e f g"), (4, None), (4, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in parity_join.components(shared).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+    kept = [tuple(r) for r in parity_join.keep_one(shared.withColumn("__set", F.lit(1))).collect()]
+    assert len(kept) == 3 and len({t for _, t, _ in kept} - {None, ""}) == 2
+
+
 def test_left_pairs_are_tried_after_a_known_forest(spark, monkeypatch):
     own = [f"w{k}" for k in range(100)]
     texts = [own, [f"v{k}" for k in range(100)], [*own, "more"]]  # 0 and 2 link, 0 and 1 don't
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    pair = lambda a, b: spark.createDataFrame([(a, b)], "ra long, rb long")
-    monkeypatch.setattr(parity_join, "_near", lambda pairs, classes: pair(0, 1))
-    monkeypatch.setattr(parity_join, "_across", lambda members, label, classes, forest: pair(0, 1) if forest else pair(0, 2))
+
+    def pair(classes, a, b):
+        node = {r.rep: r.node for r in classes.collect()}
+        return spark.createDataFrame([(*sorted((node[a], node[b])), 0)], "ra long, rb long, far int")
+
+    monkeypatch.setattr(parity_join, "_near", lambda pairs, classes: pair(classes, 0, 1))
+    monkeypatch.setattr(parity_join, "_across", lambda members, label, classes, forest: (pair(classes, 0, 1) if forest else pair(classes, 0, 2)).select("ra", "rb"))
     assert {r.doc_id: r.component_id for r in parity_join.components(docs).collect()} == {0: 0, 1: 1, 2: 0}
 
 
