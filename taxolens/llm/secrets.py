@@ -3,19 +3,24 @@
 Base spans follow three fixed patterns. The method then collects *parts* of
 credentials in each document: access identifiers, secrets and endpoints, some of
 them too weak to report alone (a named account or client id, a long mixed token, a
-host). An interval join within scopes (``REACH`` bytes around a part) links parts; a weak part is reported only where a part of a
-complementary role stands in its scope.
-
-Defined cases: a null text is empty and has no spans; spans are in code points,
-end exclusive; repeated rows are scanned each for itself; a very long text costs
-time in proportion (one sorted sweep over its parts, no pairs are listed).
+host). An interval join within scopes (``REACH`` bytes around a part) links parts; a weak
+part is reported only where a part of a complementary role stands in its scope without
+overlapping it: no token is its own complement, and what an identifier covers is no
+secret.
+
+Defined cases: a null or empty text has no spans; spans are in code points, end
+exclusive; spans that begin at one place are told in the order of kinds, then of ends;
+repeated rows are scanned each for itself; a very long text costs time in proportion
+(sorted sweeps over its parts, no pairs are listed); an empty table gives an empty one;
+the struct takes the name given by ``into`` and replaces a column of that name, all
+other columns stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,32 +86,39 @@ def weak_parts(text: bytes, base: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
+class Spans:
+    """Spans of one role, for questions about what lies near a place."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = sorted(a for a, _ in spans), sorted(b for _, b in spans)
+
+    def beside(self, a: int, b: int, reach: int) -> bool:
+        """Is there one within ``reach`` of (a, b) that does not overlap it?"""
+        before, after = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        return before > 0 and self.ends[before - 1] > a - reach or after < len(self.starts) and self.starts[after] < b + reach
+
+    def overlaps(self, a: int, b: int) -> bool:
+        """Does one overlap (a, b)? As many begin before ``b`` as end by ``a`` if none does."""
+        return bisect_left(self.starts, b) > bisect_right(self.ends, a)
+
+
 def link(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
     """Weak parts with complementary parts in scope.
 
-    An identifier or a secret needs the other of the two; an endpoint needs both.
-    The join is a sweep: for each role, starts and ends are sorted, and the nearest
-    part on either side decides whether any overlaps the scope.
+    An identifier or a secret needs the other of the two; an endpoint needs both. The
+    join is a sweep: for each role, starts and ends are sorted, and the nearest part on
+    either side decides. Weak parts that overlap a base span are known already.
     """
-    role = {"assign": "secret", "access": "id", "hex": "secret"}
-    sides: dict[str, tuple[list[int], list[int]]] = {}
-    for name in ("id", "secret", "base"):
-        spans = sorted([(a, b) for a, b, k in base if name in ("base", role[k])] + [(a, b) for a, b, _, r in weak if r == name])
-        tops, top = [], 0
-        for _, b in spans:
-            top = max(top, b)
-            tops.append(top)
-        sides[name] = ([a for a, _ in spans], tops)
-
-    def near(name: str, a: int, b: int, reach: int = reach) -> bool:
-        starts, tops = sides[name]
-        i = bisect_left(starts, b + reach)
-        return i > 0 and tops[i - 1] > a - reach
-
+    known = Spans([(a, b) for a, b, _ in base])
+    ids = Spans([(a, b) for a, b, k in base if k == "access"] + [(a, b) for a, b, _, r in weak if r == "id"])
+    bare = [(a, b) for a, b, k in base if k != "access"] + [(a, b) for a, b, _, r in weak if r == "secret"]
+    near = {"id": ids, "secret": Spans([s for s in bare if not ids.overlaps(*s)])}
+    wants = {"id": ("secret",), "secret": ("id",), "endpoint": ("id", "secret")}
     out = []
-    for a, b, kind, r in weak:
-        wants = {"id": ("secret",), "secret": ("id",), "endpoint": ("id", "secret")}[r]
-        if all(near(w, a, b) for w in wants) and not near("base", a, b, 0):
+    for a, b, kind, role in weak:
+        if role == "secret" and ids.overlaps(a, b) or known.overlaps(a, b):
+            continue
+        if all(near[w].beside(a, b, reach) for w in wants[role]):
             out.append((a, b, kind))
     return out
 
