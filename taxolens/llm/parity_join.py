@@ -18,9 +18,9 @@ Work that grows with a group of alike documents is kept linear: equal sets are o
 beforehand; within a group of equal sketches, members are tried against four leaders,
 not with each other, and a signature of very many sets is dealt over several tasks. Only
 in groups that still span several components afterwards are the members outside their
-largest component compared with all, block by block, by fine bit sketches: a forest of
-the closest pairs first, then what is still apart. Links within a component change
-nothing.
+largest component compared with all, block by block, by bit sketches, for a forest of the
+closest pairs. What is still apart then, in groups that had more such pairs, is compared
+once more by finer sketches. Links within a component change nothing.
 
 Defined cases: a null or empty text, or one without words: empty set, linked with
 nothing; fewer than five words: one shingle; rows without an id take no part in links
@@ -52,11 +52,13 @@ PARTS = 0.7
 BUCKET = 400_000
 PIECE = 1 << 18
 #: Slots of the table that counts parts, as a power of two, and those of one of its rows.
-SLOT_BITS, CHUNK_BITS = 20, 12
+SLOT_BITS, CHUNK_BITS = 19, 12
 #: Holders of one signature in one task, by the table's estimate.
 HOT = 1 << 20
 #: Bytes of sketches in one block of a group that is compared, of queries and of all.
 QUERY_BYTES, GROUP_BYTES = 1 << 20, 4 << 20
+#: Rows of 32 bytes that are broadcast to pick texts.
+FEW = 200_000
 #: Names a task remembers so as not to tell the same thing twice.
 REMEMBERED = 50_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -180,19 +182,19 @@ class PartCounts:
         return [k for k, *_ in some], [slots[a:b].tobytes() for _, a, b in some], [counts[a:b].tobytes() for _, a, b in some]
 
 
-ABOUT = "doc_id long, n long, s1 long, s2 long, sketch binary, fine binary, chunk int, slots binary, counts binary"
+ABOUT = "doc_id long, n long, s1 long, s2 long, sketch binary, chunk int, slots binary, counts binary"
 
 
 def _describe(batches):
     """What ABOUT holds: a row for each document, then the task's counts of parts."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     names = [x.split()[0] for x in ABOUT.split(", ")]
     counted, done = PartCounts(), set()
     for batch in batches:
         out = []
         for tokens in shingle_sets(utf8(batch.column("text"))):
             name = set_id(tokens)
-            out.append((tokens.size, *name, bit_sketch(tokens), bit_sketch(tokens, 8)))
+            out.append((tokens.size, *name, bit_sketch(tokens)))
             if tokens.size and name[0] not in done:
                 if len(done) < REMEMBERED:
                     done.add(name[0])
@@ -376,8 +378,11 @@ def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
         found = [set_id(t) for t in shingle_sets(utf8(texts))]
         return pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["s1", "s2"])
 
-    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "s1", "s2")
-    own = docs.select("doc_id", "text").join(wanted, "doc_id").withColumn("name", name(F.col("text")))
+    wanted = keep(classes.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "s1", "s2"), "wanted")
+    if wanted.count() <= FEW:  # else texts are dealt by id
+        wanted = F.broadcast(wanted)
+    # as not deterministic, the name is made of the texts that are wanted, not of all
+    own = docs.select("doc_id", "text").join(wanted, "doc_id").withColumn("name", name.asNondeterministic()(F.col("text")))
     return keep(own.where("name.s1 = s1 and name.s2 = s2").select("node", "text").dropDuplicates(["node"]), "texts")
 
 
@@ -396,15 +401,27 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("ra", "rb").join(side("ra", "ta"), "ra").join(side("rb", "tb"), "rb").where(linked("ta", "tb")).select("ra", "rb")
 
 
-def _across(members: DataFrame, label: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (ra, rb) within groups that still span components, by fine bit sketches: all
-    of them, or only a forest over the components, of the closest pairs.
+def _fine(texts: DataFrame) -> DataFrame:
+    """(node, n, sketch): sketches of eight to sixteen bits a token."""
+
+    @F.arrow_udf("n long, sketch binary")
+    def sketch(column: pa.Array) -> pa.Array:
+        sets = list(shingle_sets(utf8(column)))
+        return pa.StructArray.from_arrays([pa.array([t.size for t in sets], pa.int64()), pa.array([bit_sketch(t, 8) for t in sets], pa.binary())], ["n", "sketch"])
+
+    return keep(texts.select("node", sketch(F.col("text")).alias("s")).select("node", "s.*"), "fine")
+
+
+def _across(members: DataFrame, label: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (ra, rb, g) within groups that still span components, by bit sketches: all
+    of them, or only a forest over the components, of the closest pairs; ``more`` tells
+    that the group has others. ``members`` are (g, node), ``sketches`` (node, n, sketch).
 
     Queries are the members outside their group's largest component; they meet all
     members. Both are dealt in blocks of bounded bytes, so a task's work is bounded
     whatever the group's size, and rows grow with members times blocks of queries."""
-    node = classes.select(F.col("s1").alias("b"), "node", F.octet_length("fine").alias("bytes"))
-    placed = members.join(node, "b").join(label, F.col("node") == F.col("id"), "left").select(F.col("a").alias("g"), "node", "bytes", F.coalesce("component", "node").alias("component"))
+    sizes = sketches.select("node", F.octet_length("sketch").alias("bytes"))
+    placed = members.join(sizes, "node").join(label, F.col("node") == F.col("id"), "left").select("g", "node", "bytes", F.coalesce("component", "node").alias("component"))
     per = placed.groupBy("g", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
     largest = F.max(F.struct("size", F.col("component"), F.col("bytes")))
     open_ = per.groupBy("g").agg(F.count(F.lit(1)).alias("parts"), largest.alias("main"), F.sum("bytes").alias("bytes")).where("parts > 1")
@@ -413,16 +430,23 @@ def _across(members: DataFrame, label: DataFrame, classes: DataFrame, forest: bo
     )
     dealt = F.xxhash64("node")
     own = keep(
-        placed.drop("bytes").join(open_, "g").join(classes.select("node", "n", "fine"), "node")
+        placed.drop("bytes").join(open_, "g")
         .withColumns({"query": F.col("component") != F.col("main"), "block": F.pmod(dealt, "blocks").cast("int"), "chunk": F.pmod(F.shiftright(dealt, 20), "chunks").cast("int")}),
         "open",
     )
-    said = ["g", "i", "j", "asks", "mine", "node", "component", "n", "fine"]
-    asks = own.where("query").withColumns({"i": F.col("block"), "j": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "asks": F.lit(True), "mine": F.lit(True)})
+    # where a group is one block and one chunk, each member comes once and does both
+    asks, answers, met = (F.col(c) for c in ("query", "block", "chunk"))
+    once = (F.col("blocks") == 1) & (F.col("chunks") == 1)
+    zero = F.lit(0)
+    alone = own.where(once).select("g", zero.alias("i"), zero.alias("j"), asks.alias("asks"), F.lit(True).alias("answers"), asks.alias("mine"), "node", "component")
+    many = own.where(~once)
+    asking = many.where("query").select("g", answers.alias("i"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("answers"), F.lit(True).alias("mine"), "node", "component")
     # a query is met by those of later blocks, and of its own by greater nodes
-    answers = own.withColumns({"i": F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("block")).otherwise(F.col("blocks") - 1))), "j": F.col("chunk"), "asks": F.lit(False)}).withColumn("mine", F.col("query") & (F.col("block") == F.col("i")))
-    met = asks.select(*said).unionByName(answers.select(*said))
-    return met.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_compare_blocks(forest), "ra long, rb long").distinct()
+    answering = many.select("*", F.explode(F.sequence(zero, F.when(asks, answers).otherwise(F.col("blocks") - 1))).alias("i")).select(
+        "g", "i", met.alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("answers"), (asks & (answers == F.col("i"))).alias("mine"), "node", "component"
+    )
+    rows = alone.unionByName(asking).unionByName(answering).join(sketches.select("node", "n", "sketch"), "node")
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_compare_blocks(forest), "ra long, rb long, g long, more boolean")
 
 
 def _forest(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -444,16 +468,16 @@ def _forest(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(taken, np.int64)
 
 
-def _compare(t: pa.Table, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block of queries and a block of a group that sketches let through."""
-    asks = t.column("asks").to_numpy()
+def _compare(t: pa.Table, forest: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a block of queries and a block of a group that sketches let through, and
+    whether there are more."""
     sides = []
-    for which in (asks, ~asks):
-        own = np.flatnonzero(which)
+    for role in ("asks", "answers"):
+        own = np.flatnonzero(t.column(role).to_numpy())
         n = t.column("n").to_numpy()[own]
         own = own[np.argsort(n, kind="stable")]
-        sketch = t.column("fine").take(pa.array(own)).to_pylist()
-        sides.append([*(t.column(c).to_numpy()[own] for c in ("n", "node", "component", "mine")), np.array([len(s) for s in sketch]), sketch])
+        sketch = t.column("sketch").take(pa.array(own)).to_pylist()
+        sides.append([*(t.column(c).to_numpy()[own] for c in ("n", "node", "component", "mine")), np.array([len(s) for s in sketch], np.int64), sketch])
     (qn, qnode, qcomp, _, qsize, qsketch), (n, node, comp, mine, size, sketch) = sides
     lows, tops = np.searchsorted(n, -(-3 * qn // 4)), np.searchsorted(n, 4 * qn // 3, "right")
     left, right, distance = [], [], []
@@ -462,6 +486,8 @@ def _compare(t: pa.Table, forest: bool) -> tuple[np.ndarray, np.ndarray]:
         asked = _fold([qsketch[i] for i in queries.tolist()], m)
         for k in np.unique(size).tolist():  # sketches grow with n, so each size is a range
             a, b = np.searchsorted(size, (k, k + 1)).tolist()
+            if k > 2 * m or m > 2 * k:
+                continue
             least = min(k, m)
             bits = _fold(sketch[a:b], least)
             own = asked if least == m else _fold([qsketch[i] for i in queries.tolist()], least)
@@ -479,12 +505,13 @@ def _compare(t: pa.Table, forest: bool) -> tuple[np.ndarray, np.ndarray]:
                     left.append(np.full(right[-1].size, x))
                     distance.append(far[near])
     if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
     x, y = np.concatenate(left), np.concatenate(right)
+    all_ = x.size
     if forest:
         kept = _forest(np.concatenate(distance), qcomp[x], comp[y])
         x, y = x[kept], y[kept]
-    return np.minimum(qnode[x], node[y]), np.maximum(qnode[x], node[y])
+    return np.minimum(qnode[x], node[y]), np.maximum(qnode[x], node[y]), x.size < all_
 
 
 def _compare_blocks(forest: bool):
@@ -495,11 +522,14 @@ def _compare_blocks(forest: bool):
         key, seen = None, set()
 
         def told():
-            x, y = _compare(pa.Table.from_batches(held).combine_chunks(), forest)
+            x, y, more = _compare(pa.Table.from_batches(held).combine_chunks(), forest)
             fresh = [p for p in zip(x.tolist(), y.tolist()) if p not in seen]
             if len(seen) < 2 * REMEMBERED:
                 seen.update(fresh)
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in fresh], pa.int64()) for i in (0, 1)], ["ra", "rb"])
+            if more and not fresh:
+                fresh = [(int(x[0]), int(y[0]))]  # that the group has more is told anyway
+            n = len(fresh)
+            return pa.RecordBatch.from_arrays([*[pa.array([p[i] for p in fresh], pa.int64()) for i in (0, 1)], pa.array([key[0]] * n, pa.int64()), pa.array([more] * n, pa.bool_())], ["ra", "rb", "g", "more"])
 
         for batch in batches:
             if batch.num_rows == 0:
@@ -521,11 +551,11 @@ def _compare_blocks(forest: bool):
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ABOUT, and classes of equal sets: s1, s2, node, rep (the least doc_id), n,
-    sketch, fine."""
+    """Rows of ABOUT, and classes of equal sets: s1, s2, node, rep (the least doc_id), n
+    and sketch."""
     about = keep(docs.select("doc_id", "text").mapInArrow(_describe, ABOUT), "sets")
     known = about.where("n > 0 and doc_id is not null").groupBy("s1", "s2")
-    one = known.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
+    one = known.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     return about, keep(one.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
@@ -540,7 +570,6 @@ def _label(docs: DataFrame, about: DataFrame, classes: DataFrame) -> DataFrame:
     near = keep(_near(found.where("kind = 0").select("a", "b").distinct(), classes), "near")
     texts = _texts(docs, classes, _ends(near))
     label = spark.createDataFrame([], "id long, component long")
-    members = found.where("kind = 1").select("a", "b").distinct()
     links, done = None, near.select("ra", "rb")
     # each node's closest pair; all stars; a forest over components within groups; what is left
     for step in ("closest", "stars", "forest", "rest"):
@@ -550,14 +579,20 @@ def _label(docs: DataFrame, about: DataFrame, classes: DataFrame) -> DataFrame:
             tried = best.select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).distinct()
         elif step == "stars":
             tried = _apart(near, label)
-        else:
-            across = keep(_across(members, label, classes, step == "forest"), "across")
+        elif step == "forest":
+            members = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("s1")).distinct().join(classes.select("s1", "node"), "s1").select("g", "node")
+            across = keep(_across(members, label, classes.select("node", "n", "sketch"), True), "across")
             if across.isEmpty():
                 break  # no group spans components by its sketches
-            tried = keep(across.join(done, ["ra", "rb"], "left_anti"), "tried")
+            tried = keep(across.select("ra", "rb").distinct().join(done, ["ra", "rb"], "left_anti"), "tried")
             done = done.unionByName(tried)
-            more = _ends(tried).join(texts.select("node"), "node", "left_anti")
-            texts = texts.unionByName(_texts(docs, classes, more))
+            texts = texts.unionByName(_texts(docs, classes, _ends(tried).join(texts.select("node"), "node", "left_anti")))
+        else:
+            members = keep(members.join(across.where("more").select("g").distinct(), "g", "left_semi"), "left")
+            if members.isEmpty():
+                break  # all pairs that sketches let through have been tried
+            texts = _texts(docs, classes, members.select("node").distinct())
+            tried = keep(_across(members, label, _fine(texts), False).select("ra", "rb").distinct().join(done, ["ra", "rb"], "left_anti"), "tried")
         got = keep(_verify(tried, texts), "links")
         if got.isEmpty():
             continue

@@ -362,16 +362,22 @@ def test_join_of_a_family_and_a_common_passage(spark, monkeypatch, small):
 
 def test_left_pairs_are_tried_after_a_known_forest(spark, monkeypatch):
     own = [f"w{k}" for k in range(100)]
-    texts = [own, [f"v{k}" for k in range(100)], [*own, "more"]]  # 0 and 2 link, 0 and 1 don't
+    texts = [own, [f"v{k}" for k in range(100)], [*own, "more"], [*own, "less"]]  # 0, 2 and 3 link, 0 and 1 don't
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    known, across = [], parity_join._across
 
-    def pair(classes, a, b):
+    def near(pairs, classes):
         node = {r.rep: r.node for r in classes.collect()}
-        return spark.createDataFrame([(*sorted((node[a], node[b])), 0)], "ra long, rb long, far int")
+        known.append(tuple(sorted((node[0], node[1]))))
+        return spark.createDataFrame([(*known[0], 0)], "ra long, rb long, far int")
 
-    monkeypatch.setattr(parity_join, "_near", lambda pairs, classes: pair(classes, 0, 1))
-    monkeypatch.setattr(parity_join, "_across", lambda members, label, classes, forest: (pair(classes, 0, 1) if forest else pair(classes, 0, 2)).select("ra", "rb"))
-    assert {r.doc_id: r.component_id for r in parity_join.components(docs).collect()} == {0: 0, 1: 1, 2: 0}
+    def left(members, label, sketches, forest):
+        found = across(members, label, sketches, forest)
+        return found.select(F.lit(known[0][0]).alias("ra"), F.lit(known[0][1]).alias("rb"), "g", F.lit(True).alias("more")) if forest else found
+
+    monkeypatch.setattr(parity_join, "_near", near)
+    monkeypatch.setattr(parity_join, "_across", left)
+    assert {r.doc_id: r.component_id for r in parity_join.components(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
 
 
 def test_sketches_bound_the_difference():
