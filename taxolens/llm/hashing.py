@@ -76,3 +76,48 @@ def hashed_words(texts: list[bytes], lower: bool = True) -> Iterator[np.ndarray]
         for a, b in zip(edges, edges[1:]):
             yield hashes[a:b]
         at = to
+
+
+class Lookup:
+    """Places of 64-bit keys in an array: an open-addressed table, asked in bulk."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.ascontiguousarray(keys, np.int64)
+        self.bits = max(4, int(2 * self.keys.size).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.most = 0
+        left = np.arange(self.keys.size, dtype=np.int32)
+        slot = self._home(self.keys)
+        while left.size:
+            self.most += 1
+            open_ = np.flatnonzero(self.slots[slot] < 0)
+            _, first = np.unique(slot[open_], return_index=True)  # one key a slot
+            took = open_[first]
+            self.slots[slot[took]] = left[took]
+            stay = np.ones(left.size, bool)
+            stay[took] = False
+            left, slot = left[stay], (slot[stay] + 1) & (self.slots.size - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        keys = np.ascontiguousarray(keys).view(np.int64)
+        found = np.full(keys.size, -1, np.int32)
+        if not self.keys.size:
+            return found
+        asked, slot = None, self._home(keys)
+        for _ in range(self.most):
+            own = self.slots[slot]
+            want = keys if asked is None else keys[asked]
+            full = own >= 0
+            hit = full & (self.keys[own] == want)
+            where = np.flatnonzero(hit)
+            found[where if asked is None else asked[where]] = own[where]
+            on = np.flatnonzero(full & ~hit)
+            if not on.size:
+                break
+            asked, slot = on if asked is None else asked[on], (slot[on] + 1) & (self.slots.size - 1)
+        return found

@@ -1,79 +1,109 @@
 """Quality rules: plain text measures and a calibrated n-gram classifier.
 
-Method: logistic regression over hashed word uni- and bigrams and hashed byte
-4-grams (relative frequencies), trained on labelled rows, Platt-calibrated on rows
-that the training left out, scored in Arrow batches against fixed thresholds.
-
-Defined cases: a null text is an empty one (no words, base_failed); repeated rows
-are judged each for itself; without labelled rows of both classes there is no
-model and only the base rule rejects; an empty table gives an empty result.
+Method: logistic regression over hashed word uni- and bigrams and hashed character
+4-grams (relative frequencies of code points' n-grams), trained on labelled rows by
+Spark ML's distributed solver, Platt-calibrated on rows that the training left out,
+scored in Arrow batches against fixed thresholds.
+
+The classifier is fitted on a bounded sample: at most ``FIT_ROWS_PER_CLASS`` labelled
+rows of each class, one text an id. Measures and scores cover all documents.
+
+Defined cases: a null text is an empty one (no words, base_failed); repeated rows are
+judged each for itself, and give the sample one text (the greatest) an id; ties at a
+threshold are kept (score) or pass (repeats); a very long text is measured and scored in
+pieces; without labelled rows of both classes there is no model and only the base rule
+rejects; the struct takes the name given by ``into`` and replaces a column of that name,
+all other columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import small_batches, utf8, word_cache
+from taxolens.llm.common import keep, mix64, quoted, release, small_batches, unused, utf8
+from taxolens.llm.hashing import SPACE, hashed_words
 
-#: Buckets for words and for byte n-grams, each.
+#: Buckets for words and for character n-grams, each.
 BITS = 15
 #: The classifier is fitted on at most so many labelled rows of each class.
-FIT_ROWS_PER_CLASS = 1000
+FIT_ROWS_PER_CLASS = 3000
+#: Relative frequencies times this are the features; the penalty on their weights.
+SCALE, PENALTY, ROUNDS = 100.0, 1e-4, 60
 #: Reject below this calibrated probability of quality 1.
 REJECT_BELOW = 0.15
-SYMBOLS = b"#*$%&|<>"
-CHUNK = 1 << 22
+#: Characters of a text whose n-grams are hashed at once.
+CHUNK = 1 << 20
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality_score double, base_failed boolean, kept boolean"
 
 _SHIFT = np.uint64(64 - BITS)
-
-
-def measures(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
-    """word_chars, n_symbols, n_dup_lines and n_repeat_words of one text."""
-    chars = len(b"".join(words).decode("utf-8", "replace"))
-    symbols = sum(text.count(bytes([s])) for s in SYMBOLS)
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    repeat = 0
-    if len(words) > 5:
-        windows = list(zip(words, words[1:], words[2:], words[3:], words[4:]))
-        seen: dict[tuple, int] = {}
-        first = [seen.setdefault(w, i) for i, w in enumerate(windows)]
-        if len(seen) < len(windows):
-            at = np.asarray(first)
-            own = np.arange(len(at))
-            twice = np.zeros(len(at), bool)
-            twice[at[at < own]] = True
-            twice |= at < own
-            edge = np.zeros(len(words) + 1, np.int32)
-            np.add.at(edge, np.flatnonzero(twice), 1)
-            np.add.at(edge, np.flatnonzero(twice) + 5, -1)
-            repeat = int((np.cumsum(edge[:-1]) > 0).sum())
-    return chars, symbols, len(lines) - len(set(lines)), repeat
+_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+_C = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
+#: Bytes that begin a character of a word, and bytes of ``[#*$%&|<>]``.
+BEGINS = ~SPACE & ((np.arange(256) & 0xC0) != 0x80)
+SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
+
+
+def repeated(hashes: np.ndarray) -> int:
+    """Words in 5-word windows that are found twice or more, by the words' hashes."""
+    n = hashes.size - 4
+    if n < 2:
+        return 0
+    with np.errstate(over="ignore"):
+        window = hashes[:n] * _M[0]
+        for k in range(1, 5):
+            window += hashes[k : k + n] * _M[k]
+    window = mix64(window)
+    order = np.sort(window)
+    same = order[1:] == order[:-1]
+    if not same.any():
+        return 0
+    at = np.flatnonzero(np.isin(window, order[1:][same]))
+    edge = np.zeros(hashes.size + 1, np.int64)
+    edge[at] += 1
+    np.add.at(edge, at + 5, -1)
+    return int((np.cumsum(edge[:-1]) > 0).sum())
+
+
+def measures(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    for text, hashes in zip(texts, hashed_words(texts, lower=False)):
+        a = np.frombuffer(text, np.uint8)
+        lines = [x for x in text.split(b"\n") if x.strip()]
+        yield hashes.size, int(np.count_nonzero(BEGINS[a])), int(np.count_nonzero(SYMBOL[a])), len(lines) - len(set(lines)), repeated(hashes)
 
 
 def word_buckets(hashes: np.ndarray) -> np.ndarray:
     """Buckets of uni- and bigrams, in 0 .. 2**BITS - 1."""
-    pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.concatenate([hashes >> _SHIFT, pairs >> _SHIFT])
+    with np.errstate(over="ignore"):
+        pairs = mix64(hashes[:-1] * _M[0] + hashes[1:] * _M[1])
+    return np.concatenate([hashes >> _SHIFT, pairs >> _SHIFT]).astype(np.int64)
 
 
-def byte_buckets(text: bytes):
-    """Buckets of all byte 4-grams, in pieces of bounded size."""
-    for at in range(0, max(1, len(text) - 3), CHUNK):
-        piece = text[at : at + CHUNK + 3]
-        for k in range(min(4, max(0, len(piece) - 3))):
-            grams = np.frombuffer(piece, "<u4", (len(piece) - k) // 4, k)
-            yield (grams * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+def char_buckets(text: bytes) -> Iterator[np.ndarray]:
+    """Buckets of all 4-grams of code points, in pieces of bounded size."""
+    said = text.decode("utf-8", "replace")
+    for at in range(0, max(1, len(said) - 3), CHUNK):
+        c = np.frombuffer(said[at : at + CHUNK + 3].encode("utf-32-le", "replace"), np.uint32)
+        if c.size > 3:
+            with np.errstate(over="ignore"):
+                grams = c[:-3] * _C[0] + c[1:-2] * _C[1] + c[2:-1] * _C[2] + c[3:] * _C[3]
+                grams ^= grams >> np.uint32(15)
+                grams *= _C[0]
+            yield (grams >> np.uint32(32 - BITS)).astype(np.int64)
 
 
 @dataclass
 class QualityModel:
-    """Weights of words, weights of byte n-grams, bias and Platt's two numbers."""
+    """Weights of words, weights of character n-grams, bias and Platt's two numbers."""
 
     words: np.ndarray
     grams: np.ndarray
@@ -84,23 +114,24 @@ class QualityModel:
     def probability(self, text: bytes, hashes: np.ndarray) -> float:
         raw = self.bias
         if hashes.size:
-            raw += float(self.words.take(word_buckets(hashes).astype(np.int64)).mean())
+            raw += SCALE * float(self.words.take(word_buckets(hashes)).mean(dtype=np.float64))
         total = n = 0
-        for b in byte_buckets(text):
+        for b in char_buckets(text):
             total += float(self.grams.take(b).sum(dtype=np.float64))
             n += b.size
-        raw += total / n if n else 0.0
+        raw += SCALE * total / n if n else 0.0
         return float(1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30))))
 
 
 def _features(text: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    words = np.bincount(word_buckets(hashes).astype(np.int64), minlength=1 << BITS) if hashes.size else np.zeros(1 << BITS)
+    """The features of a text that aren't zero: their numbers and values."""
+    words = np.bincount(word_buckets(hashes), minlength=1 << BITS) if hashes.size else np.zeros(1 << BITS)
     grams = np.zeros(1 << BITS)
-    for b in byte_buckets(text):
+    for b in char_buckets(text):
         grams += np.bincount(b, minlength=1 << BITS)
     both = np.concatenate([words / max(1, words.sum()), grams / max(1, grams.sum())])
     at = np.flatnonzero(both)
-    return at.astype(np.int32), both[at].astype(np.float32)
+    return at.astype(np.int32), SCALE * both[at]
 
 
 def class_sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:
@@ -110,71 +141,66 @@ def class_sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     return one.where("label = 0").orderBy(order, "doc_id").limit(per_class).unionByName(one.where("label = 1").orderBy(order, "doc_id").limit(per_class))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = FIT_ROWS_PER_CLASS, rounds: int = 120) -> QualityModel | None:
-    """Fit and calibrate on a bounded sample of labelled rows; None without both
-    classes. Features come from the executors; the driver sees sparse counts of at
-    most ``2 * per_class`` rows."""
-    sample = class_sample(labels, label, per_class)
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, label, text): one text, the greatest, of each id of a bounded sample."""
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+
+
+def _extract(batches):
+    for batch in batches:
+        texts = utf8(batch.column("text"))
+        found = [_features(t, h) for t, h in zip(texts, hashed_words(texts))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
+            ["doc_id", "label", "at", "value"],
+        )
+    release()
 
-    def extract(batches):
-        cache = word_cache()
-        for batch in batches:
-            found = [_features(t, cache.array(t.lower().split())) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))],
-                ["doc_id", "label", "at", "value"],
-            )
-
-    got = rows.mapInArrow(extract, "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by("doc_id")
-    y = got.column("label").to_numpy().astype(float)
-    if len(set(y.tolist())) < 2:
+
+def _weighed(rows: DataFrame, share: dict[int, float]) -> DataFrame:
+    """``rows`` with a weight ``w``, so that each class has its share of all weight."""
+    count = dict(rows.groupBy("label").count().collect())
+    n = sum(count.values())
+    return rows.withColumn("w", F.when(F.col("label") == 1, share[1] * n / count.get(1, 1)).otherwise(share[0] * n / count.get(0, 1)))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = FIT_ROWS_PER_CLASS, rounds: int = ROUNDS) -> QualityModel | None:
+    """Fit and calibrate on a bounded sample of labelled rows; None without both
+    classes. Features stay on the executors; the driver gets weights and sums."""
+    small_batches(docs.sparkSession)
+    sample = class_sample(labels, label, per_class)
+    rows = keep(sampled_texts(docs, sample).mapInArrow(_extract, "doc_id long, label int, at array<int>, value array<double>"), "features")
+    left = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(5)) == 0  # for calibration
+    classes = {(r.left, r.label) for r in rows.select(left.alias("left"), "label").distinct().collect()}
+    if len({y for _, y in classes}) < 2:
         return None
-    lengths = np.array([len(x) for x in got.column("at")])
-    at, value = got.column("at").combine_chunks().flatten().to_numpy(), got.column("value").combine_chunks().flatten().to_numpy().astype(float)
-    row = np.repeat(np.arange(len(y)), lengths)
-    left = np.arange(len(y)) % 5 == 0  # for calibration
-    fit = ~left
-    weight = np.where(y > 0, 0.5 / max(1, (y[fit] > 0).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
-    w, b = np.zeros(2 << BITS), 0.0
-    m, v = np.zeros(w.size + 1), np.zeros(w.size + 1)
-    for step in range(1, rounds + 1):  # Adam on the balanced log loss
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[at], len(y)) + b, -30, 30)))
-        r = weight * (p - y)
-        g = np.append(np.bincount(at, value * r[row], w.size) + 1e-7 * w, r.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        d = 0.5 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        w, b = w - d[:-1], b - d[-1]
-    raw = np.bincount(row, value * w[at], len(y)) + b
-    share = dict(labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect())
-    held = left if len(set(y[left].tolist())) == 2 else fit
-    true = np.where(y > 0, share[1] / max(1, (y[held] > 0).sum()), share[0] / max(1, (y[held] == 0).sum())) * held
-    true /= true.sum()
-    slope, shift = 1.0, 0.0
-    for _ in range(50):  # Newton's method on two numbers, as damped by a prior on the slope
-        p = 1 / (1 + np.exp(-np.clip(slope * raw + shift, -30, 30)))
-        h = true * p * (1 - p) + 1e-12
-        g = np.array([(true * (p - y) * raw).sum() + 1e-3 * (slope - 1), (true * (p - y)).sum()])
-        hess = np.array([[(h * raw * raw).sum() + 1e-3, (h * raw).sum()], [(h * raw).sum(), h.sum() + 1e-6]])
-        step2 = np.clip(np.linalg.solve(hess, g), -1, 1)
-        slope, shift = max(0.05, slope - step2[0]), shift - step2[1]
-    return QualityModel(w[: 1 << BITS].astype(np.float32), w[1 << BITS :].astype(np.float32), float(b), float(slope), float(shift))
+    for_fit = ~left if {(False, 0), (False, 1)} <= classes else F.lit(True)
+    for_scale = left if {(True, 0), (True, 1)} <= classes else F.lit(True)
+    vector = F.udf(lambda at, value: Vectors.sparse(2 << BITS, at, value), VectorUDT())
+    sparse = rows.select("doc_id", "label", vector("at", "value").alias("features"))
+    fit = _weighed(sparse.where(for_fit), {0: 0.5, 1: 0.5})
+    found = LogisticRegression(weightCol="w", maxIter=rounds, regParam=PENALTY, standardization=False).fit(fit)
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()
+    all_ = sum(r["count"] for r in known)
+    margin = vector_to_array("rawPrediction")[1]
+    held = found.transform(sparse.where(for_scale)).select("label", array_to_vector(F.array(margin)).alias("features"))
+    platt = LogisticRegression(weightCol="w", maxIter=50, regParam=1e-3, standardization=False).fit(_weighed(held, {int(r[label]): r["count"] / all_ for r in known}))
+    weights = found.coefficients.toArray()
+    return QualityModel(weights[: 1 << BITS].astype(np.float32), weights[1 << BITS :].astype(np.float32), float(found.intercept), max(0.05, float(platt.coefficients[0])), float(platt.intercept))
 
 
 def judge(model: QualityModel | None, reject_below: float = REJECT_BELOW):
     """An Arrow UDF from a text column to the struct of RESULT."""
 
     @F.arrow_udf(RESULT)
-    def quality(texts: pa.Array) -> pa.Array:
-        cache = word_cache()
-        out: list[tuple] = []
-        for text in utf8(texts):
-            words = text.split()
-            n, low = len(words), text.lower()
-            score = model.probability(text, cache.array(low.split())) if model else 1.0
-            found = measures(text, words)
-            failed = n < 10 or 100 * found[3] > 20 * n
-            out.append((n, *found, score, failed, not failed and score >= reject_below))
+    def quality(column: pa.Array) -> pa.Array:
+        texts = utf8(column)
+        scores = [model.probability(t, h) for t, h in zip(texts, hashed_words(texts))] if model else [1.0] * len(texts)
+        out = []
+        for found, score in zip(measures(texts), scores):
+            failed = found[0] < 10 or 100 * found[4] > 20 * found[0]
+            out.append((*found, score, failed, not failed and score >= reject_below))
         names = [x.split()[0] for x in RESULT.split(", ")]
         kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
         return pa.StructArray.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
@@ -182,7 +208,6 @@ def judge(model: QualityModel | None, reject_below: float = REJECT_BELOW):
     return quality
 
 
-
 def assess(docs: DataFrame, model: QualityModel | None, text: Column | None = None, into: str = "quality") -> DataFrame:
     """``docs`` with one struct column more, of the name given by ``into``."""
     small_batches(docs.sparkSession)
@@ -192,5 +217,5 @@ def assess(docs: DataFrame, model: QualityModel | None, text: Column | None = No
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules and the classifier keep; columns as given."""
     model = train(docs, labels)
-    names = docs.columns
-    return assess(docs, model, into="__quality").where("__quality.kept").select(*names)
+    into = unused(docs.columns, "__quality")
+    return assess(docs, model, into=into).where(F.col(f"{into}.kept")).select(*quoted(docs.columns))
