@@ -1,46 +1,59 @@
 """Toxicity: class-conditional Kneser-Ney models of toxic and ordinary words.
 
-A word after a word in a class has an interpolated, discounted probability
-
-    P(w | v, class) = max(n(class, v, w) - D, 0) / n(class, v) + l(class, v) P(w | class)
-    P(w | class)    = max(n(class, w) - D, 0) / n(class) + l(class) S(w)
-
-where the backoff S is shared: the number of contexts (classes) in which a word
-occurs, over all such pairs. So a word of one class alone counts for as much as its
-own evidence, and a rare one for little. A document's toxic and ordinary
-log-likelihoods are compared token by token; its score is a logistic function of the
-length-normalised difference over the whole text and over its most toxic tokens, fitted
-on training rows that the counts leave out, at the true class shares.
-
-Rows of the held-out fold (crc32 of the id as text, mod 4, is 2) are never learnt from.
-Models are fitted on a bounded sample of labelled rows (``FIT_ROWS_PER_CLASS``).
-
-Defined cases: null and empty texts have no tokens and the score of that; without
-labelled rows of both classes every score is the share of class 1 (0 without rows).
+A word w after a word v in a class c has an interpolated, discounted probability
+
+    P(w | v, c) = max(n(c, v, w) - D, 0) / n(c, v) + l(c, v) P(w | c)
+    P(w | c)    = max(m(c, w) - D(c, m), 0) / m(c) + l(c) S(w)
+
+where m(c, w) is the continuation count of a word, the number of different words that it
+follows in the class, and the backoff S(w) is shared by the classes: its continuation
+count in both, over all. So a word of one class alone counts for as much as its own
+evidence, and a rare one for little. The discounts D(c, m) of words are estimated from
+their counts of counts (one, two, three and more). All words and pairs of the counted
+rows are in the model; a word in neither class has the shared backoff alone and says
+nothing.
+
+A document's toxic and ordinary log-likelihoods are compared token by token. Its score is
+a logistic function, at the true class shares, of the length-normalised difference over
+the whole text and of the difference at its most toxic words (each as an expression of
+its own, without its context), fitted on sampled rows that the counts leave out.
+
+Counts are made on the executors and grouped by Spark; the driver gets the finished
+tables. Rows of the held-out fold (crc32 of the id as text, mod 4, is 2) are never learnt
+from. Models are fitted on a bounded sample of labelled rows (``FIT_ROWS_PER_CLASS``),
+one text an id.
+
+Defined cases: null and empty texts have no tokens and the score of that; repeated rows
+are scored each and give the sample one text an id; ties among the most toxic words
+change nothing; a very long text costs time and memory in proportion; without labelled
+rows of both classes every score is the share of class 1 (0 without rows); the score
+takes the name given by ``into`` and replaces a column of that name; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import small_batches, utf8
-from taxolens.llm.quality import class_sample
+from taxolens.llm.common import keep, mix64, release, small_batches, utf8
+from taxolens.llm.hashing import Lookup, hashed_words
+from taxolens.llm.quality import class_sample, sampled_texts
 
 FIT_ROWS_PER_CLASS = 2500
+#: Discount of pairs; also of words where counts of counts are too few to estimate by.
 DISCOUNT = 0.75
-#: Words and pairs seen less often in the sample are treated as unseen: none.
-LEAST_COUNT = 1
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Tokens are lower-cased runs of ASCII letters, digits and non-ASCII bytes.
 TOKEN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-TOP = 3
+#: The most toxic words that are averaged; what stands before a text's first word.
+TOP, START = 3, 0
+FEATURES = 3
 
 
 def fold(column: str = "doc_id", folds: int = FOLDS):
@@ -48,122 +61,143 @@ def fold(column: str = "doc_id", folds: int = FOLDS):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def tokens(texts: list[bytes]):
+    """The hashes of each text's tokens."""
+    return (h.view(np.int64) for h in hashed_words([t.translate(TOKEN) for t in texts], lower=False))
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each pair of words."""
+    with np.errstate(over="ignore"):
+        return mix64(before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words.view(np.uint64)).view(np.int64)
+
+
 @dataclass
 class ToxicModel:
-    """Ids of words, log-ratios of words, corrections of pairs, and the combiner."""
+    """Log-ratios of words, of backoff weights by context and of pairs; the combiner."""
 
-    words: dict[bytes, int]
-    ratio: np.ndarray  # by word id; the last is for unseen words
-    after: np.ndarray  # log-ratio of backoff weights by context id; the last: 0
-    pairs: np.ndarray
+    words: Lookup
+    ratio: np.ndarray  # by place of the word; the last is for unseen words
+    after: np.ndarray  # log-ratio of backoff weights by place of the context; the last: 0
+    pairs: np.ndarray  # sorted keys
     pair_ratio: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def features(self, text: bytes) -> np.ndarray:
-        tokens = text.translate(TOKEN).split()
-        if not tokens:
-            return np.zeros(3)
-        get, n = self.words.get, len(self.words)
-        ids = np.fromiter((get(w, n) for w in tokens), np.int64, len(tokens))
-        alone = self.ratio[ids]
+    def features(self, words: np.ndarray) -> np.ndarray:
+        if not words.size:
+            return np.zeros(FEATURES)
+        place = self.words.find(words)
+        alone = self.ratio[place]
         each = alone.copy()
-        if ids.size > 1:
-            each[1:] += self.after[ids[:-1]]
-            both = np.flatnonzero((ids[:-1] < n) & (ids[1:] < n))
-            key = ids[both] * n + ids[both + 1]
+        before = np.concatenate([[START], words[:-1]])
+        each[1:] += self.after[place[:-1]]
+        if self.pairs.size:
+            key = pair_keys(before, words)
             at = np.searchsorted(self.pairs, key)
             at[at == self.pairs.size] = 0
-            known = self.pairs[at] == key if self.pairs.size else np.zeros(both.size, bool)
-            each[both[known] + 1] = self.pair_ratio[at[known]]
-        # pairs are too rare to single out; the most toxic tokens are judged as words
+            known = self.pairs[at] == key
+            each[known] = self.pair_ratio[at[known]]
         top = np.sort(alone[np.argpartition(alone, -TOP)[-TOP:]] if alone.size > TOP else alone)
         return np.array([each.mean(), top[-1], top.mean()])
 
-    def score(self, text: bytes) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights + self.bias, -30, 30))))
-
-
-def _counts(docs: DataFrame, sample: DataFrame):
-    """Tokens of the sampled texts: (doc_id, label, text), bounded by the sample."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-
-    def tokens(batches):
-        for batch in batches:
-            own = [b" ".join(t.translate(TOKEN).split()) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(own, pa.binary())], ["doc_id", "label", "tokens"])
-
-    return rows.mapInArrow(tokens, "doc_id long, label int, tokens binary").toArrow().sort_by("doc_id")
-
-
-def _kneser_ney(texts: list[list[bytes]], labels: list[int], least: int) -> ToxicModel:
-    one = [Counter(), Counter()]
-    two = [Counter(), Counter()]
-    for words, label in zip(texts, labels):
-        one[label].update(words)
-        two[label].update(zip(words, words[1:]))
-    d = DISCOUNT
-    kinds = [len(one[0]), len(one[1])]
-    total = [max(1, sum(one[0].values())), max(1, sum(one[1].values()))]
-    shared = lambda w: ((w in one[0]) + (w in one[1])) / max(1, sum(kinds))
-    back = [d * kinds[c] / total[c] for c in (0, 1)]
-    p = lambda c, w: max(one[c][w] - d, 0) / total[c] + back[c] * shared(w)
-    vocabulary = sorted(w for w in one[0].keys() | one[1].keys() if one[0][w] + one[1][w] >= least)
-    ids = {w: i for i, w in enumerate(vocabulary)}
-    ratio = np.zeros(len(ids) + 1)
-    for w, i in ids.items():
-        ratio[i] = np.log(p(1, w) / p(0, w))
-    ratio[-1] = 0.0  # an unseen word says nothing
-    context = [Counter(), Counter()]
-    followers = [Counter(), Counter()]
-    for c in (0, 1):
-        for (v, _), n in two[c].items():
-            context[c][v] += n
-            followers[c][v] += 1
-    weight = lambda c, v: d * followers[c][v] / context[c][v] if context[c][v] else 1.0
-    after = np.zeros(len(ids) + 1)
-    for v, i in ids.items():
-        if context[0][v] and context[1][v]:
-            after[i] = np.log(weight(1, v) / weight(0, v))
-    keys, values = [], []
-    for v, w in two[0].keys() | two[1].keys():
-        if v in ids and w in ids and two[0][v, w] + two[1][v, w] >= least:
-            q = [(max(two[c][v, w] - d, 0) / context[c][v] if context[c][v] else 0.0) + weight(c, v) * p(c, w) for c in (0, 1)]
-            keys.append(ids[v] * len(ids) + ids[w])
-            values.append(np.log(q[1] / q[0]))
-    order = np.argsort(np.array(keys, np.int64))
-    return ToxicModel(ids, ratio, after, np.array(keys, np.int64)[order], np.array(values)[order], np.zeros(3), 0.0)
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS_PER_CLASS, least: int = LEAST_COUNT) -> ToxicModel | float:
-    """The model; only the share of class 1 where one class has no rows."""
-    known = labels.where(F.col("toxic").isin(0, 1) & (fold() != HELD_OUT)).select("doc_id", "toxic")
-    share = dict(known.groupBy("toxic").count().collect())
-    got = _counts(docs, class_sample(known, "toxic", per_class))
-    y = got.column("label").to_pylist()
-    if len(set(y)) < 2:
-        return share.get(1, 0) / max(1, sum(share.values()))
-    raw = got.column("tokens").to_pylist()
-    part = np.arange(len(y)) % 3 == 0  # the combiner's rows
-    if len({c for c, k in zip(y, part) if k}) < 2 or len({c for c, k in zip(y, part) if not k}) < 2:
-        part[:] = True
-        counted = np.ones(len(y), bool)
-    else:
-        counted = ~part
-    model = _kneser_ney([t.split() for t, k in zip(raw, counted) if k], [c for c, k in zip(y, counted) if k], least)
-    own = [(model.features(t), c) for t, c, k in zip(raw, y, part) if k]
-    x, z = np.array([f for f, _ in own]), np.array([c for _, c in own], float)
-    w = np.where(z > 0, share[1] / z.sum(), share[0] / max(1, (1 - z).sum()))
-    w /= w.sum()
+    def score(self, words: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.features(words) @ self.weights + self.bias, -30, 30))))
+
+
+def _pairs(batches):
+    """Occurrences of each pair of a task's rows, by class: v, w, n0, n1."""
+    held = [[np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]]
+    for batch in batches:
+        for label, own in zip(batch.column("label").to_pylist(), tokens(utf8(batch.column("text")))):
+            held[label].append(np.stack([np.concatenate([[START], own[:-1]]), own], 1) if own.size else held[0][0])
+    for label in (0, 1):
+        found, n = np.unique(np.concatenate(held[label]), axis=0, return_counts=True)
+        if n.size:
+            none = np.zeros(n.size, np.int64)
+            counts = (n, none) if label == 0 else (none, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), *map(pa.array, counts)], ["v", "w", "n0", "n1"])
+    release()
+
+
+def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
+    """Discounts of counts of one, two, three and more, from counts of counts."""
+    if not (ones and twos and threes):
+        return DISCOUNT, DISCOUNT, DISCOUNT
+    y = ones / (ones + 2 * twos)
+    d = (1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes)
+    return tuple(float(min(max(x, 0.1), k - 0.1)) for k, x in enumerate(d, 1))
+
+
+def kneser_ney(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (label, text): words (w, ratio, after) and pairs (v, w, ratio), as logs of toxic
+    over ordinary probabilities."""
+    pairs = keep(rows.select("label", "text").mapInArrow(_pairs, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
+    seen = lambda c: F.sum((F.col(f"n{c}") > 0).cast("long"))
+    words = keep(pairs.groupBy("w").agg(seen(0).alias("m0"), seen(1).alias("m1")), "words")
+    sums = [F.coalesce(F.sum(f"m{c}"), F.lit(0)).alias(f"t{c}") for c in (0, 1)]
+    sums += [F.sum((F.col(f"m{c}") == k).cast("long")).alias(f"k{c}{k}") for c in (0, 1) for k in (1, 2, 3, 4)] + [F.sum((F.col(f"m{c}") > 2).cast("long")).alias(f"k{c}more") for c in (0, 1)]
+    s = words.agg(*sums).first()
+    everything = float(s.t0 + s.t1)
+
+    def word(c: int) -> Column:
+        one, two, more = discounts(*[s[f"k{c}{k}"] or 0 for k in (1, 2, 3, 4)])
+        m, total = F.col(f"m{c}"), float(max(1, s[f"t{c}"]))
+        left = (one * (s[f"k{c}1"] or 0) + two * (s[f"k{c}2"] or 0) + more * (s[f"k{c}more"] or 0)) / total
+        off = F.when(m == 0, 0.0).when(m == 1, one).when(m == 2, two).otherwise(more)
+        return (m - off) / total + left * (F.col("m0") + F.col("m1")) / everything
+
+    p = words.select("w", word(0).alias("p0"), word(1).alias("p1"))
+    context = pairs.groupBy("v").agg(*[F.sum(f"n{c}").alias(f"c{c}") for c in (0, 1)], *[seen(c).alias(f"f{c}") for c in (0, 1)])
+    free = lambda c: F.when(F.col(f"c{c}") > 0, DISCOUNT * F.col(f"f{c}") / F.col(f"c{c}")).otherwise(1.0)
+    context = keep(context.select("v", "c0", "c1", free(0).alias("l0"), free(1).alias("l1")), "contexts")
+    after = F.when((F.col("c0") > 0) & (F.col("c1") > 0), F.log(F.col("l1") / F.col("l0"))).otherwise(0.0)
+    both = p.join(context.select(F.col("v").alias("w"), after.alias("after")), "w", "left").select("w", F.log(F.col("p1") / F.col("p0")).alias("ratio"), F.coalesce("after", F.lit(0.0)).alias("after"))
+    own = lambda c: F.when(F.col(f"c{c}") > 0, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"c{c}")).otherwise(0.0) + F.col(f"l{c}") * F.col(f"p{c}")
+    told = pairs.join(context, "v").join(p, "w").select("v", "w", F.log(own(1) / own(0)).alias("ratio"))
+    return both, told
+
+
+def _newton(x: np.ndarray, z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of a weighted logistic regression on few features."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    beta, ridge = np.zeros(4), np.diag([1e-4, 1e-4, 1e-4, 0.0])
-    for _ in range(60):  # damped Newton steps
+    beta, ridge = np.zeros(FEATURES + 1), np.diag([1e-4] * FEATURES + [0.0])
+    for _ in range(60):  # damped steps
         q = 1 / (1 + np.exp(-np.clip(x1 @ beta, -30, 30)))
         g = x1.T @ (w * (q - z)) + ridge @ beta
-        h = (x1 * (w * q * (1 - q) + 1e-9)[:, None]).T @ x1 + ridge + 1e-9 * np.eye(4)
+        h = (x1 * (w * q * (1 - q) + 1e-9)[:, None]).T @ x1 + ridge + 1e-9 * np.eye(FEATURES + 1)
         step = np.linalg.solve(h, g)
         beta -= step * min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
-    model.weights, model.bias = beta[:3], float(beta[3])
+    return beta[:FEATURES], float(beta[FEATURES])
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS_PER_CLASS) -> ToxicModel | float:
+    """The model; only the share of class 1 where one class has no rows."""
+    small_batches(docs.sparkSession)
+    known = labels.where(F.col("toxic").isin(0, 1) & (fold() != HELD_OUT)).select("doc_id", "toxic")
+    share = dict(known.groupBy("toxic").count().collect())
+    # a third of the sample is the combiner's
+    rows = keep(sampled_texts(docs, class_sample(known, "toxic", per_class)).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(22)), F.lit(3)) == 0), "sample")
+    there = {(r.part, r.label) for r in rows.select("part", "label").distinct().collect()}
+    if len({y for _, y in there}) < 2:
+        return share.get(1, 0) / max(1, sum(share.values()))
+    apart = len(there) == 4
+    words, pairs = kneser_ney(rows.where("not part") if apart else rows)
+    got, told = words.toArrow(), pairs.toArrow()
+    ratio, after = (np.append(got.column(c).to_numpy(), 0.0) for c in ("ratio", "after"))
+    keys = pair_keys(told.column("v").to_numpy(), told.column("w").to_numpy())
+    order = np.argsort(keys)
+    model = ToxicModel(Lookup(got.column("w").to_numpy()), ratio, after, keys[order], told.column("ratio").to_numpy()[order].astype(np.float32), np.zeros(FEATURES), 0.0)
+    del got, told
+
+    @F.arrow_udf("array<double>")
+    def features(texts: pa.Array) -> pa.Array:
+        return pa.array([model.features(t).tolist() for t in tokens(utf8(texts))], pa.list_(pa.float64()))
+
+    own = sorted((r.doc_id, r.label, r.x) for r in (rows.where("part") if apart else rows).select("doc_id", "label", features(F.col("text")).alias("x")).collect())  # three numbers a sampled row
+    x, z = np.array([f for *_, f in own]), np.array([y for _, y, _ in own], float)
+    w = np.where(z > 0, share[1] / z.sum(), share[0] / max(1, (1 - z).sum()))
+    model.weights, model.bias = _newton(x, z, w / w.sum())
     return model
 
 
@@ -175,6 +209,6 @@ def assess(docs: DataFrame, model: ToxicModel | float, text: str = "text", into:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in utf8(texts)], pa.float64())
+        return pa.array([model.score(t) for t in tokens(utf8(texts))], pa.float64())
 
     return docs.withColumn(into, score(F.col(text)))
