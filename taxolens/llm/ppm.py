@@ -8,22 +8,24 @@ of the mass; if not, an escape costs ``kinds / (total + kinds)`` and the next sh
 context decides with the symbols already excluded, down to a uniform order -1 over 256.
 
 Counting is distributed: tasks pre-aggregate distinct (context, byte) pairs; shorter
-contexts come from all pairs by sums. A corpus of at most ``MAX_NODES`` pairs of full
-order travels to the executors as a trie. Of a larger one only the costs of its most
-frequent pairs travel; all other pairs of a text, seen or not, are joined by code with
-costs that come from all pairs of all orders. Both ways give the same scores.
+contexts come from all pairs by sums. Only the costs of the most frequent pairs of full
+order travel to the executors (at most ``HEAD_PAIRS``, whatever the corpus); all other
+pairs of a text, seen or not, are joined by code with costs that come from all pairs of
+all orders.
 
 Word counts for the base score are kept by a 64-bit hash of the word. The most frequent
 ``HEAD_WORDS`` travel with the scorer; rarer words (each in few documents, so no task is
 hot) are joined by hash.
 
 Defined cases: null and empty texts have only the end token; without training rows the
-base counts are zero and the model is uniform; repeated rows are scored each.
+base counts are zero and the model is uniform; repeated rows are scored each; ties in
+count at the edge of what travels stay behind together; a long text is scored in pieces
+of bounded size; columns named like a result are replaced by it, all others but the text
+stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import keep, small_batches, utf8, word_cache
+from taxolens.llm.common import keep, quoted, release, small_batches, unused, utf8
+from taxolens.llm.hashing import Lookup, hashed_words
 
 ORDER = 5
-#: Pairs of full order that travel with the scorer.
-MAX_NODES = 4 << 20
-HEAD_WORDS = 1 << 19
+#: Pairs of full order and words that travel with the scorer: 24 bytes each.
+HEAD_PAIRS, HEAD_WORDS = 1 << 20, 1 << 18
 #: The end of a text; no word has it. It also fills the contexts before the first byte.
 END = 10
 #: Hash that stands for the end token.
@@ -45,7 +47,7 @@ FOLDS, HELD_OUT = 5, 1
 #: A task forwards its counts when it has so many distinct ones.
 FLUSH = 1 << 20
 #: Bytes counted or scored in one piece.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def fold(column: str = "doc_id"):
@@ -102,87 +104,11 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if codes:
             c, n = fold_up()
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["code", "n"])
+        release()
 
     return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Trie:
-    """Per order: sorted codes of (context, byte) with counts; per order: contexts
-    with totals and kinds. ``table`` has the log10 cost of pairs of full order."""
-
-    codes: list[np.ndarray]
-    counts: list[np.ndarray]
-    order: int = ORDER
-
-    def __post_init__(self):
-        self.heads, self.totals, self.firsts = [], [], []
-        for codes, counts in zip(self.codes, self.counts):
-            heads, first = np.unique(codes >> 8, return_index=True)
-            edges = np.append(first, codes.size)
-            sums = np.concatenate([[0], np.cumsum(counts)])
-            self.heads.append(heads)
-            self.firsts.append(edges)
-            self.totals.append(sums[edges[1:]] - sums[edges[:-1]])
-        full, n = self.codes[-1], self.counts[-1]
-        at = np.searchsorted(self.heads[-1], full >> 8)
-        kinds = np.diff(self.firsts[-1])
-        self.table = np.log10(n / (self.totals[-1][at] + kinds[at])).astype(np.float32) if full.size else np.zeros(0, np.float32)
-        self.slow: dict[int, float] = {}
-
-    def _follow(self, k: int, context: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """Bytes after a context of ``k`` bytes with their counts."""
-        heads = self.heads[k]
-        i = int(np.searchsorted(heads, context))
-        if i == heads.size or heads[i] != context:
-            return None
-        a, b = self.firsts[k][i], self.firsts[k][i + 1]
-        return self.codes[k][a:b] & 255, self.counts[k][a:b]
-
-    def cost(self, code: int) -> float:
-        """log10 probability of a pair, through escapes and exclusions."""
-        if code in self.slow:
-            return self.slow[code]
-        byte, out = code & 255, np.zeros(256, bool)
-        value, done = 0.0, False
-        for k in range(self.order, -1, -1):
-            found = self._follow(k, (code >> 8) & ((1 << (8 * k)) - 1))
-            if found is None:
-                continue
-            symbols, n = found
-            free = ~out[symbols]
-            symbols, n = symbols[free], n[free]
-            if not symbols.size:
-                continue
-            total, kinds = int(n.sum()), symbols.size
-            hit = n[symbols == byte]
-            if hit.size:
-                value += np.log10(int(hit[0]) / (total + kinds))
-                done = True
-                break
-            value += np.log10(kinds / (total + kinds))
-            out[symbols] = True
-        if not done:
-            value -= np.log10(max(1, 256 - int(out.sum())))
-        if len(self.slow) > 200_000:
-            self.slow.clear()
-        self.slow[code] = value
-        return value
-
-    def costs(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probabilities of pairs; those in the trie at full order by look-up."""
-        full = self.codes[-1]
-        distinct, where = np.unique(codes, return_inverse=True)
-        value = np.empty(distinct.size)
-        at = np.searchsorted(full, distinct)
-        at[at == full.size] = 0
-        known = full[at] == distinct if full.size else np.zeros(distinct.size, bool)
-        value[known] = self.table[at[known]]
-        for i in np.flatnonzero(~known).tolist():
-            value[i] = self.cost(int(distinct[i]))
-        return value[where]
-
-
 def _threshold(counts: DataFrame, most: int, n: str = "n") -> int:
     """The least count (column ``n``) with which at most ``most`` rows remain."""
     bins = counts.groupBy(F.floor(F.log2(F.col(n).cast("double")) * 16).alias("bin")).agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("low")).orderBy(F.desc("bin")).collect()  # at most 16 rows a doubling
@@ -199,7 +125,7 @@ def gram_tables(docs: DataFrame, order: int = ORDER) -> list[DataFrame]:
     tables = [keep(count_grams(docs, order), "grams")]
     for k in reversed(range(order)):  # sums over longer contexts
         short = tables[0].groupBy(_last(k).alias("code")).agg(F.sum("n").alias("n"))
-        tables.insert(0, keep(short, "grams-short") if k >= 2 else short)
+        tables.insert(0, keep(short, "grams-short") if k >= 1 else short)
     return tables
 
 
@@ -213,31 +139,24 @@ def _context(k: int):
     return F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * k)) - 1))
 
 
-def train_trie(docs: DataFrame, order: int = ORDER) -> Trie:
-    """The trie of the texts of ``docs``, with all their pairs."""
-    return _trie(gram_tables(docs, order), order)
-
-
-def _trie(tables: list[DataFrame], order: int) -> Trie:
-    got = [t.toArrow().sort_by("code") for t in tables]
-    return Trie([g.column("code").to_numpy() for g in got], [g.column("n").to_numpy() for g in got], order)
-
-
 @dataclass
 class Head:
-    """Sorted codes of frequent pairs of full order and their costs over all pairs."""
+    """Frequent keys and what each of them costs."""
+
+    keys: Lookup
+    cost: np.ndarray
 
-    codes: np.ndarray
-    table: np.ndarray
+    @classmethod
+    def of(cls, table: pa.Table, key: str, cost: str) -> Head:
+        return cls(Lookup(table.column(key).to_numpy()), table.column(cost).to_numpy())
 
-    def costs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probabilities (0 outside the head); and which pairs are outside."""
-        if not self.codes.size:
-            return np.zeros(codes.size), np.ones(codes.size, bool)
-        at = np.searchsorted(self.codes, codes)
-        at[at == self.codes.size] = 0
-        known = self.codes[at] == codes
-        return np.where(known, self.table[at], 0.0), ~known
+    def costs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Costs (0 outside the head); and which keys are in it."""
+        at = self.keys.find(keys)
+        known = at >= 0
+        value = np.zeros(keys.size)
+        value[known] = self.cost[at[known]]
+        return value, known
 
 
 def _contexts(table: DataFrame, k: int) -> DataFrame:
@@ -251,7 +170,7 @@ def _seen_costs(tables: list[DataFrame], order: int) -> DataFrame:
 
 
 def _unseen_costs(codes: DataFrame, tables: list[DataFrame], order: int) -> DataFrame:
-    """(code, cost) of pairs that full order lacks, as ``Trie.cost`` has them. All bytes
+    """(code, cost) of pairs that full order lacks, through escapes and exclusions. All bytes
     after a context also follow its shorter contexts, so what is excluded in a context
     is what follows the next longer one, if that occurs."""
     part = codes.select("code", F.lit(0.0).alias("cost"), F.lit(False).alias("done"))
@@ -276,103 +195,94 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, c): occurrences of each word's hash; the end token is END_HASH."""
 
     def count(batches):
-        cache, seen, ends = word_cache(), Counter(), 0
+        held, size, ends = [], 0, 0
 
         def rows():
-            words = np.fromiter((cache[w] for w in seen), np.uint64, len(seen)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["word", "c"])
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "c"])
 
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                seen.update(text.lower().split())
-                ends += 1
-                if len(seen) > FLUSH // 2:
+            for hashes in hashed_words(utf8(batch.column(0))):
+                held.append(hashes)
+                size, ends = size + hashes.size, ends + 1
+                if size > FLUSH:
                     yield rows()
-                    seen = Counter()
-        if seen:
+                    held, size = [], 0
+        if size:
             yield rows()
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([END_HASH]), pa.array([ends], pa.int64())], ["word", "c"])
+        release()
 
     return docs.select("text").mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, training: DataFrame, order: int = ORDER, most: int = MAX_NODES, head: int = HEAD_WORDS) -> DataFrame:
-    """``doc_id`` and other columns of ``docs`` but its text, with n_tokens, n_known,
-    train_tokens, base_score and score. ``training`` has the rows to learn from."""
+PART = "n_tokens long, n_known long, head_score double, pair_score double, tail array<long>, times array<int>, pairs array<long>, pair_times array<int>"
+RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _scorer(shared, order: int):
+    """An Arrow UDF from texts to PART: what the heads (pairs, words) of the broadcast
+    ``shared`` say, and what is left to be joined."""
+    names = [x.split()[0] for x in PART.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64()), pa.list_(pa.int32())] * 2]
+
+    @F.arrow_udf(PART)
+    def part(column: pa.Array) -> pa.Array:
+        head, head_words = shared.value
+        texts, out, pieces, at = utf8(column), [], [], 0
+        canon = [_canonical(t.lower().split()) for t in texts]
+        while at < len(canon):
+            to, size = at, 0
+            while to < len(canon) and (size == 0 or size + len(canon[to]) < PIECE):
+                size, to = size + len(canon[to]), to + 1
+            codes, edges = grams(canon[at:to], order)
+            value, known = head.costs(codes)
+            sums = np.add.reduceat(value, edges[:-1]).tolist()
+            for total, a, b in zip(sums, edges[:-1].tolist(), edges[1:].tolist()):
+                pieces.append((total, *np.unique(codes[a:b][~known[a:b]], return_counts=True)))
+            at = to
+        for hashes, (pair_score, pairs, pair_times) in zip(hashed_words(texts), pieces):
+            own = np.append(hashes.view(np.int64), END_HASH)
+            cost, known = head_words.costs(own)
+            tail, times = np.unique(own[~known], return_counts=True)
+            out.append((own.size, int(known.sum()), float(cost.sum()), pair_score, tail, times.astype(np.int32), pairs, pair_times.astype(np.int32)))
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
+
+    return part
+
+
+def score(docs: DataFrame, training: DataFrame, order: int = ORDER, most: int = HEAD_PAIRS, head: int = HEAD_WORDS) -> DataFrame:
+    """Columns of ``docs`` but its text, with n_tokens, n_known, train_tokens, base_score
+    and score. ``training`` has the rows to learn from."""
     spark = docs.sparkSession
     small_batches(spark)
     words = keep(count_words(training), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     tables = gram_tables(training, order)
-    trie = seen = frequent = None
-    if tables[order].count() <= most:
-        trie = _trie(tables, order)
-    else:
-        seen = keep(_seen_costs(tables, order), "costs")
-        got = seen.where(F.col("n") >= _threshold(seen, most)).select("code", "cost").toArrow().sort_by("code")
-        frequent = Head(got.column("code").to_numpy(), got.column("cost").to_numpy())
+    seen = keep(_seen_costs(tables, order), "costs")
+    pairs_head = seen.where(F.col("n") >= _threshold(seen, most)).select("code", "cost").toArrow()
+    words_head = words.where(F.col("c") >= _threshold(words, head, "c")).select("word", F.log10(F.col("c") + F.lit(0.5)).alias("cost")).toArrow()
+    shared = spark.sparkContext.broadcast((Head.of(pairs_head, "code", "cost"), Head.of(words_head, "word", "cost")))
     below = np.log10(total + 0.5 * (distinct + 1))
-    top = words.where(F.col("c") >= _threshold(words, head, "c")).toArrow().sort_by("word") if total else None
-    head_words = top.column("word").to_numpy() if top else np.zeros(0, np.int64)
-    head_cost = np.log10(top.column("c").to_numpy() + 0.5) if top else np.zeros(0)
-    names = ["n_tokens", "n_known", "head_score", "pair_score", "tail", "times", "pairs", "pair_times"]
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64()), pa.list_(pa.int32())] * 2]
 
-    @F.arrow_udf("n_tokens long, n_known long, head_score double, pair_score double, tail array<long>, times array<int>, pairs array<long>, pair_times array<int>")
-    def first(texts: pa.Array) -> pa.Array:
-        cache, out = word_cache(), []
-        split = [t.lower().split() for t in utf8(texts)]
-        canon = [_canonical(w) for w in split]
-        i, costs, others = 0, [], []
-        while i < len(canon):
-            j, size = i, 0
-            while j < len(canon) and (size == 0 or size + len(canon[j]) < PIECE):
-                size, j = size + len(canon[j]), j + 1
-            codes, edges = grams(canon[i:j], order)
-            if trie is not None:
-                value = trie.costs(codes)
-                others.extend([(np.zeros(0, np.int64), np.zeros(0, np.int64))] * (j - i))
-            else:
-                value, rest_ = frequent.costs(codes)
-                others.extend(np.unique(codes[a:b][rest_[a:b]], return_counts=True) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()))
-            costs.extend(np.add.reduceat(value, edges[:-1]).tolist())
-            i = j
-        flat = np.append(cache.array([w for ws in split for w in ws]).view(np.int64), END_HASH)
-        at = np.searchsorted(head_words, flat)
-        at[at == head_words.size] = 0
-        known = head_words[at] == flat if head_words.size else np.zeros(flat.size, bool)
-        cost = np.where(known, head_cost[at] if head_words.size else 0.0, 0.0)
-        edge = 0
-        for ws, c, (pairs, pair_times) in zip(split, costs, others):
-            own = slice(edge, edge + len(ws))
-            edge += len(ws)
-            k, rare = known[own], flat[own][~known[own]]
-            tail, times = np.unique(rare, return_counts=True)
-            n = int(k.sum()) + int(known[-1])
-            base = float(cost[own].sum()) + float(cost[-1])
-            if not known[-1]:
-                tail, times = np.append(tail, END_HASH), np.append(times, 1)
-            out.append((len(ws) + 1, n, base, c, tail, times.astype(np.int32), pairs, pair_times.astype(np.int32)))
-        return pa.StructArray.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
-
-    rest = [c for c in docs.columns if c != "text"]
-    part = keep(docs.withColumn("__s", first(F.col("text"))).select(*rest, F.monotonically_increasing_id().alias("__row"), "__s.*"), "scored")
+    rest = quoted([c for c in docs.columns if c != "text" and c.lower() not in RESULT])
+    s, row = unused(docs.columns, "__s"), unused(docs.columns, "__row")
+    part = keep(docs.select(*rest, F.monotonically_increasing_id().alias(row), _scorer(shared, order)(F.col("text")).alias(s)), "scored")
+    shared.unpersist()
+    each = lambda a, b: part.select(F.col(row).alias("at"), F.explode(F.arrays_zip(F.col(f"{s}.{a}").alias("k"), F.col(f"{s}.{b}").alias("times"))).alias("t")).select("at", "t.k", "t.times")
     tail = (
-        part.select("__row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("__row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
-        .join(words, "word", "left")
-        .groupBy("__row")
+        each("tail", "times").join(words, F.col("k") == F.col("word"), "left").groupBy("at")
         .agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("tail_score"))
     )
-    score = F.col("pair_score")
-    if seen is not None:
-        pairs = keep(part.select("__row", F.explode(F.arrays_zip("pairs", "pair_times")).alias("p")).select("__row", F.col("p.pairs").alias("code"), F.col("p.pair_times").alias("times")), "pairs")
-        unseen = keep(pairs.select("code").distinct().join(seen, "code", "left_anti"), "unseen")
-        costs = seen.select("code", "cost").unionByName(_unseen_costs(unseen, tables, order))
-        more = pairs.join(costs, "code").groupBy("__row").agg(F.sum(F.col("times") * F.col("cost")).alias("more_score"))
-        part, score = part.join(more, "__row", "left"), score + F.coalesce("more_score", F.lit(0.0))
-    return part.join(tail, "__row", "left").select(
-        *rest, "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(below))).alias("base_score"), score.alias("score"),
+    pairs = keep(each("pairs", "pair_times").select("at", F.col("k").alias("code"), "times"), "pairs")
+    unseen = keep(pairs.select("code").distinct().join(seen, "code", "left_anti"), "unseen")
+    costs = seen.select("code", "cost").unionByName(_unseen_costs(unseen, tables, order))
+    others = pairs.join(costs, "code").groupBy("at").agg(F.sum(F.col("times") * F.col("cost")).alias("pair_score"))
+    left = keep(others.join(tail, "at", "full").select("at", "pair_score", "more", "tail_score"), "left").select(F.struct("*").alias(unused(docs.columns, "__left")))
+    last = left.columns[0]
+    of = lambda c: F.coalesce(F.col(f"{last}.{c}"), F.lit(0))
+    return part.join(left, F.col(row) == F.col(f"{last}.at"), "left").select(
+        *rest, F.col(f"{s}.n_tokens").alias("n_tokens"), (F.col(f"{s}.n_known") + of("more")).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col(f"{s}.head_score") + of("tail_score") - F.col(f"{s}.n_tokens") * F.lit(float(below))).alias("base_score"), (F.col(f"{s}.pair_score") + of("pair_score")).alias("score"),
     )
-

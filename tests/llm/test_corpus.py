@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taxolens.llm import decontaminate, mixing, parity_join, ppm, quality, queries, secrets, toxicity, urlfilter, warc, wavelet
+from taxolens.llm import decontaminate, hashing, mixing, parity_join, ppm, quality, queries, secrets, toxicity, urlfilter, warc, wavelet
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -245,30 +245,41 @@ def brute_ppm(texts, order):
     return whole
 
 
-def test_trie_equals_definition(spark):
-    rng = random.Random(2)
-    texts = ["".join(rng.choice("ab cd") for _ in range(60)) for _ in range(20)]
-    canon = [" ".join(words(t)).encode() for t in texts]
-    trie = ppm.train_trie(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
-    cost = brute_ppm(canon, 3)
-    for t in [*canon[:5], b"", b"abz cd", "déjà".encode(), b"ccccccccc"]:
-        codes, _ = ppm.grams([t], 3)
-        assert trie.costs(codes).sum() == pytest.approx(cost(t))
-    total = sum(10 ** trie.cost(int.from_bytes(b"ab\x20", "big") << 8 | b) for b in range(256))
-    assert total == pytest.approx(1)
-
-
-@pytest.mark.parametrize("most", [0, 60, 400])
-def test_scores_use_all_pairs(docs, most):
-    got = ppm.score(docs, docs.where(ppm.fold() != ppm.HELD_OUT), order=3, most=most).collect()
+@pytest.mark.parametrize(("order", "most"), [(3, 0), (3, 60), (3, 1 << 20), (5, 0), (5, 400)])
+def test_scores_use_all_pairs(docs, order, most):
+    """By the definition, however few pairs travel with the scorer."""
+    clash = docs.select("doc_id", "text", F.lit("x").alias("Score"), F.lit(1).alias("tail"), F.lit(2).alias("a.b"))
+    got = ppm.score(clash, docs.where(ppm.fold() != ppm.HELD_OUT), order=order, most=most, head=40)
+    assert got.columns == ["doc_id", "tail", "a.b", *ppm.RESULT]
     canon = lambda t: " ".join(words((t or "").translate(LOW))).encode()
-    cost = brute_ppm([canon(t) for i, t, *_ in ROWS if zlib.crc32(str(i).encode()) % 5 != 1], 3)
+    cost = brute_ppm([canon(t) for i, t, *_ in ROWS if zlib.crc32(str(i).encode()) % 5 != 1], order)
     text = {i: t for i, t, *_ in ROWS}
-    assert len(got) == len(ROWS)
-    for r in got:
+    rows = got.collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
         assert r.score == pytest.approx(cost(canon(text[r.doc_id])))
 
 
+def test_lookup_finds_what_it_holds():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 5000))
+    table = hashing.Lookup(keys)
+    assert (table.find(keys) == np.arange(keys.size)).all() and (table.find(keys + 1)[~np.isin(keys + 1, keys)] == -1).all()
+    assert (hashing.Lookup(keys[:0]).find(keys) == -1).all()
+
+
+def test_word_hashes_follow_split(monkeypatch):
+    texts = [(t or "").encode() for _, t, *_ in ROWS] + [b"", b"\x0b\x0c", b"x" * 40 + b" y", b"\x00 \x00\x00"]
+    want = [h.copy() for h in hashing.hashed_words(texts)]
+    known = {}
+    for t, own in zip(texts, want):
+        for w, h in zip(t.lower().split(), own.tolist(), strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+    monkeypatch.setattr(hashing, "WINDOW", 7)  # words over several windows
+    assert all((a == b).all() for a, b in zip(hashing.hashed_words(texts), want))
+
+
 # ---- 5
 
 
@@ -421,12 +432,42 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert toxicity.assess(none, model).isEmpty()
 
 
-def test_words_and_pairs_seen_once_count():
-    texts = [b"good day to you", b"a good day", b"vile day to you"]
-    model = toxicity._kneser_ney([t.split() for t in texts], [0, 0, 1], toxicity.LEAST_COUNT)
-    assert set(model.words) == {w for t in texts for w in t.split()}
-    assert model.pairs.size == len({p for t in texts for p in zip(t.split(), t.split()[1:])})
-    assert model.ratio[model.words[b"vile"]] > 0 > model.ratio[model.words[b"a"]]
+def test_kneser_ney_equals_its_definition(spark):
+    texts = [(0, "good day to you"), (0, "a good day"), (1, "vile day to you"), (1, "vile vile"), (0, "To   you, you"), (0, None)]
+    words_, pairs_ = toxicity.kneser_ney(spark.createDataFrame(texts, "label int, text string"))
+    hashed = lambda w: int(next(toxicity.tokens([w.encode()]))[0]) if w else toxicity.START
+    said = [(y, ["", *(t or "").lower().replace(",", "").split()]) for y, t in texts]
+    n = [Counter(p for y, t in said if y == c for p in zip(t, t[1:])) for c in (0, 1)]
+    m = [Counter(w for _, w in n[c]) for c in (0, 1)]
+    vocabulary = sorted(m[0].keys() | m[1].keys())
+    off = [toxicity.discounts(*[sum(x == k for x in m[c].values()) for k in (1, 2, 3, 4)]) for c in (0, 1)]
+    cut = lambda c, k: off[c][min(k, 3) - 1] if k else 0.0
+
+    def word(c, w):
+        total = sum(m[c].values())
+        return (m[c][w] - cut(c, m[c][w])) / total + sum(cut(c, k) for k in m[c].values()) / total * (m[0][w] + m[1][w]) / sum((m[0] + m[1]).values())
+
+    def pair(c, v, w):
+        context = sum(k for (a, _), k in n[c].items() if a == v)
+        kinds = sum(a == v for a, _ in n[c])
+        return max(n[c][v, w] - 0.75, 0) / context + 0.75 * kinds / context * word(c, w) if context else word(c, w)
+
+    got = {r.w: r.ratio for r in words_.collect()}
+    assert got == pytest.approx({hashed(w): math.log(word(1, w) / word(0, w)) for w in vocabulary})
+    assert sum(word(0, w) for w in vocabulary) == pytest.approx(1) == pytest.approx(sum(pair(1, "vile", w) for w in vocabulary))
+    told = {(r.v, r.w): r.ratio for r in pairs_.collect()}
+    assert told == pytest.approx({(hashed(v), hashed(w)): math.log(pair(1, v, w) / pair(0, v, w)) for v, w in n[0].keys() | n[1].keys()})
+
+
+def test_scores_equal_their_parts():
+    """A text's features by their definition, for words and pairs in the model and not."""
+    vocabulary = np.array([11, 12, 13])
+    keys = np.sort(toxicity.pair_keys(np.array([0, 11]), np.array([11, 12])))
+    values = np.array([5.0, -1.0] if keys[0] == toxicity.pair_keys(np.array([0]), np.array([11]))[0] else [-1.0, 5.0], np.float32)
+    model = toxicity.ToxicModel(hashing.Lookup(vocabulary), np.array([1.0, 2.0, -3.0, 0.0]), np.array([0.5, 0.0, 0.25, 0.0]), keys, values, np.ones(3), 0.0)
+    own = np.array([11, 12, 13, 99, 11])  # 5, -1, 0 - 3, 0.25 + 0, 0 + 1
+    assert model.features(own) == pytest.approx([(5 - 1 - 3 + 0.25 + 1) / 5, 2.0, (2 + 1 + 1) / 3])
+    assert model.features(own[:0]).tolist() == [0, 0, 0]
 
 
 # ---- 8
@@ -552,13 +593,39 @@ def test_quality(spark, docs, none):
         hit = {k + j for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(5)}
         lines = [x for x in (t or "").split("\n") if WORDS.search(x)]
         raw = (t or "").encode()
-        assert quality.measures(raw, raw.split()) == (sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit)), i
+        assert next(quality.measures([raw])) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit)), i
     assert quality.train(table, labels.where("quality = 1")) is None
     bare = by_id(quality.assess(docs, None))
     assert not bare[104].quality.kept and bare[104].quality.n_words == 0
     assert quality.assess(none, model).isEmpty()
 
 
+def test_quality_score_equals_its_definition():
+    rng = np.random.default_rng(4)
+    model = quality.QualityModel(rng.normal(size=1 << quality.BITS).astype(np.float32), rng.normal(size=1 << quality.BITS).astype(np.float32), 0.3, 0.7, -0.2)
+    for t in ("one two one", "é", "日本語テキスト は長い", "ab", "", "x y " * 40):
+        w = [hashing.word_hashes(x.lower().encode())[0][0] for x in words(t)]
+        at, value = quality._features(t.encode(), next(hashing.hashed_words([t.encode()])))
+        grams = [t[k : k + 4] for k in range(len(t) - 3)]
+        assert value[at < 1 << quality.BITS].sum() == pytest.approx(quality.SCALE if w else 0)
+        assert value[at >= 1 << quality.BITS].sum() == pytest.approx(quality.SCALE if grams else 0)
+        raw = 0.3 + float(np.concatenate([model.words, model.grams])[at].astype(float) @ value)
+        assert model.probability(t.encode(), np.array(w, np.uint64)) == pytest.approx(1 / (1 + math.exp(-(0.7 * raw - 0.2))), rel=1e-5)
+    monkey = "añb日" * 700
+    whole = np.concatenate(list(quality.char_buckets(monkey.encode())))
+    chunk, quality.CHUNK = quality.CHUNK, 50
+    try:
+        assert (np.concatenate(list(quality.char_buckets(monkey.encode()))) == whole).all()
+    finally:
+        quality.CHUNK = chunk
+
+
+def test_a_labelled_id_joins_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d"), (2, "e")], "doc_id long, text string")
+    sample = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    assert sorted((r.doc_id, r.text) for r in quality.sampled_texts(docs, sample).collect()) == [(1, "c d"), (2, "e")]
+
+
 # ---- registration and pipeline
 
 
