@@ -2,19 +2,24 @@
 
 A shard holds the token ids of whole documents in ascending doc_id order. Its ids are
 split in bit-planes from the highest bit down; each plane is stably parted by its
-bits, zeros first, which gives rank and select over any id. From the one file come
-``access`` (the id at a place), ``count`` (an id before a place) and ``occurrences``
-(its places) without decoding the rest, and ``decode`` (all ids).
+bits, zeros first, which gives rank and select over any id. A plane is stored in chunks
+of ``CHUNK_BITS`` bits, and a directory in the file has the ones before each chunk and
+the chunk's place: rank opens one chunk, select finds its chunk by the directory. From
+the one file come ``access`` (the id at a place), ``count`` (an id before a place) and
+``occurrences`` (its places) without opening the rest, and ``decode`` (all ids).
 
-File: magic, a JSON header length (4 bytes), the JSON header, then zstandard frames:
-doc ids, document lengths and the planes; the header has the frames' lengths.
+File: magic, a JSON header length (4 bytes), the JSON header, then zstandard frames: which
+doc ids aren't null, doc ids, document lengths, the directory (per plane: 32-bit ranks,
+then 32-bit sizes of chunks) and the chunks of the planes, highest bit first; the header
+has the lengths of the frames before the chunks.
 
 Documents are dealt over tasks by ranges of doc_id, so shards in order of (task,
 number) hold ascending ids. A task that runs again writes the same file names with the
 same bytes, each file first under a name of its own.
 
-Defined cases: a null text has only the end id; repeated or null doc_ids are written
-each (nulls first); a text of any length stays in one shard; no rows, no files.
+Defined cases: a null or empty text has only the end id; repeated or null doc_ids are
+written each (nulls first, equal ids by text); a text of any length stays in one shard;
+other columns stay out; no rows, no files.
 """
 
 from __future__ import annotations
@@ -33,14 +38,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import fresh_path, keep, open_shared, publish, small_batches, utf8
+from taxolens.llm.common import fresh_path, keep, open_shared, publish, release, small_batches, utf8
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 #: A shard is closed when it has so many ids.
 SHARD_TOKENS = 1 << 20
 END_ID = 1
+#: Bits of a plane in one chunk.
+CHUNK_BITS = 1 << 15
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Letters, then punctuation that the tokenizer parts from them.
 LETTERS_END = re.compile(rb"([A-Za-z\x80-\xff]+)([.,!?;:]+)")
 
@@ -56,13 +63,44 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
+#: The rules under which a text's ids are those of its words.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PIECES = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(path: str) -> bool:
+    """Does a tokenizer's file have the rules that ``WordEncoder`` relies on?"""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    same = rules.get("normalizer") == WORD_NORMALIZER and rules.get("pre_tokenizer") == WORD_PIECES and rules.get("post_processor") is None
+    return same and not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") for t in rules.get("added_tokens", []))
+
+
+class TextEncoder:
+    """The ids of whole texts, for any tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+
 class WordEncoder(dict):
     """ASCII-white-space word -> its ids as bytes.
 
-    The tokenizer's rules never join or look across ASCII white space, fold case, and
-    part a run of letters from the punctuation behind it, so a text's ids are those of
-    its lower-case words, and a word's those of its letters and of what follows. Words
-    with marks of special tokens in their text are left as they are written."""
+    The tokenizer's rules (see ``by_words``) never join or look across ASCII white space,
+    fold case, and part a run of letters from the punctuation behind it, so a text's ids
+    are those of its lower-case words, and a word's those of its letters and of what
+    follows. Words with marks of special tokens in their text are left as written."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -111,19 +149,20 @@ class WordEncoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder_of(path: str) -> WordEncoder:
+def encoder_of(path: str) -> WordEncoder | TextEncoder:
     """A worker's own encoder: what it has learnt serves the worker's next tasks."""
-    return WordEncoder(path)
+    return WordEncoder(path) if by_words(path) else TextEncoder(path)
 
 
-def build_planes(ids: np.ndarray, bits: int) -> list[bytes]:
-    """The planes of a wavelet matrix, highest bit first, packed."""
-    cur, planes = ids, []
+def build_planes(ids: np.ndarray, bits: int):
+    """The planes of a wavelet matrix, highest bit first: (packed bits, ones before each
+    chunk and in all)."""
+    cur = ids
     for level in range(bits - 1, -1, -1):
         one = (cur >> cur.dtype.type(level)) & cur.dtype.type(1) == 1
-        planes.append(np.packbits(one).tobytes())
+        sums = np.add.reduceat(one, np.arange(0, one.size, CHUNK_BITS), dtype=np.int64) if one.size else np.zeros(0, np.int64)
+        yield np.packbits(one).tobytes(), np.concatenate([[0], np.cumsum(sums)]).astype("<u4")
         cur = np.concatenate([cur[~one], cur[one]])
-    return planes
 
 
 def encode_shard(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
@@ -132,20 +171,28 @@ def encode_shard(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     small = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     press = zstandard.ZstdCompressor(level=1)
     known = np.array([d is not None for d in doc_ids], bool)
-    frames = [np.packbits(known).tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), *build_planes(small, bits)]
+    directory, chunks, step = [], [], CHUNK_BITS // 8
+    for plane, ranks in build_planes(small, bits):
+        own = [press.compress(plane[at : at + step]) for at in range(0, len(plane), step)]
+        directory += [ranks, np.array([len(c) for c in own], "<u4")]
+        chunks += own
+    frames = [np.packbits(known).tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), np.concatenate(directory).tobytes()]
     frames = [press.compress(f) for f in frames]
     head = json.dumps({"docs": len(doc_ids), "tokens": int(ids.size), "bits": bits, "frames": [len(f) for f in frames]}).encode()
-    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *frames])
+    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *frames, *chunks])
 
 
 @dataclass
 class Shard:
-    """A shard read from its bytes; frames are opened when they are asked for."""
+    """A shard read from its bytes; chunks are opened when they are asked for."""
 
     docs: int
     tokens: int
     bits: int
     frames: list[bytes]
+    ranks: np.ndarray
+    places: np.ndarray
+    body: bytes
 
     @classmethod
     def parse(cls, data: bytes) -> Shard:
@@ -156,22 +203,48 @@ class Shard:
         for size in head["frames"]:
             frames.append(data[at : at + size])
             at += size
-        return cls(head["docs"], head["tokens"], head["bits"], frames)
+        count = -(-head["tokens"] // CHUNK_BITS)
+        directory = np.frombuffer(zstandard.ZstdDecompressor().decompress(frames.pop()), "<u4").reshape(head["bits"], 2 * count + 1).astype(np.int64)
+        places = np.concatenate([[0], np.cumsum(directory[:, count + 1 :].ravel())])
+        return cls(head["docs"], head["tokens"], head["bits"], frames, directory[:, : count + 1], places, data[at:])
 
     def _open(self, i: int) -> bytes:
         return zstandard.ZstdDecompressor().decompress(self.frames[i])
 
-    def _plane(self, level: int) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(self._open(3 + level), np.uint8), count=self.tokens).astype(bool)
+    def _chunk(self, level: int, k: int) -> np.ndarray:
+        """The packed bits of a chunk of a plane."""
+        i = level * (self.ranks.shape[1] - 1) + k
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.body[self.places[i] : self.places[i + 1]]), np.uint8)
 
-    def _ranked(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """(bits, ones before each place) of a plane."""
-        key = ("rank", level)
-        cache = self.__dict__.setdefault("_cache", {})
-        if key not in cache:
-            bits = self._plane(level)
-            cache[key] = (bits, np.concatenate([[0], np.cumsum(bits, dtype=np.int64)]))
-        return cache[key]
+    def _plane(self, level: int) -> np.ndarray:
+        packed = [self._chunk(level, k) for k in range(self.ranks.shape[1] - 1)]
+        return np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.tokens).astype(bool)
+
+    def _rank(self, level: int, place: int) -> tuple[int, int]:
+        """Ones before a place of a plane, and the bit there (0 behind the end)."""
+        k, off = divmod(place, CHUNK_BITS)
+        if k == self.ranks.shape[1] - 1:
+            return int(self.ranks[level, k]), 0
+        own = self._chunk(level, k)
+        whole, rest = divmod(off, 8)
+        ones = int(self.ranks[level, k]) + int(np.bitwise_count(own[:whole]).sum())
+        if whole == own.size:
+            return ones, 0
+        byte = int(own[whole])
+        return ones + (byte >> (8 - rest)).bit_count(), byte >> (7 - rest) & 1
+
+    def _select(self, level: int, one: bool, ranks: np.ndarray) -> np.ndarray:
+        """Places of the ones (or zeros) of the given ascending ranks in a plane."""
+        before = self.ranks[level]
+        if not one:
+            before = np.minimum(np.arange(before.size) * CHUNK_BITS, self.tokens) - before
+        chunk = np.searchsorted(before, ranks, "right") - 1
+        out = np.empty(ranks.size, np.int64)
+        for k in np.unique(chunk).tolist():
+            own = chunk == k
+            bits = np.unpackbits(self._chunk(level, k), count=min(CHUNK_BITS, self.tokens - k * CHUNK_BITS))
+            out[own] = k * CHUNK_BITS + np.flatnonzero(bits == one)[ranks[own] - before[k]]
+        return out
 
     def documents(self) -> tuple[list, np.ndarray]:
         known = np.unpackbits(np.frombuffer(self._open(0), np.uint8), count=self.docs)
@@ -193,20 +266,19 @@ class Shard:
     def access(self, place: int) -> int:
         value = 0
         for level in range(self.bits):
-            bits, ones = self._ranked(level)
-            one = bool(bits[place])
+            ones, one = self._rank(level, place)
             value = value << 1 | one
-            place = self.tokens - int(ones[-1]) + int(ones[place]) if one else place - int(ones[place])
+            place = self.tokens - int(self.ranks[level, -1]) + ones if one else place - ones
         return value
 
     def _interval(self, token: int, a: int, b: int) -> tuple[int, int]:
         for level in range(self.bits):
-            _, ones = self._ranked(level)
+            x, y = self._rank(level, a)[0], self._rank(level, b)[0]
             if token >> (self.bits - 1 - level) & 1:
-                zeros = self.tokens - int(ones[-1])
-                a, b = zeros + int(ones[a]), zeros + int(ones[b])
+                zeros = self.tokens - int(self.ranks[level, -1])
+                a, b = zeros + x, zeros + y
             else:
-                a, b = a - int(ones[a]), b - int(ones[b])
+                a, b = a - x, b - y
         return a, b
 
     def count(self, token: int, before: int | None = None) -> int:
@@ -223,9 +295,9 @@ class Shard:
         a, b = self._interval(token, 0, self.tokens)
         at = np.arange(a, b)
         for level in range(self.bits - 1, -1, -1):
-            bits, ones = self._ranked(level)
-            zeros = self.tokens - int(ones[-1])
-            at = np.flatnonzero(bits)[at - zeros] if token >> (self.bits - 1 - level) & 1 else np.flatnonzero(~bits)[at]
+            one = bool(token >> (self.bits - 1 - level) & 1)
+            zeros = self.tokens - int(self.ranks[level, -1])
+            at = self._select(level, one, at - zeros if one else at)
         return np.sort(at).tolist()
 
 
@@ -260,6 +332,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens
                     doc_ids, lengths, pieces, size, number = [], [], [], 0, number + 1
         if doc_ids:
             yield flush()
+        release()
 
     return keep(dealt.mapInArrow(write, "part int, number int, path string, docs long, tokens long"), "manifest")
 
@@ -287,6 +360,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 ends = np.cumsum(lengths)
                 sums = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        release()
 
     n = max(1, min(10_000, manifest.count()))
     return files.repartition(n, F.xxhash64("path")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
