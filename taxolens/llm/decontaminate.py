@@ -6,49 +6,55 @@ there; where that reaches ``WINDOW`` words, the words of the match are hit, and
 state names the items. Items of fewer words are windows as a whole. Only runs of
 words whose neighbouring pairs all occur in items are walked.
 
-The automaton is sent to all executors, so it is built for at most ``BLOCK_BYTES`` of
-item text; more items make more automata, whose hits are united before documents are
-judged or cut.
+Automata are built on the executors, one for each block of at most ``BLOCK_BYTES`` of item
+text (a longer item is cut into pieces that overlap by all but one word of a window, so
+no window is lost), and written as flat arrays to the shared folder, whence the scanning
+workers read them. One pass over the documents holds those of ``PASS_BYTES`` of item
+text; more make more passes, whose hits are united before documents are judged or cut.
 
-Defined cases: a null text has no words, a null or wordless item has no window;
+Defined cases: a null or empty text has no words, a null or wordless item has no window;
 repeated items are one if they share an id; an item without an id marks words but is
-not listed; repeated documents are each judged; empty tables hit nothing.
+not listed; repeated documents are each judged; coverage of exactly the limit stays; a
+very long text takes memory in proportion; columns named like ``into`` are replaced, all
+others stay; empty tables hit nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import keep, small_batches, utf8
+from taxolens.llm.common import fresh_path, keep, open_shared, publish, quoted, release, small_batches, unused, utf8
+from taxolens.llm.hashing import Lookup, hashed_words
 
 WINDOW = 10
 #: A document that is hit in more than this share of its words is removed whole.
 MOST_COVERAGE = 0.5
-#: Item text in one automaton.
-BLOCK_BYTES = 16 << 20
+#: Item text in one automaton, and in those that one pass over the documents holds.
+BLOCK_BYTES, PASS_BYTES = 1 << 20, 16 << 20
+#: Windows of an item in one piece.
+PIECE_WORDS = 20_000
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``, after lower-casing A-Z; other bytes part words.
 KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 RESULT = "n_words long, hit array<int>, items array<string>"
 
 
 @dataclass
-class Automaton:
-    """States as parallel lists: transitions, suffix link, longest length."""
+class Builder:
+    """A suffix automaton that grows: transitions, suffix links, longest lengths."""
 
     window: int = WINDOW
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    pairs: np.ndarray | None = None
-    least: int = WINDOW
 
     def _extend(self, last: int, c: int) -> int:
         step, link, length = self.step, self.link, self.length
@@ -82,130 +88,208 @@ class Automaton:
         return copy
 
     def build(self, items: list[tuple[str | None, bytes]]) -> Automaton:
-        coded, pairs = [], set()
-        for name, text in items:
-            words = text.translate(KEPT).split()
-            if words:
-                ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-                coded.append((name, ids))
-                self.least = min(self.least, len(ids))
-                pairs.update(zip(ids, ids[1:]))
-                last = 0
-                for c in ids:
-                    last = self._extend(last, c)
-        n = len(self.vocabulary)
-        self.pairs = np.unique(np.array([a * n + b for a, b in pairs], np.int64))
+        """The automaton of (name, text); a text is a whole item or a piece of one."""
+        hashes = [(name, h.view(np.int64)) for (name, _), h in zip(items, hashed_words([t.translate(KEPT) for _, t in items], lower=False))]
+        hashes = [(name, h) for name, h in hashes if h.size]
+        words = np.unique(np.concatenate([h for _, h in hashes])) if hashes else np.zeros(0, np.int64)
+        coded = [(name, np.searchsorted(words, h).tolist()) for name, h in hashes]
+        pairs = set()
+        for _, ids in coded:
+            pairs.update(zip(ids, ids[1:]))
+            last = 0
+            for c in ids:
+                last = self._extend(last, c)
+        n, order = max(1, words.size), sorted(range(len(self.step)), key=self.length.__getitem__)
         # the state of the window that ends in a state's longest match
-        self.base = [-1] * len(self.step)
-        for v in sorted(range(len(self.step)), key=self.length.__getitem__):
+        base = [-1] * len(self.step)
+        for v in order:
             up = self.link[v]
             if self.length[v] >= self.window:
-                self.base[v] = v if self.length[up] < self.window else self.base[up]
-        self.named: dict[int, set[str]] = {}
-        short: dict[int, list[tuple[int, str | None]]] = {}
+                base[v] = v if self.length[up] < self.window else base[up]
+        names = sorted({name for name, _ in coded if name is not None})
+        number = {name: i for i, name in enumerate(names)}
+        named: dict[int, set[int]] = {}
+        short: dict[int, set[tuple[int, int]]] = {}
         for name, ids in coded:
             state = 0
             for i, c in enumerate(ids):
                 state = self.step[state][c]
                 if i + 1 >= self.window and name is not None:
-                    self.named.setdefault(self.base[state], set()).add(name)
+                    named.setdefault(base[state], set()).add(number[name])
             if len(ids) < self.window:
-                short.setdefault(state, []).append((len(ids), name))
+                short.setdefault(state, set()).add((len(ids), number.get(name, -1)))
         # short items by all states whose match may end with one
-        self.short: dict[int, list[tuple[int, str | None]]] = {}
-        for v in sorted(range(len(self.step)), key=self.length.__getitem__):
-            found = short.get(v, []) + (self.short.get(self.link[v], []) if self.link[v] >= 0 else [])
+        ends: dict[int, set[tuple[int, int]]] = {}
+        for v in order:
+            found = short.get(v, set()) | (ends.get(self.link[v], set()) if self.link[v] >= 0 else set())
             if found:
-                self.short[v] = found
-        return self
-
-    def scan(self, words: list[bytes]) -> tuple[list[int], list[str]]:
-        """Positions of hit words, and names of items with windows that occur."""
-        n = len(words)
-        if not self.vocabulary or n < self.least:
-            return [], []
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, n)
+                ends[v] = found
+        moves = sorted((v * n + c, to) for v, own in enumerate(self.step) for c, to in own.items())
+        return Automaton(
+            self.window, min([self.window, *(len(ids) for _, ids in coded)]), Lookup(words), Lookup(np.array(sorted(a * n + b for a, b in pairs), np.int64)),
+            np.array([k for k, _ in moves], np.int64), np.array([to for _, to in moves], np.int32), np.array(self.link, np.int32), np.array(self.length, np.int32), np.array(base, np.int32),
+            names, {k: sorted(v) for k, v in named.items()}, {k: sorted(v) for k, v in ends.items()},
+        )
+
+
+@dataclass
+class Automaton:
+    """A finished automaton as flat arrays: ``moves`` (state * words + word) are sorted."""
+
+    window: int
+    least: int
+    words: Lookup
+    pairs: Lookup
+    moves: np.ndarray
+    to: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+    base: np.ndarray
+    names: list[str]
+    named: dict[int, list[int]]
+    short: dict[int, list[tuple[int, int]]]
+
+    def runs(self, ids: np.ndarray, edges: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of words that may hold a window; ``edges`` part the documents."""
+        n = ids.size
+        if n < self.least or not self.words.keys.size:
+            return []
+        joined = np.zeros(n + 1, bool)  # does a word belong with the one before?
         if self.least > 1:
             both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-            key = ids[both] * len(self.vocabulary) + ids[both + 1]
-            at = np.searchsorted(self.pairs, key)
-            at[at == self.pairs.size] = 0
-            edge = np.zeros(n + 1, bool)
-            edge[both[self.pairs[at] == key] + 1] = True  # joins a word with the one before
-            change = np.diff(np.concatenate([[False], edge[1:n], [False]]).astype(np.int8))
-            runs = [(a, b + 1) for a, b in zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist()) if b + 1 - a >= self.least]
+            key = ids[both].astype(np.int64) * self.words.keys.size + ids[both + 1]
+            joined[both[self.pairs.find(key) >= 0] + 1] = True
+            joined[edges[edges < n]] = False
+            change = np.diff(np.concatenate([[False], joined[1:n], [False]]).astype(np.int8))
+            found = zip(np.flatnonzero(change == 1).tolist(), (np.flatnonzero(change == -1) + 1).tolist())
         else:
-            change = np.diff(np.concatenate([[False], ids >= 0, [False]]).astype(np.int8))
-            runs = list(zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist()))
-        hit: set[int] = set()
-        names: set[str] = set()
-        for a, b in runs:
-            state = size = 0
-            for i, c in enumerate(ids[a:b].tolist(), a):
-                while state and c not in self.step[state]:
-                    state = self.link[state]
-                    size = self.length[state]
-                if c in self.step[state]:
-                    state, size = self.step[state][c], size + 1
-                if size >= self.window:
-                    hit.update(range(i - self.window + 1, i + 1))
-                    names |= self.named.get(self.base[state], set())
-                for length, name in self.short.get(state, ()):
-                    if length <= size:
-                        hit.update(range(i - length + 1, i + 1))
-                        if name is not None:
-                            names.add(name)
-        return sorted(hit), sorted(names)
-
-
-def automata(items: DataFrame, block: int = BLOCK_BYTES) -> list[Automaton]:
-    """One automaton per block of items; blocks come one by one, of bounded size."""
-    rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-2 * total // block) if total > block else 1
-    found = []
-    for k in range(parts):
-        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == k)
-        found.append(Automaton().build([(r.item_id, r.text.encode()) for r in own.orderBy("item_id", "text").collect()]))
-    return found
+            joined[1:n] = (ids[:-1] >= 0) & (ids[1:] >= 0)
+            joined[edges[edges < n]] = False
+            known = ids >= 0
+            starts, ends = np.flatnonzero(known & ~joined[:n]), np.flatnonzero(known & ~joined[1:]) + 1
+            found = zip(starts.tolist(), ends.tolist())
+        return [(a, b) for a, b in found if b - a >= self.least]
+
+    def walk(self, ids: list[int]) -> Iterator[tuple[int, int, list[int]]]:
+        """(first, behind last, items) of each window in a run of known words."""
+        n, state, size = max(1, self.words.keys.size), 0, 0
+        for i, c in enumerate(ids):
+            while (at := self._move(state * n + c)) < 0 and state:
+                state = int(self.link[state])
+                size = int(self.length[state])
+            if at >= 0:
+                state, size = int(self.to[at]), size + 1
+            if size >= self.window:
+                yield i + 1 - self.window, i + 1, self.named.get(int(self.base[state]), [])
+            for length, name in self.short.get(state, ()):
+                if length <= size:
+                    yield i + 1 - length, i + 1, [name] if name >= 0 else []
+
+    def _move(self, key: int) -> int:
+        at = int(np.searchsorted(self.moves, key))
+        return at if at < self.moves.size and self.moves[at] == key else -1
+
+
+def scan(automata: list[Automaton], texts: list[bytes]) -> Iterator[tuple[int, list[int], list[str]]]:
+    """For each text: its number of words, positions of hit words, and items hit."""
+    each = [h.view(np.int64) for h in hashed_words([t.translate(KEPT) for t in texts], lower=False)]
+    edges = np.concatenate([[0], np.cumsum([h.size for h in each])]).astype(np.int64)
+    flat = np.concatenate(each) if each else np.zeros(0, np.int64)
+    hits: list[set[int]] = [set() for _ in texts]
+    names: list[set[str]] = [set() for _ in texts]
+    for a in automata:
+        ids = a.words.find(flat)
+        for begin, end in a.runs(ids, edges):
+            doc = int(np.searchsorted(edges, begin, "right")) - 1
+            base = begin - int(edges[doc])
+            for first, last, items in a.walk(ids[begin:end].tolist()):
+                hits[doc].update(range(base + first, base + last))
+                names[doc].update(a.names[i] for i in items)
+    for own, hit, items in zip(each, hits, names):
+        yield own.size, sorted(hit), sorted(items)
+
+
+def _pieces(most: int):
+    """Items cut into pieces of so many windows: (item_id, text)."""
+
+    def pieces(batches):
+        for batch in batches:
+            ids, out = [], []
+            for name, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                words = text.translate(KEPT).split()
+                for at in range(0, max(1, len(words) - WINDOW + 1), most):
+                    piece = words[at : at + most + WINDOW - 1]
+                    if piece:
+                        ids.append(name)
+                        out.append(b" ".join(piece))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.binary()).cast(pa.string())], ["item_id", "text"])
+
+    return pieces
 
 
-def _scan(automaton: Automaton):
+def automata(items: DataFrame, block: int = BLOCK_BYTES, at_once: int = PASS_BYTES, piece: int = PIECE_WORDS) -> list[list[str]]:
+    """Builds the automata of ``items`` and returns their files, a list for each pass."""
+    spark = items.sparkSession
+    small_batches(spark)
+    rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    pieces = keep(rows.mapInArrow(_pieces(piece), "item_id string, text string"), "items")
+    total = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if not total:
+        return []
+    parts = -(-2 * total // block) if total > block else 1
+    folder = fresh_path(spark, "automata")
+
+    def build(batches):
+        own: dict[int, list[tuple[str | None, bytes]]] = {}
+        for batch in batches:
+            for k, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
+                own.setdefault(k, []).append((name, text))
+        paths = []
+        for k in sorted(own):
+            paths.append(f"{folder}/block-{k:06d}.pickle")
+            publish(paths[-1], pickle.dumps(Builder().build(sorted(own.pop(k), key=lambda x: (x[0] is None, x)))))
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+        release()
+
+    placed = pieces.select(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)).cast("int").alias("block"), "item_id", "text")
+    paths = sorted(r.path for r in placed.repartition(parts, "block").mapInArrow(build, "path string").collect())  # a name a block
+    step = max(1, at_once // block)
+    return [paths[at : at + step] for at in range(0, len(paths), step)]
+
+
+@lru_cache(maxsize=PASS_BYTES // BLOCK_BYTES)
+def _load(path: str) -> Automaton:
+    """A worker's own copy of an automaton, for its next tasks too."""
+    with open_shared(path, "rb") as f:
+        return pickle.loads(f.read())
+
+
+def _scan(paths: list[str]):
     @F.arrow_udf(RESULT)
-    def scan(texts: pa.Array) -> pa.Array:
-        n, hits, items = [], [], []
-        for text in utf8(texts):
-            words = text.translate(KEPT).split()
-            hit, names = automaton.scan(words)
-            n.append(len(words))
-            hits.append(hit)
-            items.append(names)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["n_words", "hit", "items"])
+    def found(texts: pa.Array) -> pa.Array:
+        out = list(scan([_load(p) for p in paths], utf8(texts)))
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["n_words", "hit", "items"])
 
-    return scan
+    return found
 
 
-def match(docs: DataFrame, items: DataFrame, text: str = "text", into: str = "match", block: int = BLOCK_BYTES) -> DataFrame:
+def match(docs: DataFrame, items: DataFrame, text: str = "text", into: str = "match", block: int = BLOCK_BYTES, at_once: int = PASS_BYTES) -> DataFrame:
     """``docs`` with a struct more: n_words, hit (positions of words) and items."""
-    return _match(docs, automata(items, block), text, into)
+    return _match(docs, automata(items, block, at_once), text, into)
 
 
-def _match(docs: DataFrame, found: list[Automaton], text: str, into: str) -> DataFrame:
+def _match(docs: DataFrame, passes: list[list[str]], text: str, into: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    out = docs.withColumn(into, _scan(found[0])(F.col(text)))
-    for more in found[1:]:
-        out = keep(out, "match").withColumn("__more", _scan(more)(F.col(text)))
-        both = F.struct(F.col(f"{into}.n_words").alias("n_words"), F.array_union(f"{into}.hit", "__more.hit").alias("hit"), F.array_union(f"{into}.items", "__more.items").alias("items"))
-        out = out.withColumn(into, both).drop("__more")
+    out = docs.withColumn(into, _scan(passes[0] if passes else [])(F.col(text)))
+    for paths in passes[1:]:
+        more = unused(out.columns, "__more")
+        out = keep(out, "match").withColumn(more, _scan(paths)(F.col(text)))
+        both = F.struct(F.col(f"{into}.n_words").alias("n_words"), F.array_union(f"{into}.hit", f"{more}.hit").alias("hit"), F.array_union(f"{into}.items", f"{more}.items").alias("items"))
+        out = out.withColumn(into, both).drop(more)
     return out
 
 
-def items_digest(items) -> str:
-    """Lower-case hex SHA-256 of the ids, sorted as strings and comma-joined."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def cut(text: bytes, hit: list[int]) -> bytes:
     """The text without the runs of hit words."""
     spans = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(KEPT))]
@@ -219,40 +303,41 @@ def cut(text: bytes, hit: list[int]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _clean(automaton: Automaton, most: float):
+def _clean(paths: list[str], most: float):
     @F.arrow_udf("text string, dirty boolean, gone boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        rows = []
-        for text in utf8(texts):
-            words = text.translate(KEPT).split()
-            hit, _ = automaton.scan(words)
-            dirty, gone = bool(hit), bool(hit) and len(hit) > most * len(words)
+        found, rows, raw = [_load(p) for p in paths], [], utf8(texts)
+        for text, (n, hit, _) in zip(raw, scan(found, raw)):
+            dirty, gone = bool(hit), len(hit) > most * n
             while hit and not gone:
                 text = cut(text, hit)
-                words = text.translate(KEPT).split()
-                gone = not words
-                hit, _ = automaton.scan(words)
-            rows.append((text.decode("utf-8", "replace") if dirty else None, dirty, gone))
+                n, hit, _ = next(scan(found, [text]))
+                gone = n == 0
+            rows.append((text.decode("utf-8", "replace") if dirty and not gone else None, dirty, gone))
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.bool_()))], ["text", "dirty", "gone"])
 
     return clean
 
 
-def remove(docs: DataFrame, items: DataFrame, most: float = MOST_COVERAGE, block: int = BLOCK_BYTES) -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, most: float = MOST_COVERAGE, block: int = BLOCK_BYTES, at_once: int = PASS_BYTES) -> DataFrame:
     """``docs`` without benchmark passages: hit runs of words are cut out, and rows
     that are hit beyond ``most`` of their words (or of which no word is left) go.
     ``n_chars``, where there is such a column, follows the text; clean rows stay as
     they are. Cutting goes on until no window occurs across a cut either. Hits are those
     of all items, in however many blocks they come."""
     small_batches(docs.sparkSession)
-    names, found = docs.columns, automata(items, block)
-    if len(found) > 1:
-        return _remove_by_rounds(docs, found, most)
+    names, passes = quoted(docs.columns), automata(items, block, at_once)
+    if not passes:
+        return docs
+    if len(passes) > 1:
+        return _remove_by_rounds(docs, passes, most)
+    own = unused(docs.columns, "__clean")
+    dirty = F.col(f"{own}.dirty")
     # as not deterministic, it runs once a row, not again for the filter in workers of its own
-    out = docs.withColumn("__clean", _clean(found[0], most).asNondeterministic()(F.col("text"))).where("not __clean.gone")
-    changed = {"text": F.when(F.col("__clean.dirty"), F.col("__clean.text")).otherwise(F.col("text"))}
-    if "n_chars" in names:
-        changed["n_chars"] = F.when(F.col("__clean.dirty"), F.char_length("__clean.text").cast("long")).otherwise(F.col("n_chars"))
+    out = docs.withColumn(own, _clean(passes[0], most).asNondeterministic()(F.col("text"))).where(~F.col(f"{own}.gone"))
+    changed = {"text": F.when(dirty, F.col(f"{own}.text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(dirty, F.char_length(f"{own}.text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumns(changed).select(*names)
 
 
@@ -264,18 +349,19 @@ def _cut():
     return less
 
 
-def _remove_by_rounds(docs: DataFrame, found: list[Automaton], most: float) -> DataFrame:
-    """``remove`` with several automata: each round unites the hits of all of them, and
-    only what it cuts goes through the next one."""
-    names, hit = docs.columns, F.size("__m.hit")
-    seen = keep(_match(docs, found, "text", "__m"), "hits")
+def _remove_by_rounds(docs: DataFrame, passes: list[list[str]], most: float) -> DataFrame:
+    """``remove`` in several passes: each round unites the hits of all of them, and only
+    what it cuts goes through the next one."""
+    names, m = quoted(docs.columns), unused(docs.columns, "__m")
+    hit, n = F.size(f"{m}.hit"), F.col(f"{m}.n_words")
+    seen = keep(_match(docs, passes, "text", m), "hits")
     out = seen.where(hit == 0).select(*names)
-    dirty = seen.where((hit > 0) & (hit <= most * F.col("__m.n_words")))
+    dirty = seen.where((hit > 0) & (hit <= most * n))
     while not dirty.isEmpty():
-        less = dirty.withColumn("text", _cut()(F.col("text"), F.array_sort("__m.hit"))).select(*names)
-        if "n_chars" in names:
+        less = dirty.withColumn("text", _cut()(F.col("text"), F.array_sort(f"{m}.hit"))).select(*names)
+        if "n_chars" in docs.columns:
             less = less.withColumn("n_chars", F.char_length("text").cast("long"))
-        seen = keep(_match(keep(less, "cut"), found, "text", "__m"), "hits")
-        out = out.unionByName(seen.where((hit == 0) & (F.col("__m.n_words") > 0)).select(*names))
+        seen = keep(_match(keep(less, "cut"), passes, "text", m), "hits")
+        out = out.unionByName(seen.where((hit == 0) & (n > 0)).select(*names))
         dirty = seen.where(hit > 0)
     return out
