@@ -19,7 +19,7 @@ beforehand; within a group of equal sketches, members are tried against four lea
 not with each other, and a signature of very many sets is dealt over several tasks. Only
 in groups that still span several components afterwards are the members outside their
 largest component compared with all, block by block, by bit sketches, for a forest of the
-closest pairs. What is still apart then, in groups that had more such pairs, is compared
+closest pairs. What is still apart then, of the nodes of other such pairs, is compared
 once more by finer sketches. Links within a component change nothing.
 
 Defined cases: a null or empty text, or one without words: empty set, linked with
@@ -31,6 +31,7 @@ windows; other columns of any name stay out of the plan; an empty table gives no
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,10 +91,16 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     return map(_shingle, hashed_words(texts))
 
 
+#: Where bands of size begin; sets that link are in one band or in neighbouring ones.
+BANDS = [-(-(4**k) // 3**k) for k in range(1, 64)]
+
+
 def set_id(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set, as two signed numbers."""
+    """122 bits that name a set, as two signed numbers. The low six bits of the first
+    are the band of its size."""
     h = xxhash.xxh3_128_digest(tokens.tobytes())
-    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+    low = int.from_bytes(h[:8], "little", signed=True) & ~63
+    return low | bisect_right(BANDS, tokens.size), int.from_bytes(h[8:], "little", signed=True)
 
 
 def bit_sketch(tokens: np.ndarray, per_token: int = 2) -> bytes:
@@ -282,9 +289,9 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
 
 
 def _gather(spread: np.ndarray):
-    """Groups of equal signatures: pairs (kind 0: a leader with each other member; which
-    member leads depends on one of four orders, by the signature) and, for groups of
-    three and more, their members (kind 1: group, member)."""
+    """Groups of equal signatures and neighbouring bands of size: pairs (kind 0: a leader
+    with each other member; which member leads depends on one of four orders, by the
+    signature) and, for groups of three and more, their members (kind 1: group, member)."""
 
     def gather(batches):
         s = [np.zeros(0, np.uint64)]
@@ -301,13 +308,16 @@ def _gather(spread: np.ndarray):
             return
         several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         sig, who = sig[several], who[several]
+        # each member is in two windows of two bands
+        band = np.concatenate([who & 63, (who & 63) + 1])
+        sig, who = np.tile(sig, 2), np.tile(who, 2)
         with np.errstate(over="ignore"):
             turn = mix64(who.view(np.uint64) + np.array(_M[:4])[sig & np.uint64(3)])
-        order = np.lexsort((turn, sig))
-        sig, who = sig[order], who[order]
-        fresh = _runs(sig, who)
-        sig, who = sig[fresh], who[fresh]
-        first = np.flatnonzero(_runs(sig))
+        order = np.lexsort((turn, band, sig))
+        sig, band, who = sig[order], band[order], who[order]
+        fresh = _runs(sig, band, who)
+        sig, band, who = sig[fresh], band[fresh], who[fresh]
+        first = np.flatnonzero(_runs(sig, band))
         size = np.diff(np.append(first, sig.size))
         lead = np.repeat(who[first], size)
         a, b = np.minimum(lead, who), np.maximum(lead, who)
@@ -322,9 +332,9 @@ def _gather(spread: np.ndarray):
         dealt = spread[sig[first] >> np.uint64(56)] > 1
         big = (size >= 3) | dealt
         # a group's name: the sum of its members' mixed names, so that equal groups are
-        # told once; one that is dealt over several tasks goes by its signature
+        # told once; one that is dealt over several tasks goes by its signature and band
         with np.errstate(over="ignore"):
-            name = np.where(dealt, sig[first], np.add.reduceat(mix64(who.view(np.uint64)), first)).view(np.int64)
+            name = np.where(dealt, mix64(sig[first] + band[first].astype(np.uint64) * _M[2]), np.add.reduceat(mix64(who.view(np.uint64)), first)).view(np.int64)
         name, where = np.unique(name[big], return_index=True)
         starts, sizes = first[big][where], size[big][where]
         at = 0
@@ -414,8 +424,9 @@ def _fine(texts: DataFrame) -> DataFrame:
 
 def _across(members: DataFrame, label: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
     """Pairs (ra, rb, g) within groups that still span components, by bit sketches: all
-    of them, or only a forest over the components, of the closest pairs; ``more`` tells
-    that the group has others. ``members`` are (g, node), ``sketches`` (node, n, sketch).
+    of them, or only a forest over the components, of the closest pairs. Of a group with
+    other pairs besides, the nodes of all its pairs come as rows without ``rb``.
+    ``members`` are (g, node), ``sketches`` (node, n, sketch).
 
     Queries are the members outside their group's largest component; they meet all
     members. Both are dealt in blocks of bounded bytes, so a task's work is bounded
@@ -446,7 +457,7 @@ def _across(members: DataFrame, label: DataFrame, sketches: DataFrame, forest: b
         "g", "i", met.alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("answers"), (asks & (answers == F.col("i"))).alias("mine"), "node", "component"
     )
     rows = alone.unionByName(asking).unionByName(answering).join(sketches.select("node", "n", "sketch"), "node")
-    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_compare_blocks(forest), "ra long, rb long, g long, more boolean")
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_compare_blocks(forest), "ra long, rb long, g long")
 
 
 def _forest(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -468,9 +479,9 @@ def _forest(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(taken, np.int64)
 
 
-def _compare(t: pa.Table, forest: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of a block of queries and a block of a group that sketches let through, and
-    whether there are more."""
+def _compare(t: pa.Table, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a block of queries and a block of a group that sketches let through; and
+    the nodes of all such pairs, if not all are given."""
     sides = []
     for role in ("asks", "answers"):
         own = np.flatnonzero(t.column(role).to_numpy())
@@ -505,13 +516,15 @@ def _compare(t: pa.Table, forest: bool) -> tuple[np.ndarray, np.ndarray, bool]:
                     left.append(np.full(right[-1].size, x))
                     distance.append(far[near])
     if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        return (np.zeros(0, np.int64),) * 3
     x, y = np.concatenate(left), np.concatenate(right)
-    all_ = x.size
+    more = np.zeros(0, np.int64)
     if forest:
         kept = _forest(np.concatenate(distance), qcomp[x], comp[y])
+        if kept.size < x.size:
+            more = np.union1d(qnode[x], node[y])
         x, y = x[kept], y[kept]
-    return np.minimum(qnode[x], node[y]), np.maximum(qnode[x], node[y]), x.size < all_
+    return np.minimum(qnode[x], node[y]), np.maximum(qnode[x], node[y]), more
 
 
 def _compare_blocks(forest: bool):
@@ -526,10 +539,8 @@ def _compare_blocks(forest: bool):
             fresh = [p for p in zip(x.tolist(), y.tolist()) if p not in seen]
             if len(seen) < 2 * REMEMBERED:
                 seen.update(fresh)
-            if more and not fresh:
-                fresh = [(int(x[0]), int(y[0]))]  # that the group has more is told anyway
-            n = len(fresh)
-            return pa.RecordBatch.from_arrays([*[pa.array([p[i] for p in fresh], pa.int64()) for i in (0, 1)], pa.array([key[0]] * n, pa.int64()), pa.array([more] * n, pa.bool_())], ["ra", "rb", "g", "more"])
+            ra, rb = [p[0] for p in fresh] + more.tolist(), [p[1] for p in fresh] + [None] * more.size
+            return pa.RecordBatch.from_arrays([pa.array(ra, pa.int64()), pa.array(rb, pa.int64()), pa.array([key[0]] * len(ra), pa.int64())], ["ra", "rb", "g"])
 
         for batch in batches:
             if batch.num_rows == 0:
@@ -584,11 +595,11 @@ def _label(docs: DataFrame, about: DataFrame, classes: DataFrame) -> DataFrame:
             across = keep(_across(members, label, classes.select("node", "n", "sketch"), True), "across")
             if across.isEmpty():
                 break  # no group spans components by its sketches
-            tried = keep(across.select("ra", "rb").distinct().join(done, ["ra", "rb"], "left_anti"), "tried")
+            tried = keep(across.where("rb is not null").select("ra", "rb").distinct().join(done, ["ra", "rb"], "left_anti"), "tried")
             done = done.unionByName(tried)
             texts = texts.unionByName(_texts(docs, classes, _ends(tried).join(texts.select("node"), "node", "left_anti")))
         else:
-            members = keep(members.join(across.where("more").select("g").distinct(), "g", "left_semi"), "left")
+            members = keep(across.where("rb is null").select("g", F.col("ra").alias("node")).distinct(), "left")
             if members.isEmpty():
                 break  # all pairs that sketches let through have been tried
             texts = _texts(docs, classes, members.select("node").distinct())

@@ -384,7 +384,8 @@ def test_left_pairs_are_tried_after_a_known_forest(spark, monkeypatch):
 
     def left(members, label, sketches, forest):
         found = across(members, label, sketches, forest)
-        return found.select(F.lit(known[0][0]).alias("ra"), F.lit(known[0][1]).alias("rb"), "g", F.lit(True).alias("more")) if forest else found
+        pair = spark.createDataFrame([(*known[0], 0)], "ra long, rb long, g long")
+        return pair.unionByName(members.select(F.col("node").alias("ra"), F.lit(None).cast("long").alias("rb"), "g")) if forest else found
 
     monkeypatch.setattr(parity_join, "_near", near)
     monkeypatch.setattr(parity_join, "_across", left)
@@ -500,9 +501,23 @@ def test_words_alone_have_the_ids_of_the_text():
     assert [e.encode(o.encode()) for o in odd] == want
 
 
-def test_wavelet_queries():
+def test_other_tokenizers_take_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert wavelet.by_words(public_tokenizers.path("word_bpe_49k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, text = wavelet.encoder_of(path), "Two  words, ÉCOLE\n and CASE kept "
+    assert isinstance(e, wavelet.TextEncoder) and np.frombuffer(e.encode(text.encode()), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 15])
+def test_wavelet_queries(monkeypatch, chunk):
+    monkeypatch.setattr(wavelet, "CHUNK_BITS", chunk)  # 500 bits: several chunks, or one
     rng = np.random.default_rng(1)
     ids = rng.choice([0, 1, 5, 700, 49405], 500).astype("<u4")
+    empty = wavelet.Shard.parse(wavelet.encode_shard([], [], ids[:0]))
+    assert empty.decode().size == 0 and empty.count(0) == 0 and empty.occurrences(1) == []
     shard = wavelet.Shard.parse(wavelet.encode_shard([3, None], [200, 300], ids))
     assert (shard.decode() == ids).all() and shard.documents()[0] == [3, None]
     assert [shard.access(i) for i in range(0, 500, 37)] == ids[::37].tolist()
@@ -540,12 +555,12 @@ def test_matching_equals_search(spark, docs, none, block, short):
     items = [(i, cut(rng.choice([9 + 3, 15, 25]))) for i in range(12)] + [(100, "never seen anywhere at all in these texts of ours here"), (101, None), (102, "...")]
     items += [(1, items[1][1]), (None, items[2][1])] + ([(200, cut(2)), (201, cut(4)), (202, cut(1))] if short else [])
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = by_id(decontaminate.match(docs, table, block=block))
+    got = by_id(decontaminate.match(docs, table, block=block, at_once=2 * block))
     for i, t, *_ in ROWS:
         m = got[i].match
         assert (m.n_words, sorted(m.hit), sorted(m["items"])) == brute_hits(t, items)
     if not short:
-        left = decontaminate.remove(docs, table, block=block)
+        left = decontaminate.remove(docs, table, block=block, at_once=2 * block)
         assert left.columns == docs.columns
         rows = by_id(left)
         for i, t, _, _, n in ROWS:
@@ -556,6 +571,14 @@ def test_matching_equals_search(spark, docs, none, block, short):
     assert decontaminate.match(none, table).isEmpty() and not any(r.m.hit for r in decontaminate.match(docs, table.where("false"), into="m").collect())
 
 
+def test_a_long_item_is_cut_without_losing_windows(spark):
+    long = " ".join(f"w{k}" for k in range(200))
+    items = spark.createDataFrame([("x", long), ("y", "w0 w1"), (None, long)], "item_id string, text string")
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 10))) for k in range(0, 190, 7)], "doc_id long, text string")
+    got = by_id(decontaminate._match(docs, decontaminate.automata(items, 400, piece=30), "text", "match"))
+    assert all(len(r.match.hit) == 10 and "x" in r.match["items"] and (("y" in r.match["items"]) == (i == 0)) for i, r in got.items())
+
+
 @pytest.mark.parametrize("block", [1 << 24, 200])
 def test_removal_unites_blocks(spark, block):
     own = {i: [f"w{i}x{k}" for k in range(12)] for i in range(6)}
@@ -565,8 +588,8 @@ def test_removal_unites_blocks(spark, block):
     half = [(a * 10 + b, " ".join(own[a] + rest[:12] + own[b])) for a, b in pairs]  # a third of one item, a third of the other
     around = [(100 + a * 10 + b, " ".join(rest + own[a][:6] + own[b] + own[a][6:])) for a, b in pairs]  # one item closes up when the other is cut
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in half + around + [(999, "clean"), (1000, None)]], "doc_id long, text string, n_chars long")
-    assert (len(decontaminate.automata(table, block)) > 1) == (block == 200)
-    left = by_id(decontaminate.remove(docs, table, block=block))
+    assert (len(decontaminate.automata(table, block, block)) > 1) == (block == 200)
+    left = by_id(decontaminate.remove(docs, table, block=block, at_once=block))
     assert sorted(left) == sorted([i for i, _ in around] + [999, 1000])
     assert all(left[i].text.split() == rest and left[i].n_chars == len(left[i].text) for i, _ in around)
     assert (left[999].text, left[1000].text) == ("clean", None)
