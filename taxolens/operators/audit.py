@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from taxolens.functions.stats import sorted_sum
 from taxolens.functions.text import normalise_keywords, short_id
 from taxolens.operators.components import store
+from taxolens.operators.ordering import places
 
 LEVELS = ("subfield", "field", "domain")
 METHOD = "keyword-jaccard-v1"
@@ -37,38 +38,49 @@ def memberships(topics: DataFrame) -> DataFrame:
     return normalise_keywords(topics.select("topic_id", F.explode("keywords").alias("keyword"))).distinct()
 
 
+def _salted(members: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left`` joined with ``right`` on keyword. The left rows of a hot keyword of
+    ``members`` are dealt over SALTS tasks, its right rows go to each of them; other
+    keywords have one salt."""
+    hot = members.groupBy("keyword").count().where(F.col("count") > HOT_POSTING).select(F.col("keyword").alias("hot"))
+    one = left.columns[0]
+    dealt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(one), F.lit(SALTS))).otherwise(0)
+    every = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = left.join(hot, F.col("keyword") == F.col("hot"), "left").select(one, "keyword", dealt.cast("int").alias("salt"))
+    right = right.join(hot, F.col("keyword") == F.col("hot"), "left").select(right.columns[0], "keyword", F.explode(every).alias("salt"))
+    return left.join(right, ["keyword", "salt"])
+
+
 def overlaps(members: DataFrame, salted: bool = True) -> DataFrame:
     """(src, dst, shared): common keywords of ordered pairs of topics that have any.
 
-    Pairs of one frequent keyword are the cost of this join. With ``salted``, each side
-    is dealt by keyword and salt: the left rows of a hot keyword go to SALTS tasks, and
-    its right rows to each of them; other keywords have one salt."""
+    Pairs of one frequent keyword are the cost of this join; ``salted`` deals them over
+    several tasks."""
     left, right = members.select(F.col("topic_id").alias("src"), "keyword"), members.select(F.col("topic_id").alias("dst"), "keyword")
-    on = ["keyword"]
-    if salted:
-        hot = members.groupBy("keyword").count().where(F.col("count") > HOT_POSTING).select(F.col("keyword").alias("hot"))
-        dealt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("src"), F.lit(SALTS))).otherwise(0)
-        every = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        left = left.join(hot, F.col("keyword") == F.col("hot"), "left").select("src", "keyword", dealt.cast("int").alias("salt"))
-        right = right.join(hot, F.col("keyword") == F.col("hot"), "left").select("dst", "keyword", F.explode(every).alias("salt"))
-        on = ["keyword", "salt"]
-    return left.join(right, on).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def neighbours(topics: DataFrame, k: int = 10, salted: bool = False) -> DataFrame:
+    met = _salted(members, left, right) if salted else left.join(right, "keyword")
+    return met.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def neighbours(topics: DataFrame, k: int = 10) -> DataFrame:
     """(src, dst, shared, all, similarity, place): the k best neighbours of each topic,
-    by similarity, then by id; ``all`` is the size of the union of keywords."""
+    by similarity, then by id; ``all`` is the size of the union of keywords.
+
+    Topics go by numbers in the order of their ids, each with the size of its keyword
+    set, so a pair is two short rows that meet once; a hot keyword is dealt over salts."""
     members = memberships(topics)
     sizes = members.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = overlaps(members, salted)
-    scored = (
-        pairs.join(sizes.select(F.col("topic_id").alias("src"), F.col("n").alias("a")), "src")
-        .join(sizes.select(F.col("topic_id").alias("dst"), F.col("n").alias("b")), "dst")
-        .select("src", "dst", "shared", (F.col("a") + F.col("b") - F.col("shared")).alias("all"))
-        .withColumn("similarity", F.col("shared") / F.col("all"))
-    )
+    numbered = places(sizes, [F.col("topic_id")], into="id")
+    coded = store(members.join(numbered.select("topic_id", F.struct(F.col("id"), F.col("n")).alias("t")), "topic_id").select("t", "keyword"), "coded")
+    a, b = coded.select(F.col("t").alias("a"), "keyword"), coded.select(F.col("t").alias("b"), "keyword")
+    met = _salted(coded, a, b).where("a.id < b.id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    scored = met.select("a.id", F.col("b.id").alias("to"), "shared", (F.col("a.n") + F.col("b.n") - F.col("shared")).alias("all")).withColumn("similarity", F.col("shared") / F.col("all"))
+    ends = F.explode(F.array(F.struct(F.col("id").alias("src"), F.col("to").alias("dst")), F.struct(F.col("to").alias("src"), F.col("id").alias("dst"))))
+    both = scored.select(ends.alias("e"), "shared", "all", "similarity").select("e.*", "shared", "all", "similarity")
     best = Window.partitionBy("src").orderBy(F.col("similarity").desc(), "dst")
-    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    kept = both.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    named = lambda c: numbered.select(F.col("id").alias(f"{c}_id"), F.col("topic_id").alias(f"{c}_name"))
+    found = kept.join(named("src"), F.col("src") == F.col("src_id")).join(named("dst"), F.col("dst") == F.col("dst_id"))
+    return found.select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "shared", "all", "similarity", "place")
 
 
 def shared_keywords(near: DataFrame, topics: DataFrame) -> DataFrame:
@@ -128,16 +140,8 @@ def assess(topics: DataFrame, k: int = 10, level: str = "subfield", near: DataFr
 
 
 def rank(assessed: DataFrame) -> DataFrame:
-    """Adds ``rank``, 1 to n, by score (highest first), then by short topic id.
-
-    Rows are range-partitioned in that order and numbered within their partition; the
-    sizes of the partitions before give the offset, so no task sorts all rows."""
-    order = [F.col("score").desc(), short_id("topic_id")]
-    placed = store(assessed.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "rank")
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    return placed.join(offsets, "__part").withColumn("rank", F.col("__offset") + F.col("__row") + 1).drop("__part", "__row", "__offset")
+    """Adds ``rank``, 1 to n, by score (highest first), then by short topic id."""
+    return places(assessed, [F.col("score").desc(), short_id("topic_id")], into="rank")
 
 
 def summary(assessed: DataFrame) -> DataFrame:

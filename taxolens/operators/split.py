@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolens.functions.stats import coherence, dot, unit, vector_sums
+from taxolens.operators.ordering import places
 from taxolens.session import ship
 
 # Fixed values.
@@ -22,7 +23,7 @@ MOST_SAMPLED = 10_000
 INSUFFICIENT, PROPOSED, UNSUPPORTED = "insufficient_evidence", "proposed_split", "no_supported_split"
 
 
-# Words without a subject, of this engine's own choice.
+# Words without a subject, of this engine's own choice.
 STOP_WORDS = (
     "about above after again against all also am an and any are as at be because been before being below between both but by can cannot could did do does "
     "doing down during each either else ever every few for from further had has have having he her here hers him his how however if in into is it its "
@@ -33,9 +34,13 @@ STOP_WORDS = (
 
 
 def grams(text: Column, stop: list[str]) -> Column:
-    """Words of two and more word characters without stop words, then word pairs."""
-    stops = F.array(*[F.lit(w) for w in stop])
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda w: ~F.array_contains(stops, w))
+    """Words of two and more word characters without stop words, then word pairs.
+
+    Stop words are passed over by the expression itself: a match begins where a run of
+    word characters does, and not where that run is a stop word."""
+    run = r"[\p{L}\p{N}_]"
+    shut = f"(?!(?:{'|'.join(stop)})(?!{run}))" if stop else ""
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{run}){shut}({run}{{2,}})"), F.lit(1))
     n = F.size(words)
     pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, pairs)
@@ -46,20 +51,29 @@ def term_counts(docs: DataFrame, text: str, stop: list[str]) -> DataFrame:
     return docs.select("sink", "work_id", F.explode(grams(F.col(text), stop)).alias("term")).groupBy("sink", "work_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, docs: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, most: int = MAX_FEATURES) -> DataFrame:
-    """(sink, term, df, cf, idf): terms in at least ``min_df`` documents and at most a
-    share ``max_df`` of them, the ``most`` frequent of a sink; smoothed idf."""
+def term_totals(docs: DataFrame, text: str, stop: list[str]) -> DataFrame:
+    """(sink, term, df, cf): documents that have a term, and its occurrences. A document's
+    terms lie in one row, so both are summed by term at once, before any shuffle."""
+    each = docs.select("sink", grams(F.col(text), stop).alias("g")).select("sink", F.explode(F.array(F.struct(F.col("g").alias("terms"), F.lit(0).alias("d")), F.struct(F.array_distinct("g").alias("terms"), F.lit(1).alias("d")))).alias("x"))
+    terms = each.select("sink", "x.d", F.explode("x.terms").alias("term"))
+    return terms.groupBy("sink", "term").agg(F.sum(F.col("d").cast("long")).alias("df"), F.sum((1 - F.col("d")).cast("long")).alias("cf"))
+
+
+def vocabulary(totals: DataFrame, docs: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, most: int = MAX_FEATURES) -> DataFrame:
+    """(sink, term, df, cf, idf): of ``totals`` (``term_totals``), terms in at least
+    ``min_df`` documents and at most a share ``max_df`` of them, the ``most`` frequent of a
+    sink (ties by term); smoothed idf."""
     n = docs.groupBy("sink").agg(F.count(F.lit(1)).alias("n"))
-    terms = counts.groupBy("sink", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).join(n, "sink").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    order = Window.partitionBy("sink").orderBy(F.col("cf").desc(), "term")
+    terms = totals.join(n, "sink").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    return terms.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("sink", "term", "df", "cf", idf.alias("idf"))
+    ordered = places(terms, [F.col("cf").desc(), F.col("term")], ["sink"])
+    return ordered.where(F.col("place") <= most).select("sink", "term", "df", "cf", idf.alias("idf"))
 
 
 def tfidf(docs: DataFrame, text: str, stop: list[str], **limits) -> DataFrame:
     """(sink, work_id, term, weight): sublinear tf times idf, rows of length 1."""
-    counts = term_counts(docs, text, stop)
-    raw = counts.join(vocabulary(counts, docs, **limits), ["sink", "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    known = vocabulary(term_totals(docs, text, stop), docs, **limits)
+    raw = term_counts(docs, text, stop).join(known, ["sink", "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     size = raw.groupBy("sink", "work_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     return raw.join(size, ["sink", "work_id"]).select("sink", "work_id", "term", (F.col("w") / F.col("size")).alias("weight"))
 

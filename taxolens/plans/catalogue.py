@@ -52,13 +52,13 @@ def coverage_by_source(x: Fixture) -> DataFrame:
 
 @query
 def topic_dims(x: Fixture) -> DataFrame:
-    return validate.hierarchy(x.topics()).withColumn("id", text.short_id("id")).withColumn("parent_id", text.short_id("parent_id"))
+    return validate.hierarchy(x.bare_topics()).withColumn("id", text.short_id("id")).withColumn("parent_id", text.short_id("parent_id"))
 
 
 @query
 def hierarchy_fd_violations(x: Fixture) -> DataFrame:
     # the market segment filed as a field: several segments to a nation
-    mixed = x.topics().join(x.t.customer.select(F.col("c_name").alias("topic"), "c_mktsegment"), "topic").withColumn("field_name", F.col("c_mktsegment")).withColumn("field_id", F.concat(F.lit("f/"), "c_mktsegment"))
+    mixed = x.bare_topics().join(x.t.customer.select(F.col("c_name").alias("topic"), "c_mktsegment"), "topic").withColumn("field_name", F.col("c_mktsegment")).withColumn("field_id", F.concat(F.lit("f/"), "c_mktsegment"))
     return validate.hierarchy_breaks(mixed)
 
 
@@ -72,7 +72,7 @@ def topic_violations(x: Fixture) -> DataFrame:
 
 @query
 def duplicate_topics(x: Fixture) -> DataFrame:
-    return validate.repeated(x.topics().unionByName(x.topics().where("works_count > 15")).select("topic_id"), "topic_id").withColumnRenamed("count", "rows")
+    return validate.repeated(x.bare_topics().unionByName(x.bare_topics().where("works_count > 15")).select("topic_id"), "topic_id").withColumnRenamed("count", "rows")
 
 
 @query
@@ -102,7 +102,7 @@ def keyword_overlap_salted(x: Fixture) -> DataFrame:
 @query
 def keyword_overlap_counts(x: Fixture) -> DataFrame:
     """All lines of the orders: the large posting-list join."""
-    pairs = audit.overlaps(audit.memberships(x.topics(0)), salted=False)
+    pairs = audit.overlaps(audit.memberships(x.topics()))
     return pairs.groupBy("shared").agg(F.count(F.lit(1)).alias("pairs"))
 
 
@@ -169,7 +169,7 @@ def audit_top50(x: Fixture) -> DataFrame:
 
 @query
 def oversized_topics(x: Fixture) -> DataFrame:
-    return partition.oversized(x.topics(), 1.6).select("topic_id", "works_count", F.col("median_topic_works").cast("double").alias("median_topic_works"))
+    return partition.oversized(x.bare_topics(), 1.6).select("topic_id", "works_count", F.col("median_topic_works").cast("double").alias("median_topic_works"))
 
 
 @query
@@ -280,7 +280,7 @@ def threshold_curve(x: Fixture) -> DataFrame:
 
 @query
 def fitted_threshold(x: Fixture) -> DataFrame:
-    rows = x.predicted().where("partition = 'calibration'").withColumn("confidence", F.round("confidence", 2))
+    rows = store(x.predicted().where("partition = 'calibration'").withColumn("confidence", F.round("confidence", 2)), "predicted")
     out = None
     for reference in ("primary", "any_topic"):
         for target in (TARGET, 0.9):
@@ -291,13 +291,13 @@ def fitted_threshold(x: Fixture) -> DataFrame:
 
 @query
 def selective_metrics(x: Fixture) -> DataFrame:
-    rows = x.predicted().withColumn("confidence", F.round("confidence", 2))
+    rows = store(x.predicted().withColumn("confidence", F.round("confidence", 2)), "predicted")
     return place.evaluate(rows, TARGET, MINIMUM).select("reference", "threshold", "total", "accepted", "correct", r("coverage"), r("precision"), r("precision_low"), r("precision_high"), r("unthresholded_accuracy"), "status")
 
 
 @query
 def metrics_by_type(x: Fixture) -> DataFrame:
-    rows = x.predicted().withColumn("confidence", F.round("confidence", 2))
+    rows = store(x.predicted().withColumn("confidence", F.round("confidence", 2)), "predicted")
     return place.evaluate(rows, TARGET, MINIMUM, ["type"]).select("reference", "type", "total", "accepted", "correct", r("coverage"), r("precision"))
 
 
@@ -344,8 +344,8 @@ def cache_misses(x: Fixture) -> DataFrame:
 
 @query
 def tfidf_terms(x: Fixture) -> DataFrame:
-    counts = split.term_counts(x.text_sinks, "text", split.STOP_WORDS)
-    return split.vocabulary(counts, x.text_sinks).select("sink", "term", "df", "cf", r("idf"))
+    totals = split.term_totals(x.text_sinks, "text", split.STOP_WORDS)
+    return split.vocabulary(totals, x.text_sinks).select("sink", "term", "df", "cf", r("idf"))
 
 
 @query
@@ -394,7 +394,7 @@ def split_assignments(x: Fixture) -> DataFrame:
 
 @query
 def split_text_sinks(x: Fixture) -> DataFrame:
-    rows = split.tfidf_rows(partition.sample_by(x.text_sinks, "sink", "work_id", 100), "text", split.STOP_WORDS, most=2000)
+    rows = split.tfidf_rows(partition.sample_by(x.text_sinks, "sink", "work_id", 300), "text", split.STOP_WORDS)
     return split.split_sinks(rows).select("sink", "sampled", "usable", "status", "reason", "chosen_k", F.round("silhouette", 6).alias("silhouette"))
 
 
@@ -404,7 +404,7 @@ def split_text_sinks(x: Fixture) -> DataFrame:
 @query
 def review_cover_check(x: Fixture) -> DataFrame:
     order = Window.orderBy(F.col("works_count").desc(), "topic_id")
-    topics = x.topics().select("topic_id", "works_count").orderBy(F.col("works_count").desc(), "topic_id").limit(60).withColumn("n", F.row_number().over(order))
+    topics = x.bare_topics().select("topic_id", "works_count").orderBy(F.col("works_count").desc(), "topic_id").limit(60).withColumn("n", F.row_number().over(order))
     judgment = F.when(F.col("n") % 20 == 0, "unsure").when(F.col("n") % 3 == 0, "unresolved").otherwise("plausible_placement")
     notes = topics.where("n > 5").select("topic_id", judgment.alias("judgment"), F.when(F.col("n") % 25 == 0, "").otherwise("read").alias("reason"), F.lit("0").alias("input_sha256"))
     return validate.review_gaps(topics.where("n <= 50"), notes)
@@ -416,25 +416,6 @@ def judgment_counts(x: Fixture) -> DataFrame:
     return rows.groupBy("judgment").agg(F.count(F.lit(1)).alias("topics"))
 
 
-# ---- keywords of all lines ---------------------------------------------------------------------
-
-
-def over_all_lines(f) -> None:
-    """Register a query on topics once more, with the keywords of all lines."""
-
-    def run(spark, folder: str) -> DataFrame:
-        return f(Fixture(spark, folder, least=0))
-
-    QUERIES[f"{f.__name__}_all"] = run
-
-
-for _f in (
-    keyword_memberships, keyword_overlap, keyword_overlap_salted, jaccard_topk, parent_shares, plurality_parent,
-    audit_subfield, audit_field, audit_domain, audit_summary, audit_top50, topic_csv_projection,
-):
-    over_all_lines(_f)
-
-
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -19,8 +19,9 @@ from taxolens.operators import partition, place
 from taxolens.session import ship
 
 PREFIX = "https://openalex.org/"
-#: Keywords come from lines of at least this quantity ("quality"), or all ("bench").
-QUALITY = 46
+
+
+PARENTS = [f"{v}_{w}" for v in ("subfield", "field", "domain") for w in ("id", "name")]
 
 
 class Tables:
@@ -38,33 +39,36 @@ class Tables:
 class Fixture:
     """Topics, works and sinks of one folder of tables."""
 
-    def __init__(self, spark: SparkSession, folder: str, least: int = QUALITY):
+    def __init__(self, spark: SparkSession, folder: str):
         ship(spark)
-        self.spark, self.t, self.least = spark, Tables(spark, folder), least
+        self.spark, self.t = spark, Tables(spark, folder)
 
     # -- topics
-    def keywords(self, least: int | None = None) -> DataFrame:
-        """(topic_id, keyword), repeated as ordered."""
-        t, least = self.t, self.least if least is None else least
-        lines = t.lineitem.where(F.col("l_quantity") >= least).select("l_orderkey", "l_partkey")
+    def keywords(self) -> DataFrame:
+        """(topic_id, keyword) of all lines, repeated as ordered."""
+        t = self.t
+        lines = t.lineitem.select("l_orderkey", "l_partkey")
         words = t.part.select("p_partkey", F.lower(F.concat_ws(" ", "p_brand", "p_name", "p_type", "p_size")).alias("keyword"))
         orders = t.orders.select("o_orderkey", F.concat(F.lit(PREFIX + "T"), "o_custkey").alias("topic_id"))
         return lines.join(words, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("topic_id", "keyword")
 
-    def topics(self, least: int | None = None) -> DataFrame:
+    def topics(self) -> DataFrame:
+        """Topics with their keywords."""
+        words = self.keywords().groupBy("topic_id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
+        own = [F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords") if c == "keywords" else c for c in ("topic_id", "topic", "keywords", "works_count", *PARENTS)]
+        return self.bare_topics().join(words, "topic_id", "left").select(*own)
+
+    def bare_topics(self) -> DataFrame:
+        """Topics without keywords, for what needs none."""
         t = self.t
-        words = self.keywords(least).groupBy("topic_id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
         works = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("works_count"))
         parents = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
             F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit(PREFIX + "subfields/"), "n_nationkey").alias("subfield_id"), F.col("n_name").alias("subfield_name"),
             F.concat(F.lit(PREFIX + "fields/"), "n_regionkey").alias("field_id"), F.col("r_name").alias("field_name"),
             F.concat(F.lit(PREFIX + "domains/"), (F.col("n_regionkey") % 2).cast("int")).alias("domain_id"), F.concat(F.lit("Domain "), (F.col("n_regionkey") % 2).cast("int")).alias("domain_name"),
         )
-        base = t.customer.join(works, "c_custkey", "left").join(parents, "c_nationkey").withColumn("topic_id", F.concat(F.lit(PREFIX + "T"), "c_custkey"))
-        return base.join(words, "topic_id", "left").select(
-            "topic_id", F.col("c_name").alias("topic"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), F.coalesce("works_count", F.lit(0)).cast("long").alias("works_count"),
-            *[f"{v}_{w}" for v in ("subfield", "field", "domain") for w in ("id", "name")],
-        )
+        base = t.customer.join(works, "c_custkey", "left").join(parents, "c_nationkey")
+        return base.select(F.concat(F.lit(PREFIX + "T"), "c_custkey").alias("topic_id"), F.col("c_name").alias("topic"), F.coalesce("works_count", F.lit(0)).cast("long").alias("works_count"), *PARENTS)
 
     # -- labelled works
     @cached_property

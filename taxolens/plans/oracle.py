@@ -7,10 +7,9 @@ from taxolens.operators.split import STOP_WORDS
 PREFIX = "https://openalex.org/"
 
 
-def _members(least: int = 46) -> str:
-    return f"""members AS (
+MEMBERS = f"""members AS (
   SELECT DISTINCT '{PREFIX}T' || o_custkey AS topic_id, lower(concat_ws(' ', p_brand, p_name, p_type, p_size)) AS keyword
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= {least})"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 TOPICS = f"""topics AS (
@@ -29,7 +28,7 @@ near AS (
       row_number() OVER (PARTITION BY src ORDER BY shared / (s.n + d.n - shared)::DOUBLE DESC, dst) AS place
     FROM pairs JOIN sizes s ON s.topic_id = src JOIN sizes d ON d.topic_id = dst) WHERE place <= 10)"""
 
-AUDIT = f"WITH {_members()}, {TOPICS}, {NEAR}"
+AUDIT = f"WITH {MEMBERS}, {TOPICS}, {NEAR}"
 
 
 def _shares(level: str) -> str:
@@ -179,24 +178,24 @@ WITH a AS (SELECT year(o_orderdate)::BIGINT AS publication_year, count(*) AS una
 b AS (SELECT year(o_orderdate)::BIGINT AS publication_year, count(*) AS total_works FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1)
 SELECT publication_year, unassigned_works, total_works FROM a LEFT JOIN b USING (publication_year)""",
     "coverage_by_source": "SELECT event_type AS type, user_id AS source_id, count(*) AS unassigned_works FROM events GROUP BY 1, 2 HAVING count(*) >= 5",
-    "topic_dims": f"""WITH {_members()}, {TOPICS}
+    "topic_dims": f"""WITH {MEMBERS}, {TOPICS}
 SELECT DISTINCT 'subfield' AS level, split_part(subfield_id, '/', -1) AS id, subfield_name AS name, split_part(field_id, '/', -1) AS parent_id FROM topics
 UNION ALL SELECT DISTINCT 'field', split_part(field_id, '/', -1), field_name, split_part(domain_id, '/', -1) FROM topics
 UNION ALL SELECT DISTINCT 'domain', split_part(domain_id, '/', -1), domain_name, NULL FROM topics""",
-    "hierarchy_fd_violations": f"""WITH {_members()}, {TOPICS}, t AS (SELECT * REPLACE ('f/' || c_mktsegment AS field_id, c_mktsegment AS field_name) FROM topics),
+    "hierarchy_fd_violations": f"""WITH {MEMBERS}, {TOPICS}, t AS (SELECT * REPLACE ('f/' || c_mktsegment AS field_id, c_mktsegment AS field_name) FROM topics),
 rows AS (
   SELECT 'subfield' AS level, subfield_id AS id, subfield_name || '#' || field_id || '|' || domain_id AS identity FROM t
   UNION ALL SELECT 'field', field_id, field_name || '#' || domain_id FROM t UNION ALL SELECT 'domain', domain_id, domain_name FROM t)
 SELECT level, id, count(DISTINCT identity) AS versions FROM rows GROUP BY 1, 2 HAVING count(DISTINCT identity) > 1""",
     "topic_violations": """SELECT reason, count(*) AS topics FROM (
   SELECT unnest(list_concat(CASE WHEN c_custkey % 11 = 0 THEN ['topic id'] ELSE [] END, CASE WHEN c_custkey % 7 = 0 THEN ['display name'] ELSE [] END)) AS reason FROM customer) GROUP BY 1""",
-    "duplicate_topics": f"WITH {_members()}, {TOPICS} SELECT topic_id, 2::BIGINT AS rows FROM topics WHERE works_count > 15",
-    "topic_csv_projection": f"""WITH {_members()}, {TOPICS}
+    "duplicate_topics": f"WITH {MEMBERS}, {TOPICS} SELECT topic_id, 2::BIGINT AS rows FROM topics WHERE works_count > 15",
+    "topic_csv_projection": f"""WITH {MEMBERS}, {TOPICS}
 SELECT split_part(topic_id, '/', -1) AS topic_id, topic, split_part(subfield_id, '/', -1) AS subfield_id, subfield_name AS subfield, split_part(field_id, '/', -1) AS field_id, field_name AS field,
   split_part(domain_id, '/', -1) AS domain_id, domain_name AS domain, works_count, keyword_count FROM topics""",
-    "keyword_memberships": f"WITH {_members()} SELECT topic_id, keyword FROM members",
-    "keyword_overlap": f"WITH {_members()} SELECT a.topic_id AS src, b.topic_id AS dst, count(*) AS shared FROM members a JOIN members b ON a.keyword = b.keyword AND a.topic_id <> b.topic_id GROUP BY 1, 2",
-    "keyword_overlap_counts": f"""WITH {_members(0)}, pairs AS (SELECT a.topic_id AS src, b.topic_id AS dst, count(*) AS shared FROM members a JOIN members b ON a.keyword = b.keyword AND a.topic_id <> b.topic_id GROUP BY 1, 2)
+    "keyword_memberships": f"WITH {MEMBERS} SELECT topic_id, keyword FROM members",
+    "keyword_overlap": f"WITH {MEMBERS} SELECT a.topic_id AS src, b.topic_id AS dst, count(*) AS shared FROM members a JOIN members b ON a.keyword = b.keyword AND a.topic_id <> b.topic_id GROUP BY 1, 2",
+    "keyword_overlap_counts": f"""WITH {MEMBERS}, pairs AS (SELECT a.topic_id AS src, b.topic_id AS dst, count(*) AS shared FROM members a JOIN members b ON a.keyword = b.keyword AND a.topic_id <> b.topic_id GROUP BY 1, 2)
 SELECT shared, count(*) AS pairs FROM pairs GROUP BY 1""",
     "jaccard_topk": f"""{AUDIT}
 SELECT src, dst, shared, all_keywords, round(similarity, 9) AS similarity, place,
@@ -207,7 +206,7 @@ SELECT level, topic_id, parent_id, round(share, 9) AS share, count, own, place F
     **{f"audit_{v}": f"{_assessed(v)} SELECT * FROM ranked" for v in ("subfield", "field", "domain")},
     "audit_summary": f"""{_assessed("subfield")} SELECT s.status, count(r.status) AS topics FROM (SELECT unnest(['review', 'consistent', 'insufficient_evidence']) AS status) s LEFT JOIN ranked r USING (status) GROUP BY 1""",
     "audit_top50": f"""{_assessed("subfield")} SELECT rank, topic_id, status, score, stated_id, plurality_id FROM ranked WHERE rank <= 50""",
-    "oversized_topics": f"""WITH {_members()}, {TOPICS}, m AS (SELECT median(works_count)::DOUBLE AS median_topic_works FROM topics)
+    "oversized_topics": f"""WITH {MEMBERS}, {TOPICS}, m AS (SELECT median(works_count)::DOUBLE AS median_topic_works FROM topics)
 SELECT topic_id, works_count, median_topic_works FROM topics, m WHERE works_count > 1.6 * median_topic_works""",
     "seeded_sample": "SELECT 'O' || o_orderkey AS id, o_totalprice FROM orders ORDER BY sha256('42:O' || o_orderkey), 1 LIMIT 100",
     "sink_samples": "SELECT 'W' || vec_id AS work_id, 'T' || label AS sink_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY sha256('42:W' || vec_id), 'W' || vec_id) <= 20",
@@ -287,7 +286,7 @@ SELECT 'all' AS sink, round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a,
     "cluster_representatives": f"""WITH {VECTORS}, c AS (SELECT cluster, work_id, list_dot_product(vector, s) / sqrt(list_dot_product(s, s)) AS cosine FROM v JOIN sums USING (cluster)),
 p AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(cosine, 9) DESC, work_id) AS place FROM c)
 SELECT cluster, work_id, round(cosine, 6) AS cosine, place FROM p WHERE place <= 5""",
-    "review_cover_check": f"""WITH {_members()}, {TOPICS}, r AS (SELECT topic_id, row_number() OVER (ORDER BY works_count DESC, topic_id) AS n FROM topics QUALIFY n <= 60)
+    "review_cover_check": f"""WITH {MEMBERS}, {TOPICS}, r AS (SELECT topic_id, row_number() OVER (ORDER BY works_count DESC, topic_id) AS n FROM topics QUALIFY n <= 60)
 SELECT topic_id, 'not reviewed' AS reason FROM r WHERE n <= 5 UNION ALL SELECT topic_id, 'not in the top' FROM r WHERE n > 50
 UNION ALL SELECT topic_id, CASE WHEN n % 20 = 0 THEN 'unknown judgment' ELSE 'no reason' END FROM r WHERE n > 5 AND (n % 20 = 0 OR n % 25 = 0)""",
     "judgment_counts": "SELECT ['placement_candidate', 'plausible_placement', 'unresolved'][c_custkey % 3 + 1] AS judgment, count(*) AS topics FROM customer GROUP BY 1",

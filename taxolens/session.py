@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import zipfile
@@ -29,12 +30,16 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (one machine, as in tests) is one made, which goes
-    when Python ends."""
+    Only where the session names none and runs on one machine, as in tests, is one made,
+    which goes when Python ends; on a cluster that is an error, for executors would each
+    write to a disk of their own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("taxolens.local.shared", None)
         if not found:
+            master = spark.sparkContext.master
+            if not re.match(r"local($|\[)", master):
+                raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
             path = tempfile.mkdtemp(prefix="taxolens-shared-")
             atexit.register(shutil.rmtree, path, ignore_errors=True)
             found = f"file://{path}"
