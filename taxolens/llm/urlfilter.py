@@ -7,27 +7,32 @@ the corpus that the first lets through, the third the listed keys that the secon
 lets through, and so on until a level lets nothing wrong through. Over the key
 universe it was built for, membership is exact, without joining urls to the list.
 
-The universe is every key of the corpus, so nothing outside it is ever asked.
-Building is distributed: keys and their bit positions stay in DataFrames, and only
-the levels (bounded by ``SHARD_KEYS`` listed keys a shard, ``SHARDS_AT_ONCE`` shards
-in one broadcast) reach the driver. Where the list needs more shards than that, the
-shards are asked block by block, each row by the shard of its own key.
-
-Defined cases: a null url or one without ``://`` has an empty host and path, fits no
-rule and is allowed; a table without rows gives none; repeated urls are each judged.
+The list is a table of keys, of any length; the universe is every key of the corpus, so
+nothing outside it is ever asked. Building is distributed: keys and their bit positions
+stay in DataFrames, and each level of each shard (``SHARD_KEYS`` listed keys) is written as
+a file to the shared folder. The driver gets a path and a size a file. Workers read the
+files of the shards that their rows ask for and keep the last ``FILES_KEPT`` of them.
+
+Defined cases: a null or empty url or one without ``://`` has an empty host and path, fits
+no rule and is allowed; of rules of one length that fit, the last in order of host and path
+wins; repeated urls are each judged, repeated and null keys of the list count once and
+never; a very long url is matched as it is; input columns named host, path, rule, verdict
+or listed are replaced, all others stay; a table without rows gives none, an empty list
+blocks nothing.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import keep
+from taxolens.llm.common import fresh_path, keep, open_shared, publish, release
 
 # Fixed values: (host, path, verdict).
 RULES = [
@@ -37,10 +42,9 @@ RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
-#: Production list of blocked names: a host is listed if its key has one of these as a label.
-LISTED_LABELS = ("spam-farm", "casino", "ththon", "ththed", "ththor")
 SHARD_KEYS = 1 << 20
-SHARDS_AT_ONCE = 16
+#: Files of 1.25 MB and less that a worker keeps.
+FILES_KEPT = 64
 BITS_PER_KEY = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,26 +78,47 @@ K = 4
 
 @dataclass
 class Cascade:
-    """``levels[i][shard]`` is (bits, filter); keys go to ``hash % shards``."""
+    """``levels[i][shard]`` is (bits, path of the filter); keys go to ``hash % shards``."""
 
     shards: int
-    levels: list[dict[int, tuple[int, bytes]]]
+    levels: list[dict[int, tuple[int, str]]]
 
 
 def _hashes(key: Column, levels: range) -> Column:
     return F.array(*[F.xxhash64(key, F.lit(x)) for level in levels for x in range(K * level, K * level + K)])
 
 
-def build(universe: DataFrame, listed: Column, shard_keys: int = SHARD_KEYS, max_levels: int = 40) -> Cascade:
-    """The cascade over the distinct ``key`` column of ``universe``; ``listed`` marks
-    the keys that the list names. What the driver gets is bits, ``BITS_PER_KEY`` a key
-    of the level, from distinct 64-bit words."""
-    keys = universe.where(F.col("key").isNotNull()).select("key").distinct().withColumn("listed", listed)
+def _write(sizes: dict[int, int], folder: str):
+    """Words of a level's filters (shard, word, bits) as files: rows (shard, path)."""
+
+    def write(batches):
+        filters: dict[int, np.ndarray] = {}
+        for batch in batches:
+            shard, word, bits = (batch.column(i).to_numpy() for i in range(3))
+            for s in np.unique(shard).tolist():
+                own = filters.setdefault(s, np.zeros((sizes[s] + 63) // 64, np.int64))
+                own[word[shard == s]] = bits[shard == s]
+        paths = []
+        for s, own in filters.items():
+            paths.append(f"{folder}/shard-{s:06d}.bits")
+            publish(paths[-1], own.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(list(filters), pa.int32()), pa.array(paths, pa.string())], ["shard", "path"])
+        release()
+
+    return write
+
+
+def build(universe: DataFrame, listed: DataFrame, shard_keys: int = SHARD_KEYS, max_levels: int = 40) -> Cascade:
+    """The cascade over the distinct ``key`` column of ``universe``; ``listed`` has the
+    keys that are listed, in its column ``key``."""
+    spark = universe.sparkSession
+    known = listed.where(F.col("key").isNotNull()).select("key", F.lit(True).alias("named")).distinct()
+    keys = universe.where(F.col("key").isNotNull()).select("key").distinct().join(known, "key", "left").select("key", F.coalesce("named", F.lit(False)).alias("listed"))
     keys = keep(keys, "cascade-keys")
     shards = max(1, math.ceil(keys.where("listed").count() / shard_keys))
     keys = keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     inside, outside = keys.where("listed").select("key", "shard"), keys.where("not listed").select("key", "shard")
-    levels: list[dict[int, tuple[int, bytes]]] = []
+    levels: list[dict[int, tuple[int, str]]] = []
     for level in range(max_levels):
         count = dict(inside.groupBy("shard").count().collect())  # a number a shard
         if not count:
@@ -101,19 +126,14 @@ def build(universe: DataFrame, listed: Column, shard_keys: int = SHARD_KEYS, max
         sizes = {s: max(64, BITS_PER_KEY * c) for s, c in count.items()}
         size = F.create_map(*[F.lit(x) for p in sizes.items() for x in p])[F.col("shard")].cast("long")
         at = F.transform(_hashes(F.col("key"), range(level, level + 1)), lambda h: F.pmod(h, size))
-        words = (
+        words = keep(
             inside.select("shard", F.explode(at).alias("at"))
             .groupBy("shard", F.shiftright("at", 6).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")),
+            "cascade-words",
         )
-        got = words.toArrow()
-        shard, word, bits = (got.column(c).to_numpy() for c in ("shard", "word", "bits"))
-        found = {}
-        for s, m in sizes.items():
-            own = np.zeros((m + 63) // 64, np.int64)
-            own[word[shard == s]] = bits[shard == s]
-            found[s] = (m, own.tobytes())
-        levels.append(found)
+        files = words.repartition(len(sizes), "shard").mapInArrow(_write(sizes, fresh_path(spark, f"cascade-{level}")), "shard int, path string").collect()  # a path a shard
+        levels.append({r.shard: (sizes[r.shard], r.path) for r in files})
         # which of the others are let through: their bits joined with the level's words
         passed = (
             outside.where(F.col("shard").isin(*sizes)).select("key", "shard", F.explode(F.array_distinct(at)).alias("at"))
@@ -127,26 +147,34 @@ def build(universe: DataFrame, listed: Column, shard_keys: int = SHARD_KEYS, max
     raise RuntimeError(f"the cascade has not ended after {max_levels} levels")
 
 
-def _member(levels: list[dict[int, tuple[int, bytes]]]):
+@lru_cache(maxsize=FILES_KEPT)
+def _bits(path: str) -> np.ndarray:
+    """A worker's own copy of a filter, for its next batches and tasks too."""
+    with open_shared(path, "rb") as f:
+        return np.frombuffer(f.read(), np.uint64)
+
+
+def _member(levels: list[dict[int, tuple[int, str]]]):
     """Arrow UDF of a shard and a key's hashes: is the key listed? A key's answer is
-    the parity of the first level that does not hold it; shards not given are False."""
+    the parity of the first level that does not hold it."""
 
     @F.arrow_udf("boolean")
     def member(shard: pa.Array, hashes: pa.Array) -> pa.Array:
         sh = shard.to_numpy(zero_copy_only=False)
         h = hashes.flatten().to_numpy(zero_copy_only=False).reshape(len(sh), -1)
-        answer, open_ = np.zeros(len(sh), bool), np.ones(len(sh), bool)
-        for i, level in enumerate(levels):
-            hit = np.zeros(len(sh), bool)
-            for s, (m, bits) in level.items():
-                own = np.flatnonzero(open_ & (sh == s))
-                words, ok = np.frombuffer(bits, np.uint64), np.ones(own.size, bool)
+        answer = np.zeros(len(sh), bool)
+        for s in np.unique(sh).tolist():
+            own = np.flatnonzero(sh == s)
+            for i, level in enumerate(levels):
+                if s not in level or not own.size:
+                    break
+                m, path = level[s]
+                words, ok = _bits(path), np.ones(own.size, bool)
                 for j in range(K):
                     at = h[own, K * i + j] % np.int64(m)
                     ok &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-                hit[own[ok]] = True
-            answer[hit] = i % 2 == 0
-            open_ &= hit
+                own = own[ok]
+                answer[own] = i % 2 == 0
         return pa.array(answer)
 
     return member
@@ -154,25 +182,20 @@ def _member(levels: list[dict[int, tuple[int, bytes]]]):
 
 def listed_mask(df: DataFrame, key: Column, cascade: Cascade, into: str = "listed") -> DataFrame:
     """``df`` with a boolean column more: is the key on the list? No join."""
+    if not cascade.levels:
+        return df.withColumn(into, F.lit(False))
     shard = F.pmod(F.xxhash64(key), F.lit(cascade.shards)).cast("int")
-    hashes = _hashes(key, range(max(1, len(cascade.levels))))
-    answer = F.lit(False)
-    for at in range(0, cascade.shards if cascade.levels else 0, SHARDS_AT_ONCE):  # one block of shards to a broadcast
-        part = [{s: v for s, v in level.items() if at <= s < at + SHARDS_AT_ONCE} for level in cascade.levels]
-        answer = answer | F.coalesce(_member(part)(shard, hashes), F.lit(False))
-    return df.withColumn(into, answer)
+    return df.withColumn(into, F.coalesce(_member(cascade.levels)(shard, _hashes(key, range(len(cascade.levels)))), F.lit(False)))
 
 
-def filter_urls(pages: DataFrame, listed: Column | None = None, rules=tuple(RULES)) -> DataFrame:
-    """``pages`` (with ``url``) plus host, path, rule, verdict and listed."""
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=tuple(RULES)) -> DataFrame:
+    """``pages`` (with ``url``) plus host, path, rule, verdict and listed. ``listed`` is the
+    table of blocked keys (``key``; see ``site``)."""
     host, path = host_path("url")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     parts = pages.drop("host", "path", "rule", "verdict", "listed").withColumns({"host": host, "path": path})
-    if listed is None:
-        listed = F.exists(F.split("key", r"\."), lambda x: x.isin(*LISTED_LABELS))
     universe = parts.where("host <> ''").select(site(F.col("host")).alias("key"))
-    cascade = build(universe, listed)
-    judged = listed_mask(parts, site(F.col("host")), cascade)
+    judged = listed_mask(parts, site(F.col("host")), build(universe, listed))
     return judged.withColumns({"listed": F.col("listed") & (F.col("host") != ""), "rule": rule}).withColumn(
         "verdict", F.coalesce(said, F.when(F.col("listed"), "block").otherwise("allow"))
     )

@@ -99,13 +99,46 @@ def test_mix_meets_targets(docs, none):
     assert mixing.decide(none).isEmpty() and mixing.mix(none).isEmpty()
 
 
+def test_mix_of_repeated_rows_and_odd_columns(spark):
+    rows = [(1, "a b c", "x")] * 40 + [(2, "d e", "y")] * 7 + [(None, "f", None), (3, None, "y"), (4, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"m": F.create_map(F.lit("k"), "doc_id"), "a.b": F.lit(1), "h": F.lit("x"), "copies": F.lit(0)})
+    found = mixing.decide(docs, block=4)
+    got = sorted((tuple(r) for r in found.collect()), key=str)
+    assert len(got) == len(rows) and got == sorted((tuple(r) for r in mixing.decide(docs.repartition(7), block=4).collect()), key=str)
+    for s, largest in (("x", 3), ("y", 2), (None, 1)):
+        own = [r for r in found.collect() if {1: "x", 4: "x", 2: "y", 3: "y"}.get(r.doc_id) == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= largest + 1e-9 and all(r.taken <= 3 * r["size"] for r in own)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({i: n for i in {r.doc_id for r in found.collect()} if (n := sum(r.copies for r in found.collect() if r.doc_id == i))})
+    assert {r.m["k"] for r in mixed.collect() if r.doc_id == 1} == {1}
+
+
+def test_rounding_keeps_the_expected_copies(spark):
+    """Over many seeds each document is taken as often as its share says."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "a") for i in range(60)] + [(100 + i, "w " * 3, "b") for i in range(60)], "doc_id long, text string, source string")
+    sums, rounds = Counter(), 12
+    for seed in range(rounds):
+        for r in mixing.decide(docs.withColumn("salt", F.lit(seed)), block=8).collect():
+            sums[r.doc_id] += r.copies
+            share = r.target / r.source_size
+            assert r.copies in (math.floor(share), math.floor(share) + 1)
+    for first, own in ((0, range(60)), (100, range(100, 160))):
+        share = next(r.target / r.source_size for r in mixing.decide(docs).collect() if r.doc_id == first)
+        mean = sum(sums[i] for i in own) / (60 * rounds)
+        assert abs(mean - share) < 0.1
+
+
 # ---- 2
 
 
 def test_urls(spark):
     urls = ["https://m.example.com/en/7?x", "http://EXAMPLE.com/en/1", "http://a.example.net/de/8", "http://a.net/de/9#f", "http://x.org/es/", "http://x.org/fr/", "no scheme", None, "http://b.listed.org/a", "http://notexample.com:80/en/7", "://x", "http://listed.org/", "http://hÉ.com?q"]
     pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    rows = by_id(urlfilter.filter_urls(pages, F.col("key").isin("b.listed.org", "listed.org")), "page_id")
+    listed = spark.createDataFrame([("b.listed.org",), ("listed.org",), ("never.seen.org",), (None,), ("listed.org",)], "key string")
+    rows = by_id(urlfilter.filter_urls(pages, listed), "page_id")
+    none = urlfilter.filter_urls(pages.where("false"), listed)
+    assert none.isEmpty() and urlfilter.filter_urls(pages, listed.where("false")).where("listed").isEmpty()
     assert len(rows) == len(urls)
     assert (rows[0].host, rows[0].path, rows[0].rule, rows[0].verdict) == ("m.example.com", "/en/7", "example.com/en/7", "allow")
     assert (rows[1].host, rows[1].rule, rows[1].verdict) == ("example.com", "com/en/", "block")
@@ -120,11 +153,11 @@ def test_urls(spark):
 def test_cascade_is_exact(spark, shard):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = F.substring("key", 2, 9).cast("int") % 7 == 0
-    cascade = urlfilter.build(keys, listed, shard_keys=shard if shard > 100 else 60)
+    cascade = urlfilter.build(keys, keys.where(listed).unionByName(keys.where(listed)), shard_keys=shard if shard > 100 else 60)
     assert len(cascade.levels) > 1
-    wrong = urlfilter.listed_mask(keys.unionByName(keys), F.col("key"), cascade).where(F.col("listed") != listed)
-    assert wrong.isEmpty()
-    assert urlfilter.build(keys, F.lit(False)).levels == []
+    found = urlfilter.listed_mask(keys.unionByName(keys), F.col("key"), cascade)
+    assert found.count() == 6000 and found.where(F.col("listed") != listed).isEmpty()
+    assert urlfilter.build(keys, keys.where("false")).levels == []
 
 
 # ---- 3
