@@ -1,8 +1,11 @@
 """Splitting oversized topics: TF-IDF, cluster measures, k-means sweep, assignments.
 
 Features, coherence, silhouette, terms and representatives are DataFrame expressions
-over any number of rows. The sweep itself runs per sink, in one Arrow group each: a sink
-is a bounded sample of works (``MOST_SAMPLED``), never a whole corpus.
+over any number of rows. A split goes through stages, each a DataFrame: which sinks can be
+split, labels for every number of clusters, their sizes and silhouettes, the choice, the
+numbers of clusters, and what becomes of each work. Only the labels come from Python, one
+Arrow group for a sink and a number of clusters: a sink is a bounded sample of works, and
+more than ``MOST_SAMPLED`` of them are an error.
 """
 
 from __future__ import annotations
@@ -13,14 +16,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolens.functions.stats import coherence, dot, unit, vector_sums
+from taxolens.operators.components import store
 from taxolens.operators.ordering import places
 from taxolens.session import ship
 
-# Fixed values.
+# Limits of the vocabulary, of terms, representatives and starts; the names
+# of statuses, reasons and actions.
 MIN_DF, MAX_DF, MAX_FEATURES = 2, 0.95, 10_000
 TOP_TERMS, REPRESENTATIVES, STARTS = 8, 5, 10
-MOST_SAMPLED = 10_000
 INSUFFICIENT, PROPOSED, UNSUPPORTED = "insufficient_evidence", "proposed_split", "no_supported_split"
+FEW_TEXTS, FEW_VECTORS, NO_WORDS = "fewer_than_two_minimum_clusters", "fewer_than_two_minimum_clusters_after_vectorisation", "no_shared_vocabulary"
+NO_CANDIDATE, NOT_POSITIVE = "no_candidate_meets_minimum_cluster_size", "no_positive_silhouette"
+REJECTED, EVALUATED = "rejected_small_or_empty_cluster", "evaluated"
+NO_TEXT, NO_PARTITION = "insufficient_text", "no_supported_partition"
+SPLIT, RETAIN, UNASSIGNED = "propose_split", "retain_original", "unassigned"
+MOST_SAMPLED = 10_000
+#: Decimals at which silhouettes, means and cosines are compared.
+COMPARE = 12
 
 
 # Words without a subject, of this engine's own choice.
@@ -124,167 +136,217 @@ def top_terms(weights: DataFrame, clusters: DataFrame, most: int = TOP_TERMS, co
     return mean.where("mean > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-# ---- the sweep, per sink -------------------------------------------------------------
+# ---- measures of long rows: sink, k, cluster, work_id, f (a feature), x (its value) ------
+
+CLUSTER = ["sink", "k", "cluster"]
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """(sink, k, cluster, f, s): sums of features."""
+    return rows.groupBy(*CLUSTER, "f").agg(F.sum("x").alias("s"))
+
+
+def _counts(members: DataFrame) -> DataFrame:
+    return members.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("n"), F.min("work_id").alias("first"))
+
+
+def _coherences(sums: DataFrame, counts: DataFrame) -> DataFrame:
+    """(sink, k, cluster, n, coherence, size): ``size`` is the length of the sum."""
+    length = sums.groupBy(*CLUSTER).agg(F.sum(F.col("s") * F.col("s")).alias("square"))
+    mean = F.when(F.col("n") > 1, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("square") - F.col("n")) / (F.col("n") * (F.col("n") - 1)))))
+    return counts.join(length, CLUSTER).select(*CLUSTER, "n", mean.alias("coherence"), F.sqrt("square").alias("size"))
+
+
+def _silhouettes(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(sink, k, silhouette) of unit vectors, from cluster sums: the distance of a work to
+    a cluster's works is one less its product with their sum, over their number."""
+    counts = _counts(members)
+    to = _sums(rows).withColumnRenamed("cluster", "to")
+    touched = rows.join(to, ["sink", "k", "f"]).groupBy("sink", "k", "work_id", "to").agg(F.sum(F.col("x") * F.col("s")).alias("d"))
+    every = members.join(counts.select("sink", "k", F.col("cluster").alias("to"), "n"), ["sink", "k"]).join(touched, ["sink", "k", "work_id", "to"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    own = F.col("to") == F.col("cluster")
+    per = every.groupBy("sink", "k", "work_id").agg(
+        F.max(F.when(own & (F.col("n") > 1), 1 - (F.col("d") - 1) / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, 1 - F.col("d") / F.col("n"))).alias("b")
+    )
+    top = F.greatest("a", "b")
+    value = F.when(F.col("a").isNotNull() & F.col("b").isNotNull() & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(0.0)
+    return per.groupBy("sink", "k").agg(F.avg(value).alias("silhouette"))
+
+
+# ---- labels ------------------------------------------------------------------------------
+
+LABELS = "sink string, k int, work_id string, cluster int"
+
+
+class SparseRows:
+    """Rows of features as arrays: where each row begins, feature numbers and values."""
 
-RESULT = (
-    "sink string, sampled long, usable long, status string, reason string, chosen_k int, silhouette double, coherence double, baseline_coherence double, "
-    "candidates array<struct<k:int,status:string,sizes:array<int>,silhouette:double>>, "
-    "clusters array<struct<cluster_id:string,size:int,keywords:array<string>,coherence:double,representatives:array<string>>>, "
-    "assignments array<struct<work_id:string,cluster_id:string,action:string,reason:string,cosine_to_centroid:double>>"
-)
+    def __init__(self, rows: list[list[dict]]):
+        names = {f: i for i, f in enumerate(sorted({e["f"] for r in rows for e in r}))}
+        self.n, self.width = len(rows), len(names)
+        self.begins = np.concatenate([[0], np.cumsum([len(r) for r in rows])])[:-1].astype(np.int64)
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.at = np.array([names[e["f"]] for r in rows for e in r], np.int64)
+        self.x = np.array([e["x"] for r in rows for e in r], float)
+        self.squares = np.add.reduceat(self.x * self.x, self.begins)
 
+    def dot(self, centres: np.ndarray) -> np.ndarray:
+        """Products of all rows with each centre: a column a centre."""
+        return np.stack([np.add.reduceat(self.x * c[self.at], self.begins) for c in centres], 1)
 
-def lloyd(x: np.ndarray, k: int, seed: int, starts: int = STARTS, rounds: int = 100) -> np.ndarray:
-    """Labels of the best of several k-means runs from spread-out starts."""
-    best, labels = np.inf, np.zeros(len(x), int)
-    norms = (x * x).sum(1)
+    def dense(self, i: int) -> np.ndarray:
+        own = self.row == i
+        return np.bincount(self.at[own], self.x[own], self.width)
+
+    def means(self, labels: np.ndarray, old: np.ndarray) -> np.ndarray:
+        """Means of labelled rows; a centre without rows stays where it was."""
+        k = len(old)
+        sums = np.bincount(labels[self.row] * self.width + self.at, self.x, k * self.width).reshape(k, self.width)
+        n = np.bincount(labels, minlength=k)
+        return np.where(n[:, None] > 0, sums / np.maximum(1, n)[:, None], old)
+
+
+def k_means(rows: SparseRows, k: int, seed: int, starts: int = STARTS, rounds: int = 100) -> np.ndarray:
+    """Labels of the best of several runs from spread-out starts."""
+    best, found = np.inf, np.zeros(rows.n, int)
     for start in range(starts):
         rng = np.random.default_rng([seed, k, start])
-        centres = [x[rng.integers(len(x))]]
-        near = np.maximum(0, norms - 2 * x @ centres[0] + centres[0] @ centres[0])
-        while len(centres) < k:
-            total = near.sum()
-            pick = rng.choice(len(x), p=near / total) if total > 0 else rng.integers(len(x))
-            centres.append(x[pick])
-            near = np.minimum(near, np.maximum(0, norms - 2 * x @ x[pick] + norms[pick]))
-        c, own = np.array(centres), None
+        centres = [rows.dense(int(rng.integers(rows.n)))]
+        while len(centres) < k:  # the farther from all centres, the likelier the next
+            far = np.maximum(0, rows.squares[:, None] - 2 * rows.dot(np.array(centres)) + [c @ c for c in centres]).min(1)
+            centres.append(rows.dense(int(rng.choice(rows.n, p=far / far.sum()) if far.sum() > 0 else rng.integers(rows.n))))
+        own, at = None, np.array(centres)
         for _ in range(rounds):
-            d = norms[:, None] - 2 * x @ c.T + (c * c).sum(1)
-            now = d.argmin(1)
+            distance = rows.squares[:, None] - 2 * rows.dot(at) + (at * at).sum(1)
+            now = distance.argmin(1)
             if own is not None and (now == own).all():
                 break
-            own = now
-            for j in range(k):
-                if (own == j).any():
-                    c[j] = x[own == j].mean(0)
-        cost = float(np.maximum(0, d[np.arange(len(x)), own]).sum())
+            own, at = now, rows.means(now, at)
+        cost = float(np.maximum(0, distance.min(1)).sum())
         if cost < best - 1e-12:
-            best, labels = cost, own
-    return labels
-
-
-def cosine_silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """The closed form over unit vectors."""
-    kinds, at = np.unique(labels, return_inverse=True)
-    n = np.bincount(at)
-    sums = np.zeros((len(kinds), x.shape[1]))
-    np.add.at(sums, at, x)
-    d = x @ sums.T
-    rows = np.arange(len(x))
-    alone = n[at] == 1
-    a = 1 - (d[rows, at] - 1) / np.maximum(1, n[at] - 1)
-    other = 1 - d / n
-    other[rows, at] = np.inf
-    b = other.min(1)
-    top = np.maximum(a, b)
-    return float(np.where(alone | (top <= 0), 0.0, (b - a) / np.where(top > 0, top, 1)).mean())
-
-
-def mean_cosine(x: np.ndarray) -> float | None:
-    """Mean cosine of distinct pairs of unit vectors."""
-    n = len(x)
-    if n < 2:
-        return None
-    s = x.sum(0)
-    return float(np.clip((s @ s - n) / (n * (n - 1)), -1, 1))
-
-
-def sweep(x: np.ndarray, seed: int, most: int, least: int) -> tuple[list[dict], tuple | None]:
-    """All numbers of clusters: (candidates, (silhouette, k, labels) of the best)."""
-    found, best = [], None
-    for k in range(2, min(most, len(x) // least) + 1):
-        labels = lloyd(x, k, seed)
-        sizes = sorted(np.bincount(labels, minlength=k).tolist())
-        if sizes[0] < least:
-            found.append({"k": k, "status": "rejected_small_or_empty_cluster", "sizes": sizes, "silhouette": None})
-            continue
-        value = cosine_silhouette(x, labels)
-        found.append({"k": k, "status": "evaluated", "sizes": sizes, "silhouette": value})
-        if best is None or value > best[0] + 1e-12:
-            best = (value, k, labels)
-    return found, best
-
-
-def split_one(sink: str, rows: list[dict], seed: int = 42, most: int = 8, least: int = 5) -> dict:
-    """A sink's result. ``rows``: work_id, has_text, terms, weights, vector (or null)."""
-    rows = sorted(rows, key=lambda r: r["work_id"])
-    assigned = [{"work_id": r["work_id"], "cluster_id": None, "action": "unassigned", "reason": "insufficient_text", "cosine_to_centroid": None} for r in rows]
-    out = {"sink": sink, "sampled": len(rows), "usable": 0, "status": INSUFFICIENT, "reason": None, "chosen_k": None, "silhouette": None, "coherence": None, "baseline_coherence": None, "candidates": [], "clusters": [], "assignments": assigned}
-    texts = [i for i, r in enumerate(rows) if r["has_text"]]
-    if len(texts) < 2 * least:
-        return out | {"reason": "fewer_than_two_minimum_clusters"}
-    names = sorted({t for i in texts for t in rows[i]["terms"]})
-    column = {t: j for j, t in enumerate(names)}
-    words = np.zeros((len(texts), len(names)))
-    for a, i in enumerate(texts):
-        for t, w in zip(rows[i]["terms"], rows[i]["weights"]):
-            words[a, column[t]] = w
-    given = any(rows[i]["vector"] is not None for i in texts)
-    if not given and not names:
-        return out | {"reason": "no_shared_vocabulary"}
-    x = np.array([rows[i]["vector"] for i in texts], float) if given else words
-    usable = (x != 0).any(1)
-    for i, ok in zip(texts, usable):
-        assigned[i]["reason"] = "no_supported_partition" if ok else "no_shared_vocabulary"
-    at = [i for i, ok in zip(texts, usable) if ok]
-    x, words = x[usable], words[usable]
-    out |= {"usable": len(at), "baseline_coherence": mean_cosine(x)}
-    if len(at) < 2 * least:
-        return out | {"reason": "fewer_than_two_minimum_clusters_after_vectorisation"}
-    out["candidates"], best = sweep(x, seed, most, least)
-    if best is None:
-        return out | {"reason": "no_candidate_meets_minimum_cluster_size"}
-    good = best[0] > 0
-    labels = best[2] if good else np.zeros(len(at), int)
-    out |= {"silhouette": best[0], "status": PROPOSED if good else UNSUPPORTED, "chosen_k": best[1] if good else 1, "reason": None if good else "no_positive_silhouette"}
-    groups = []
-    for label in np.unique(labels):
-        own = np.flatnonzero(labels == label)
-        mean = words[own].mean(0)
-        order = np.argsort(-np.round(mean, 12), kind="stable")[:TOP_TERMS]
-        groups.append(([names[j] for j in order if mean[j] > 0], rows[at[own[0]]]["work_id"], own))
-    pair_sum = pairs = 0
-    for number, (terms, _, own) in enumerate(sorted(groups, key=lambda g: g[:2]), 1):
-        centre = x[own].mean(0)
-        size = np.sqrt(centre @ centre)
-        cosine = x[own] @ (centre / size if size else centre)
-        close, n = mean_cosine(x[own]), len(own)
-        first = sorted(range(n), key=lambda j: (-round(float(cosine[j]), 12), rows[at[own[j]]]["work_id"]))[:REPRESENTATIVES]
-        cluster = f"{sink}.C{number:02d}"
-        out["clusters"].append({"cluster_id": cluster, "size": n, "keywords": terms, "coherence": close, "representatives": [rows[at[own[j]]]["work_id"] for j in first]})
-        pair_sum += (close or 0) * n * (n - 1)
-        pairs += n * (n - 1)
-        for j, c in zip(own, cosine):
-            assigned[at[j]] |= {"cluster_id": cluster, "action": "propose_split" if good else "retain_original", "reason": None, "cosine_to_centroid": float(c)}
-    out["coherence"] = pair_sum / pairs if pairs else None
-    return out
+            best, found = cost, own
+    return found
 
 
-def split_sinks(rows: DataFrame, seed: int = 42, max_clusters: int = 8, minimum_cluster: int = 5) -> DataFrame:
-    """One row of RESULT per sink. ``rows``: sink, work_id, has_text boolean, terms
-    array<string>, weights array<double>, vector array<double> (null for TF-IDF)."""
-    if not 2 <= max_clusters <= 20 or minimum_cluster < 2:
-        raise ValueError("max-clusters must be 2-20 and minimum-cluster at least 2")
-    ship(rows.sparkSession)
-
-    def run(key, t):
+def _label(seed: int):
+    def label(key, t):
         if t.num_rows > MOST_SAMPLED:
             raise ValueError(f"a sink is a sample of at most {MOST_SAMPLED} works")
-        names = ("work_id", "has_text", "terms", "weights", "vector")
-        found = [dict(zip(names, r)) for r in zip(*[t.column(c).to_pylist() for c in names])]
-        got = split_one(key[0].as_py(), found, seed, max_clusters, minimum_cluster)
-        return pa.Table.from_pylist([got], schema=_schema())
+        t, (sink, k) = t.sort_by("work_id"), (x.as_py() for x in key)
+        labels = k_means(SparseRows(t.column("features").to_pylist()), k, seed)
+        return pa.table({"sink": pa.array([sink] * t.num_rows, pa.string()), "k": pa.array([k] * t.num_rows, pa.int32()), "work_id": t.column("work_id"), "cluster": pa.array(labels, pa.int32())})
+
+    return label
 
-    return rows.select("sink", "work_id", "has_text", "terms", "weights", "vector").groupBy("sink").applyInArrow(run, RESULT)
 
+# ---- the stages of a split ---------------------------------------------------------------
 
-def _schema() -> pa.Schema:
-    s, d, i = pa.string(), pa.float64(), pa.int32()
-    return pa.schema(
-        [("sink", s), ("sampled", pa.int64()), ("usable", pa.int64()), ("status", s), ("reason", s), ("chosen_k", i), ("silhouette", d), ("coherence", d), ("baseline_coherence", d),
-         ("candidates", pa.list_(pa.struct([("k", i), ("status", s), ("sizes", pa.list_(i)), ("silhouette", d)]))),
-         ("clusters", pa.list_(pa.struct([("cluster_id", s), ("size", i), ("keywords", pa.list_(s)), ("coherence", d), ("representatives", pa.list_(s))]))),
-         ("assignments", pa.list_(pa.struct([("work_id", s), ("cluster_id", s), ("action", s), ("reason", s), ("cosine_to_centroid", d)])))]
+
+def gates(works: DataFrame, least: int) -> DataFrame:
+    """A row per sink: sampled, usable, open (can it be clustered), vectorised, reason."""
+    counts = works.groupBy("sink").agg(
+        F.count(F.lit(1)).alias("sampled"), F.count_if("has_text").alias("texts"), F.count_if(F.col("has_text") & (F.size("features") > 0)).alias("with_features"), F.max("known").alias("known")
+    )
+    reason = F.when(F.col("texts") < 2 * least, FEW_TEXTS).when(~F.col("known"), NO_WORDS).when(F.col("with_features") < 2 * least, FEW_VECTORS)
+    vectorised = (F.col("texts") >= 2 * least) & F.col("known")
+    return counts.select("sink", "sampled", F.when(vectorised, F.col("with_features")).otherwise(0).alias("usable"), reason.isNull().alias("open"), vectorised.alias("vectorised"), reason.alias("gate"))
+
+
+def sweep(works: DataFrame, open_: DataFrame, seed: int, most: int, least: int) -> DataFrame:
+    """(sink, k, work_id, cluster): labels for every number of clusters that ``least``
+    works each allow. ``works`` are usable ones with ``features``."""
+    ks = F.sequence(F.lit(2), F.least(F.lit(most), F.floor(F.col("usable") / least).cast("int")))
+    grid = works.join(open_.select("sink", F.explode(ks).alias("k")), "sink").select("sink", "k", "work_id", "features")
+    return grid.groupBy("sink", "k").applyInArrow(_label(seed), LABELS)
+
+
+def candidates(labels: DataFrame, features: DataFrame, least: int) -> DataFrame:
+    """(sink, k, status, sizes, silhouette): silhouettes where no cluster is too small."""
+    n = F.array_sort(F.collect_list(F.col("n").cast("int")))
+    sizes = _counts(labels).groupBy("sink", "k").agg(n.alias("sizes")).withColumn("sizes", F.concat(F.array_repeat(F.lit(0), F.col("k") - F.size("sizes")), "sizes"))
+    sizes = store(sizes.withColumn("status", F.when(F.col("sizes")[0] < least, REJECTED).otherwise(EVALUATED)), "sizes")
+    good = labels.join(sizes.where(F.col("status") == EVALUATED).select("sink", "k"), ["sink", "k"])
+    value = _silhouettes(good.join(features, ["sink", "work_id"]), good)
+    return sizes.join(value, ["sink", "k"], "left").select("sink", "k", "status", "sizes", "silhouette")
+
+
+def choose(found: DataFrame) -> DataFrame:
+    """(sink, k, silhouette, good): the number of clusters of the highest silhouette, the
+    least such number; ``good`` if that is above 0."""
+    best = F.max(F.struct(F.round("silhouette", COMPARE).alias("v"), (-F.col("k")).alias("least"), F.col("silhouette")))
+    return found.where(F.col("silhouette").isNotNull()).groupBy("sink").agg(best.alias("b")).select("sink", (-F.col("b.least")).alias("k"), "b.silhouette", (F.col("b.silhouette") > 0).alias("good"))
+
+
+def describe(members: DataFrame, features: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of chosen clusters: (sink, cluster, cluster_id, size, keywords, coherence,
+    representatives) and, for each work, (sink, work_id, cluster_id, cosine). Clusters are
+    numbered by their keywords, then by their first work."""
+    counts = _counts(members)
+    sums = store(_sums(members.join(features, ["sink", "work_id"])), "sums")
+    about = _coherences(sums, counts)
+    by_mean = Window.partitionBy(*CLUSTER).orderBy(F.round("mean", COMPARE).desc(), "f")
+    mean = _sums(members.join(words, ["sink", "work_id"])).join(counts, CLUSTER).select(*CLUSTER, "f", (F.col("s") / F.col("n")).alias("mean")).where("mean > 0")
+    top = mean.withColumn("place", F.row_number().over(by_mean)).where(F.col("place") <= TOP_TERMS).groupBy(*CLUSTER).agg(F.array_sort(F.collect_list(F.struct("place", "f"))).alias("t"))
+    named = about.join(counts.select(*CLUSTER, "first"), CLUSTER).join(top.select(*CLUSTER, F.col("t.f").alias("keywords")), CLUSTER, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    number = F.row_number().over(Window.partitionBy("sink").orderBy("keywords", "first"))
+    named = named.withColumn("cluster_id", F.concat("sink", F.lit(".C"), F.lpad(number.cast("string"), F.greatest(F.lit(2), F.length(number.cast("string"))), F.lit("0"))))
+    product = members.join(features, ["sink", "work_id"]).join(sums, [*CLUSTER, "f"]).groupBy(*CLUSTER, "work_id").agg(F.sum(F.col("x") * F.col("s")).alias("d"))
+    near = product.join(named.select(*CLUSTER, "cluster_id", "size"), CLUSTER).select(*CLUSTER, "cluster_id", "work_id", F.when(F.col("size") > 0, F.col("d") / F.col("size")).otherwise(0.0).alias("cosine"))
+    near = store(near, "near")
+    closest = Window.partitionBy(*CLUSTER).orderBy(F.round("cosine", COMPARE).desc(), "work_id")
+    first = near.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= REPRESENTATIVES).groupBy(*CLUSTER).agg(F.array_sort(F.collect_list(F.struct("place", "work_id"))).alias("r"))
+    clusters = named.join(first, CLUSTER).select("sink", "cluster_id", F.col("n").cast("int").alias("size"), "keywords", "coherence", F.col("r.work_id").alias("representatives"))
+    return clusters, near.select("sink", "work_id", "cluster_id", "cosine")
+
+
+def split_sinks(rows: DataFrame, seed: int = 42, max_clusters: int = 8, minimum_cluster: int = 5) -> DataFrame:
+    """One row per sink: sampled, usable, status, reason, chosen_k, silhouette, coherence,
+    baseline_coherence, candidates, clusters and assignments. ``rows``: sink, work_id,
+    has_text boolean, terms array<string>, weights array<double>, vector array<double>
+    (null for TF-IDF; where a sink has vectors, they are clustered and terms only name)."""
+    if not 2 <= max_clusters <= 20 or minimum_cluster < 2:
+        raise ValueError("max-clusters must be 2-20 and minimum-cluster at least 2")
+    ship(rows.sparkSession)
+    least = minimum_cluster
+    given = F.max(F.col("has_text") & F.col("vector").isNotNull()).over(Window.partitionBy("sink"))
+    any_term = F.max(F.col("has_text") & (F.size("terms") > 0)).over(Window.partitionBy("sink"))
+    pair = lambda f, x: F.struct(f.cast("string").alias("f"), x.cast("double").alias("x"))
+    dense = F.transform(F.coalesce("vector", F.array().cast("array<double>")), lambda x, i: pair(i, x))
+    words = F.transform(F.arrays_zip("terms", "weights"), lambda z: pair(z.terms, z.weights))
+    works = store(
+        rows.withColumns({"given": given, "any": any_term})
+        .select("sink", "work_id", "has_text", (F.col("given") | F.col("any")).alias("known"), words.alias("words"), F.filter(F.when(F.col("given"), dense).otherwise(words), lambda e: e.x != 0).alias("features")),
+        "works",
+    )
+    sinks = store(gates(works, least), "gates")
+    usable = works.where("has_text and size(features) > 0").join(sinks.where("vectorised").select("sink", "usable"), "sink")
+    features = store(usable.select("sink", "work_id", F.inline("features")), "features")
+    naming = store(usable.select("sink", "work_id", F.inline("words")).where("x <> 0"), "words")
+    labels = store(sweep(usable, sinks.where("open"), seed, max_clusters, least), "labels")
+    tried = store(candidates(labels, features, least), "candidates")
+    best = store(choose(tried), "best")
+    one = usable.join(best.where("not good"), "sink").select("sink", F.lit(1).alias("k"), "work_id", F.lit(0).alias("cluster"))
+    members = store(labels.join(best.where("good").select("sink", "k"), ["sink", "k"]).select("sink", "k", "work_id", "cluster").unionByName(one), "members")
+    clusters, near = describe(members, features, naming)
+    clusters = store(clusters, "clusters")
+    alone = usable.select("sink", F.lit(0).alias("k"), "work_id", F.lit(0).alias("cluster"))
+    baseline = _coherences(_sums(alone.join(features, ["sink", "work_id"])), _counts(alone)).select("sink", F.col("coherence").alias("baseline_coherence"))
+    weighted = weighted_coherence(clusters.select("sink", F.col("size").alias("n"), F.coalesce("coherence", F.lit(0.0)).alias("coherence")))
+    placed = works.join(sinks, "sink").join(best.select("sink", "good"), "sink", "left").join(near, ["sink", "work_id"], "left")
+    why = F.when(F.col("cluster_id").isNotNull(), F.lit(None)).when(~F.col("vectorised") | ~F.col("has_text"), NO_TEXT).when(F.size("features") > 0, NO_PARTITION).otherwise(NO_WORDS)
+    action = F.when(F.col("cluster_id").isNull(), UNASSIGNED).when(F.col("good"), SPLIT).otherwise(RETAIN)
+    each = F.struct("work_id", "cluster_id", action.alias("action"), why.alias("reason"), F.col("cosine").alias("cosine_to_centroid"))
+    listed = lambda df, item, into: df.groupBy("sink").agg(F.array_sort(F.collect_list(item)).alias(into))
+    out = sinks.join(best, "sink", "left").join(baseline, "sink", "left").join(weighted, "sink", "left")
+    out = out.join(listed(tried, F.struct("k", "status", "sizes", "silhouette"), "candidates"), "sink", "left")
+    out = out.join(listed(clusters, F.struct("cluster_id", "size", "keywords", "coherence", "representatives"), "clusters"), "sink", "left")
+    out = out.join(listed(placed, each, "assignments"), "sink")
+    status = F.when(F.col("good").isNull(), INSUFFICIENT).when(F.col("good"), PROPOSED).otherwise(UNSUPPORTED)
+    reason = F.when(F.col("gate").isNotNull(), F.col("gate")).when(F.col("good").isNull(), NO_CANDIDATE).when(~F.col("good"), NOT_POSITIVE)
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select(
+        "sink", "sampled", "usable", status.alias("status"), reason.alias("reason"), F.when(F.col("good"), F.col("k")).when(~F.col("good"), 1).cast("int").alias("chosen_k"), "silhouette", "coherence", "baseline_coherence",
+        empty("candidates", "array<struct<k:int,status:string,sizes:array<int>,silhouette:double>>"), empty("clusters", "array<struct<cluster_id:string,size:int,keywords:array<string>,coherence:double,representatives:array<string>>>"), "assignments",
     )
 
 

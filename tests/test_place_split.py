@@ -145,11 +145,55 @@ def test_nothing_is_made_up(spark):
         split.split_sinks(text_sink(spark, SUBJECTS), max_clusters=1)
 
 
-def test_vectors_without_shared_words():
-    rows = [{"work_id": f"W{i:02d}", "has_text": True, "terms": [], "weights": [], "vector": [1.0, 0.0] if i < 30 else [0.0, 1.0]} for i in range(60)]
-    got = split.split_one("T1", rows, most=2)
-    assert got["chosen_k"] == 2 and got["silhouette"] > 0.99 and all(c["keywords"] == [] for c in got["clusters"])
-    assert split.split_one("T1", rows[::-1], most=2) == got
+GIVEN = "sink string, work_id string, has_text boolean, terms array<string>, weights array<double>, vector array<double>"
+
+
+def test_vectors_without_shared_words(spark):
+    rows = [("T1", f"W{i:02d}", True, [], [], [1.0, 0.0] if i < 30 else [0.0, 1.0]) for i in range(60)]
+    got = split.split_sinks(spark.createDataFrame(rows, GIVEN), max_clusters=2).first()
+    assert got.chosen_k == 2 and got.silhouette > 0.99 and all(c.keywords == [] for c in got.clusters)
+    assert split.split_sinks(spark.createDataFrame(rows[::-1], GIVEN).repartition(3), max_clusters=2).first() == got
+
+
+def test_a_split_equals_its_definition(spark):
+    """Sizes, silhouettes, coherences, cosines and numbers, from the assignments."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(3, 6))
+    x = np.array([centres[i % 3] * 2 + rng.normal(size=6) for i in range(45)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    terms = [[f"t{i % 3}", f"u{i % 5}"] for i in range(45)]
+    rows = [("S", f"W{i:02d}", True, terms[i], [0.8, 0.6], x[i].tolist()) for i in range(45)] + [("S", "W99", False, [], [], None)]
+    got = split.split_sinks(spark.createDataFrame(rows, GIVEN), max_clusters=5).first()
+    assert got.status == "proposed_split" and got.chosen_k == max((c for c in got.candidates if c.silhouette is not None), key=lambda c: (round(c.silhouette, 12), -c.k)).k
+    assert [c.k for c in got.candidates] == [2, 3, 4, 5] and all(sum(c.sizes) == 45 and c.sizes == sorted(c.sizes) for c in got.candidates)
+    assert all((c.status == "evaluated") == (c.sizes[0] >= 5) == (c.silhouette is not None) for c in got.candidates)
+    of = {a.work_id: a for a in got.assignments}
+    assert (of["W99"].action, of["W99"].reason) == ("unassigned", "insufficient_text")
+    label = np.array([of[f"W{i:02d}"].cluster_id for i in range(45)])
+    d = 1 - x @ x.T
+    values = []
+    for i in range(45):
+        mean = {c: d[i][(label == c) & (np.arange(45) != i)].mean() for c in set(label)}
+        near = min(v for c, v in mean.items() if c != label[i])
+        values.append((near - mean[label[i]]) / max(near, mean[label[i]]))
+    assert got.silhouette == pytest.approx(np.mean(values))
+    pairs = lambda own: (own @ own.T)[~np.eye(len(own), dtype=bool)]
+    assert got.baseline_coherence == pytest.approx(pairs(x).mean())
+    assert got.coherence == pytest.approx(np.concatenate([pairs(x[label == c]) for c in set(label)]).mean())
+    for c in got.clusters:
+        own = label == c.cluster_id
+        centre = x[own].sum(0) / np.linalg.norm(x[own].sum(0))
+        cosine = {i: x[i] @ centre for i in np.flatnonzero(own)}
+        assert c["size"] == own.sum() and c.coherence == pytest.approx(pairs(x[own]).mean())
+        assert all(of[f"W{i:02d}"].cosine_to_centroid == pytest.approx(v) for i, v in cosine.items())
+        assert c.representatives == [f"W{i:02d}" for i in sorted(cosine, key=lambda i: (-round(cosine[i], 12), i))[:5]]
+        weight = {}
+        for i in np.flatnonzero(own):
+            for t, w in zip(terms[i], (0.8, 0.6)):
+                weight[t] = weight.get(t, 0) + w / own.sum()
+        assert c.keywords == sorted(weight, key=lambda t: (-round(weight[t], 12), t))[:8]
+    order = [(c.keywords, min(a.work_id for a in got.assignments if a.cluster_id == c.cluster_id)) for c in got.clusters]
+    assert order == sorted(order) and [c.cluster_id for c in got.clusters] == [f"S.C{i:02d}" for i in range(1, len(order) + 1)]
 
 
 def test_silhouette_equals_all_pairs(spark):
@@ -163,7 +207,6 @@ def test_silhouette_equals_all_pairs(spark):
         mean = {c: d[i][(label == c) & (np.arange(30) != i)].mean() for c in range(3)}
         b = min(v for c, v in mean.items() if c != label[i])
         s.append((b - mean[label[i]]) / max(b, mean[label[i]]))
-    assert split.cosine_silhouette(x, label) == pytest.approx(np.mean(s))
     rows = spark.createDataFrame([("a", str(int(c)), str(i), [float(v) for v in x[i]]) for i, c in enumerate(label)], "sink string, cluster string, work_id string, vector array<double>")
     assert split.silhouette(rows).first().silhouette == pytest.approx(np.mean(s))
 
