@@ -12,6 +12,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,43 +28,69 @@ class FetchError(RuntimeError):
     """A request that failed for good, or pages that do not fit together."""
 
 
+def passing(error: Exception) -> bool:
+    """May the same request succeed later? Client errors but 429 stay."""
+    return not isinstance(error, urllib.error.HTTPError) or error.code == 429 or error.code // 100 == 5
+
+
 def get_json(url: str, opener=urllib.request.urlopen, sleep=time.sleep) -> dict:
-    """The JSON of a url; other client errors than 429 fail at once."""
-    error: Exception | None = None
-    for attempt in range(ATTEMPTS):
+    """The JSON of a url, asked for up to ATTEMPTS times."""
+    waits = [WAIT + WAIT_MORE * i for i in range(ATTEMPTS - 1)]
+    for wait in [*waits, None]:
         try:
-            with opener(url, timeout=TIMEOUT) as response:
-                return json.load(response)
-        except urllib.error.HTTPError as e:
-            if e.code != 429 and e.code < 500:
-                raise FetchError(f"HTTP {e.code} fetching {url}") from e
-            error = e
+            with opener(url, timeout=TIMEOUT) as answer:
+                return json.loads(answer.read())
         except (OSError, ValueError) as e:
-            error = e
-        if attempt + 1 < ATTEMPTS:
-            sleep(WAIT + WAIT_MORE * attempt)
-    raise FetchError(f"request failed after {ATTEMPTS} attempts: {url}: {error}")
-
-
-def cursor_pages(base: str, get=get_json):
-    """Results of all pages by cursor; errors where a cursor repeats, the count
-    changes, or what came is not the count of distinct ids."""
-    cursor, seen, expected, ids, n = "*", set(), None, set(), 0
-    while cursor:
-        if cursor in seen or len(seen) >= MOST_PAGES:
-            raise FetchError("pagination repeated a cursor or exceeded its pages")
-        seen.add(cursor)
-        page = get(f"{base}?{urllib.parse.urlencode({'per-page': PAGE, 'cursor': cursor})}")
-        expected = page["meta"]["count"] if expected is None else expected
-        if page["meta"]["count"] != expected:
-            raise FetchError("the count changed during pagination")
-        for row in page["results"]:
-            ids.add(row["id"])
-            n += 1
-            yield row
-        cursor = page["meta"].get("next_cursor")
-    if not n or n != expected or len(ids) != expected:
-        raise FetchError("incomplete or duplicate results")
+            if wait is None or not passing(e):
+                raise FetchError(f"no answer from {url}: {e}") from e
+        sleep(wait)
+    raise AssertionError
+
+
+@dataclass(frozen=True)
+class Page:
+    """What a page says of itself: its cursor and the next, the count of all results."""
+
+    cursor: str
+    after: str | None
+    count: int
+    rows: tuple
+
+
+def walk(base: str, get=get_json):
+    """Pages by cursor, until one names no next."""
+    cursor: str | None = "*"
+    for _ in range(MOST_PAGES):
+        found = get(f"{base}?{urllib.parse.urlencode({'per-page': PAGE, 'cursor': cursor})}")
+        page = Page(cursor, found["meta"].get("next_cursor"), found["meta"]["count"], tuple(found["results"]))
+        yield page
+        if not (cursor := page.after):
+            return
+    raise FetchError(f"more than {MOST_PAGES} pages")
+
+
+def whole(pages: list[Page]) -> str | None:
+    """Why pages do not make up one result, or None if they do."""
+    rows = [r["id"] for p in pages for r in p.rows]
+    checks = {
+        "a cursor came twice": len({p.cursor for p in pages}) == len(pages),
+        "the count changed between pages": len({p.count for p in pages}) == 1,
+        "results are missing or came twice": 0 < len(rows) == len(set(rows)) == pages[0].count,
+    }
+    return next((why for why, fine in checks.items() if not fine), None)
+
+
+def cursor_pages(base: str, get=get_json) -> list[dict]:
+    """The results of all pages (at most MOST_PAGES of PAGE), or an error if they do not
+    make up one result."""
+    pages: list[Page] = []
+    for page in walk(base, get):
+        if any(page.cursor == p.cursor for p in pages):
+            raise FetchError("a cursor came twice")
+        pages.append(page)
+    if why := whole(pages):
+        raise FetchError(why)
+    return [r for p in pages for r in p.rows]
 
 
 class Pages(InputPartition):
@@ -131,7 +158,10 @@ def sampled_works(spark: SparkSession, url: str, filter_: str, size: int, seed:
     return rows.limit(size)
 
 
-def grouped(url: str, filter_: str, key: str, get=get_json) -> list[dict]:
-    """The API's own group-by: at most PAGE rows of key, key_display_name, count."""
-    query = urllib.parse.urlencode({"filter": filter_, "group_by": key, "per-page": PAGE})
-    return get(f"{url}?{query}")["group_by"]
+GROUPS = "key string, key_display_name string, count bigint"
+
+
+def grouped(spark: SparkSession, url: str, filter_: str, key: str, get=get_json) -> DataFrame:
+    """The API's own group-by as a DataFrame: at most PAGE rows of key, its name, count."""
+    found = get(f"{url}?{urllib.parse.urlencode({'filter': filter_, 'group_by': key, 'per-page': PAGE})}")["group_by"]
+    return spark.createDataFrame([(g["key"], g["key_display_name"], g["count"]) for g in found], GROUPS)

@@ -1,11 +1,13 @@
 import csv
 import io
 import json
+import math
 import urllib.error
 
 import pytest
 
 from taxolens import cli
+from taxolens.operators import models
 from taxolens.sources import api, sinks
 from test_audit import SMALL
 from test_place_split import SUBJECTS, record
@@ -75,6 +77,9 @@ def test_place_modes(snapshot, tmp_path, capsys):
     assert {r["id"] for r in rows} == {f"W{i}" for i in range(0, 30, 3)} and set(rows[0]["questions"]) == {"domain", "field", "subfield"}
     assert cli.main([*args, "--export-training", str(out), "--strategy", "hierarchical"]) == 0
     assert cli.main([*args, "--export-training", str(out), "--strategy", "flat"]) == 2
+    assert cli.main(["place", "--check-export", str(out)]) == 0
+    (out / "train.jsonl").write_text((out / "train.jsonl").read_text().replace("W0", "W1", 1))
+    assert cli.main(["place", "--check-export", str(out)]) == 2
     capsys.readouterr()
     assert cli.main([*args, "--probe", "--probe-size", "3"]) == 0
     assert {s["level"]: s["option_count"] for s in json.loads(capsys.readouterr().out)["summary"]} == {"domain": 1, "field": 1, "subfield": 2}
@@ -95,13 +100,124 @@ def test_split_and_assignments(snapshot, tmp_path, capsys):
     assert cli.main([*args, "--output", str(out)]) == 2
 
 
-def test_atomic_text_keeps_the_old_file(tmp_path):
+def test_broken_text_keeps_the_old_file(tmp_path):
     path = tmp_path / "x"
     path.write_text("old")
-    with pytest.raises(RuntimeError), sinks.atomic_text(path) as f:
-        f.write("part")
+
+    def parts():
+        yield "part"
         raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        sinks.publish(path, parts())
     assert path.read_text() == "old" and list(tmp_path.iterdir()) == [path]
+    sinks.publish(path, ["new", " text"])
+    assert path.read_text() == "new text" and list(tmp_path.iterdir()) == [path]
+
+
+def test_coverage_tables(spark):
+    def get(url):
+        if "publication_year" in url:
+            return {"group_by": [{"key": y, "key_display_name": y, "count": n} for y, n in ([("2019", 5), ("2027", 1)] if "null" in url and "type" not in url else [("2019", 9), ("2020", 4)])]}
+        kind = url.split("type%3A")[1].split("&")[0]
+        return {"group_by": [{"key": "https://x/S1", "key_display_name": "One", "count": 1000 if kind == "article" else 999}, {"key": "https://x/S2", "key_display_name": "Two", "count": 2000 if kind == "report" else 1}]}
+
+    found = cli.coverage_tables(spark, "http://x/works", get)
+    assert [tuple(r) for r in found["unassigned_by_year.csv"].collect()] == [(2027, 1, None), (2019, 5, 9)]
+    assert [tuple(r) for r in found["unassigned_by_source_type.csv"].collect()] == [("report", "S2", "Two", 2000), ("article", "S1", "One", 1000)]
+
+
+def test_encoders_are_asked_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "own_models.py").write_text(MODEL)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "own_models.py"))
+    folder = str(tmp_path / "vectors")
+    texts = spark.createDataFrame([("photon",), ("soil",), ("soil",), (None,), ("y" * 50,)], "text string")
+    first = {r.text: (r.vector, r.truncated) for r in models.encoded(texts, "own_models:make", folder).collect()}
+    assert first["photon"] == ([1.0, 0.0], False) and first["y" * 50] == ([0.0, 1.0], True) and len(first) == 3
+    files = len(list((tmp_path / "vectors").glob("*.parquet")))
+    again = models.encoded(texts, "own_models:make", folder)
+    assert {r.text: (r.vector, r.truncated) for r in again.collect()} == first
+    assert spark.read.parquet(folder).count() == 3 and files
+    spark.createDataFrame([("k", [0.5], False)], models.VECTORS).write.mode("append").parquet(folder)
+    with pytest.raises(models.ModelError):
+        models.encoded(texts, "own_models:make", folder)
+    for name in ("own_models:none", "no_such_module:make", "x"):
+        with pytest.raises(models.ModelError):
+            models.load(name)
+    asked = spark.createDataFrame([("W1", "1"), ("W1", "2"), ("W2", "1"), ("W2", "2")], "work_id string, option_id string")
+    named = {"subfield": spark.createDataFrame([("1", "photon"), ("2", "soil")], "option_id string, option_name string")}
+    scorer = models.ChoiceScorer("own_models:make", spark.createDataFrame([("W1", "a photon"), ("W2", "the soil")], "work_id string, text string"), named)
+    got = {(r.work_id, r.option_id): r.logit for r in scorer.logits(asked, "subfield").collect()}
+    assert got == pytest.approx({("W1", "1"): math.log(0.9), ("W1", "2"): math.log(0.1), ("W2", "1"): math.log(0.1), ("W2", "2"): math.log(0.9)})
+
+
+MODEL = """
+class Lengths:
+    identity = {"model": "lengths", "revision": "a" * 40}
+    def encode(self, texts):
+        return [([1.0, 0.0] if "photon" in t else [0.0, 1.0], len(t) > 40) for t in texts]
+    def probabilities(self, text, options):
+        return {k: 0.9 if name in text else 0.1 for k, name in options.items()}
+make = Lengths
+"""
+
+
+def test_served_models(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, value):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(value).encode())
+
+        def do_GET(self):
+            self.answer({"models": [{"run": "m1"}]} if self.path == "/v1/models" else {"fingerprint": "f" * 64, "probability_api": models.EXACT})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            options = asked["questions"]["subject"]["criteria"]
+            self.answer({"answers": {"subject": {"probabilities": {k: 1 / len(options) for k in options}}}})
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    texts = spark.createDataFrame([("W1", "t")], "work_id string, text string")
+    named = {"field": spark.createDataFrame([(str(i), f"n{i}") for i in range(300)], "option_id string, option_name string")}
+    scorer = models.HttpScorer(url, texts, named, "m1")
+    assert scorer.identity["model"] == "m1" and scorer.identity["revision"] == "f" * 64
+    asked = named["field"].limit(4).selectExpr("'W1' as work_id", "option_id")
+    assert {round(math.exp(r.logit), 9) for r in scorer.logits(asked, "field").collect()} == {0.25}
+    with pytest.raises(Exception, match="255 options"):
+        scorer.logits(named["field"].selectExpr("'W1' as work_id", "option_id"), "field").collect()
+    with pytest.raises(models.ModelError):
+        models.HttpScorer(url, texts, named, "another")
+    server.shutdown()
+    for bad in ({"a": 0.5}, {"a": 0.5, "b": 0.6}, {"a": float("nan"), "b": 1.0}, {"a": True, "b": 0.0}, None):
+        with pytest.raises(models.ModelError):
+            models.checked(bad, {"a": "", "b": ""})
+
+
+def test_audit_records(spark, snapshot, tmp_path, capsys):
+    ids = [t["id"].rsplit("/", 1)[-1] for t in SMALL]
+    import hashlib
+
+    sha = hashlib.sha256(snapshot.read_bytes()).hexdigest()
+    notes = tmp_path / "n.tsv"
+    notes.write_text("topic_id\tjudgment\treason\tinput_sha256\n" + "".join(f"{i}\tunresolved\twhy\t{sha}\n" for i in ids))
+    assert cli.main(["audit", "--input", str(snapshot), "--record", str(tmp_path / "r"), "--notes", str(notes)]) == 0
+    assert {p.name for p in (tmp_path / "r").iterdir()} == {"audit-top50.json", "audit-scores.csv", "audit-review.md"}
+    assert len(list(csv.DictReader((tmp_path / "r/audit-scores.csv").open()))) == len(ids)
+    assert json.loads((tmp_path / "r/audit-top50.json").read_text())["output"]["total_rows"] == len(ids)
+    assert "6 unresolved" in (tmp_path / "r/audit-review.md").read_text()
+    notes.write_text(notes.read_text().replace("unresolved", "odd", 1))
+    assert cli.main(["audit", "--input", str(snapshot), "--record", str(tmp_path / "r"), "--notes", str(notes)]) == 2
+    capsys.readouterr()
 
 
 def test_pages_must_fit_together():
