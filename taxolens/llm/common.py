@@ -10,11 +10,9 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,13 +54,6 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,28 +61,6 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-class WordHash(dict):
-    """word -> 64-bit hash; bounded, so a worker's memory is too."""
-
-    LIMIT = 150_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-@lru_cache(maxsize=1)
-def word_cache() -> WordHash:
-    """A Python worker's own cache. Functions sent to executors call this by name, so
-    it lives as long as the worker; a module's variable would be sent as a copy."""
-    return WordHash()
-
-
 def unused(names: list[str], stem: str) -> str:
     """A column name like ``stem`` that none of ``names`` equals, whatever the case."""
     taken = {n.lower() for n in names}
@@ -160,11 +129,6 @@ def publish(uri: str, payload: bytes) -> None:
         system.move(fs.FileSystem.from_uri(temp)[1], inner)
 
 
-def words_sql(column: str) -> str:
-    """DuckDB expression for the list of words of a column (null: no words)."""
-    return rf"regexp_extract_all(coalesce({column}, ''), '{WORD}')"
-
-
 def n_words(column: str):
     """Spark expression that counts the words of a text (null: 0)."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")

@@ -23,9 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,6 +165,10 @@ def _weighed(rows: DataFrame, share: dict[int, float]) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = FIT_ROWS_PER_CLASS, rounds: int = ROUNDS) -> QualityModel | None:
     """Fit and calibrate on a bounded sample of labelled rows; None without both
     classes. Features stay on the executors; the driver gets weights and sums."""
+    from pyspark.ml.classification import LogisticRegression  # here, so that workers do without
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
     small_batches(docs.sparkSession)
     sample = class_sample(labels, label, per_class)
     rows = keep(sampled_texts(docs, sample).mapInArrow(_extract, "doc_id long, label int, at array<int>, value array<double>"), "features")
