@@ -76,14 +76,6 @@ def unit(v: Column) -> Column:
     return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)
 
 
-def softmax(logits: Column) -> Column:
-    """Probabilities of an array of logits, shifted by their maximum."""
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
-
-
 def vector_sums(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """keys, n, and the element-wise sum ``s`` of a vector column, by position: partial
     sums are made before the shuffle."""

@@ -65,9 +65,20 @@ def normalise_keywords(keywords: DataFrame, column: str = "keyword", into: str =
     )
 
 
+def fold_case(c: Column | str) -> Column:
+    """Full case folding: what Python's ``casefold`` gives, but for Cherokee letters.
+
+    Upper case writes out what folding does (sharp s, ligatures); lower case alone does
+    not. The dotless i stays what it is, and a final sigma is a sigma."""
+    # a change of letters in between keeps the optimizer from dropping a step as idle
+    first = F.translate(F.lower(c), "\u0131", "\ue000")
+    second = F.translate(F.upper(first), "\ue000", "\ue001")
+    return F.translate(F.lower(second), "\ue001\u03c2", "\u0131\u03c3")
+
+
 def title_key(c: Column | str) -> Column:
-    """The words of a title, in lower case, joined by single spaces."""
-    return F.array_join(F.regexp_extract_all(F.lower(c), F.lit(WORDS), F.lit(1)), " ")
+    """The words of a title, case-folded, joined by single spaces."""
+    return F.array_join(F.regexp_extract_all(fold_case(c), F.lit(WORDS), F.lit(1)), " ")
 
 
 def _keywords(c: Column, separator: str) -> Column:
@@ -97,16 +108,6 @@ def insufficient_metadata(title: Column, source: Column, keywords: Column) -> Co
     return is_blank(title) & is_blank(source) & ~some
 
 
-def escape_controls(c: Column | str) -> Column:
-    """Line ends and tabs as visible escapes, so that a cell cannot add rows."""
-    return F.replace(F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
-
-
-def label_text(id_: Column, name: Column) -> Column:
-    """``id: name`` without the brackets that a label parser takes for its own."""
-    return F.translate(F.concat_ws(": ", id_, name), "()[]", ",")
-
-
 def hash_bucket(text: Column) -> Column:
     """A number in [0, 1) from the first 32 bits of a text's SHA-256."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -13,12 +13,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.session import shared_dir
+from taxolens.session import run_dir
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/taxolens/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

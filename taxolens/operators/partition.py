@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolens.functions.text import hash_bucket, short_id, title_key
+from taxolens.functions.text import fold_case, hash_bucket, short_id, title_key
 from taxolens.operators.components import connected_components
 
 # Upper ends of the buckets.
@@ -18,7 +18,7 @@ def family_keys(records: DataFrame) -> DataFrame:
     title; empty and null keys make none."""
     keys = F.array(
         F.struct(F.lit("source").alias("kind"), F.col("source_id").alias("key")),
-        F.struct(F.lit("doi").alias("kind"), F.lower("doi").alias("key")),
+        F.struct(F.lit("doi").alias("kind"), fold_case("doi").alias("key")),
         F.struct(F.lit("title").alias("kind"), title_key("title").alias("key")),
     )
     return records.select("id", F.explode(keys).alias("k")).select("id", "k.kind", "k.key").where("key is not null and key <> ''")

@@ -19,6 +19,8 @@ from taxolens.operators.components import store
 
 ROUTE = ("domain", "field", "subfield")
 PARENT = {"field": "domain", "subfield": "field"}
+#: Labels that one record is asked about at once.
+MOST_LABELS = 10_000
 #: Decimals at which probabilities are compared, so that ties go by id.
 COMPARE = 9
 SHARPNESS = 10.0
@@ -78,16 +80,26 @@ def _ranked(p: DataFrame) -> DataFrame:
 
 def candidates(p: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
     """work_id and its best options as an array of (id, name, probability)."""
-    top = _ranked(p).where(F.col("place") <= most).join(F.broadcast(names) if names.count() < 100_000 else names, "option_id")
+    top = _ranked(p).where(F.col("place") <= most).join(names, "option_id")
     return top.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("option_id").alias("id"), F.col("option_name").alias("name"), F.col("p").alias("probability")))).alias("c")).select(
         "work_id", F.transform("c", lambda x: F.struct(x.id.alias("id"), x["name"].alias("name"), x.probability.alias("probability"))).alias("candidates")
     )
 
 
+def _every(records: DataFrame, options: DataFrame) -> DataFrame:
+    """Each record with each option: what flat placement asks. A level's labels are few by
+    nature (``MOST_LABELS``), so they travel to the records; more of them are an error."""
+    n = options.limit(MOST_LABELS + 1).count()
+    if n > MOST_LABELS:
+        raise ValueError(f"a record is asked about at most {MOST_LABELS} labels")
+    one = options.agg(F.collect_list(F.struct(*options.columns)).alias("__all"))
+    return records.crossJoin(F.broadcast(one)).select(*records.columns, F.inline("__all"))
+
+
 def flat(records: DataFrame, options: DataFrame, scorer: Scorer, level: str = "subfield") -> DataFrame:
     """work_id, prediction, confidence, candidates: each record against every label of
     the level (``options``: option_id, option_name, as many as the taxonomy has)."""
-    asked = records.select("work_id").crossJoin(F.broadcast(options.select("option_id")))  # the label dimension is fixed and small
+    asked = _every(records.select("work_id"), options.select("option_id"))
     p = probabilities(scorer.logits(asked, level))
     best = _ranked(p).where("place = 1").select("work_id", F.col("option_id").alias("prediction"), F.col("p").alias("confidence"))
     return best.join(candidates(p, options), "work_id")
@@ -102,7 +114,7 @@ def hierarchical(records: DataFrame, taxonomy: DataFrame, scorer: Scorer, level:
     for current in ROUTE[: ROUTE.index(level) + 1]:
         above = PARENT.get(current)
         options = taxonomy.select(F.col(current).alias("option_id"), F.col(f"{current}_name").alias("option_name"), *([F.col(above).alias("chosen")] if above else [])).distinct()
-        asked = state.select("work_id", "chosen").join(F.broadcast(options), "chosen") if above else state.select("work_id").crossJoin(F.broadcast(options))
+        asked = state.select("work_id", "chosen").join(options, "chosen") if above else _every(state.select("work_id"), options)
         asked = asked.select("work_id", "option_id")
         single = asked.groupBy("work_id").agg(F.count(F.lit(1)).alias("n"), F.first("option_id").alias("option_id")).where("n = 1")
         alone = single.select("work_id", "option_id", F.lit(1.0).alias("p"))

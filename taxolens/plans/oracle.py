@@ -163,7 +163,7 @@ META = """meta AS (
     CASE WHEN p_partkey % 5 = 0 AND p_size % 2 = 0 THEN '' ELSE p_brand END AS source, p_type AS type,
     CASE WHEN p_partkey % 5 = 0 THEN [' '] ELSE string_split(concat_ws(' ', p_name, p_type), ' ') END AS keywords FROM part)"""
 
-FAMILY = """records AS (SELECT 'D' || doc_id AS id, concat_ws('-', source, n_chars) AS source_key, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), ' ') AS title_key FROM documents),
+FAMILY = """records AS (SELECT 'D' || doc_id AS id, concat_ws('-', source, n_chars) AS source_key, array_to_string(regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\p{L}\\p{N}_]+'), ' ') AS title_key FROM documents),
 keys AS (
   SELECT id, 'source' AS kind, source_key AS key FROM records WHERE source_key <> '' UNION ALL SELECT id, 'title', title_key FROM records WHERE title_key <> '')"""
 

@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,6 +28,21 @@ def ship(spark: SparkSession) -> None:
     context._taxolens_shipped = True
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this Spark context's intermediate tables and files."""
+    context = spark.sparkContext
+    if not getattr(context, "_taxolens_run", None):
+        context._taxolens_run = f"{shared_dir(spark)}/taxolens/run-{uuid.uuid4().hex}"
+    return context._taxolens_run
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this context has put into the shared folder. Results that are still
+    read from there must have been written elsewhere first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 

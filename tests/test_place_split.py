@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taxolens.functions import stats
+from taxolens.functions import stats, text
 from taxolens.functions.text import feature_text, insufficient_metadata
 from taxolens.operators import partition, place, split, validate
 from taxolens.operators.components import connected_components
@@ -102,6 +102,15 @@ def test_families_are_transitive(spark):
     assert {(r.kind, r.key) for r in partition.leaks(forged).collect()} == {("source", "B"), ("title", "shared title")}
 
 
+def test_case_is_folded(spark):
+    letters = [c for i in range(1, 0x3000) if (c := chr(i)).isalpha() and not 0x13A0 <= i < 0x1400 and not 0x1C80 <= i < 0x1C90]
+    rows = spark.createDataFrame(list(enumerate([*letters, "STRAßE ﬁn ΣΑΣ"])), "i int, c string")
+    got = {r.i: r.x for r in rows.select("i", text.fold_case("c").alias("x")).collect()}
+    assert [c for i, c in enumerate(letters) if got[i] != c.casefold()] == [] and got[len(letters)] == "strasse fin σασ"
+    records = spark.createDataFrame([("W1", None, "10.1/ß", "x"), ("W2", None, "10.1/SS", "y"), ("W3", None, None, "GROSSE"), ("W4", None, None, "große")], "id string, source_id string, doi string, title string")
+    assert {r.id: r.family for r in partition.families(records).collect()} == {"W1": "W1", "W2": "W1", "W3": "W3", "W4": "W3"}
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
