@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolens.session import shared_dir, ship
+from taxolens.session import run_dir, ship
 
 #: The C library's own way to return freed memory, where it has one.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -41,8 +41,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/taxolens/{label}-{uuid.uuid4().hex}"
+    """A path of its own in this run's part of the shared folder (``session.clear`` empties it)."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:

@@ -9,9 +9,12 @@ Of pages with equal payloads (by SHA-1 and length) of at least ``REVISIT_BYTES``
 largest page_id is the response, others revisit it. The largest id of a payload comes
 from a pre-aggregated group-by, so a payload of a third of all pages is no hot task.
 
-Defined cases: a null html is an empty payload; a null url has no target header; rows
-equal to the response's page_id and payload are responses too; a null page_id with a
-payload that others share is a revisit, or a response where all are null.
+Defined cases: a null or empty html is an empty payload; a null url has no target header;
+rows equal to the response's page_id and payload are responses too and share its record
+id; a null page_id with a payload that others share is a revisit, or a response where all
+are null; payloads of exactly ``REVISIT_BYTES`` may be revisited; a very long payload is one
+record, held in memory while it is written and read; columns beside page_id, url and html
+stay out, whatever their names; an empty table makes no archive and no capture.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import fresh_path, keep, open_shared, publish, small_batches, utf8
+from taxolens.llm.common import fresh_path, keep, open_shared, publish, release, small_batches, utf8
 
 REVISIT_BYTES = 1000
 #: An archive is closed when its records have so many bytes.
@@ -103,6 +106,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
                     number, out = number + 1, io.BytesIO()
         if out.tell():
             yield flush()
+        release()
 
     # the rows of a task and their order must be the same if it runs again
     rows = plan(pages).sortWithinPartitions("page_id", "digest", "url")
@@ -152,6 +156,7 @@ def read_records(archives: DataFrame) -> DataFrame:
                             rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        release()
 
     return archives.select("path").repartition(n, F.xxhash64("path")).mapInArrow(read, RECORD)
 

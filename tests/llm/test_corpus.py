@@ -689,6 +689,26 @@ def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
 
 
+def test_pipeline_of_nothing_and_of_more_columns(spark, tmp_path):
+    import corpus_pipeline as p
+
+    folder = f"file://{tmp_path}/t"
+    spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(12))), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    nothing = spark.createDataFrame([], DOCS)
+    for _, stage in p.STAGES:
+        assert stage(spark, nothing, folder).isEmpty()
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, long), (2, long + " x"), (None, long), (3, None), (4, ""), (5, "é " * 30_000), (6, " ".join(f"b{i}" for i in range(30)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    more = docs.withColumns({c: F.lit(1) for c in ("quality", "kept", "component", "match", "hit", "copies", "h", "size", "rank", "a.b", "__clean", "__row")} | {"m": F.create_map(F.lit("k"), "doc_id")})
+    for _, stage in p.STAGES[:-1]:
+        more = p.keep(stage(spark, more, folder), "t")
+        assert more.columns[:5] == docs.columns and more.columns[-1] == "m"
+    assert {r.doc_id for r in more.collect()} <= {1, 6, None}
+    assert p.STAGES[-1][1](spark, more, folder).count() == more.count()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
