@@ -4,6 +4,12 @@
 DataFrame, which is written as Parquet and read again as the next one's ``docs``. All
 but the last return the columns of ``documents``. Rows rejected by a stage are gone
 for the next; the mix repeats rows as often as it takes them.
+
+Defined cases: null, empty and wordless texts fail the quality rules and go first; rows
+without an id are no copies of anything and stay until the mix; repeated rows of an id
+count once after the near-duplicate stage; ties go as each operator says; very long texts
+pass every stage whole; more columns, whatever their names and types, are carried along
+to the last stage; empty tables give empty tables.
 """
 
 from __future__ import annotations
