@@ -45,28 +45,29 @@ STOP_WORDS = (
 ).split()
 
 
-def grams(text: Column, stop: list[str]) -> Column:
-    """Words of two and more word characters without stop words, then word pairs.
+def grams(docs: DataFrame, text: str, stop: list[str], *keep: str) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with ``g``: words of two and more word characters without
+    stop words, then pairs of such words.
 
     Stop words are passed over by the expression itself: a match begins where a run of
-    word characters does, and not where that run is a stop word."""
+    word characters does, and not where that run is a stop word. Pairs are matched ahead
+    of each word. Words are a projection of their own, so that they are made once."""
     run = r"[\p{L}\p{N}_]"
     shut = f"(?!(?:{'|'.join(stop)})(?!{run}))" if stop else ""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{run}){shut}({run}{{2,}})"), F.lit(1))
-    n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+    words = docs.select(*keep, F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{run}){shut}({run}{{2,}})"), F.lit(1)).alias("w"))
+    pairs = F.regexp_extract_all(F.array_join("w", " "), F.lit(r"(?<![^ ])(?=([^ ]+ [^ ]+))"), F.lit(1))
+    return words.select(*keep, F.concat("w", pairs).alias("g"))
 
 
 def term_counts(docs: DataFrame, text: str, stop: list[str]) -> DataFrame:
     """(sink, work_id, term, tf)."""
-    return docs.select("sink", "work_id", F.explode(grams(F.col(text), stop)).alias("term")).groupBy("sink", "work_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return grams(docs, text, stop, "sink", "work_id").select("sink", "work_id", F.explode("g").alias("term")).groupBy("sink", "work_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_totals(docs: DataFrame, text: str, stop: list[str]) -> DataFrame:
     """(sink, term, df, cf): documents that have a term, and its occurrences. A document's
     terms lie in one row, so both are summed by term at once, before any shuffle."""
-    each = docs.select("sink", grams(F.col(text), stop).alias("g")).select("sink", F.explode(F.array(F.struct(F.col("g").alias("terms"), F.lit(0).alias("d")), F.struct(F.array_distinct("g").alias("terms"), F.lit(1).alias("d")))).alias("x"))
+    each = grams(docs, text, stop, "sink").select("sink", F.explode(F.array(F.struct(F.col("g").alias("terms"), F.lit(0).alias("d")), F.struct(F.array_distinct("g").alias("terms"), F.lit(1).alias("d")))).alias("x"))
     terms = each.select("sink", "x.d", F.explode("x.terms").alias("term"))
     return terms.groupBy("sink", "term").agg(F.sum(F.col("d").cast("long")).alias("df"), F.sum((1 - F.col("d")).cast("long")).alias("cf"))
 
