@@ -27,7 +27,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolens.llm.common import fresh_path, keep, open_shared, publish, release, small_batches, utf8
+from taxolens.llm.hashing import TOGETHER, Lookup, word_hashes
 
 MAGIC = b"WMX2"
 #: A shard is closed when it has so many ids.
@@ -47,7 +48,9 @@ END_ID = 1
 #: Bits of a plane in one chunk.
 CHUNK_BITS = 1 << 15
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
+#: New words that are merged into the large table, at least.
+MERGED = 1 << 16
 #: Letters, then punctuation that the tokenizer parts from them.
 LETTERS_END = re.compile(rb"([A-Za-z\x80-\xff]+)([.,!?;:]+)")
 
@@ -90,25 +93,28 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def encode(self, text: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for text in texts:
+            yield np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
 
 
-class WordEncoder(dict):
-    """ASCII-white-space word -> its ids as bytes.
+class WordEncoder:
+    """The ids of texts from those of their words, for tokenizers that ``by_words`` lets
+    through: their rules never join or look across ASCII white space, fold case, and part a
+    run of letters from the punctuation behind it, so a text's ids are those of its
+    lower-case words, and a word's those of its letters and of what follows. Texts with
+    marks of special tokens are taken as written.
 
-    The tokenizer's rules (see ``by_words``) never join or look across ASCII white space,
-    fold case, and part a run of letters from the punctuation behind it, so a text's ids
-    are those of its lower-case words, and a word's those of its letters and of what
-    follows. Words with marks of special tokens in their text are left as written."""
+    What is known of words lies in flat arrays by the hash of the word: a large table, and
+    a small one of new words that is merged into it when it has grown. When both have
+    ``CACHE_WORDS`` words, the large one is dropped."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.old: dict[bytes, bytes] = {}
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.old, self.young = _Known.none(), _Known.none()
 
     @staticmethod
     def letters(word: bytes) -> str | None:
@@ -124,28 +130,74 @@ class WordEncoder(dict):
             return None
         return s.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
 
-    def words(self, text: bytes) -> list[bytes]:
-        return (text if b"<|" in text else text.lower()).split()
-
-    def __missing__(self, word: bytes) -> bytes:
-        """A word's ids, from the older generation if it is there: words in use move to
-        the younger one, and the older is dropped when the younger is full."""
-        if (ids := self.old.get(word)) is None:
-            if (run := self.letters(word)) is not None:
-                ids = array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
-            elif (m := LETTERS_END.fullmatch(word)) and self.letters(m[1]):
-                ids = self[m[1]] + self[m[2]]
-            else:
-                ids = array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-        if len(self) >= CACHE_WORDS // 2:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+    def ids(self, word: bytes) -> list[int]:
+        """The ids of one word."""
+        if (run := self.letters(word)) is not None:
+            return [t.id for t in self.model.tokenize(run)]
+        if (m := LETTERS_END.fullmatch(word)) and self.letters(m[1]):
+            return self.ids(m[1]) + self.tokenizer.encode(m[2].decode(), add_special_tokens=False).ids
+        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (size == 0 or size + len(texts[to]) < TOGETHER):
+                size, to = size + len(texts[to]) + 1, to + 1
+            yield from self._together([t if b"<|" in t else t.lower() for t in texts[at:to]])
+            at = to
+
+    def _together(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        data = b"\n".join(texts)
+        hashes, starts = word_hashes(data)
+        hashes = hashes.view(np.int64)
+        young = self.young.keys.find(hashes)
+        old = np.full(hashes.size, -1, np.int32)
+        old[young < 0] = self.old.keys.find(hashes[young < 0])
+        new = np.flatnonzero((young < 0) & (old < 0))
+        if new.size:
+            words = data.split()
+            fresh, first = np.unique(hashes[new], return_index=True)
+            self.young = self.young.with_(fresh, [self.ids(words[i]) for i in new[first].tolist()])
+            young = self.young.keys.find(hashes)
+        flat = np.concatenate([self.young.ids, self.old.ids])
+        begin = np.where(young >= 0, self.young.begin[young], self.old.begin[old] + self.young.ids.size)
+        length = np.where(young >= 0, self.young.length(young), self.old.length(old))
+        ends = np.cumsum(length)
+        out = flat[np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if ends.size else 0)]
+        tops = np.cumsum([len(t) + 1 for t in texts])
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.searchsorted(starts, tops)])].tolist()
+        for a, b in zip(edges, edges[1:]):
+            yield out[a:b]
+        if self.young.begin.size > max(MERGED, self.old.begin.size // 4):
+            full = self.young.begin.size + self.old.begin.size > CACHE_WORDS
+            self.old, self.young = (self.young if full else self.old.and_(self.young)), _Known.none()
+
+
+@dataclass
+class _Known:
+    """Ids of words: those of word ``i`` are ``ids[begin[i]:begin[i + 1]]``. ``begin`` has one
+    entry more than there are words."""
+
+    keys: Lookup
+    begin: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def none(cls) -> _Known:
+        return cls(Lookup(np.zeros(0, np.int64)), np.zeros(1, np.int64), np.zeros(0, "<u4"))
+
+    def length(self, at: np.ndarray) -> np.ndarray:
+        """Numbers of ids; of -1, something."""
+        return self.begin[np.minimum(at + 1, self.begin.size - 1)] - self.begin[at]
+
+    def with_(self, keys: np.ndarray, ids: list[list[int]]) -> _Known:
+        begin = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
+        return self.and_(_Known(Lookup(keys[:0]), begin, np.array([t for i in ids for t in i], "<u4")), keys)
 
-    def encode(self, text: bytes) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.__getitem__, self.words(text)))
+    def and_(self, other: _Known, keys: np.ndarray | None = None) -> _Known:
+        return _Known(Lookup(np.concatenate([self.keys.keys, other.keys.keys if keys is None else keys])), np.concatenate([self.begin, other.begin[1:] + self.ids.size]), np.concatenate([self.ids, other.ids]))
 
 
 @lru_cache(maxsize=2)
@@ -160,8 +212,9 @@ def build_planes(ids: np.ndarray, bits: int):
     cur = ids
     for level in range(bits - 1, -1, -1):
         one = (cur >> cur.dtype.type(level)) & cur.dtype.type(1) == 1
-        sums = np.add.reduceat(one, np.arange(0, one.size, CHUNK_BITS), dtype=np.int64) if one.size else np.zeros(0, np.int64)
-        yield np.packbits(one).tobytes(), np.concatenate([[0], np.cumsum(sums)]).astype("<u4")
+        packed = np.packbits(one)
+        sums = np.add.reduceat(np.bitwise_count(packed), np.arange(0, packed.size, CHUNK_BITS // 8), dtype=np.int64) if one.size else np.zeros(0, np.int64)
+        yield packed.tobytes(), np.concatenate([[0], np.cumsum(sums)]).astype("<u4")
         cur = np.concatenate([cur[~one], cur[one]])
 
 
@@ -313,19 +366,18 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens
         encoder = encoder_of(tokenizer_path)
         part, number = TaskContext.get().partitionId(), 0
         doc_ids, lengths, pieces, size = [], [], [], 0
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4")
 
         def flush():
             path = f"{folder}/shard-{part:06d}-{number:06d}.wmx"
-            publish(path, encode_shard(doc_ids, lengths, np.frombuffer(b"".join(pieces), "<u4")))
+            publish(path, encode_shard(doc_ids, lengths, np.concatenate(pieces)))
             return pa.RecordBatch.from_pydict({"part": [part], "number": [number], "path": [path], "docs": [len(doc_ids)], "tokens": [size]}, pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                ids = encoder.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(utf8(batch.column(1)))):
                 doc_ids.append(doc_id)
-                lengths.append(len(ids) // 4)
-                pieces.append(ids)
+                lengths.append(ids.size + 1)
+                pieces += [ids, end]
                 size += lengths[-1]
                 if size >= shard_tokens:
                     yield flush()
