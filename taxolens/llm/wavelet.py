@@ -115,6 +115,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.old, self.young = _Known.none(), _Known.none()
+        self.parts: dict[bytes, list[int]] = {}
 
     @staticmethod
     def letters(word: bytes) -> str | None:
@@ -135,9 +136,17 @@ class WordEncoder:
         if (run := self.letters(word)) is not None:
             return [t.id for t in self.model.tokenize(run)]
         if (m := LETTERS_END.fullmatch(word)) and self.letters(m[1]):
-            return self.ids(m[1]) + self.tokenizer.encode(m[2].decode(), add_special_tokens=False).ids
+            return self.part(m[1]) + self.part(m[2])
         return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
 
+    def part(self, part: bytes) -> list[int]:
+        """The ids of letters or of the punctuation behind them, which many words share."""
+        if (found := self.parts.get(part)) is None:
+            if len(self.parts) >= MERGED:
+                self.parts.clear()
+            found = self.parts[part] = self.ids(part)
+        return found
+
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         at = 0
