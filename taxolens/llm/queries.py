@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolens.llm import decontaminate, mixing, parity_join, ppm, quality, secrets, toxicity, urlfilter, warc, wavelet
+from taxolens.llm import decontaminate, disclosure, divergence, importance, mixing, parity_join, ppm, quality, secrets, toxicity, urlfilter, warc, wavelet
 from taxolens.llm.common import table
 
 
@@ -79,6 +79,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, model, into="q").select("doc_id", "q.*")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = importance.weigh(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return importance.rank(weighed).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -91,6 +104,9 @@ def queries() -> dict:
         "op8_token_shards": op8_token_shards,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality": op10_quality,
+        "op11_importance_resample": op11_importance_resample,
+        "op12_sanitise": op12_sanitise,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -141,7 +157,27 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
+OP13 = f"""WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+tok AS (SELECT doc, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM tok GROUP BY 1, 2 HAVING count(DISTINCT doc) >= {divergence.LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+full_c AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n) AS n FROM full_c GROUP BY 1, 2),
+p AS (
+  SELECT f.lang, f.source, f.term, f.n, 1 + 1000000000::HUGEINT * (f.n + 2) // (t.n + 2 * v.v) AS p, 1 + 1000000000::HUGEINT * (f.lang_n + 2) // (v.n + 2 * v.v) AS q
+  FROM full_c f JOIN t ON t.lang = f.lang AND t.source = f.source JOIN v ON v.lang = f.lang),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS s FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= {divergence.MOST_TERMS}"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Models, tokenizers, random rounding and linked spans are beyond SQL; the tests
     compare those queries with brute force."""
-    return {"op2_url_filter": OP2, "op5_warc": OP5, "op6_jaccard_join": OP6, "op9_decontaminate": OP9}
+    return {"op2_url_filter": OP2, "op5_warc": OP5, "op6_jaccard_join": OP6, "op9_decontaminate": OP9, "op13_source_divergence": OP13}
