@@ -189,11 +189,15 @@ def joined(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the counts of base kinds, the hash of base spans and all spans."""
-    rows = assess(docs, text, "found")
-    base = F.filter("found", lambda s: s.kind != TERM)
-    count = lambda k: F.size(F.filter("found", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
-    return rows.select(*[F.col(c) for c in quoted(docs.columns) if c != f"`{text}`"], *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    """``docs`` without the text, with the counts of base kinds, the hash of base spans and
+    all spans; columns of these names are replaced."""
+    own = unused(docs.columns, "found")
+    rows, found = assess(docs, text, own), F.col(f"`{own}`")
+    base = F.filter(found, lambda s: s.kind != TERM)
+    count = lambda k: F.size(F.filter(found, lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
+    new = [*[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(found).alias("spans")]
+    names = {text.lower(), *[f"n_{k}" for k in KINDS], "base_sha256", "spans"}
+    return rows.select(*[F.col(c) for n, c in zip(docs.columns, quoted(docs.columns)) if n.lower() not in names], *new)
 
 
 def sanitise(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
