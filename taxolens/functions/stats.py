@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taxolens.operators.ordering import running
+
 #: Two-sided 95 % quantile of the normal distribution.
 Z = 1.959963984540054
 
@@ -19,28 +21,39 @@ def wilson(successes: Column, total: Column, z: float = Z) -> tuple[Column, Colu
     return F.when(n.isNotNull(), F.greatest(F.lit(0.0), centre - radius)), F.when(n.isNotNull(), F.least(F.lit(1.0), centre + radius))
 
 
-def threshold_curve(rows: DataFrame, correct: str, confidence: str = "confidence") -> DataFrame:
-    """One row per distinct confidence: accepted and correct rows at or above it.
+def threshold_curve(rows: DataFrame, correct: str, confidence: str = "confidence", by: list[str] | None = None) -> DataFrame:
+    """One row per distinct confidence (and group): accepted and correct rows at or above it.
+
+    Ties are one step: rows are summed by confidence before anything is accumulated."""
+    steps = rows.groupBy(*(by or []), F.col(confidence).alias("threshold")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(correct).cast("long")).alias("right"))
+    return accumulated(steps, by)
 
-    Ties are one step: rows are summed by confidence before anything is accumulated,
-    so the ordered window sees distinct confidences only."""
-    steps = rows.groupBy(F.col(confidence).alias("threshold")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(correct).cast("long")).alias("right"))
-    above = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = steps.select("threshold", F.sum("rows").over(above).alias("accepted"), F.sum("right").over(above).alias("correct"))
+
+def accumulated(steps: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The curve of ``steps``: threshold, rows and right ones of each distinct confidence.
+    Range partitions sum up their own steps (``running``)."""
+    curve = running(steps, [F.col("threshold").desc()], {"accepted": "rows", "correct": "right"}, by).select(*(by or []), "threshold", "accepted", "correct")
     low, high = wilson(F.col("correct"), F.col("accepted"))
     return curve.withColumns({"precision": F.col("correct") / F.col("accepted"), "low": low, "high": high})
 
 
+def best_cut(curve: DataFrame, target: float, minimum: int, by: list[str] | None = None) -> DataFrame:
+    """``by`` and the cut of each group that accepts most among those whose lower bound
+    reaches the target, even past cuts that fail."""
+    fit = curve.where((F.col("accepted") >= minimum) & (F.col("low") >= target))
+    own = F.struct("accepted", "threshold", "correct", "precision", F.col("low").alias("precision_low"), F.col("high").alias("precision_high"))
+    return fit.groupBy(*(by or [])).agg(F.max(own).alias("b")).where("b is not null").select(*(by or []), "b.*")
+
+
 def fitted_threshold(rows: DataFrame, correct: str, target: float = 0.9, minimum: int = 20) -> DataFrame:
-    """One row: the cut that accepts most among those whose lower bound reaches the
-    target, even past cuts that fail; nulls and zeros where there is none.
+    """One row: the best cut; nulls and zeros where there is none.
 
     ``rows`` has status, confidence and the ``correct`` column; coverage is of all rows."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    best = threshold_curve(rows.where("status = 'predicted'"), correct).where((F.col("accepted") >= minimum) & (F.col("low") >= target)).orderBy(F.col("accepted").desc()).limit(1)
+    best = best_cut(threshold_curve(rows.where("status = 'predicted'"), correct), target, minimum)
     return total.join(best, F.lit(True), "left").select(
         "threshold", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("correct", F.lit(0)).alias("correct"), "precision",
-        F.col("low").alias("precision_low"), F.col("high").alias("precision_high"), F.coalesce(F.col("accepted") / F.col("total"), F.lit(0.0)).alias("coverage"),
+        "precision_low", "precision_high", F.coalesce(F.col("accepted") / F.col("total"), F.lit(0.0)).alias("coverage"),
     )
 
 
@@ -61,11 +74,6 @@ def selective_metrics(rows: DataFrame, cutoff: Column, correct: str, by: list[st
     )
 
 
-def sorted_sum(values: Column) -> Column:
-    """The sum of an array of doubles in ascending order: independent of partitions."""
-    return F.aggregate(F.array_sort(values), F.lit(0.0), lambda a, x: a + x)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

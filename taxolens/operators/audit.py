@@ -4,8 +4,8 @@ Topics are rows ``topic_id, topic, keywords array<string>, works_count`` and, fo
 level, ``{level}_id`` and ``{level}_name``. Neighbours come from an equi-join of keyword
 memberships, similarity is the Jaccard coefficient of keyword sets, and each topic keeps
 its ``k`` best neighbours of positive overlap. A parent's share is its part of the
-neighbours' similarity; shares are summed in sorted order and compared after rounding,
-so results do not depend on how rows are partitioned.
+neighbours' similarity; sums are exact and shares compared after rounding, so results do
+not depend on how rows are partitioned.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolens.functions.stats import sorted_sum
+from taxolens.functions.exact import exact_array_sum
 from taxolens.functions.text import normalise_keywords, short_id
+from taxolens.operators import nearest
 from taxolens.operators.components import store
 from taxolens.operators.ordering import places
 
@@ -61,25 +62,28 @@ def overlaps(members: DataFrame, salted: bool = True) -> DataFrame:
     return met.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def numbered(topics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(topic_id, id, n) of topics with keywords, numbered in the order of their ids, and
+    their stored memberships (id, n, keyword): n is the size of the keyword set."""
+    members = store(memberships(topics), "memberships")
+    sizes = members.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
+    names = store(places(sizes, [F.col("topic_id")], into="id"), "numbers")
+    return names, members.join(names, "topic_id").select("id", "n", "keyword")
+
+
+def overlap_counts(topics: DataFrame) -> DataFrame:
+    """(shared, pairs): ordered pairs of topics by their number of common keywords."""
+    pairs = nearest.overlaps(numbered(topics)[1])
+    return pairs.groupBy("shared").agg((2 * F.count(F.lit(1))).alias("pairs"))
+
+
 def neighbours(topics: DataFrame, k: int = 10) -> DataFrame:
     """(src, dst, shared, all, similarity, place): the k best neighbours of each topic,
-    by similarity, then by id; ``all`` is the size of the union of keywords.
-
-    Topics go by numbers in the order of their ids, each with the size of its keyword
-    set, so a pair is two short rows that meet once; a hot keyword is dealt over salts."""
-    members = memberships(topics)
-    sizes = members.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
-    numbered = places(sizes, [F.col("topic_id")], into="id")
-    coded = store(members.join(numbered.select("topic_id", F.struct(F.col("id"), F.col("n")).alias("t")), "topic_id").select("t", "keyword"), "coded")
-    a, b = coded.select(F.col("t").alias("a"), "keyword"), coded.select(F.col("t").alias("b"), "keyword")
-    met = _salted(coded, a, b).where("a.id < b.id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    scored = met.select("a.id", F.col("b.id").alias("to"), "shared", (F.col("a.n") + F.col("b.n") - F.col("shared")).alias("all")).withColumn("similarity", F.col("shared") / F.col("all"))
-    ends = F.explode(F.array(F.struct(F.col("id").alias("src"), F.col("to").alias("dst")), F.struct(F.col("to").alias("src"), F.col("id").alias("dst"))))
-    both = scored.select(ends.alias("e"), "shared", "all", "similarity").select("e.*", "shared", "all", "similarity")
-    best = Window.partitionBy("src").orderBy(F.col("similarity").desc(), "dst")
-    kept = both.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    named = lambda c: numbered.select(F.col("id").alias(f"{c}_id"), F.col("topic_id").alias(f"{c}_name"))
-    found = kept.join(named("src"), F.col("src") == F.col("src_id")).join(named("dst"), F.col("dst") == F.col("dst_id"))
+    by similarity, then by id; ``all`` is the size of the union of keywords. Topics go by
+    numbers in the order of their ids until their neighbours are known (``nearest``)."""
+    names, members = numbered(topics)
+    named = lambda c: names.select(F.col("id").alias(f"{c}_id"), F.col("topic_id").alias(f"{c}_name"))
+    found = nearest.nearest(members, k).join(named("src"), F.col("src") == F.col("src_id")).join(named("dst"), F.col("dst") == F.col("dst_id"))
     return found.select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "shared", "all", "similarity", "place")
 
 
@@ -91,30 +95,33 @@ def shared_keywords(near: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def parent_shares(near: DataFrame, topics: DataFrame, level: str) -> DataFrame:
-    """(topic_id, parent_id, parent_name, share, count, own, place) of one level: the
+    """(topic_id, parent_id, parent_name, share, count, own, total, place) of one level: the
     parents of a topic's neighbours, ordered by share, the stated parent first among
-    equals, then by id. A stated parent without neighbours is last, with share 0."""
+    equals, then by id; ``total`` is all neighbours' similarity. A stated parent without
+    neighbours is last, with share 0."""
     names = topics.select(F.col("topic_id").alias("dst"), F.col(f"{level}_id").alias("parent_id"), F.col(f"{level}_name").alias("parent_name"))
     own = topics.select(F.col("topic_id").alias("src"), F.col(f"{level}_id").alias("stated_id"), F.col(f"{level}_name").alias("stated_name"))
-    by_parent = near.join(names, "dst").groupBy("src", "parent_id").agg(
-        sorted_sum(F.collect_list("similarity")).alias("weight"), F.count(F.lit(1)).alias("count"), F.max("parent_name").alias("parent_name")
-    )
-    total = near.groupBy("src").agg(sorted_sum(F.collect_list("similarity")).alias("total"))
+    sides = [F.col("src"), F.col("parent_id")]
+    sums = near.join(names, "dst").groupingSets([sides, sides[:1]], *sides).agg(
+        F.collect_list("similarity").alias("v"), F.count(F.lit(1)).alias("count"), F.max("parent_name").alias("parent_name"), F.grouping("parent_id").alias("whole")
+    ).withColumn("weight", exact_array_sum(F.col("v"))).drop("v")
+    by_parent = sums.where("whole = 0")
+    total = sums.where("whole = 1").select("src", F.col("weight").alias("total"))
     seen = by_parent.join(total, "src").join(own, "src").select(
         "src", "parent_id", F.when(F.col("parent_id") == F.col("stated_id"), F.col("stated_name")).otherwise(F.col("parent_name")).alias("parent_name"),
-        (F.col("weight") / F.col("total")).alias("share"), "count", (F.col("parent_id") == F.col("stated_id")).alias("own"),
+        (F.col("weight") / F.col("total")).alias("share"), "count", (F.col("parent_id") == F.col("stated_id")).alias("own"), "total",
     )
-    absent = own.join(seen.where("own").select("src"), "src", "left_anti").select("src", F.col("stated_id").alias("parent_id"), F.col("stated_name").alias("parent_name"), F.lit(0.0).alias("share"), F.lit(0).cast("long").alias("count"), F.lit(True).alias("own"))
+    absent = own.join(seen.where("own").select("src"), "src", "left_anti").select("src", F.col("stated_id").alias("parent_id"), F.col("stated_name").alias("parent_name"), F.lit(0.0).alias("share"), F.lit(0).cast("long").alias("count"), F.lit(True).alias("own"), F.lit(None).cast("double").alias("total"))
     order = Window.partitionBy("src").orderBy(F.round("share", COMPARE).desc(), F.col("own").desc(), "parent_id")
     return seen.unionByName(absent).withColumn("place", F.row_number().over(order)).withColumnRenamed("src", "topic_id")
 
 
 def plurality(shares: DataFrame) -> DataFrame:
     """(topic_id, plurality_id, plurality_name, plurality_share, plurality_count,
-    stated_share): one row per topic; the plurality is null without neighbours."""
+    stated_share, total): one row per topic; the plurality is null without neighbours."""
     first = F.struct(F.col("place"), F.col("parent_id"), F.col("parent_name"), F.col("share"), F.col("count"))
-    best = shares.groupBy("topic_id").agg(F.min(F.when(F.col("count") > 0, first)).alias("p"), F.max(F.when(F.col("own"), F.col("share"))).alias("stated_share"))
-    return best.select("topic_id", F.col("p.parent_id").alias("plurality_id"), F.col("p.parent_name").alias("plurality_name"), F.col("p.share").alias("plurality_share"), F.col("p.count").alias("plurality_count"), "stated_share")
+    best = shares.groupBy("topic_id").agg(F.min(F.when(F.col("count") > 0, first)).alias("p"), F.max(F.when(F.col("own"), F.col("share"))).alias("stated_share"), F.max("total").alias("total"))
+    return best.select("topic_id", F.col("p.parent_id").alias("plurality_id"), F.col("p.parent_name").alias("plurality_name"), F.col("p.share").alias("plurality_share"), F.col("p.count").alias("plurality_count"), "stated_share", "total")
 
 
 def assess(topics: DataFrame, k: int = 10, level: str = "subfield", near: DataFrame | None = None) -> DataFrame:
@@ -123,12 +130,12 @@ def assess(topics: DataFrame, k: int = 10, level: str = "subfield", near: DataFr
     check_parameters(k, level)
     near = store(neighbours(topics, k), "near") if near is None else near
     best = plurality(parent_shares(near, topics, level))
-    strength = near.groupBy("src").agg((sorted_sum(F.collect_list("similarity")) / k).alias("strength"), F.count(F.lit(1)).alias("neighbour_count")).withColumnRenamed("src", "topic_id")
+    counted = near.groupBy(F.col("src").alias("topic_id")).agg(F.count(F.lit(1)).alias("neighbour_count"))
     margin = F.coalesce(F.greatest(F.lit(0.0), F.round(F.col("plurality_share") - F.col("stated_share"), COMPARE)), F.lit(0.0))
     few = (F.col("neighbour_count") < MINIMUM_NEIGHBOURS) | ((F.col("margin") > 0) & (F.col("plurality_count") < MINIMUM_SUPPORT))
     return (
-        topics.join(best, "topic_id", "left").join(strength, "topic_id", "left")
-        .withColumns({"strength": F.coalesce("strength", F.lit(0.0)), "neighbour_count": F.coalesce("neighbour_count", F.lit(0)), "stated_share": F.coalesce("stated_share", F.lit(0.0)), "margin": margin})
+        topics.join(best, "topic_id", "left").join(counted, "topic_id", "left")
+        .withColumns({"strength": F.coalesce(F.col("total") / k, F.lit(0.0)), "neighbour_count": F.coalesce("neighbour_count", F.lit(0)), "stated_share": F.coalesce("stated_share", F.lit(0.0)), "margin": margin})
         .withColumn("status", F.when(few, "insufficient_evidence").when(F.col("margin") > 0, "review").otherwise("consistent"))
         .withColumn("score", F.when(F.col("status") == "review", F.round(F.col("margin") * F.col("strength"), COMPARE)).otherwise(0.0))
         .select(

@@ -16,10 +16,10 @@ from functools import lru_cache
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxolens.operators.cache import Cache, CacheError
 from taxolens.operators.components import store
 from taxolens.session import ship
 
@@ -75,15 +75,14 @@ def keyed(identity: dict, *columns: str):
     return F.sha2(F.concat_ws("\n", F.lit(json.dumps(identity, sort_keys=True)), *columns), 256)
 
 
-def kept(spark: SparkSession, folder: str | None, schema: str) -> DataFrame:
-    """A cache's rows; none where the folder isn't there yet."""
-    if folder:
-        try:
-            return spark.read.schema(schema).parquet(folder)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-    return spark.createDataFrame([], schema)
+def opened(spark: SparkSession, folder: str, schema: str) -> Cache:
+    """The cache in a folder, which may be new."""
+    try:
+        cache = Cache(spark, folder, schema)
+        cache.stored()
+        return cache
+    except CacheError as e:
+        raise ModelError(str(e)) from e
 
 
 # ---- encoders -----------------------------------------------------------------------------
@@ -100,10 +99,8 @@ def encoded(texts: DataFrame, name: str, folder: str | None = None) -> DataFrame
     asked = store(texts.select("text").where("text is not null").distinct().withColumn("key", keyed(identity, "text")), "texts")
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     fine = (F.size("vector") > 0) & (F.abs(square - 1) <= UNIT)
-    known = kept(spark, folder, VECTORS)
-    if not known.where(~F.coalesce(fine, F.lit(False)) | F.col("key").isNull()).isEmpty():
-        raise ModelError(f"the cache of vectors in {folder} is broken")
-    known = known.groupBy("key").agg(F.first("vector").alias("vector"), F.max("truncated").alias("truncated"))
+    held = opened(spark, folder, VECTORS) if folder else None
+    missing = held.missing(asked) if held else asked
 
     def run(batches):
         model = load(name)
@@ -111,13 +108,16 @@ def encoded(texts: DataFrame, name: str, folder: str | None = None) -> DataFrame
             found = model.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([list(map(float, v)) for v, _ in found], pa.list_(pa.float64())), pa.array([bool(t) for _, t in found])], ["key", "vector", "truncated"])
 
-    fresh = store(asked.join(known, "key", "left_anti").select("key", "text").mapInArrow(run, VECTORS), "vectors")
+    fresh = store(missing.select("key", "text").mapInArrow(run, VECTORS), "vectors")
     if not fresh.where(~F.coalesce(fine, F.lit(False))).isEmpty():
         raise ModelError("the encoder gave a vector that isn't finite or not of length 1")
-    if folder:
-        fresh.write.mode("append").parquet(folder)
-    out = asked.join(known.unionByName(fresh), "key").select("text", "vector", "truncated")
-    if out.select(F.size("vector")).distinct().count() > 1:
+    if held:
+        held.add(fresh)
+    out = store((held.found(asked) if held else asked.join(fresh, "key")).select("text", "vector", "truncated"), "encoded")
+    about = out.agg(F.count_if(~F.coalesce(fine, F.lit(False))).alias("bad"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most")).first()
+    if about["bad"]:
+        raise ModelError(f"the cache of vectors in {folder} is broken")
+    if about["least"] != about["most"]:
         raise ModelError("vectors differ in their dimensions; the cache may hold old ones")
     return out
 
@@ -224,11 +224,9 @@ class CachedScorer:
     def logits(self, asked: DataFrame, level: str) -> DataFrame:
         spark = asked.sparkSession
         mine = asked.join(self.texts, "work_id").select("work_id", "option_id", keyed(self.identity | {"level": level}, "option_id", "text").alias("key"))
-        known = kept(spark, self.folder, self.SCHEMA)
-        if not known.where("logit is null or isnan(logit) or key is null").isEmpty():
-            raise ModelError(f"the cache of scores in {self.folder} is broken")
-        missing = mine.join(known, "key", "left_anti")
+        held = opened(spark, self.folder, self.SCHEMA)
+        missing = store(held.missing(mine), "missing")
         fresh = self.scorer.logits(missing.select("work_id", "option_id"), level).join(missing, ["work_id", "option_id"])
-        fresh.select("key", "logit").distinct().write.mode("append").parquet(self.folder)
-        whole = kept(spark, self.folder, self.SCHEMA).groupBy("key").agg(F.max("logit").alias("logit"))
-        return mine.join(whole, "key").select("work_id", "option_id", "logit")
+        held.add(fresh.select("key", "logit").distinct())
+        broken = F.raise_error(F.lit(f"the cache of scores in {self.folder} is broken"))
+        return held.found(mine).select("work_id", "option_id", F.when(F.col("logit").isNull() | F.isnan("logit"), broken).otherwise(F.col("logit")).alias("logit"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxolens.functions.text import fold_case, hash_bucket, short_id, title_key
 from taxolens.operators.components import connected_components
+from taxolens.operators.ordering import lowest, median
 
 # Upper ends of the buckets.
 TRAIN_BELOW, CALIBRATION_BELOW = 0.6, 0.8
@@ -66,15 +67,15 @@ def seeded_sample(rows: DataFrame, key: str, size: int, seed: int = 42) -> DataF
 
 
 def sample_by(rows: DataFrame, by: str, key: str, size: int, seed: int = 42) -> DataFrame:
-    """A seeded sample of each group."""
-    order = Window.partitionBy(by).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key)
-    return rows.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= size).drop("__place")
+    """A seeded sample of each group: its ``size`` lowest rows by a hash of seed and key."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    return lowest(rows, [by], digest, [F.col(key)], size)
 
 
 def oversized(topics: DataFrame, multiple: float = 20.0) -> DataFrame:
     """Topics with more than ``multiple`` times the median number of works."""
-    median = topics.agg(F.median("works_count").alias("median_topic_works"))
-    return topics.crossJoin(F.broadcast(median)).where(F.col("works_count") > multiple * F.col("median_topic_works"))  # one row
+    middle = median(topics, "works_count")
+    return topics.withColumn("median_topic_works", F.lit(middle).cast("double")).where(F.col("works_count") > multiple * F.col("median_topic_works"))
 
 
 def truth_topics(primary: Column, topics: Column) -> Column:

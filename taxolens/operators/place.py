@@ -14,12 +14,13 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolens.functions.stats import dot, fitted_threshold, selective_metrics, unit, vector_sums
+from taxolens.functions.stats import accumulated, best_cut, dot, unit, vector_sums, wilson
+from taxolens.operators import scoring
 from taxolens.operators.components import store
 
 ROUTE = ("domain", "field", "subfield")
 PARENT = {"field": "domain", "subfield": "field"}
-#: Labels that one record is asked about at once.
+#: Labels that one record is asked about at once, where a scorer takes rows only.
 MOST_LABELS = 10_000
 #: Decimals at which probabilities are compared, so that ties go by id.
 COMPARE = 9
@@ -30,7 +31,10 @@ PREDICTED, ACCEPTED, ABSTAIN, UNCALIBRATED, NO_METADATA = "predicted", "accepted
 
 class Scorer(Protocol):
     """``identity`` names model and version; ``logits`` scores (work_id, option_id) rows
-    of one level, of which there may be very many, without collecting them."""
+    of one level, of which there may be very many, without collecting them. A scorer that
+    also has ``best(records, options, level, most)`` gives each record's best of all
+    ``options`` (option_id, option_name) without a row for each; then their number has no
+    limit."""
 
     identity: dict
 
@@ -53,6 +57,11 @@ class CentroidScorer:
         scored = asked.join(self.vectors, "work_id").join(self.centroids[level], "option_id", "left")
         return scored.select("work_id", "option_id", F.coalesce(dot(F.col("vector"), F.col("centroid")), F.lit(-1.0)).alias("cosine")).select("work_id", "option_id", (F.col("cosine") * self.sharpness).alias("logit"))
 
+    def best(self, records: DataFrame, options: DataFrame, level: str, most: int = 3) -> DataFrame:
+        """Products of vectors with the matrix of centroids, in blocks."""
+        labels = options.join(self.centroids[level].withColumnRenamed("centroid", "vector"), "option_id", "left")
+        return scoring.by_vectors(records.select("work_id").join(self.vectors, "work_id"), labels, self.sharpness, most)
+
 
 class MapScorer:
     """A user's function on Arrow batches of (work_id, text, option_id, option_name), which
@@ -65,6 +74,9 @@ class MapScorer:
         rows = asked.join(self.texts, "work_id").join(self.names[level], "option_id").select("work_id", "text", "option_id", "option_name")
         return rows.mapInArrow(self.function, "work_id string, option_id string, logit double")
 
+    def best(self, records: DataFrame, options: DataFrame, level: str, most: int = 3) -> DataFrame:
+        return scoring.by_function(records.select("work_id").join(self.texts, "work_id"), options, self.function, most)
+
 
 def probabilities(logits: DataFrame) -> DataFrame:
     """work_id, option_id, p: softmax over each record's options."""
@@ -99,6 +111,8 @@ def _every(records: DataFrame, options: DataFrame) -> DataFrame:
 def flat(records: DataFrame, options: DataFrame, scorer: Scorer, level: str = "subfield") -> DataFrame:
     """work_id, prediction, confidence, candidates: each record against every label of
     the level (``options``: option_id, option_name, as many as the taxonomy has)."""
+    if getattr(scorer, "best", None):
+        return scorer.best(records.select("work_id"), options.select("option_id", "option_name"), level)
     asked = _every(records.select("work_id"), options.select("option_id"))
     p = probabilities(scorer.logits(asked, level))
     best = _ranked(p).where("place = 1").select("work_id", F.col("option_id").alias("prediction"), F.col("p").alias("confidence"))
@@ -165,23 +179,49 @@ def uncalibrated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("status") == PREDICTED, UNCALIBRATED).otherwise(F.col("status")))
 
 
-def evaluate(rows: DataFrame, target: float = 0.9, minimum: int = 20, by: list[str] | None = None) -> DataFrame:
+REFERENCES = ("primary", "any_topic")
+
+
+def _steps(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of calibration and test counted by reference, partition, confidence and ``by``:
+    n, and ``right`` ones. All of an evaluation comes from these counts."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(f"correct_{v}").alias("hit")) for v in REFERENCES]))
+    said = rows.where(F.col("partition").isin("calibration", "test")).select("partition", (F.col("status") == PREDICTED).alias("said"), "confidence", *by, each.alias("r"))
+    counts = said.groupBy(F.col("r.name").alias("reference"), "partition", "said", "confidence", *by)
+    return store(counts.agg(F.count(F.lit(1)).alias("n"), F.count_if("r.hit").alias("right")), "steps")
+
+
+def evaluate(rows: DataFrame, target: float = 0.9, minimum: int = 20, by: list[str] | None = None, overall: bool = False) -> DataFrame:
     """One row per reference (and group): the threshold fitted on calibration rows,
-    measured on test rows, with a status. ``rows`` are labelled and have ``partition``."""
-    out = None
-    for reference in ("primary", "any_topic"):
-        correct = f"correct_{reference}"
-        fitted = fitted_threshold(rows.where("partition = 'calibration'"), correct, target, minimum).select("threshold", *[F.col(c).alias(f"calibration_{c}") for c in ("accepted", "correct", "precision", "coverage")])
-        test = rows.where("partition = 'test'").crossJoin(F.broadcast(fitted))  # one row
-        keys = [*(by or []), *fitted.columns]
-        accuracy = test.groupBy(*keys).agg(F.avg(F.col(correct).cast("double")).alias("unthresholded_accuracy"))
-        measured = selective_metrics(test, F.col("threshold"), correct, keys)
-        same = [measured[c].eqNullSafe(accuracy[c]) for c in keys]
-        both = measured.join(accuracy, same).select(*[measured[c] for c in measured.columns], "unthresholded_accuracy")
-        status = F.when(F.col("threshold").isNull(), "abstain_all").when(F.col("accepted") == 0, "no_test_acceptances").when(F.col("precision") >= target, "target_met_on_test").otherwise("target_not_met_on_test")
-        both = both.withColumns({"reference": F.lit(reference), "status": status})
-        out = both if out is None else out.unionByName(both)
-    return out
+    measured on test rows, with a status. ``rows`` are labelled and have ``partition``;
+    they are read once. ``overall`` adds the rows of all groups together, with nulls for
+    ``by``, in the same pass (grouping sets), and a column ``whole`` that tells them."""
+    by = by or []
+    steps = _steps(rows, by)
+    tuned = steps.where("partition = 'calibration'")
+    names = rows.sparkSession.createDataFrame([(v,) for v in REFERENCES], "reference string")
+    curve = accumulated(tuned.where("said").groupBy("reference", F.col("confidence").alias("threshold")).agg(F.sum("n").alias("rows"), F.sum("right").alias("right")), ["reference"])
+    cut = names.join(tuned.groupBy("reference").agg(F.sum("n").alias("all")), "reference", "left").join(best_cut(curve, target, minimum, ["reference"]), "reference", "left")
+    zero = F.lit(0).cast("long")
+    fitted = store(cut.select(
+        "reference", "threshold", F.coalesce("accepted", zero).alias("calibration_accepted"), F.coalesce("correct", zero).alias("calibration_correct"),
+        F.col("precision").alias("calibration_precision"), F.coalesce(F.col("accepted") / F.col("all"), F.lit(0.0)).alias("calibration_coverage"),
+    ), "fitted")
+    taken = F.coalesce(F.col("said") & (F.col("confidence") >= F.col("threshold")), F.lit(False))
+    test = steps.where("partition = 'test'").join(F.broadcast(fitted.select("reference", "threshold")), "reference").withColumn("taken", taken)  # a row a reference
+    sums = [F.sum("n").alias("total"), F.sum(F.when(F.col("taken"), F.col("n")).otherwise(0)).alias("accepted"), F.sum(F.when(F.col("taken"), F.col("right")).otherwise(0)).alias("correct"), F.sum("right").alias("right")]
+    if overall and by:
+        own = [F.col("reference"), *map(F.col, by)]
+        found = test.groupingSets([own, own[:1]], *own).agg(*sums, (F.grouping(by[0]) == 1).alias("whole"))
+    else:
+        found = test.groupBy("reference", *by).agg(*sums)
+    low, high = wilson(F.col("correct"), F.col("accepted"))
+    status = F.when(F.col("threshold").isNull(), "abstain_all").when(F.col("accepted") == 0, "no_test_acceptances").when(F.col("precision") >= target, "target_met_on_test").otherwise("target_not_met_on_test")
+    measured = found.join(F.broadcast(fitted), "reference").withColumns({
+        "coverage": F.col("accepted") / F.col("total"), "precision": F.when(F.col("accepted") > 0, F.col("correct") / F.col("accepted")),
+        "precision_low": low, "precision_high": high, "unthresholded_accuracy": F.col("right") / F.col("total"),
+    })
+    return measured.withColumn("status", status).drop("right")
 
 
 def width_probe(records: DataFrame, truth: DataFrame, topics: DataFrame, labels: dict[str, DataFrame], scorer: Scorer, limit: int = 12) -> DataFrame:

@@ -3,19 +3,17 @@
 Features, coherence, silhouette, terms and representatives are DataFrame expressions
 over any number of rows. A split goes through stages, each a DataFrame: which sinks can be
 split, labels for every number of clusters, their sizes and silhouettes, the choice, the
-numbers of clusters, and what becomes of each work. Only the labels come from Python, one
-Arrow group for a sink and a number of clusters: a sink is a bounded sample of works, and
-more than ``MOST_SAMPLED`` of them are an error.
+numbers of clusters, and what becomes of each work. Labels come from steps of grouped sums
+over all sinks and numbers of clusters at once (``kmeans``), whatever a sink's size.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolens.functions.stats import coherence, dot, unit, vector_sums
+from taxolens.operators import kmeans
 from taxolens.operators.components import store
 from taxolens.operators.ordering import places
 from taxolens.session import ship
@@ -23,14 +21,13 @@ from taxolens.session import ship
 # Limits of the vocabulary, of terms, representatives and starts; the names
 # of statuses, reasons and actions.
 MIN_DF, MAX_DF, MAX_FEATURES = 2, 0.95, 10_000
-TOP_TERMS, REPRESENTATIVES, STARTS = 8, 5, 10
+TOP_TERMS, REPRESENTATIVES = 8, 5
 INSUFFICIENT, PROPOSED, UNSUPPORTED = "insufficient_evidence", "proposed_split", "no_supported_split"
 FEW_TEXTS, FEW_VECTORS, NO_WORDS = "fewer_than_two_minimum_clusters", "fewer_than_two_minimum_clusters_after_vectorisation", "no_shared_vocabulary"
 NO_CANDIDATE, NOT_POSITIVE = "no_candidate_meets_minimum_cluster_size", "no_positive_silhouette"
 REJECTED, EVALUATED = "rejected_small_or_empty_cluster", "evaluated"
 NO_TEXT, NO_PARTITION = "insufficient_text", "no_supported_partition"
 SPLIT, RETAIN, UNASSIGNED = "propose_split", "retain_original", "unassigned"
-MOST_SAMPLED = 10_000
 #: Decimals at which silhouettes, means and cosines are compared.
 COMPARE = 12
 
@@ -174,72 +171,6 @@ def _silhouettes(rows: DataFrame, members: DataFrame) -> DataFrame:
     return per.groupBy("sink", "k").agg(F.avg(value).alias("silhouette"))
 
 
-# ---- labels ------------------------------------------------------------------------------
-
-LABELS = "sink string, k int, work_id string, cluster int"
-
-
-class SparseRows:
-    """Rows of features as arrays: where each row begins, feature numbers and values."""
-
-    def __init__(self, rows: list[list[dict]]):
-        names = {f: i for i, f in enumerate(sorted({e["f"] for r in rows for e in r}))}
-        self.n, self.width = len(rows), len(names)
-        self.begins = np.concatenate([[0], np.cumsum([len(r) for r in rows])])[:-1].astype(np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.at = np.array([names[e["f"]] for r in rows for e in r], np.int64)
-        self.x = np.array([e["x"] for r in rows for e in r], float)
-        self.squares = np.add.reduceat(self.x * self.x, self.begins)
-
-    def dot(self, centres: np.ndarray) -> np.ndarray:
-        """Products of all rows with each centre: a column a centre."""
-        return np.stack([np.add.reduceat(self.x * c[self.at], self.begins) for c in centres], 1)
-
-    def dense(self, i: int) -> np.ndarray:
-        own = self.row == i
-        return np.bincount(self.at[own], self.x[own], self.width)
-
-    def means(self, labels: np.ndarray, old: np.ndarray) -> np.ndarray:
-        """Means of labelled rows; a centre without rows stays where it was."""
-        k = len(old)
-        sums = np.bincount(labels[self.row] * self.width + self.at, self.x, k * self.width).reshape(k, self.width)
-        n = np.bincount(labels, minlength=k)
-        return np.where(n[:, None] > 0, sums / np.maximum(1, n)[:, None], old)
-
-
-def k_means(rows: SparseRows, k: int, seed: int, starts: int = STARTS, rounds: int = 100) -> np.ndarray:
-    """Labels of the best of several runs from spread-out starts."""
-    best, found = np.inf, np.zeros(rows.n, int)
-    for start in range(starts):
-        rng = np.random.default_rng([seed, k, start])
-        centres = [rows.dense(int(rng.integers(rows.n)))]
-        while len(centres) < k:  # the farther from all centres, the likelier the next
-            far = np.maximum(0, rows.squares[:, None] - 2 * rows.dot(np.array(centres)) + [c @ c for c in centres]).min(1)
-            centres.append(rows.dense(int(rng.choice(rows.n, p=far / far.sum()) if far.sum() > 0 else rng.integers(rows.n))))
-        own, at = None, np.array(centres)
-        for _ in range(rounds):
-            distance = rows.squares[:, None] - 2 * rows.dot(at) + (at * at).sum(1)
-            now = distance.argmin(1)
-            if own is not None and (now == own).all():
-                break
-            own, at = now, rows.means(now, at)
-        cost = float(np.maximum(0, distance.min(1)).sum())
-        if cost < best - 1e-12:
-            best, found = cost, own
-    return found
-
-
-def _label(seed: int):
-    def label(key, t):
-        if t.num_rows > MOST_SAMPLED:
-            raise ValueError(f"a sink is a sample of at most {MOST_SAMPLED} works")
-        t, (sink, k) = t.sort_by("work_id"), (x.as_py() for x in key)
-        labels = k_means(SparseRows(t.column("features").to_pylist()), k, seed)
-        return pa.table({"sink": pa.array([sink] * t.num_rows, pa.string()), "k": pa.array([k] * t.num_rows, pa.int32()), "work_id": t.column("work_id"), "cluster": pa.array(labels, pa.int32())})
-
-    return label
-
-
 # ---- the stages of a split ---------------------------------------------------------------
 
 
@@ -255,10 +186,10 @@ def gates(works: DataFrame, least: int) -> DataFrame:
 
 def sweep(works: DataFrame, open_: DataFrame, seed: int, most: int, least: int) -> DataFrame:
     """(sink, k, work_id, cluster): labels for every number of clusters that ``least``
-    works each allow. ``works`` are usable ones with ``features``."""
+    works each allow, all sinks at once. ``works`` are usable ones with ``features``."""
     ks = F.sequence(F.lit(2), F.least(F.lit(most), F.floor(F.col("usable") / least).cast("int")))
-    grid = works.join(open_.select("sink", F.explode(ks).alias("k")), "sink").select("sink", "k", "work_id", "features")
-    return grid.groupBy("sink", "k").applyInArrow(_label(seed), LABELS)
+    asked = store(open_.select("sink", ks.alias("ks")), "asked")
+    return kmeans.fit(works.join(asked.select("sink"), "sink", "left_semi").select("sink", "work_id", "features"), asked, seed)
 
 
 def candidates(labels: DataFrame, features: DataFrame, least: int) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolens.functions import stats, text
+from taxolens.functions import exact, stats, text
 from taxolens.functions.stats import unit
-from taxolens.operators import audit, partition, place, split, validate
+from taxolens.operators import audit, cache, kmeans, partition, place, split, validate
 from taxolens.operators.components import store
 from taxolens.plans.fixtures import Fixture
 from taxolens.plans.oracle import ORACLE
+from taxolens.session import run_dir
 
 QUERIES: dict = {}
 TARGET, MINIMUM = 0.3, 10
@@ -102,8 +105,7 @@ def keyword_overlap_salted(x: Fixture) -> DataFrame:
 @query
 def keyword_overlap_counts(x: Fixture) -> DataFrame:
     """All lines of the orders: the large posting-list join."""
-    pairs = audit.overlaps(audit.memberships(x.topics()))
-    return pairs.groupBy("shared").agg(F.count(F.lit(1)).alias("pairs"))
+    return audit.overlap_counts(x.topics())
 
 
 @query
@@ -301,6 +303,21 @@ def metrics_by_type(x: Fixture) -> DataFrame:
     return place.evaluate(rows, TARGET, MINIMUM, ["type"]).select("reference", "type", "total", "accepted", "correct", r("coverage"), r("precision"))
 
 
+@query
+def metrics_by_level(x: Fixture) -> DataFrame:
+    """Metrics overall and by type from one pass over the counts."""
+    rows = x.predicted().withColumn("confidence", F.round("confidence", 2))
+    return place.evaluate(rows, TARGET, MINIMUM, ["type"], overall=True).select("reference", "type", "whole", "total", "accepted", "correct", r("coverage"), r("precision"), r("unthresholded_accuracy"), "status")
+
+
+@query
+def exact_sums(x: Fixture) -> DataFrame:
+    """Prices in cents among amounts that cancel out: the sum of doubles that loses none."""
+    lines = x.t.lineitem.select("l_suppkey", F.round(F.col("l_extendedprice") * 100).alias("cents"), (F.col("l_orderkey") * F.pow(F.lit(2.0), F.lit(100.0))).alias("large"), F.pow(F.lit(2.0), -F.col("l_linenumber").cast("double")).alias("small"))
+    values = lines.select("l_suppkey", F.explode(F.array(F.col("large"), F.col("cents"), F.col("small"), -F.col("large"))).alias("v"))
+    return exact.exact_sums(values, ["l_suppkey"], "v", "total").select("l_suppkey", (F.col("total") * 128).cast("decimal(38,0)").cast("string").alias("parts"))
+
+
 @query
 def calibrated_status(x: Fixture) -> DataFrame:
     rows = x.predicted().withColumn("confidence", F.round("confidence", 2))
@@ -335,8 +352,11 @@ def cache_misses(x: Fixture) -> DataFrame:
     """Distinct texts without a cached answer, by the key of model, text and options."""
     key = F.sha2(F.concat_ws("\n", F.lit("centroid"), F.col("p_type"), F.col("p_brand")), 256)
     asked = x.t.part.select(key.alias("key"), "p_type", "p_brand").distinct()
-    cached = x.t.part.where("p_size <= 25").select(key.alias("key")).distinct()
-    return asked.join(cached, "key", "left_anti")
+    known = x.t.part.where("p_size <= 25").select(key.alias("key"), F.lit(0.0).alias("logit")).distinct()
+    held = cache.Cache(x.spark, f"{run_dir(x.spark)}/cache-{uuid.uuid4().hex}", "key string, logit double", 8)
+    for _ in range(2):  # an append that is run again changes nothing
+        held.add(known)
+    return held.missing(asked)
 
 
 # ---- splitting ---------------------------------------------------------------------------------
@@ -387,6 +407,16 @@ def kmeans_sweep(x: Fixture) -> DataFrame:
     return split.split_sinks(_sink_rows(x)).select("sink", F.explode("candidates").alias("c")).select("sink", "c.k", "c.status", F.array_join(F.transform("c.sizes", lambda s: s.cast("string")), ",").alias("sizes"), F.round("c.silhouette", 6).alias("silhouette"))
 
 
+@query
+def lloyd_step(x: Fixture) -> DataFrame:
+    """Each work's nearest centre, where centres are the means of the labels."""
+    rows = x.vector_sinks.withColumn("cluster", F.substring("cluster", 2, 9).cast("int"))
+    features = F.transform("vector", lambda v, i: F.struct(i.cast("string").alias("f"), v.alias("x")))
+    packed = kmeans.blocks(rows.select("sink", "work_id", features.alias("features")))
+    runs = kmeans.from_labels(packed, rows.select("sink", F.lit(10).alias("k"), "work_id", "cluster"))
+    return kmeans.labels(packed, runs).select("work_id", "cluster")
+
+
 @query
 def split_assignments(x: Fixture) -> DataFrame:
     return split.assignments(split.split_sinks(_sink_rows(x))).withColumn("cosine_to_centroid", F.round("cosine_to_centroid", 6))

@@ -251,6 +251,16 @@ SELECT reference, threshold, total, accepted, correct, round(accepted / total::D
   CASE WHEN threshold IS NULL THEN 'abstain_all' WHEN accepted = 0 THEN 'no_test_acceptances' WHEN correct / accepted::DOUBLE >= 0.3 THEN 'target_met_on_test' ELSE 'target_not_met_on_test' END AS status FROM measured""",
     "metrics_by_type": f"""{_measured(", type")}
 SELECT reference, type, total, accepted, correct, round(accepted / total::DOUBLE, 6) AS coverage, CASE WHEN accepted > 0 THEN round(correct / accepted::DOUBLE, 6) END AS precision FROM measured""",
+    "metrics_by_level": f"""{_measured("")}, sets AS (
+  SELECT reference, threshold, type, grouping(type) = 1 AS whole, count(*) AS total, count(*) FILTER (taken) AS accepted, count(*) FILTER (taken AND hit) AS correct, avg(hit::INT::DOUBLE) AS accuracy
+  FROM test GROUP BY GROUPING SETS ((reference, threshold), (reference, threshold, type)))
+SELECT reference, type, whole, total, accepted, correct, round(accepted / total::DOUBLE, 6) AS coverage, CASE WHEN accepted > 0 THEN round(correct / accepted::DOUBLE, 6) END AS precision, round(accuracy, 6) AS unthresholded_accuracy,
+  CASE WHEN threshold IS NULL THEN 'abstain_all' WHEN accepted = 0 THEN 'no_test_acceptances' WHEN correct / accepted::DOUBLE >= 0.3 THEN 'target_met_on_test' ELSE 'target_not_met_on_test' END AS status FROM sets""",
+    "lloyd_step": """WITH e AS (SELECT 'W' || vec_id AS work_id, label, embedding::DOUBLE[] AS raw FROM embeddings),
+v AS (SELECT work_id, label, list_transform(raw, lambda q: q / sqrt(list_dot_product(raw, raw))) AS vec FROM e),
+m AS (SELECT label, list(s ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS s FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v) GROUP BY 1, 2) GROUP BY 1)
+SELECT work_id, arg_min(m.label, list_dot_product(c, c) - 2 * list_dot_product(vec, c))::INTEGER AS cluster FROM v, m GROUP BY 1""",
+    "exact_sums": """SELECT l_suppkey, sum(round(l_extendedprice * 100)::HUGEINT * 128 + (1 << (7 - l_linenumber)::INT))::VARCHAR AS parts FROM lineitem GROUP BY 1""",
     "calibrated_status": f"""{FLAT}, {CURVES}, fitted AS ({_fitted(0.3)})
 SELECT CASE WHEN confidence >= threshold THEN 'accepted' ELSE 'abstain' END AS status, count(*) AS works FROM rounded, fitted WHERE partition = 'test' AND reference = 'any_topic' GROUP BY 1""",
     "width_probe_accuracy": f"""WITH {WORKS}, {_centroids("domain", 4)}, {_centroids("field", 2)}, {_centroids("subfield", 1)},
