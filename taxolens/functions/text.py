@@ -111,3 +111,9 @@ def insufficient_metadata(title: Column, source: Column, keywords: Column) -> Co
 def hash_bucket(text: Column) -> Column:
     """A number in [0, 1) from the first 32 bits of a text's SHA-256."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def label_text(c: Column) -> Column:
+    """A label without brackets, which some models read as structure: an opening
+    parenthesis becomes a comma, other brackets go."""
+    return F.translate(c, "()[]", ",")

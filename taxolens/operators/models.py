@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxolens.functions.text import label_text
 from taxolens.operators.cache import Cache, CacheError
 from taxolens.operators.components import store
 from taxolens.session import ship
@@ -138,7 +139,10 @@ def checked(found: dict, options: dict[str, str]) -> dict[str, float]:
 
 class ChoiceScorer:
     """A ``Chooser`` as a scorer: one question a record, with all its options, in Arrow
-    batches. ``texts``: work_id, text; ``names``: per level option_id, option_name."""
+    batches. ``texts``: work_id, text; ``names``: per level option_id, option_name, which
+    go to the model without brackets (``label_text``)."""
+
+    named = staticmethod(label_text)
 
     def __init__(self, name: str, texts: DataFrame, names: dict[str, DataFrame]):
         self.name, self.texts, self.names = name, texts, names
@@ -149,7 +153,7 @@ class ChoiceScorer:
 
     def logits(self, asked: DataFrame, level: str) -> DataFrame:
         """Logarithms of probabilities, which a softmax turns back into them."""
-        option = F.struct("option_id", "option_name")
+        option = F.struct("option_id", self.named(F.col("option_name")).alias("option_name"))
         questions = asked.join(self.names[level], "option_id").groupBy("work_id").agg(F.sort_array(F.collect_list(option)).alias("options")).join(self.texts, "work_id")
         texts_and_options = questions.select("work_id", "text", F.to_json("options").alias("options"))
         model_of = self._ask()
@@ -181,7 +185,9 @@ def post(url: str, payload: dict | None = None, opener=urllib.request.urlopen) -
 
 class HttpScorer(ChoiceScorer):
     """A model behind HTTP: ``GET /v1/models`` and ``/provenance`` describe it, ``POST
-    /choice-probabilities`` answers a question about a text."""
+    /choice-probabilities`` answers a question about a text, with names as they are."""
+
+    named = staticmethod(lambda c: c)
 
     def __init__(self, url: str, texts: DataFrame, names: dict[str, DataFrame], expected: str | None = None):
         self.url = url.rstrip("/")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from taxolens.functions import exact, stats, text
 from taxolens.functions.stats import unit
-from taxolens.operators import audit, cache, kmeans, partition, place, split, validate
+from taxolens.operators import audit, cache, coverage, kmeans, partition, place, split, validate
 from taxolens.operators.components import store
 from taxolens.plans.fixtures import Fixture
 from taxolens.plans.oracle import ORACLE
@@ -39,15 +39,14 @@ def r(c, digits: int = 6):
 @query
 def coverage_by_year(x: Fixture) -> DataFrame:
     orders = x.t.orders.select(F.year("o_orderdate").cast("long").alias("publication_year"), "o_orderstatus")
-    unassigned = orders.where("o_orderstatus = 'P'").groupBy("publication_year").agg(F.count(F.lit(1)).alias("unassigned_works"))
-    total = orders.where("o_orderstatus <> 'O'").groupBy("publication_year").agg(F.count(F.lit(1)).alias("total_works"))
-    return unassigned.join(total, "publication_year", "left").orderBy(F.col("publication_year").desc())
+    works = lambda where: coverage.counted(orders.where(where), "publication_year")
+    return coverage.by_year(works("o_orderstatus = 'P'"), works("o_orderstatus <> 'O'"))
 
 
 @query
 def coverage_by_source(x: Fixture) -> DataFrame:
-    counts = x.t.events.groupBy(F.col("event_type").alias("type"), F.col("user_id").alias("source_id")).agg(F.count(F.lit(1)).alias("unassigned_works"))
-    return counts.where("unassigned_works >= 5").orderBy(F.col("unassigned_works").desc(), "type", "source_id")
+    events = x.t.events.select(F.col("event_type").alias("type"), F.col("user_id").alias("source_id"))
+    return coverage.by_source(coverage.counted(events, "type", "source_id", into="unassigned_works"), 5)
 
 
 # ---- taxonomy and validation -----------------------------------------------------------
@@ -80,8 +79,7 @@ def duplicate_topics(x: Fixture) -> DataFrame:
 
 @query
 def topic_csv_projection(x: Fixture) -> DataFrame:
-    s = lambda c: text.short_id(c).alias(c)
-    return x.topics().select(s("topic_id"), "topic", s("subfield_id"), F.col("subfield_name").alias("subfield"), s("field_id"), F.col("field_name").alias("field"), s("domain_id"), F.col("domain_name").alias("domain"), "works_count", F.size("keywords").cast("long").alias("keyword_count")).orderBy(F.col("works_count").desc(), "topic_id")
+    return coverage.topic_table(x.topics())
 
 
 # ---- the audit -------------------------------------------------------------------------
@@ -200,6 +198,12 @@ def insufficient_metadata(x: Fixture) -> DataFrame:
     return x.metadata.where(text.insufficient_metadata(F.col("title"), F.col("source"), F.col("keywords"))).select("work_id")
 
 
+@query
+def label_texts(x: Fixture) -> DataFrame:
+    name = F.concat(F.lit("("), "p_brand", F.lit(") ["), "p_type", F.lit("], "), "p_name")
+    return x.t.part.select("p_partkey", text.label_text(F.concat_ws(": ", F.col("p_partkey").cast("string"), name)).alias("label"))
+
+
 @query
 def title_key(x: Fixture) -> DataFrame:
     return x.t.part.select("p_partkey", text.title_key(F.concat_ws(" / ", "p_name", "p_type")).alias("title_key"))
@@ -218,7 +222,7 @@ def hash_partition(x: Fixture) -> DataFrame:
 
 @query
 def partition_counts(x: Fixture) -> DataFrame:
-    return x.works.groupBy("partition").agg(F.count(F.lit(1)).alias("works"), F.count_distinct("primary_topic_id").alias("labels"))
+    return coverage.partitions(x.works, "primary_topic_id")
 
 
 @query
@@ -443,7 +447,7 @@ def review_cover_check(x: Fixture) -> DataFrame:
 @query
 def judgment_counts(x: Fixture) -> DataFrame:
     rows = x.t.customer.select(F.element_at(F.array(*[F.lit(j) for j in validate.JUDGMENTS]), (F.col("c_custkey") % 3 + 1).cast("int")).alias("judgment"))
-    return rows.groupBy("judgment").agg(F.count(F.lit(1)).alias("topics"))
+    return coverage.counted(rows, "judgment", into="topics")
 
 
 def queries() -> dict:

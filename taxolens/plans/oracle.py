@@ -260,6 +260,7 @@ SELECT reference, type, whole, total, accepted, correct, round(accepted / total:
 v AS (SELECT work_id, label, list_transform(raw, lambda q: q / sqrt(list_dot_product(raw, raw))) AS vec FROM e),
 m AS (SELECT label, list(s ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS s FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v) GROUP BY 1, 2) GROUP BY 1)
 SELECT work_id, arg_min(m.label, list_dot_product(c, c) - 2 * list_dot_product(vec, c))::INTEGER AS cluster FROM v, m GROUP BY 1""",
+    "label_texts": """SELECT p_partkey, translate(p_partkey || ': (' || p_brand || ') [' || p_type || '], ' || p_name, '()[]', ',') AS label FROM part""",
     "exact_sums": """SELECT l_suppkey, sum(round(l_extendedprice * 100)::HUGEINT * 128 + (1 << (7 - l_linenumber)::INT))::VARCHAR AS parts FROM lineitem GROUP BY 1""",
     "calibrated_status": f"""{FLAT}, {CURVES}, fitted AS ({_fitted(0.3)})
 SELECT CASE WHEN confidence >= threshold THEN 'accepted' ELSE 'abstain' END AS status, count(*) AS works FROM rounded, fitted WHERE partition = 'test' AND reference = 'any_topic' GROUP BY 1""",

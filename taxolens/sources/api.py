@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not
 
+from taxolens.operators.components import store
+from taxolens.operators.ordering import lowest
 from taxolens.operators.validate import InputError
 
 # Attempts, first and further waits in seconds, timeout, most pages, page size.
@@ -113,7 +115,8 @@ class PagedReader(DataSourceReader):
         if not 1 <= size <= 10_000:
             raise InputError("sample size must be 1-10000")
         each = min(PAGE, size)
-        query = {"filter": self.options["filter"], "sample": size, "seed": self.options.get("seed", "42"), "per-page": each}
+        query = {"sample": size, "seed": self.options.get("seed", "42"), "per-page": each}
+        query = {"filter": self.options["filter"]} | query
         return [Pages([f"{self.options['url']}?{urllib.parse.urlencode(query | {'page': p})}"]) for p in range(1, -(-size // PAGE) + 1)]
 
     def read(self, part):
@@ -162,6 +165,41 @@ def sampled_works(spark: SparkSession, url: str, filter_: str, size: int, seed:
     return rows.limit(size)
 
 
+class SampledReader(DataSourceReader):
+    """Samples of many groups in one scan: a task for each page of each."""
+
+    def __init__(self, options: dict, get):
+        self.options, self.get = options, get
+
+    def partitions(self):
+        groups = json.loads(self.options["groups"])
+        return [part for name, said in groups for part in (GroupPages(name, p.urls) for p in PagedReader(self.options | {"mode": "sample", "filter": said}).partitions())]
+
+    def read(self, part):
+        for url in part.urls:
+            for row in self.get(url)["results"]:
+                yield (part.name, row["id"], json.dumps(row, ensure_ascii=False))
+
+
+class GroupPages(Pages):
+    def __init__(self, name: str, urls: list[str]):
+        super().__init__(urls)
+        self.name = name
+
+
+def sampled_groups(spark: SparkSession, url: str, filters: dict[str, str], size: int, seed: int = 42, get=get_json) -> DataFrame:
+    """(group, r): a seeded sample of works of each group (name: filter), read by one scan.
+    A work that comes twice in a group is an error; at most ``size`` of each stay."""
+    if not filters:
+        return spark.createDataFrame([], "group string, body string").select("group", F.from_json("body", WORK).alias("r"))
+    spark.dataSource.register(_source("sampled_groups", "group string, id string, body string", lambda o: SampledReader(o, get)))
+    rows = spark.read.format("sampled_groups").options(url=url, size=str(size), seed=str(seed), groups=json.dumps(list(filters.items()))).load()
+    rows = store(rows, "sampled")
+    if not rows.groupBy("group", "id").count().where("count > 1").isEmpty():
+        raise FetchError("duplicate work in seeded pagination")
+    return lowest(rows, ["group"], F.sha2(F.concat(F.lit(f"{seed}:"), "id"), 256), [F.col("id")], size).select("group", F.from_json("body", WORK).alias("r"))
+
+
 # ---- filters that the API applies ------------------------------------------------------
 
 #: Columns of works that the API can filter by, and its names for them.

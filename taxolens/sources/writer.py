@@ -163,3 +163,27 @@ def write_csv(path: str | os.PathLike, df: DataFrame) -> None:
         parts = stage.parts(mapped(df, lambda r: csv_line([r[c] for c in names])), "rows")
         stage.joined(parts, path.name, csv_line(names))
         stage.publish(path.name)
+
+
+def listed(stage: Staged, name: str, head: str, tail: str, rows: DataFrame, text: Callable[[dict], str]) -> list[dict]:
+    """A file of ``stage``: ``head``, then a text for each row with commas between, then
+    ``tail``. Gives the parts of the rows."""
+    parts = stage.parts(mapped(rows, lambda r: ",\n" + text(r)), name + "-rows")
+    stage.joined(parts, name + "-joined")
+    with open(stage.folder / (name + "-joined"), encoding="utf-8", newline="") as made, open(stage.folder / name, "x", encoding="utf-8", newline="") as whole:
+        made.read(2)  # no comma before the first
+        whole.write(head + "\n")
+        shutil.copyfileobj(made, whole)
+        whole.write("\n" + tail)
+    return parts
+
+
+def write_json_list(path: str | os.PathLike, head: dict, key: str, rows: DataFrame) -> int:
+    """A JSON document of any size: the fields of ``head``, then ``key`` with a list of the
+    rows, each on a line, in the order of ``rows``. Gives the number of rows."""
+    path = Path(path)
+    before, after = (json.dumps(head | {key: []}, ensure_ascii=False, indent=2, allow_nan=False) + "\n").rsplit("[]", 1)
+    with Staged(path.parent) as stage:
+        parts = listed(stage, path.name, before + "[", "  ]" + after, rows, lambda r: "    " + json.dumps(r, ensure_ascii=False, allow_nan=False))
+        stage.publish(path.name)
+    return sum(p["rows"] for p in parts)

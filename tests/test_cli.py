@@ -25,7 +25,7 @@ def test_audit_json_csv_and_table(snapshot, tmp_path, capsys):
     out = json.loads(capsys.readouterr().out)
     assert len(out["rows"]) == 2 and out["output"] == {"limit": 2, "total_rows": 6, "truncated": True}
     assert len(out["input"]["sha256"]) == 64 and sum(out["summary"].values()) == 6
-    assert out["rows"][0]["neighbours"][0]["shared_keywords"] == ["geology", "rocks"]
+    assert out["rows"][0]["neighbours"][0]["shared_keywords"] == ["keel", "sail", "tide"]
     target = tmp_path / "result.csv"
     assert cli.main(["audit", "--input", str(snapshot), "--format", "csv", "--limit", "0", "--output", str(target)]) == 0
     assert capsys.readouterr().out == ""
