@@ -26,7 +26,7 @@ MINIMUM_NEIGHBOURS, MINIMUM_SUPPORT, MOST_K = 3, 2, 100
 #: Decimals at which shares are compared and at which numbers are shown.
 COMPARE, SHOW = 12, 9
 #: A keyword held by more topics than this is dealt over salts on one side of the join.
-HOT_POSTING, SALTS = 2000, 16
+HOT_POSTING = 2000
 
 
 def check_parameters(k: int, level: str) -> None:
@@ -41,12 +41,12 @@ def memberships(topics: DataFrame) -> DataFrame:
 
 def _salted(members: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """``left`` joined with ``right`` on keyword. The left rows of a hot keyword of
-    ``members`` are dealt over SALTS tasks, its right rows go to each of them; other
-    keywords have one salt."""
-    hot = members.groupBy("keyword").count().where(F.col("count") > HOT_POSTING).select(F.col("keyword").alias("hot"))
+    ``members`` are dealt over salts, HOT_POSTING rows or so to each; its right rows go to
+    each of them. Other keywords have one salt."""
+    hot = members.groupBy("keyword").count().where(F.col("count") > HOT_POSTING).select(F.col("keyword").alias("hot"), F.ceil(F.col("count") / HOT_POSTING).cast("int").alias("salts"))
     one = left.columns[0]
-    dealt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(one), F.lit(SALTS))).otherwise(0)
-    every = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(one), F.col("salts"))).otherwise(0)
+    every = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.lit(0)))
     left = left.join(hot, F.col("keyword") == F.col("hot"), "left").select(one, "keyword", dealt.cast("int").alias("salt"))
     right = right.join(hot, F.col("keyword") == F.col("hot"), "left").select(right.columns[0], "keyword", F.explode(every).alias("salt"))
     return left.join(right, ["keyword", "salt"])
@@ -57,6 +57,7 @@ def overlaps(members: DataFrame, salted: bool = True) -> DataFrame:
 
     Pairs of one frequent keyword are the cost of this join; ``salted`` deals them over
     several tasks."""
+    members = store(members, "memberships")
     left, right = members.select(F.col("topic_id").alias("src"), "keyword"), members.select(F.col("topic_id").alias("dst"), "keyword")
     met = _salted(members, left, right) if salted else left.join(right, "keyword")
     return met.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"))

@@ -28,8 +28,9 @@ def family_keys(records: DataFrame) -> DataFrame:
 def families(records: DataFrame) -> DataFrame:
     """(id, family): the least id of all records linked through shared keys.
 
-    Each key links its records to its least id: a star, not all pairs."""
-    keys = family_keys(records)
+    Each key links its records to its least id: a star, not all pairs. Keys, which may be
+    whole texts, meet as 128-bit hashes."""
+    keys = family_keys(records).select("id", "kind", F.md5("key").alias("key"))
     least = keys.groupBy("kind", "key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = keys.join(least, ["kind", "key"]).select(F.col("id").alias("u"), F.col("least").alias("v"))
     parts = connected_components(edges).withColumnRenamed("id", "__id")

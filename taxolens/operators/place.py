@@ -246,6 +246,6 @@ def training_rows(records: DataFrame, truth: DataFrame, topics: DataFrame, taxon
         above = PARENT.get(level) if strategy == "hierarchical" else None
         option = F.struct(F.col(level).alias("key"), F.col(f"{level}_name").alias("value"))
         of = taxonomy.groupBy(*([F.col(above).alias("__up")] if above else [])).agg(F.map_from_entries(F.array_sort(F.collect_set(option))).alias("criteria"))
-        rows = (rows.join(F.broadcast(of), F.col(above) == F.col("__up")).drop("__up") if above else rows.crossJoin(F.broadcast(of)))
+        rows = rows.join(of, F.col(above) == F.col("__up")).drop("__up") if above else rows.crossJoin(F.broadcast(of))  # one row
         rows = rows.withColumn(f"q_{level}", F.struct("criteria", F.col(level).alias("label"))).drop("criteria")
     return rows.select(F.col("work_id").alias("id"), "state", *[c for c in rows.columns if c.startswith("q_")], "__digest").withColumnRenamed("__digest", "digest")

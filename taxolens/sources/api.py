@@ -159,7 +159,7 @@ def topics(spark: SparkSession, url: str) -> DataFrame:
 
 def sampled_works(spark: SparkSession, url: str, filter_: str, size: int, seed: int = 42) -> DataFrame:
     """A seeded sample of works; a repeated id is an error."""
-    rows = read_api(spark, WORK, url=url, mode="sample", filter=filter_, size=str(size), seed=str(seed))
+    rows = store(read_api(spark, WORK, url=url, mode="sample", filter=filter_, size=str(size), seed=str(seed)), "sampled")  # asked once
     if not rows.groupBy("id").count().where("count > 1").isEmpty():
         raise FetchError("duplicate work in seeded pagination")
     return rows.limit(size)

@@ -106,7 +106,10 @@ def test_files_in_two_phases(spark, tmp_path):
     writer.write_csv(path, rows.limit(0))
     assert path.read_bytes() == b"n,t\r\n"
     with writer.Staged(tmp_path) as stage:
-        parts = stage.parts(rows.select(F.col("n").cast("string")), "p")
+        spread = rows.repartitionByRange(5, "n").sortWithinPartitions("n")
+        parts = stage.parts(spread.select(F.concat(F.col("n").cast("string"), F.lit("\n"))), "p")
+        stage.joined(parts, "ordered")
+        assert (stage.folder / "ordered").read_text() == "".join(f"{n}\n" for n in range(1000))
         assert sum(p["rows"] for p in parts) == 1000 and len(parts) > 1
         open(parts[0]["path"], "a").write("more")
         with pytest.raises(writer.WriteError):
@@ -140,3 +143,66 @@ def test_cache_of_answers(spark, tmp_path, monkeypatch):
     (tmp_path / "c" / "stray.parquet").write_text("")
     with pytest.raises(cache.CacheError):
         cache.Cache(spark, str(tmp_path / "c"), "key string, logit double, v array<double>")
+
+
+@pytest.fixture(scope="module")
+def world():
+    """A whole API: topics by cursor, seeded samples of works page by page, group-bys."""
+    up = lambda level, n: {"id": f"https://openalex.org/{level}s/{n}", "display_name": f"{level} {n}"}
+    topics = [{"id": f"https://openalex.org/T{i}", "display_name": f"topic {i}", "description": None, "keywords": [f"k{i}", "all"], "subfield": up("subfield", 1), "field": up("field", 1), "domain": up("domain", 1), "works_count": 10_000 if i in (3, 7) else 10, "cited_by_count": i, "created_date": "2024", "updated_date": "2025", "siblings": [{"id": "x"}] * i} for i in range(1, 10)]
+    work = lambda n, t: {"id": f"https://openalex.org/W{n}", "doi": None, "title": f"title {n}", "type": "article", "primary_location": {"source": {"id": f"S{n % 4}", "display_name": "src"}}, "primary_topic": {"id": f"https://openalex.org/T{t}"} if n % 10 else None, "topics": [{"id": f"https://openalex.org/T{t}"}]}
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            parsed = urllib.parse.urlparse(self.path)
+            q = {k: v[0] for k, v in urllib.parse.parse_qs(parsed.query).items()}
+            asked.append((parsed.path, q))
+            if parsed.path == "/topics":
+                at = 0 if q["cursor"] == "*" else int(q["cursor"])
+                body = {"meta": {"count": len(topics), "next_cursor": str(at + 4) if at + 4 < len(topics) else None}, "results": topics[at : at + 4]}
+            elif "group_by" in q:
+                body = {"group_by": [{"key": "2020", "key_display_name": "2020", "count": 7}] if q["group_by"] == "publication_year" else [{"key": "https://openalex.org/S1", "key_display_name": "one", "count": 1500}]}
+            else:
+                topic = int(q["filter"].rpartition("T")[2]) if "T" in q["filter"] else 1
+                first = 1000 * topic + (int(q["page"]) - 1) * int(q["per-page"])
+                body = {"results": [work(n, topic) for n in range(first, min(first + int(q["per-page"]), 1000 * topic + int(q["sample"])))]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", asked
+    server.shutdown()
+
+
+def test_pull(spark, world, tmp_path, capsys):
+    from taxolens import cli
+    from taxolens.sources import readers
+
+    url, asked = world
+    assert cli.main(["pull", "--api", url, "--output-dir", str(tmp_path)]) == 0
+    doc = json.loads((tmp_path / "topics.json").read_text())
+    assert doc["topic_count"] == 9 and [t["id"][-1] for t in doc["topics"]] == [str(i) for i in range(1, 10)] and doc["topics"][4]["sibling_count"] == 5
+    table = list(csv.DictReader((tmp_path / "topics.csv").open()))
+    assert [r["topic_id"] for r in table][:3] == ["T3", "T7", "T1"] and table[0]["keyword_count"] == "2" and list(table[0])[-2:] == ["created_date", "updated_date"]
+    assert (tmp_path / "unassigned_by_year.csv").read_text().splitlines()[1:] == ["2020,7,7"]
+    assert len((tmp_path / "unassigned_by_source_type.csv").read_text().splitlines()) == 6
+    asked.clear()
+    assert cli.main(["pull", "--api", url, "--output-dir", str(tmp_path), "--works", "both", "--topics", str(tmp_path / "topics.json"), "--sample-size", "250"]) == 0
+    assert sum(p == "/works" for p, _ in asked) == 6  # two pages for the labelled works and for each large topic
+    sha = readers.read_snapshot(spark, str(tmp_path / "topics.json")).sha256
+    place = json.loads((tmp_path / "place-dataset.json").read_text())
+    assert place["exclusions"]["missing_primary_topic"] == 25 and place["sampling"] == {"requested": 250, "returned": 250} and sum(place["partition_counts"].values()) == 225 == len(place["records"])
+    assert readers.read_place(spark, str(tmp_path / "place-dataset.json"), sha).rows.count() == 225
+    sinks = json.loads((tmp_path / "sink-samples.json").read_text())
+    assert [(s["topic_id"], s["sampling"]) for s in sinks["sinks"]] == [(t, {"requested": 250, "returned": 250}) for t in ("T3", "T7")] and sinks["median_topic_works"] == 10
+    assert readers.read_sinks(spark, str(tmp_path / "sink-samples.json"), sha).rows.count() == 500
+    before = (tmp_path / "topics.json").read_bytes()
+    assert cli.main(["pull", "--api", url + "/none", "--output-dir", str(tmp_path), "--topics-only"]) != 0
+    assert (tmp_path / "topics.json").read_bytes() == before and {p.name for p in tmp_path.iterdir()} == {"topics.json", "topics.csv", "unassigned_by_year.csv", "unassigned_by_source_type.csv", "place-dataset.json", "sink-samples.json"}
+    capsys.readouterr()
