@@ -98,8 +98,7 @@ def test_equal_shares(spark, tmp_path):
     assert (other.plurality_id[-1], other.status, other.margin) == ("5", "review", 0.5)
 
 
-@pytest.mark.parametrize(("limits", "posting"), [((256,), 4096), ((1, 2, 4), 3), ((3,), 2), ((2, 8, 16), 5)])
-@pytest.mark.parametrize("k", [1, 3, 200])
+@pytest.mark.parametrize(("limits", "posting", "k"), [((256,), 4096, 3), ((1, 2, 4), 3, 1), ((3,), 2, 3), ((2, 8, 16), 5, 3), ((3,), 5, 200)])
 def test_nearest_sets_equal_all_pairs(spark, monkeypatch, limits, posting, k):
     monkeypatch.setattr(nearest, "LIMITS", limits)
     monkeypatch.setattr(nearest, "POSTING", posting)
