@@ -123,10 +123,13 @@ def exact_sums(rows: DataFrame, keys: list[str], value: str, into: str = "sum")
 
 
 def exact_array_sum(values: Column) -> Column:
-    """The exact sum of a short array of doubles."""
+    """The exact sum of a short array of doubles. One value is its own sum, and two are
+    added with one rounding by the processor."""
     zero = F.lit(0).cast("long")
     own = lambda parts, i: F.aggregate(parts, zero, lambda a, p: a + F.when(p.limb == i, p.v).otherwise(zero))
     pairs = lambda parts: F.transform(F.array_distinct(F.transform(parts, lambda p: p.limb)), lambda i: F.struct(i.alias("limb"), own(parts, i).alias("v")))
     marks = lambda given: F.aggregate(F.transform(given, _mark), F.lit(0), lambda a, m: a.bitwiseOR(m))
     finite = lambda given: F.flatten(F.transform(F.filter(given, lambda v: _mark(v) == 0), limbs))
-    return let(F.filter(values, lambda v: v.isNotNull()), lambda given: _finished(let(finite(given), pairs), marks(given), F.size(given)))
+    whole = lambda given: _finished(let(finite(given), pairs), marks(given), F.size(given))
+    few = lambda given: F.when(F.size(given) == 1, given[0]).when(F.size(given) == 2, given[0] + given[1])
+    return let(F.filter(values, lambda v: v.isNotNull()), lambda given: F.when(F.size(given).between(1, 2), few(given)).otherwise(whole(given)))

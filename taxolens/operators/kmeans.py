@@ -18,6 +18,7 @@ cluster of the least number. Works without features are not clustered.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from taxolens.operators.components import store
 from taxolens.session import ship
 
 BLOCK, STARTS, MOST_STEPS = 1024, 10, 100
-#: Rounds of drawing, and works drawn in each for a cluster wanted.
+#: Rounds of drawing, the first at even odds, and works drawn in each for a cluster wanted.
 ROUNDS, OVERSAMPLED = 3, 2
 #: Runs that meet a block in one row.
 RUNS = 10
@@ -96,11 +97,8 @@ class Points:
 
 
 def _hash(data: bytes) -> int:
-    value = 0xCBF29CE484222325
-    for b in data:
-        value = (value ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    value ^= value >> 29
-    return value * 0xBF58476D1CE4E5B9 % (1 << 64) >> 33
+    """31 bits of a hash."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=4).digest(), "little") >> 1
 
 
 def _centres(entries: pa.Array, k: int, width: int) -> tuple[np.ndarray, int]:
@@ -244,8 +242,8 @@ def _first_centres(row: pa.RecordBatch, r: int, seed: int) -> Iterator[pa.Record
         centres = points[chosen]
         for _ in range(5):
             near = ((points * points).sum(1)[:, None] - 2 * points @ centres.T + (centres * centres).sum(1)).argmin(1)
-            n = np.bincount(near, weight, k)
-            sums = np.stack([np.bincount(near, weight * points[:, i], k) for i in range(width)], 1) if width <= 256 else np.stack([(points[near == c] * weight[near == c, None]).sum(0) for c in range(k)])
+            shares = np.where(near == np.arange(k)[:, None], weight, 0.0)
+            n, sums = shares.sum(1), shares @ points
             centres = np.where(n[:, None] > 0, sums / np.where(n > 0, n, 1)[:, None], centres)
         fixed = np.round(centres * UNIT).astype(np.int64)
         c, f = np.nonzero(fixed)
@@ -259,19 +257,18 @@ def starts(packed: DataFrame, ks: DataFrame, seed: int, count: int = STARTS) ->
     wanted = packed.join(ks.select(F.col("sink").alias("of")), F.col("sink") == F.col("of"), "left_semi")
     top = int(ks.agg(F.max(most)).first()[0] or 1)
     drawn = None
-    for round_ in range(ROUNDS + 1):
-        take = 1 if round_ == 0 else OVERSAMPLED * top
+    take = OVERSAMPLED * top
+    for round_ in range(ROUNDS):
         asked = wanted
         if drawn is not None:
             rows = drawn.groupBy("sink", "start").agg(F.sort_array(F.collect_list(F.struct("work_id", "row"))).alias("w"))
             held = rows.groupBy(F.col("sink").alias("of")).agg(F.collect_list(F.struct("start", F.col("w.row").alias("rows"))).alias("drawn"))
             asked = wanted.join(held, F.col("sink") == F.col("of")).drop("of")
-        raced = asked.mapInArrow(lambda b, round_=round_, take=take: _draw(b, seed, round_, count, take), DRAWN)
+        raced = asked.mapInArrow(lambda b, round_=round_: _draw(b, seed, round_, count, take), DRAWN)
         order = Window.partitionBy("sink", "start").orderBy("time", "work_id")
         new = raced.withColumn("place", F.row_number().over(order)).where(F.col("place") <= take).select("sink", "start", "work_id", "row")
         drawn = store(new if drawn is None else drawn.unionByName(new), "drawn")
     numbered = drawn.withColumn("cluster", (F.row_number().over(Window.partitionBy("sink", "start").orderBy("work_id")) - 1).cast("int"))
-    numbered = store(numbered, "numbered")
     k = numbered.groupBy("sink", "start").agg(F.count(F.lit(1)).cast("int").alias("k"))
     entry = numbered.select("sink", "start", "cluster", F.explode("row").alias("e")).select("sink", "start", F.struct("cluster", (F.col("e.i") + OLD).cast("int").alias("f"), F.round(F.col("e.x") * UNIT).cast("long").alias("v")).alias("e"))
     runs = entry.groupBy("sink", "start").agg(F.collect_list("e").cast(_ENTRY).alias("entries")).join(k, ["sink", "start"])
