@@ -691,7 +691,7 @@ def test_a_labelled_id_joins_once(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline_of_nothing_and_of_more_columns(spark, tmp_path):
