@@ -1,58 +1,65 @@
-"""Toxicity: class-conditional Kneser-Ney models of toxic and ordinary words.
+"""Toxicity: class-conditional Kneser-Ney models of toxic and ordinary language.
 
-A word w after a word v in a class c has an interpolated, discounted probability
+A word is read in two steps, its stem (the first ``STEM`` bytes, its end included) and then
+the whole word. In a class c, each step has an interpolated, discounted probability
 
-    P(w | v, c) = max(n(c, v, w) - D, 0) / n(c, v) + l(c, v) P(w | c)
-    P(w | c)    = max(m(c, w) - D(c, m), 0) / m(c) + l(c) S(w)
+    P(u | v, c) = (n(c, v, u) - D(c, n)) / n(c, v) + l(c, v) S(u | v)
 
-where m(c, w) is the continuation count of a word, the number of different words that it
-follows in the class, and the backoff S(w) is shared by the classes: its continuation
-count in both, over all. So a word of one class alone counts for as much as its own
-evidence, and a rare one for little. The discounts D(c, m) of words are estimated from
-their counts of counts (one, two, three and more). All words and pairs of the counted
-rows are in the model; a word in neither class has the shared backoff alone and says
-nothing.
+where v is what stands before (nothing, or the stem) and l(c, v) is the mass that the
+discounts leave. The backoff S(u | v) is shared by the classes: the continuation count of u,
+the number of classes that it follows v in, plus one, over all and one for words not met.
+So a rare or new word has the evidence of its stem and little of its own, and a word of
+one class alone counts for as much as it was met there. The discounts D(c, n) of each step
+and class are estimated from counts of counts (one, two, three and more).
 
-A document's toxic and ordinary log-likelihoods are compared token by token. Its score is
-a logistic function, at the true class shares, of the length-normalised difference over
-the whole text and of the difference at its most toxic words (each as an expression of
-its own, without its context), fitted on sampled rows that the counts leave out.
+A toxic document is ordinary for the most part. Its likelihood is therefore that of a
+mixture, ``MIXED`` parts of the toxic model and the rest of the ordinary one; against the
+ordinary model alone, words of neither class say next to nothing. A document's score is a
+logistic function, at the true class shares, of three log-likelihood differences over the
+whole text: toxic and ordinary model by length; mixture and ordinary model by length; the
+same by the root of the length. It is fitted by cross-fitting: the sample is dealt in
+``PARTS``, and each part's rows are told by models that leave their part out.
 
 Counts are made on the executors and grouped by Spark; the driver gets the finished
 tables. Rows of the held-out fold (crc32 of the id as text, mod 4, is 2) are never learnt
 from. Models are fitted on a bounded sample of labelled rows (``FIT_ROWS_PER_CLASS``),
 one text an id.
 
-Defined cases: null and empty texts have no tokens and the score of that; repeated rows
-are scored each and give the sample one text an id; ties among the most toxic words
-change nothing; a very long text costs time and memory in proportion; without labelled
-rows of both classes every score is the share of class 1 (0 without rows); the score
-takes the name given by ``into`` and replaces a column of that name; an empty table gives
-an empty result.
+Defined cases: null and empty texts have no words and the score of that; repeated rows
+are scored each and give the sample one text an id; a very long text costs time and memory
+in proportion; without labelled rows of both classes every score is the share of class 1
+(0 without rows); the score takes the name given by ``into`` and replaces a column of that
+name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import keep, mix64, release, small_batches, utf8
-from taxolens.llm.hashing import Lookup, hashed_words
+from taxolens.llm.common import keep, release, small_batches, utf8
+from taxolens.llm.hashing import TOGETHER, Lookup, word_hashes
 from taxolens.llm.quality import class_sample, sampled_texts
 
 FIT_ROWS_PER_CLASS = 2500
-#: Discount of pairs; also of words where counts of counts are too few to estimate by.
+#: Discount where counts of counts are too few to estimate by.
 DISCOUNT = 0.75
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-#: Tokens are lower-cased runs of ASCII letters, digits and non-ASCII bytes.
+#: Words are lower-cased runs of ASCII letters, digits and non-ASCII bytes.
 TOKEN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: The most toxic words that are averaged; what stands before a text's first word.
-TOP, START = 3, 0
+#: Bytes of a stem; what stands before it.
+STEM, ROOT = 5, 0
+#: The share of the toxic model in a toxic text.
+MIXED = 0.01
+#: Parts of the sample; model 0 has all of them, model p all but part p.
+PARTS = 3
 FEATURES = 3
 
 
@@ -61,107 +68,148 @@ def fold(column: str = "doc_id", folds: int = FOLDS):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def tokens(texts: list[bytes]):
-    """The hashes of each text's tokens."""
-    return (h.view(np.int64) for h in hashed_words([t.translate(TOKEN) for t in texts], lower=False))
+def _stems(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """The first bytes of the words at ``starts``, as numbers; short words end in a space."""
+    a = np.frombuffer(data + b" " * STEM, np.uint8)
+    found, inside = np.zeros(starts.size, np.int64), np.ones(starts.size, bool)
+    for k in range(STEM):
+        own = np.where(inside, a[starts + k], 32)
+        inside &= own != 32
+        found = found << 8 | own
+    return found
+
+
+def words_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stems and hashes of each text's words."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (size == 0 or size + len(texts[to]) < TOGETHER):
+            size, to = size + len(texts[to]) + 1, to + 1
+        data = b" ".join(texts[at:to]).translate(TOKEN)
+        hashes, starts = word_hashes(data)
+        hashes, stems = hashes.view(np.int64), _stems(data, starts)
+        edges = np.concatenate([[0], np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts[at:to]]))]).tolist()
+        for a, b in zip(edges, edges[1:]):
+            yield stems[a:b], hashes[a:b]
+        at = to
 
 
-def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each pair of words."""
-    with np.errstate(over="ignore"):
-        return mix64(before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words.view(np.uint64)).view(np.int64)
+@dataclass
+class KneserNey:
+    """Log-ratios, toxic over ordinary, of known words, of new words by stem, of the rest."""
+
+    words: Lookup
+    ratio: np.ndarray
+    stems: Lookup
+    new: np.ndarray
+    rest: float
+
+    def ratios(self, stems: np.ndarray, words: np.ndarray) -> np.ndarray:
+        out = np.full(words.size, self.rest)
+        place = self.words.find(words)
+        known = place >= 0
+        out[known] = self.ratio[place[known]]
+        left = np.flatnonzero(~known)
+        place = self.stems.find(stems[left])
+        out[left[place >= 0]] = self.new[place[place >= 0]]
+        return out
+
+
+def differences(ratios: np.ndarray) -> np.ndarray:
+    """The three log-likelihood differences of a text from its words' log-ratios."""
+    if not ratios.size:
+        return np.zeros(FEATURES)
+    mixed = np.log1p(MIXED * np.expm1(np.clip(ratios, -20, 20)))
+    return np.array([ratios.mean(), mixed.mean(), mixed.sum() / np.sqrt(ratios.size)])
 
 
 @dataclass
 class ToxicModel:
-    """Log-ratios of words, of backoff weights by context and of pairs; the combiner."""
+    """The language models and the weights of the differences."""
 
-    words: Lookup
-    ratio: np.ndarray  # by place of the word; the last is for unseen words
-    after: np.ndarray  # log-ratio of backoff weights by place of the context; the last: 0
-    pairs: np.ndarray  # sorted keys
-    pair_ratio: np.ndarray
+    language: KneserNey
     weights: np.ndarray
     bias: float
 
-    def features(self, words: np.ndarray) -> np.ndarray:
-        if not words.size:
-            return np.zeros(FEATURES)
-        place = self.words.find(words)
-        alone = self.ratio[place]
-        each = alone.copy()
-        before = np.concatenate([[START], words[:-1]])
-        each[1:] += self.after[place[:-1]]
-        if self.pairs.size:
-            key = pair_keys(before, words)
-            at = np.searchsorted(self.pairs, key)
-            at[at == self.pairs.size] = 0
-            known = self.pairs[at] == key
-            each[known] = self.pair_ratio[at[known]]
-        top = np.sort(alone[np.argpartition(alone, -TOP)[-TOP:]] if alone.size > TOP else alone)
-        return np.array([each.mean(), top[-1], top.mean()])
-
-    def score(self, words: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.features(words) @ self.weights + self.bias, -30, 30))))
-
-
-def _pairs(batches):
-    """Occurrences of each pair of a task's rows, by class: v, w, n0, n1."""
-    held = [[np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]]
+    def score(self, stems: np.ndarray, words: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(differences(self.language.ratios(stems, words)) @ self.weights + self.bias, -30, 30))))
+
+
+def _counts(batches):
+    """Occurrences of each word of a batch, by part and class: part, stem, word, n0, n1."""
     for batch in batches:
-        for label, own in zip(batch.column("label").to_pylist(), tokens(utf8(batch.column("text")))):
-            held[label].append(np.stack([np.concatenate([[START], own[:-1]]), own], 1) if own.size else held[0][0])
-    for label in (0, 1):
-        found, n = np.unique(np.concatenate(held[label]), axis=0, return_counts=True)
-        if n.size:
+        held: dict[tuple, list] = {}
+        for part, label, own in zip(batch.column("part").to_pylist(), batch.column("label").to_pylist(), words_of(utf8(batch.column("text")))):
+            held.setdefault((part, label), []).append(own)
+        for (part, label), own in held.items():
+            words, first, n = np.unique(np.concatenate([w for _, w in own]), return_index=True, return_counts=True)
             none = np.zeros(n.size, np.int64)
             counts = (n, none) if label == 0 else (none, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), *map(pa.array, counts)], ["v", "w", "n0", "n1"])
+            stems = np.concatenate([s for s, _ in own])[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n.size, part, np.int32)), pa.array(stems), pa.array(words), *map(pa.array, counts)], ["part", "stem", "word", "n0", "n1"])
     release()
 
 
-def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
-    """Discounts of counts of one, two, three and more, from counts of counts."""
-    if not (ones and twos and threes):
-        return DISCOUNT, DISCOUNT, DISCOUNT
+def _discounts(c: int) -> list[Column]:
+    """Discounts of counts of one, two, three and more of a class, from counts of counts."""
+    ones, twos, threes, fours = (F.sum((F.col(f"n{c}") == k).cast("long")) for k in (1, 2, 3, 4))
     y = ones / (ones + 2 * twos)
-    d = (1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes)
-    return tuple(float(min(max(x, 0.1), k - 0.1)) for k, x in enumerate(d, 1))
-
-
-def kneser_ney(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (label, text): words (w, ratio, after) and pairs (v, w, ratio), as logs of toxic
-    over ordinary probabilities."""
-    pairs = keep(rows.select("label", "text").mapInArrow(_pairs, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
-    seen = lambda c: F.sum((F.col(f"n{c}") > 0).cast("long"))
-    words = keep(pairs.groupBy("w").agg(seen(0).alias("m0"), seen(1).alias("m1")), "words")
-    sums = [F.coalesce(F.sum(f"m{c}"), F.lit(0)).alias(f"t{c}") for c in (0, 1)]
-    sums += [F.sum((F.col(f"m{c}") == k).cast("long")).alias(f"k{c}{k}") for c in (0, 1) for k in (1, 2, 3, 4)] + [F.sum((F.col(f"m{c}") > 2).cast("long")).alias(f"k{c}more") for c in (0, 1)]
-    s = words.agg(*sums).first()
-    everything = float(s.t0 + s.t1)
-
-    def word(c: int) -> Column:
-        one, two, more = discounts(*[s[f"k{c}{k}"] or 0 for k in (1, 2, 3, 4)])
-        m, total = F.col(f"m{c}"), float(max(1, s[f"t{c}"]))
-        left = (one * (s[f"k{c}1"] or 0) + two * (s[f"k{c}2"] or 0) + more * (s[f"k{c}more"] or 0)) / total
-        off = F.when(m == 0, 0.0).when(m == 1, one).when(m == 2, two).otherwise(more)
-        return (m - off) / total + left * (F.col("m0") + F.col("m1")) / everything
-
-    p = words.select("w", word(0).alias("p0"), word(1).alias("p1"))
-    context = pairs.groupBy("v").agg(*[F.sum(f"n{c}").alias(f"c{c}") for c in (0, 1)], *[seen(c).alias(f"f{c}") for c in (0, 1)])
-    free = lambda c: F.when(F.col(f"c{c}") > 0, DISCOUNT * F.col(f"f{c}") / F.col(f"c{c}")).otherwise(1.0)
-    context = keep(context.select("v", "c0", "c1", free(0).alias("l0"), free(1).alias("l1")), "contexts")
-    after = F.when((F.col("c0") > 0) & (F.col("c1") > 0), F.log(F.col("l1") / F.col("l0"))).otherwise(0.0)
-    both = p.join(context.select(F.col("v").alias("w"), after.alias("after")), "w", "left").select("w", F.log(F.col("p1") / F.col("p0")).alias("ratio"), F.coalesce("after", F.lit(0.0)).alias("after"))
-    own = lambda c: F.when(F.col(f"c{c}") > 0, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"c{c}")).otherwise(0.0) + F.col(f"l{c}") * F.col(f"p{c}")
-    told = pairs.join(context, "v").join(p, "w").select("v", "w", F.log(own(1) / own(0)).alias("ratio"))
-    return both, told
+    raw = (1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes)
+    enough = (ones > 0) & (twos > 0) & (threes > 0)
+    return [F.when(enough, F.least(F.greatest(d, F.lit(0.1)), F.lit(k - 0.1))).otherwise(DISCOUNT).alias(f"d{c}{k}") for k, d in enumerate(raw, 1)]
+
+
+def step(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One step of the models: from counts (fit, before, unit, n0, n1), the log-ratio of each
+    unit (fit, before, unit, ratio) and, of new ones, that of what stands before (fit,
+    before, rest)."""
+    off = units.groupBy("fit").agg(*_discounts(0), *_discounts(1))  # a row a model
+    cut = lambda c: F.when(F.col(f"n{c}") == 0, 0.0).when(F.col(f"n{c}") == 1, F.col(f"d{c}1")).when(F.col(f"n{c}") == 2, F.col(f"d{c}2")).otherwise(F.col(f"d{c}3"))
+    each = units.join(F.broadcast(off), "fit").select("fit", "before", "unit", "n0", "n1", cut(0).alias("o0"), cut(1).alias("o1"), ((F.col("n0") > 0).cast("int") + (F.col("n1") > 0).cast("int") + 1).alias("kinds"))
+    left = lambda c: F.when(F.sum(f"n{c}") > 0, F.sum(f"o{c}") / F.sum(f"n{c}")).otherwise(1.0).alias(f"l{c}")
+    context = each.groupBy("fit", "before").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), left(0), left(1), (F.sum("kinds") + 1).alias("all"))
+    p = lambda c: F.when(F.col(f"t{c}") > 0, (F.col(f"n{c}") - F.col(f"o{c}")) / F.col(f"t{c}")).otherwise(0.0) + F.col(f"l{c}") * F.col("kinds") / F.col("all")
+    told = each.join(context, ["fit", "before"]).select("fit", "before", "unit", F.log(p(1) / p(0)).alias("ratio"))
+    return told, context.select("fit", "before", F.log(F.col("l1") / F.col("l0")).alias("rest"))
+
+
+def kneser_ney(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (part, label, text), log-ratios of all models: words (fit, word, ratio), new words
+    by stem (fit, stem, rest) and all other words (fit, rest)."""
+    counted = rows.select("part", "label", "text").mapInArrow(_counts, "part int, stem long, word long, n0 long, n1 long")
+    fits = F.explode(F.filter(F.sequence(F.lit(0), F.lit(PARTS)), lambda f: f != F.col("part")))
+    sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
+    words = counted.groupBy("part", "stem", "word").agg(*sums).select(fits.alias("fit"), "stem", "word", "n0", "n1").groupBy("fit", "stem", "word").agg(*sums)
+    words = keep(words.withColumnsRenamed({"stem": "before", "word": "unit"}), "words")
+    stems, root = step(words.groupBy("fit", "before").agg(*sums).select("fit", F.lit(ROOT).alias("before"), F.col("before").alias("unit"), "n0", "n1"))
+    stems = stems.select("fit", F.col("unit").alias("before"), F.col("ratio").alias("stem_ratio"))
+    told, new = step(words)
+    told = told.join(stems, ["fit", "before"]).select("fit", F.col("unit").alias("word"), (F.col("ratio") + F.col("stem_ratio")).alias("ratio"))
+    new = new.join(stems, ["fit", "before"]).select("fit", F.col("before").alias("stem"), (F.col("rest") + F.col("stem_ratio")).alias("rest"))
+    return told, new, root.select("fit", "rest")
+
+
+def language_models(rows: DataFrame) -> dict[int, KneserNey]:
+    """The models as tables for workers, bounded by the sample: by number (see ``PARTS``)."""
+    words, new, root = (t.toArrow() for t in kneser_ney(rows))
+
+    def of(table: pa.Table, fit: int) -> list[np.ndarray]:
+        own = table.filter(pa.compute.equal(table.column("fit"), fit))
+        return [own.column(i).to_numpy() for i in (1, 2)]
+
+    rest = dict(zip(root.column("fit").to_pylist(), root.column("rest").to_pylist()))
+    found = {}
+    for fit in rest:
+        (w, ratio), (s, other) = of(words, fit), of(new, fit)
+        found[fit] = KneserNey(Lookup(w), ratio, Lookup(s), other, rest[fit])
+    return found
 
 
 def _newton(x: np.ndarray, z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a weighted logistic regression on few features."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    beta, ridge = np.zeros(FEATURES + 1), np.diag([1e-4] * FEATURES + [0.0])
+    beta, ridge = np.zeros(FEATURES + 1), np.diag([1e-5] * FEATURES + [0.0])
     for _ in range(60):  # damped steps
         q = 1 / (1 + np.exp(-np.clip(x1 @ beta, -30, 30)))
         g = x1.T @ (w * (q - z)) + ridge @ beta
@@ -176,29 +224,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS_PER_CLAS
     small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & (fold() != HELD_OUT)).select("doc_id", "toxic")
     share = dict(known.groupBy("toxic").count().collect())
-    # a third of the sample is the combiner's
-    rows = keep(sampled_texts(docs, class_sample(known, "toxic", per_class)).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(22)), F.lit(3)) == 0), "sample")
-    there = {(r.part, r.label) for r in rows.select("part", "label").distinct().collect()}
-    if len({y for _, y in there}) < 2:
+    part = (F.pmod(F.xxhash64("doc_id", F.lit(22)), F.lit(PARTS)) + 1).cast("int")
+    rows = keep(sampled_texts(docs, class_sample(known, "toxic", per_class)).withColumn("part", part), "sample")
+    if rows.select("label").distinct().count() < 2:
         return share.get(1, 0) / max(1, sum(share.values()))
-    apart = len(there) == 4
-    words, pairs = kneser_ney(rows.where("not part") if apart else rows)
-    got, told = words.toArrow(), pairs.toArrow()
-    ratio, after = (np.append(got.column(c).to_numpy(), 0.0) for c in ("ratio", "after"))
-    keys = pair_keys(told.column("v").to_numpy(), told.column("w").to_numpy())
-    order = np.argsort(keys)
-    model = ToxicModel(Lookup(got.column("w").to_numpy()), ratio, after, keys[order], told.column("ratio").to_numpy()[order].astype(np.float32), np.zeros(FEATURES), 0.0)
-    del got, told
+    models = language_models(rows)
+    if not models:  # no text has a word
+        return share[1] / sum(share.values())
+    nothing = KneserNey(Lookup(np.zeros(0, np.int64)), np.zeros(0), Lookup(np.zeros(0, np.int64)), np.zeros(0), 0.0)
 
     @F.arrow_udf("array<double>")
-    def features(texts: pa.Array) -> pa.Array:
-        return pa.array([model.features(t).tolist() for t in tokens(utf8(texts))], pa.list_(pa.float64()))
+    def told(parts: pa.Array, texts: pa.Array) -> pa.Array:
+        found = zip(parts.to_pylist(), words_of(utf8(texts)))
+        return pa.array([differences(models.get(p, nothing).ratios(*own)).tolist() for p, own in found], pa.list_(pa.float64()))
 
-    own = sorted((r.doc_id, r.label, r.x) for r in (rows.where("part") if apart else rows).select("doc_id", "label", features(F.col("text")).alias("x")).collect())  # three numbers a sampled row
+    own = sorted((r.doc_id, r.label, r.x) for r in rows.select("doc_id", "label", told("part", "text").alias("x")).collect())  # three numbers a sampled row
     x, z = np.array([f for *_, f in own]), np.array([y for _, y, _ in own], float)
-    w = np.where(z > 0, share[1] / z.sum(), share[0] / max(1, (1 - z).sum()))
-    model.weights, model.bias = _newton(x, z, w / w.sum())
-    return model
+    w = np.where(z > 0, share[1] / z.sum(), share[0] / (1 - z).sum())
+    return ToxicModel(models[0], *_newton(x, z, w / w.sum()))
 
 
 def assess(docs: DataFrame, model: ToxicModel | float, text: str = "text", into: str = "toxicity") -> DataFrame:
@@ -209,6 +252,6 @@ def assess(docs: DataFrame, model: ToxicModel | float, text: str = "text", into:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in tokens(utf8(texts))], pa.float64())
+        return pa.array([model.score(*own) for own in words_of(utf8(texts))], pa.float64())
 
     return docs.withColumn(into, score(F.col(text)))

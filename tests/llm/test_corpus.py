@@ -466,42 +466,77 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert toxicity.assess(none, model).isEmpty()
 
 
+def _kneser_ney_by_definition(rows):
+    """Log-ratios of words, of new words by stem and of all others, from (label, text)."""
+    words = [[w for y, t in rows if y == c for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())] for c in (0, 1)]
+    stem = lambda w: (w.encode() + b" ")[:5].ljust(5)
+
+    def step(units):  # of a class: (before, unit)
+        n = [Counter(u) for u in units]
+        known = n[0].keys() | n[1].keys()
+
+        def cut(c, k):
+            one, two, three, four = (sum(x == i for x in n[c].values()) for i in (1, 2, 3, 4))
+            if not (one and two and three):
+                return 0.75 if k else 0.0
+            y = one / (one + 2 * two)
+            d = (1 - 2 * y * two / one, 2 - 3 * y * three / two, 3 - 4 * y * four / three)
+            return min(max(d[min(k, 3) - 1], 0.1), min(k, 3) - 0.1) if k else 0.0
+
+        def left(c, before):
+            own = [k for (b, _), k in n[c].items() if b == before]
+            return sum(cut(c, k) for k in own) / sum(own) if own else 1.0
+
+        def p(c, before, unit):
+            total = sum(k for (b, _), k in n[c].items() if b == before)
+            kinds = {u: (n[0][before, u] > 0) + (n[1][before, u] > 0) + 1 for b, u in known if b == before}
+            k = n[c][before, unit]
+            return ((k - cut(c, k)) / total if total else 0.0) + left(c, before) * kinds.get(unit, 1) / (sum(kinds.values()) + 1)
+
+        return p, left
+
+    p_stem, left_root = step([[(b"", stem(w)) for w in own] for own in words])
+    p_word, left_stem = step([[(stem(w), w) for w in own] for own in words])
+    stems = {stem(w): math.log(p_stem(1, b"", stem(w)) / p_stem(0, b"", stem(w))) for own in words for w in own}
+    told = {w: stems[stem(w)] + math.log(p_word(1, stem(w), w) / p_word(0, stem(w), w)) for own in words for w in own}
+    new = {s: r + math.log(left_stem(1, s) / left_stem(0, s)) for s, r in stems.items()}
+    # known units and a new one have all the probability
+    assert sum(p_stem(1, b"", s) for s in [*stems, b"new"]) == pytest.approx(1)
+    return told, new, math.log(left_root(1, b"") / left_root(0, b""))
+
+
 def test_kneser_ney_equals_its_definition(spark):
-    texts = [(0, "good day to you"), (0, "a good day"), (1, "vile day to you"), (1, "vile vile"), (0, "To   you, you"), (0, None)]
-    words_, pairs_ = toxicity.kneser_ney(spark.createDataFrame(texts, "label int, text string"))
-    hashed = lambda w: int(next(toxicity.tokens([w.encode()]))[0]) if w else toxicity.START
-    said = [(y, ["", *(t or "").lower().replace(",", "").split()]) for y, t in texts]
-    n = [Counter(p for y, t in said if y == c for p in zip(t, t[1:])) for c in (0, 1)]
-    m = [Counter(w for _, w in n[c]) for c in (0, 1)]
-    vocabulary = sorted(m[0].keys() | m[1].keys())
-    off = [toxicity.discounts(*[sum(x == k for x in m[c].values()) for k in (1, 2, 3, 4)]) for c in (0, 1)]
-    cut = lambda c, k: off[c][min(k, 3) - 1] if k else 0.0
-
-    def word(c, w):
-        total = sum(m[c].values())
-        return (m[c][w] - cut(c, m[c][w])) / total + sum(cut(c, k) for k in m[c].values()) / total * (m[0][w] + m[1][w]) / sum((m[0] + m[1]).values())
-
-    def pair(c, v, w):
-        context = sum(k for (a, _), k in n[c].items() if a == v)
-        kinds = sum(a == v for a, _ in n[c])
-        return max(n[c][v, w] - 0.75, 0) / context + 0.75 * kinds / context * word(c, w) if context else word(c, w)
-
-    got = {r.w: r.ratio for r in words_.collect()}
-    assert got == pytest.approx({hashed(w): math.log(word(1, w) / word(0, w)) for w in vocabulary})
-    assert sum(word(0, w) for w in vocabulary) == pytest.approx(1) == pytest.approx(sum(pair(1, "vile", w) for w in vocabulary))
-    told = {(r.v, r.w): r.ratio for r in pairs_.collect()}
-    assert told == pytest.approx({(hashed(v), hashed(w)): math.log(pair(1, v, w) / pair(0, v, w)) for v, w in n[0].keys() | n[1].keys()})
-
-
-def test_scores_equal_their_parts():
-    """A text's features by their definition, for words and pairs in the model and not."""
-    vocabulary = np.array([11, 12, 13])
-    keys = np.sort(toxicity.pair_keys(np.array([0, 11]), np.array([11, 12])))
-    values = np.array([5.0, -1.0] if keys[0] == toxicity.pair_keys(np.array([0]), np.array([11]))[0] else [-1.0, 5.0], np.float32)
-    model = toxicity.ToxicModel(hashing.Lookup(vocabulary), np.array([1.0, 2.0, -3.0, 0.0]), np.array([0.5, 0.0, 0.25, 0.0]), keys, values, np.ones(3), 0.0)
-    own = np.array([11, 12, 13, 99, 11])  # 5, -1, 0 - 3, 0.25 + 0, 0 + 1
-    assert model.features(own) == pytest.approx([(5 - 1 - 3 + 0.25 + 1) / 5, 2.0, (2 + 1 + 1) / 3])
-    assert model.features(own[:0]).tolist() == [0, 0, 0]
+    rng = random.Random(8)
+    said = lambda y: " ".join(rng.choice(["good", "Goodness", "day", "days", "vilely" if y else "you", "vileness", "é", "éclair,éclairs", "a"]) for _ in range(rng.randrange(12)))
+    rows = [(i % 3 + 1, i % 2, said(i % 2)) for i in range(24)] + [(1, 0, None), (2, 1, "")]
+    models = toxicity.language_models(spark.createDataFrame(rows, "part int, label int, text string"))
+    assert sorted(models) == [0, 1, 2, 3]
+    for fit, model in models.items():
+        told, new, rest = _kneser_ney_by_definition([(y, t) for p, y, t in rows if p != fit])
+        stems, hashes = next(toxicity.words_of([" ".join(told).encode()]))
+        assert model.ratios(stems, hashes) == pytest.approx(list(told.values()))
+        own = {int.from_bytes(s, "big"): r for s, r in new.items()}
+        assert model.ratios(np.array(list(own)), np.full(len(own), 7)) == pytest.approx(list(own.values()))
+        assert model.ratios(np.array([1]), np.array([7])) == pytest.approx([rest])
+        assert len(model.words.keys) == len(told) and len(model.stems.keys) == len(new)
+
+
+def test_words_and_stems_of_any_text():
+    texts = ["Idiot, idiots!", "", "ab é" + "x" * 400_000 + " end", "  ", "éàèù"]
+    got = list(toxicity.words_of([t.encode() for t in texts]))
+    assert [len(w) for _, w in got] == [2, 0, 3, 0, 1] == [len(s) for s, _ in got]
+    as_bytes = lambda stems: [int(s).to_bytes(5, "big") for s in stems]
+    assert as_bytes(got[0][0]) == [b"idiot", b"idiot"] and got[0][1][0] != got[0][1][1]
+    assert as_bytes(got[2][0]) == [b"ab   ", "éxxx".encode(), b"end  "] and as_bytes(got[4][0]) == ["éàè".encode()[:5]]
+    alone = [next(toxicity.words_of([t.encode()])) for t in texts]
+    assert all((a == b).all() for x, y in zip(got, alone) for a, b in zip(x, y))
+
+
+def test_differences_equal_their_definition():
+    r = [8.0, -1.0, 0.5, 0.0]
+    mixed = [math.log(0.99 + 0.01 * math.exp(x)) for x in r]
+    assert toxicity.differences(np.array(r)) == pytest.approx([sum(r) / 4, sum(mixed) / 4, sum(mixed) / 2])
+    assert toxicity.differences(np.zeros(0)).tolist() == [0, 0, 0]
 
 
 # ---- 8
