@@ -13,20 +13,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-#: Names that put a site on the list.
-LISTED_LABELS = ("spam-farm", "casino", "ththon", "ththed", "ththor")
+#: A page is on the list if the SHA-256 of host and path, in hex, begins with one of these.
+LISTED_BY = "0123"
 
 
-def listed_sites(pages: DataFrame) -> DataFrame:
-    """The list that stands in for a bought one: a table of the crawl's sites with a name
-    of LISTED_LABELS."""
-    sites = pages.select(urlfilter.site(urlfilter.host_path("url")[0]).alias("key")).distinct()
-    return sites.where(F.exists(F.split("key", r"\."), lambda x: x.isin(*LISTED_LABELS)))
+def listed_pages(pages: DataFrame) -> DataFrame:
+    """The list that stands in for a bought one: a table of a quarter of the crawl's pages,
+    which grows with it."""
+    key = urlfilter.page(*urlfilter.host_path("url"))
+    return pages.select(key.alias("key")).distinct().where(F.substring(F.sha2("key", 256), 1, 1).isin(*LISTED_BY))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urlfilter.filter_urls(pages, listed_sites(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return urlfilter.filter_urls(pages, listed_pages(pages), key=urlfilter.page).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ OP2 = f"""WITH r AS (SELECT page_id, coalesce({REST}, '') AS rest FROM pages),
 h AS (SELECT page_id, {LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM r)
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for h, p, _ in _RULES)} END AS rule,
   CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for h, p, v in _RULES)}
-  WHEN list_has_any(string_split(host, '.')[-3:], [{", ".join(f"'{x}'" for x in LISTED_LABELS)}]) THEN 'block' ELSE 'allow' END AS verdict FROM h"""
+  WHEN host <> '' AND sha256(host || path)[1:1] IN ({", ".join(f"'{x}'" for x in LISTED_BY)}) THEN 'block' ELSE 'allow' END AS verdict FROM h"""
 
 OP5 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT html, max(page_id) AS top FROM p WHERE payload_bytes >= {warc.REVISIT_BYTES} GROUP BY 1)

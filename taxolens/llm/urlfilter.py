@@ -1,8 +1,8 @@
 """URL filters: longest-rule decisions, then a Bloom filter cascade over hosts.
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains, the
-longest fitting rule wins. Urls without a rule are judged by their registered name:
-the cascade's first level holds the listed keys, the second the unlisted keys of
+longest fitting rule wins. Urls without a rule are judged by a key, their registered
+name or their page (host and path): the cascade's first level holds the listed keys, the second the unlisted keys of
 the corpus that the first lets through, the third the listed keys that the second
 lets through, and so on until a level lets nothing wrong through. Over the key
 universe it was built for, membership is exact, without joining urls to the list.
@@ -24,6 +24,7 @@ blocks nothing.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -67,11 +68,16 @@ def rule_of(host: Column, path: Column, rules=tuple(RULES)) -> tuple[Column, Col
     return said, said_verdict
 
 
-def site(host: Column) -> Column:
-    """The key of a host: its last three labels."""
+def site(host: Column, path: Column | None = None) -> Column:
+    """A key for whole sites: the last three labels of the host."""
     return F.substring_index(host, ".", -3)
 
 
+def page(host: Column, path: Column) -> Column:
+    """A key for single pages: host and path."""
+    return F.concat(host, path)
+
+
 #: Hash functions of a level.
 K = 4
 
@@ -188,14 +194,15 @@ def listed_mask(df: DataFrame, key: Column, cascade: Cascade, into: str = "liste
     return df.withColumn(into, F.coalesce(_member(cascade.levels)(shard, _hashes(key, range(len(cascade.levels)))), F.lit(False)))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules=tuple(RULES)) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=tuple(RULES), key: Callable[[Column, Column], Column] = site) -> DataFrame:
     """``pages`` (with ``url``) plus host, path, rule, verdict and listed. ``listed`` is the
-    table of blocked keys (``key``; see ``site``)."""
+    table of blocked keys (``key``), which are made by ``site`` or ``page``."""
     host, path = host_path("url")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     parts = pages.drop("host", "path", "rule", "verdict", "listed").withColumns({"host": host, "path": path})
-    universe = parts.where("host <> ''").select(site(F.col("host")).alias("key"))
-    judged = listed_mask(parts, site(F.col("host")), build(universe, listed))
+    own = key(F.col("host"), F.col("path"))
+    universe = parts.where("host <> ''").select(own.alias("key"))
+    judged = listed_mask(parts, own, build(universe, listed))
     return judged.withColumns({"listed": F.col("listed") & (F.col("host") != ""), "rule": rule}).withColumn(
         "verdict", F.coalesce(said, F.when(F.col("listed"), "block").otherwise("allow"))
     )

@@ -149,6 +149,15 @@ def test_urls(spark):
     assert (rows[9].host, rows[9].rule) == ("notexample.com:80", None) and (rows[10].host, rows[12].host) == ("x", "hÉ.com")
 
 
+def test_urls_listed_by_page(spark):
+    pages = spark.createDataFrame([(i, f"https://h{i % 90}.Org/p/{i % 700}{'?q' if i % 2 else '#f'}") for i in range(1500)] + [(1500, None), (1501, "none"), (1502, "://")], "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{i % 90}.org/p/{i % 700}",) for i in range(0, 1500, 5)] + [("h1.org/p/none",), ("",)], "key string")
+    chosen = {r.key for r in listed.collect()}
+    rows = urlfilter.filter_urls(pages, listed, rules=(), key=urlfilter.page).collect()
+    assert len(rows) == 1503 and sum(r.listed for r in rows) > 200
+    assert all(r.verdict == ("block" if r.host and r.host + r.path in chosen else "allow") for r in rows)
+
+
 @pytest.mark.parametrize("shard", [7, 1 << 20])
 def test_cascade_is_exact(spark, shard):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
