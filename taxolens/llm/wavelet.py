@@ -45,6 +45,8 @@ MAGIC = b"WMX2"
 #: A shard is closed when it has so many ids.
 SHARD_TOKENS = 1 << 20
 END_ID = 1
+#: Bytes of text that a task sorts and writes, about.
+TASK_BYTES = 256 << 20
 #: Bits of a plane in one chunk.
 CHUNK_BITS = 1 << 15
 #: Words whose ids a worker remembers.
@@ -363,12 +365,18 @@ class Shard:
         return np.sort(at).tolist()
 
 
+def tasks_for(docs: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks to deal ``docs`` over: as many as the session shuffles into, more for much text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes))
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> DataFrame:
     """Tokenise ``docs`` (doc_id, text) and write shard files under ``folder``.
     Returns the manifest: part, number, path, docs, tokens."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or tasks_for(docs)
     dealt = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary"))).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches):
@@ -408,8 +416,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     if not before:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     own = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.create_map(*[F.lit(x) for p in before.items() for x in p])[F.col("part")].cast("long")
-    files = manifest.select("path", (offset + F.coalesce(F.sum("tokens").over(own), F.lit(0))).alias("start"))
+    offsets = spark.createDataFrame(list(before.items()), "part int, before long")  # two numbers a task
+    files = manifest.join(F.broadcast(offsets), "part").select("path", (F.col("before") + F.coalesce(F.sum("tokens").over(own), F.lit(0))).alias("start"))
 
     def read(batches):
         for batch in batches:

@@ -551,6 +551,13 @@ def test_differences_equal_their_definition():
 # ---- 8
 
 
+def test_tasks_grow_with_the_text(spark, none):
+    docs = spark.createDataFrame([(i, "é" * 50) for i in range(100)] + [(100, None)], "doc_id long, text string")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert wavelet.tasks_for(docs) == least == wavelet.tasks_for(none)
+    assert wavelet.tasks_for(docs, task_bytes=333) == -(-10_000 // 333)
+
+
 def test_shards_round_trip(spark, docs, none, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
