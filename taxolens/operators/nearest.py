@@ -89,12 +89,13 @@ def _bounded(pairs: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("high") >= F.col("least")).select("src", "n", "rest", "dst", "m", "shared", ((F.col("rest") == 0) | (F.col("least") > unseen)).alias("closed"))
 
 
-def nearest(members: DataFrame, k: int) -> DataFrame:
+def nearest(members: DataFrame, k: int, only: DataFrame | None = None) -> DataFrame:
     """(src, dst, shared, all, similarity, place): for each set of ``members`` (id long,
-    n, keyword, distinct) its k most similar sets with common keywords, ties by id."""
+    n, keyword, distinct) its k most similar sets with common keywords, ties by id; with
+    ``only`` (id) for those sets, against all."""
     rows = graded(members)
     most, bits = _reach(rows)
-    waiting, found = rows, None
+    waiting, found = rows if only is None else store(rows.join(only, "id", "left_semi"), "waiting"), None
     for limit in [x for x in LIMITS if x < most] + [None]:
         if limit is None:
             one = _best(expanded(waiting, rows, bits), k)

@@ -109,7 +109,8 @@ def keyword_overlap_counts(x: Fixture) -> DataFrame:
 @query
 def jaccard_topk(x: Fixture) -> DataFrame:
     topics = x.topics()
-    near = audit.shared_keywords(audit.neighbours(topics), topics)
+    sets = audit.keyword_sets(topics)
+    near = audit.shared_keywords(audit.neighbours(topics, sets=sets), topics, sets)
     return near.select("src", "dst", "shared", F.col("all").alias("all_keywords"), r("similarity", 9), F.col("place").cast("long").alias("place"), F.array_join("shared_keywords", "; ").alias("shared_keywords"))
 
 
