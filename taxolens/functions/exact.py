@@ -124,7 +124,9 @@ def exact_sums(rows: DataFrame, keys: list[str], value: str, into: str = "sum")
 
 def exact_array_sum(values: Column) -> Column:
     """The exact sum of a short array of doubles. One value is its own sum, and two are
-    added with one rounding by the processor."""
+    added with one rounding by the processor. Up to 512 values of a share's size (2**-10 to
+    1) are cut in two at 2**-31: both halves add up as integers, the halves' sums are exact
+    doubles, and adding these is the one rounding."""
     zero = F.lit(0).cast("long")
     own = lambda parts, i: F.aggregate(parts, zero, lambda a, p: a + F.when(p.limb == i, p.v).otherwise(zero))
     pairs = lambda parts: F.transform(F.array_distinct(F.transform(parts, lambda p: p.limb)), lambda i: F.struct(i.alias("limb"), own(parts, i).alias("v")))
@@ -132,4 +134,9 @@ def exact_array_sum(values: Column) -> Column:
     finite = lambda given: F.flatten(F.transform(F.filter(given, lambda v: _mark(v) == 0), limbs))
     whole = lambda given: _finished(let(finite(given), pairs), marks(given), F.size(given))
     few = lambda given: F.when(F.size(given) == 1, given[0]).when(F.size(given) == 2, given[0] + given[1])
-    return let(F.filter(values, lambda v: v.isNotNull()), lambda given: F.when(F.size(given).between(1, 2), few(given)).otherwise(whole(given)))
+    half = float(1 << 31)
+    upper = lambda given: F.aggregate(given, zero, lambda a, v: a + F.floor(v * half))
+    lower = lambda given: F.aggregate(given, zero, lambda a, v: a + ((v * half - F.floor(v * half)) * half).cast("long"))
+    shares = lambda given: (upper(given).cast("double") * half + lower(given).cast("double")) / (half * half)
+    small = lambda given: F.size(given).between(3, 512) & F.forall(given, lambda v: v.between(2.0**-10, 1.0))
+    return let(F.filter(values, lambda v: v.isNotNull()), lambda given: F.when(F.size(given).between(1, 2), few(given)).when(small(given), shares(given)).otherwise(whole(given)))
