@@ -110,16 +110,33 @@ def _mark(x: Column) -> Column:
 
 
 def exact_sums(rows: DataFrame, keys: list[str], value: str, into: str = "sum") -> DataFrame:
-    """``keys`` and the exact sum of ``value`` for each group of ``rows``. Limbs are added
-    in the tasks first; a group is at most LIMBS rows after the shuffle."""
-    x = F.col(value).cast("double")
-    entry = F.when(_mark(x) == 0, limbs(x)).otherwise(F.array().cast("array<struct<limb:int,v:bigint>>"))
-    head = F.array(F.struct(F.lit(-1).alias("limb"), F.lit(1).cast("long").alias("v")))  # counts values, and carries marks
-    parts = rows.where(x.isNotNull()).select(*keys, _mark(x).alias("__mark"), F.explode(F.concat(head, entry)).alias("__e"))
-    sums = parts.groupBy(*keys, F.col("__e.limb").alias("__limb")).agg(F.sum("__e.v").alias("__v"), F.bit_or("__mark").alias("__mark"))
-    own = F.collect_list(F.when(F.col("__limb") >= 0, F.struct(F.col("__limb").alias("limb"), F.col("__v").alias("v"))))
-    met = sums.groupBy(*keys).agg(own.alias("__own"), F.bit_or("__mark").alias("__mark"), F.max(F.when(F.col("__limb") < 0, F.col("__v"))).alias("__n"))
-    return met.select(*keys, _finished(F.col("__own"), F.col("__mark"), F.col("__n")).alias(into))
+    """``keys`` and the exact sum of ``value`` for each group of ``rows``. A value is one row,
+    by the lowest of its three limbs, and limbs are added in the tasks first; a group is at
+    most LIMBS rows after the shuffle.
+
+    The place is found from a logarithm that may be off by one beside a power of two, so
+    one bit more is kept below; by powers of two a size is scaled, and cut in whole
+    numbers of 32 bits, without rounding; its sign is put to each."""
+    x, limb = F.col("__x"), F.col("__limb")
+    given = rows.select(*keys, F.col(value).cast("double").alias("__x")).where(x.isNotNull()).withColumn("__mark", _mark(x))
+    finite = (F.col("__mark") == 0) & (x != 0)
+    lowest = F.greatest(F.floor((F.floor(F.log2(F.abs(x))) - MANTISSA - LOWEST) / LIMB), F.lit(0).cast("long"))
+    placed = given.withColumn("__limb", F.when(finite, lowest.cast("int")).otherwise(-1))
+    # half the power twice: the whole one may be beyond the largest double
+    half = _two(-(limb * LIMB + LOWEST) / 2)
+    whole = placed.withColumn("__half", half).withColumn("__y", F.when(limb >= 0, F.abs(x) * F.col("__half") * F.col("__half")).otherwise(0.0))
+    high = whole.withColumn("__c", F.floor(F.col("__y") / 2.0 ** (2 * LIMB)))
+    rest = high.withColumn("__y", F.col("__y") - F.col("__c") * 2.0 ** (2 * LIMB))
+    middle = rest.withColumn("__b", F.floor(F.col("__y") / 2.0**LIMB))
+    low = middle.withColumn("__a", (F.col("__y") - F.col("__b") * 2.0**LIMB).cast("long"))
+    signed = lambda c: F.sum(F.when(x < 0, -F.col(c)).otherwise(F.col(c))).alias(c)
+    sums = low.groupBy(*keys, "__limb").agg(*[signed(c) for c in ("__a", "__b", "__c")], F.count(F.lit(1)).alias("__n"), F.bit_or("__mark").alias("__mark"))
+    one = lambda i, c: F.struct((limb + i).alias("limb"), F.col(c).alias("v"))
+    parts = F.collect_list(F.when(limb >= 0, F.array(one(0, "__a"), one(1, "__b"), one(2, "__c"))))
+    met = sums.groupBy(*keys).agg(F.flatten(parts).alias("__own"), F.bit_or("__mark").alias("__mark"), F.sum("__n").alias("__n"))
+    own = lambda p, i: F.aggregate(F.filter(p, lambda e: e.limb == i), F.lit(0).cast("long"), lambda a, e: a + e.v)
+    merged = let(F.col("__own"), lambda p: F.transform(F.array_distinct(F.transform(p, lambda e: e.limb)), lambda i: F.struct(i.alias("limb"), own(p, i).alias("v"))))
+    return met.select(*keys, _finished(merged, F.col("__mark"), F.col("__n")).alias(into))
 
 
 def exact_array_sum(values: Column) -> Column:

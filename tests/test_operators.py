@@ -217,3 +217,8 @@ def test_a_step_in_blocks_is_a_step(spark, monkeypatch):
         sums = {(e.cluster, e.f): e.v for e in step.entries}
         assert [sums.get((j, kmeans.COUNT), 0) for j in range(4)] == np.bincount(want, minlength=4).tolist()
         assert step.cost / kmeans.UNIT == pytest.approx(((x - centres[want]) ** 2).sum(), rel=1e-6) and not step.over
+
+
+def test_a_value_is_one_row_of_an_exact_sum(spark):
+    sums = exact.exact_sums(spark.createDataFrame([(1, 0.5)], "g int, x double"), ["g"], "x")
+    assert "Generate" not in sums._jdf.queryExecution().executedPlan().toString()
