@@ -91,11 +91,16 @@ def median(rows: DataFrame, column: str) -> float | None:
 
 #: Groups of so many times the wanted rows are cut before they meet.
 LARGE = 4
-#: Cuts that are broadcast; more are joined by group.
+#: Rows that are broadcast; more are joined by key.
 MOST_CUTS = 200_000
 _DIGITS = 4  # of a hexadecimal hash: 65,536 ranges
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Stored ``rows``, marked for broadcast unless there are many."""
+    return F.broadcast(rows) if rows.limit(MOST_CUTS + 1).count() <= MOST_CUTS else rows
+
+
 def lowest(rows: DataFrame, by: list[str], digest: Column, ties: list[Column], size: int) -> DataFrame:
     """The ``size`` rows of each group with the lowest ``digest`` (a hash as hexadecimal
     text), then by ``ties``.
@@ -109,10 +114,9 @@ def lowest(rows: DataFrame, by: list[str], digest: Column, ties: list[Column], s
     upto = F.sum("__n").over(own.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     reached = counts.withColumns({"__upto": upto, "__all": F.sum("__n").over(own)}).where((F.col("__all") > LARGE * size) & (F.col("__upto") >= size))
     cuts = store(reached.groupBy(*[F.col(c).alias(f"__cut_{c}") for c in by]).agg(F.min("__range").alias("__last")), "cuts")
-    sent = F.broadcast(cuts) if cuts.limit(MOST_CUTS + 1).count() <= MOST_CUTS else cuts
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__cut_{c}"))
-    left = hashed.join(sent, same, "left").where(F.col("__last").isNull() | (F.substring("__digest", 1, _DIGITS) <= F.col("__last")))
+    left = hashed.join(few(cuts), same, "left").where(F.col("__last").isNull() | (F.substring("__digest", 1, _DIGITS) <= F.col("__last")))
     place = F.row_number().over(own.orderBy("__digest", *ties))
     return left.withColumn("__place", place).where(F.col("__place") <= size).select(*rows.columns)

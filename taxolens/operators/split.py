@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from taxolens.functions.stats import coherence, dot, unit, vector_sums
 from taxolens.operators import kmeans
 from taxolens.operators.components import store
-from taxolens.operators.ordering import places
+from taxolens.operators.ordering import few, places
 from taxolens.session import ship
 
 # Limits of the vocabulary, of terms, representatives and starts; the names
@@ -42,50 +42,81 @@ STOP_WORDS = (
 ).split()
 
 
-def grams(docs: DataFrame, text: str, stop: list[str], *keep: str) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``g``: words of two and more word characters without
-    stop words, then pairs of such words.
-
-    Stop words are passed over by the expression itself: a match begins where a run of
-    word characters does, and not where that run is a stop word. Pairs are matched ahead
-    of each word. Words are a projection of their own, so that they are made once."""
-    run = r"[\p{L}\p{N}_]"
-    shut = f"(?!(?:{'|'.join(stop)})(?!{run}))" if stop else ""
-    words = docs.select(*keep, F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{run}){shut}({run}{{2,}})"), F.lit(1)).alias("w"))
-    pairs = F.regexp_extract_all(F.array_join("w", " "), F.lit(r"(?<![^ ])(?=([^ ]+ [^ ]+))"), F.lit(1))
-    return words.select(*keep, F.concat("w", pairs).alias("g"))
-
-
-def term_counts(docs: DataFrame, text: str, stop: list[str]) -> DataFrame:
-    """(sink, work_id, term, tf)."""
-    return grams(docs, text, stop, "sink", "work_id").select("sink", "work_id", F.explode("g").alias("term")).groupBy("sink", "work_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def term_totals(docs: DataFrame, text: str, stop: list[str]) -> DataFrame:
-    """(sink, term, df, cf): documents that have a term, and its occurrences. A document's
-    terms lie in one row, so both are summed by term at once, before any shuffle."""
-    each = grams(docs, text, stop, "sink").select("sink", F.explode(F.array(F.struct(F.col("g").alias("terms"), F.lit(0).alias("d")), F.struct(F.array_distinct("g").alias("terms"), F.lit(1).alias("d")))).alias("x"))
-    terms = each.select("sink", "x.d", F.explode("x.terms").alias("term"))
-    return terms.groupBy("sink", "term").agg(F.sum(F.col("d").cast("long")).alias("df"), F.sum((1 - F.col("d")).cast("long")).alias("cf"))
-
-
-def vocabulary(totals: DataFrame, docs: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, most: int = MAX_FEATURES) -> DataFrame:
-    """(sink, term, df, cf, idf): of ``totals`` (``term_totals``), terms in at least
-    ``min_df`` documents and at most a share ``max_df`` of them, the ``most`` frequent of a
-    sink (ties by term); smoothed idf."""
-    n = docs.groupBy("sink").agg(F.count(F.lit(1)).alias("n"))
-    terms = totals.join(n, "sink").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+def words_of(docs: DataFrame, text: str, stop: list[str], *keep: str) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with ``w``: words of two and more word characters, without
+    stop words. A run of word characters is matched whole and looked up afterwards."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return docs.select(*keep, (F.filter(runs, lambda w: ~w.isin(stop)) if stop else runs).alias("w"))
+
+
+def pairs(make) -> Column:
+    """``make(a, b)`` of each two neighbours in ``w``."""
+    return F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, i: make(a, F.get("w", i + 1)))
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.concat(a, F.lit(" "), b)
+
+
+def _each(words: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """A row per term; the outer form keeps the optimizer from making ``terms`` twice, for
+    a filter on their number."""
+    return words.select(*keep, F.explode_outer(terms).alias("term")).where("term is not null")
+
+
+def vocabulary(words: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, most: int = MAX_FEATURES) -> DataFrame:
+    """(sink, term, df, cf, idf): of stored ``words`` (sink, w; ``words_of``), words and pairs of
+    them in at least ``min_df`` documents and at most a share ``max_df`` of them, the ``most``
+    frequent of a sink (ties by term); smoothed idf.
+
+    Words are counted first. Where they alone fill a sink's vocabulary, a pair must be as
+    frequent as the last of them, and so must both its words: only such pairs are counted,
+    and documents only of pairs that are frequent enough. Likewise only terms from the cf of
+    the last one on are put in order."""
+    n = store(words.groupBy("sink").agg(F.count(F.lit(1)).alias("n")), "sinks")
+    lists = F.array(F.struct(F.col("w").alias("terms"), F.lit(0).alias("d")), F.struct(F.array_distinct("w").alias("terms"), F.lit(1).alias("d")))
+    each = words.select("sink", F.explode(lists).alias("x")).select("sink", "x.d", F.explode_outer("x.terms").alias("term")).where("term is not null")
+    single = store(each.groupBy("sink", "term").agg(F.sum(F.col("d").cast("long")).alias("df"), F.sum((1 - F.col("d")).cast("long")).alias("cf")).where(F.col("cf") >= min_df), "single")
+
+    def known(totals: DataFrame) -> DataFrame:
+        fit = (F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))
+        return totals.join(few(n), "sink").where(fit)
+
+    def last(terms: DataFrame) -> DataFrame:
+        """(sink, least, above): the cf of the ``most``-th term, or the lowest; terms above it and with it."""
+        own = Window.partitionBy("sink").orderBy(F.col("cf").desc())
+        counts = terms.groupBy("sink", "cf").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        return counts.where(F.col("upto") - F.col("m") < most).groupBy("sink").agg(F.min("cf").alias("least"), F.max("upto").alias("upto"))
+
+    full = last(known(single)).where(F.col("upto") >= most).select("sink", "least")
+    bounds = few(store(n.select("sink").join(full, "sink", "left").select("sink", F.greatest(F.coalesce("least", F.lit(0)), F.lit(min_df)).alias("least")), "bounds"))
+    frequent = few(store(single.join(bounds, "sink").where(F.col("cf") >= F.col("least")).select("sink", "term"), "frequent"))
+    two = words.select("sink", F.explode_outer(pairs(lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("x")).select("sink", "x.a", "x.b").where("a is not null")
+    for c in ("a", "b"):
+        two = two.join(frequent.withColumnRenamed("term", c), ["sink", c])
+    often = two.groupBy("sink", "a", "b").agg(F.count(F.lit(1)).alias("cf")).join(bounds, "sink").where(F.col("cf") >= F.col("least"))
+    often = store(often.select("sink", _pair(F.col("a"), F.col("b")).alias("term"), "cf"), "often")
+    found = _each(words, F.array_distinct(pairs(_pair)), "sink").join(few(often), ["sink", "term"])
+    double = found.groupBy("sink", "term").agg(F.count(F.lit(1)).alias("df"), F.first("cf").alias("cf"))
+    terms = store(known(single.unionByName(double)), "terms")
+    cuts = store(last(terms).select("sink", "least"), "cuts")
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    ordered = places(terms, [F.col("cf").desc(), F.col("term")], ["sink"])
+    ordered = places(terms.join(few(cuts), "sink").where(F.col("cf") >= F.col("least")), [F.col("cf").desc(), F.col("term")], ["sink"])
     return ordered.where(F.col("place") <= most).select("sink", "term", "df", "cf", idf.alias("idf"))
 
 
 def tfidf(docs: DataFrame, text: str, stop: list[str], **limits) -> DataFrame:
-    """(sink, work_id, term, weight): sublinear tf times idf, rows of length 1."""
-    known = vocabulary(term_totals(docs, text, stop), docs, **limits)
-    raw = term_counts(docs, text, stop).join(known, ["sink", "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    size = raw.groupBy("sink", "work_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return raw.join(size, ["sink", "work_id"]).select("sink", "work_id", "term", (F.col("w") / F.col("size")).alias("weight"))
+    """(sink, work_id, term, weight): sublinear tf times idf, rows of length 1.
+
+    Words are dealt by work once; terms of the vocabulary are looked up where they are
+    found, so a work's terms are counted and its length is taken without another shuffle."""
+    words = store(words_of(docs, text, stop, "sink", "work_id"), "texts")
+    known = store(vocabulary(words.select("sink", "w"), **limits).select("sink", "term", "idf"), "known")
+    found = _each(words.repartition("work_id", "sink"), F.concat("w", pairs(_pair)), "sink", "work_id").join(few(known), ["sink", "term"])
+    raw = found.groupBy("work_id", "sink", "term", "idf").agg(F.count(F.lit(1)).alias("tf")).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    # work before sink: a sort compares the first bytes of its first column at once
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("work_id", "sink")))
+    return raw.select("sink", "work_id", "term", (F.col("w") / size).alias("weight"))
 
 
 def cluster_coherence(rows: DataFrame) -> DataFrame:
@@ -129,7 +160,7 @@ def top_terms(weights: DataFrame, clusters: DataFrame, most: int = TOP_TERMS, co
     """(sink, cluster, term, mean, place): terms of highest mean weight in a cluster.
     ``weights``: sink, work_id, term, weight; ``clusters``: sink, work_id, cluster."""
     n = clusters.groupBy("sink", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    mean = weights.join(clusters, ["sink", "work_id"]).groupBy("sink", "cluster", "term").agg(F.sum("weight").alias("total")).join(n, ["sink", "cluster"]).select("sink", "cluster", "term", (F.col("total") / F.col("n")).alias("mean"))
+    mean = weights.join(clusters, ["work_id", "sink"]).groupBy("sink", "cluster", "term").agg(F.sum("weight").alias("total")).join(n, ["sink", "cluster"]).select("sink", "cluster", "term", (F.col("total") / F.col("n")).alias("mean"))
     order = Window.partitionBy("sink", "cluster").orderBy(F.round("mean", compare).desc(), "term")
     return mean.where("mean > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 

@@ -369,8 +369,8 @@ def cache_misses(x: Fixture) -> DataFrame:
 
 @query
 def tfidf_terms(x: Fixture) -> DataFrame:
-    totals = split.term_totals(x.text_sinks, "text", split.STOP_WORDS)
-    return split.vocabulary(totals, x.text_sinks).select("sink", "term", "df", "cf", r("idf"))
+    words = store(split.words_of(x.text_sinks, "text", split.STOP_WORDS, "sink"), "texts")
+    return split.vocabulary(words).select("sink", "term", "df", "cf", r("idf"))
 
 
 @query

@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -249,3 +250,30 @@ def test_review_gaps(spark):
     top = spark.createDataFrame([("T1",), ("T2",)], "topic_id string")
     notes = spark.createDataFrame([("T1", "unresolved", "why", "x"), ("T3", "odd", "", "y")], "topic_id string, judgment string, reason string, input_sha256 string")
     assert {tuple(r) for r in validate.review_gaps(top, notes, "x").collect()} == {("T2", "not reviewed"), ("T3", "not in the top"), ("T3", "unknown judgment")}
+
+
+def test_only_pairs_that_can_be_frequent_are_counted(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{i:02d}" for i in range(60)]
+    texts = [(f"W{i}", s, " ".join(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randint(0, 40)))) for i in range(80) for s in ("a", "b")] + [("W1", "a", "w00 w01 w00 w01"), ("W900", "c", "w01 w02"), ("W901", "c", None)]
+    docs = spark.createDataFrame(texts, "work_id string, sink string, text string")
+    sizes, store = {}, split.store
+    monkeypatch.setattr(split, "store", lambda df, label: (lambda kept: (sizes.__setitem__(label, kept.count()), kept)[1])(store(df, label)))
+    have = {(r.sink, r.term): (r.df, r.cf) for r in split.vocabulary(split.store(split.words_of(docs, "text", [], "sink"), "texts"), most=20).collect()}
+    terms, every = {}, set()
+    for _, sink, text in texts:
+        w = (text or "").split()
+        grams = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+        every |= {(sink, g) for g in grams if " " in g}
+        for g in set(grams):
+            df, cf = terms.get((sink, g), (0, 0))
+            terms[sink, g] = df + 1, cf + grams.count(g)
+    n = {s: sum(t[1] == s for t in texts) for s in "abc"}
+    fit = {k: v for k, v in terms.items() if 2 <= v[0] <= 0.95 * n[k[0]]}
+    want = {k: fit[k] for s in "abc" for k in sorted((k for k in fit if k[0] == s), key=lambda k: (-fit[k][1], k[1]))[:20]}
+    assert have == want
+    assert sizes["often"] < len(every) / 10
+    weights = split.tfidf(docs, "text", [], most=20)
+    assert weights._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    squares = weights.groupBy("sink", "work_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
+    assert squares and all(abs(r.s - 1) < 1e-9 for r in squares)
