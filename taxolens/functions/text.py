@@ -19,6 +19,8 @@ from taxolens.session import ship
 SPACE = r"(?U)[\s\x1c-\x1f]"
 #: Word characters by category (letters, numbers, underscore).
 WORDS = r"([\p{L}\p{N}_]+)"
+#: What parts words: all but letters, numbers (by category) and underscores.
+GAPS = r"[^\p{L}\p{N}_]+"
 # Lengths in code points.
 TITLE_LENGTH, SOURCE_LENGTH, TYPE_LENGTH, KEYWORD_LENGTH, KEYWORDS = 2000, 300, 100, 100, 20
 
@@ -70,15 +72,17 @@ def fold_case(c: Column | str) -> Column:
 
     Upper case writes out what folding does (sharp s, ligatures); lower case alone does
     not. The dotless i stays what it is, and a final sigma is a sigma."""
-    # a change of letters in between keeps the optimizer from dropping a step as idle
-    first = F.translate(F.lower(c), "\u0131", "\ue000")
-    second = F.translate(F.upper(first), "\ue000", "\ue001")
-    return F.translate(F.lower(second), "\ue001\u03c2", "\u0131\u03c3")
+    # a change of letters in between keeps the optimizer from dropping a step as idle;
+    # replace() looks for bytes, translate() makes an object of every letter
+    swap = lambda x, old, new: F.replace(x, F.lit(old), F.lit(new))
+    first = swap(F.lower(c), "\u0131", "\ue000")
+    second = swap(F.upper(first), "\ue000", "\ue001")
+    return swap(swap(F.lower(second), "\ue001", "\u0131"), "\u03c2", "\u03c3")
 
 
 def title_key(c: Column | str) -> Column:
     """The words of a title, case-folded, joined by single spaces."""
-    return F.array_join(F.regexp_extract_all(fold_case(c), F.lit(WORDS), F.lit(1)), " ")
+    return F.trim(F.regexp_replace(fold_case(c), GAPS, " "))
 
 
 def _keywords(c: Column, separator: str) -> Column:

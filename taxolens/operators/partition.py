@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxolens.functions.text import fold_case, hash_bucket, short_id, title_key
-from taxolens.operators.components import connected_components
+from taxolens.operators.components import connected_components, store
 from taxolens.operators.ordering import lowest, median
 
 # Upper ends of the buckets.
@@ -29,8 +29,8 @@ def families(records: DataFrame) -> DataFrame:
     """(id, family): the least id of all records linked through shared keys.
 
     Each key links its records to its least id: a star, not all pairs. Keys, which may be
-    whole texts, meet as 128-bit hashes."""
-    keys = family_keys(records).select("id", "kind", F.md5("key").alias("key"))
+    whole texts, meet as 128-bit hashes, which are made once."""
+    keys = store(family_keys(records).select("id", "kind", F.md5("key").alias("key")), "keys")
     least = keys.groupBy("kind", "key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = keys.join(least, ["kind", "key"]).select(F.col("id").alias("u"), F.col("least").alias("v"))
     parts = connected_components(edges).withColumnRenamed("id", "__id")

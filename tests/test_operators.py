@@ -222,3 +222,16 @@ def test_a_step_in_blocks_is_a_step(spark, monkeypatch):
 def test_a_value_is_one_row_of_an_exact_sum(spark):
     sums = exact.exact_sums(spark.createDataFrame([(1, 0.5)], "g int, x double"), ["g"], "x")
     assert "Generate" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
+def test_titles_of_families_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def title(i):
+        read.add(1)
+        return f"Title {i // 2}"
+
+    records = spark.range(40).select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("doi"), F.udf(title, "string")("id").alias("title"))
+    got = {r.id: r.family for r in partition.families(records).collect()}
+    assert got == {str(i): min(str(i), str(i ^ 1)) for i in range(40)}
+    assert read.value == 40
