@@ -90,12 +90,9 @@ class Lookup:
         slot = self._home(self.keys)
         while left.size:
             self.most += 1
-            open_ = np.flatnonzero(self.slots[slot] < 0)
-            _, first = np.unique(slot[open_], return_index=True)  # one key a slot
-            took = open_[first]
-            self.slots[slot[took]] = left[took]
-            stay = np.ones(left.size, bool)
-            stay[took] = False
+            open_ = np.flatnonzero(self.slots[slot] < 0)[::-1]
+            self.slots[slot[open_]] = left[open_]  # one key a slot: the last written, so the first
+            stay = np.flatnonzero(self.slots[slot] != left)
             left, slot = left[stay], (slot[stay] + 1) & (self.slots.size - 1)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:

@@ -25,7 +25,6 @@ other columns stay out; no rows, no files.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolens.llm.common import fresh_path, keep, open_shared, publish, release, small_batches, utf8
-from taxolens.llm.hashing import TOGETHER, Lookup, word_hashes
+from taxolens.llm.hashing import SPACE, TOGETHER, Lookup, word_hashes
 
 MAGIC = b"WMX2"
 #: A shard is closed when it has so many ids.
@@ -53,8 +52,8 @@ CHUNK_BITS = 1 << 15
 CACHE_WORDS = 800_000
 #: New words that are merged into the large table, at least.
 MERGED = 1 << 16
-#: Letters, then punctuation that the tokenizer parts from them.
-LETTERS_END = re.compile(rb"([A-Za-z\x80-\xff]+)([.,!?;:]+)")
+#: ASCII punctuation, and the first bytes of two-byte Latin letters (U+00C0 to U+017F).
+PUNCTUATION = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -66,6 +65,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+LATIN = np.isin(np.arange(256), [0xC3, 0xC4, 0xC5])
+#: Bytes that words for the model alone may have: those two, ASCII letters, second bytes, newlines.
+SIMPLE = PUNCTUATION | LATIN | np.isin(np.arange(256), [10, *b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", *b"abcdefghijklmnopqrstuvwxyz", *range(0x80, 0xC0)])
+#: Code points of those letters by byte; white space stays.
+PIECE_LETTERS = np.array([b if b in (10, 32) else ord(BYTE_LETTERS[b]) for b in range(256)], "<u4")
 
 
 #: The rules under which a text's ids are those of its words.
@@ -107,47 +111,59 @@ class WordEncoder:
     lower-case words, and a word's those of its letters and of what follows. Texts with
     marks of special tokens are taken as written.
 
+    New words of Latin letters and ASCII punctuation behind them are parted here and given
+    to the tokenizer's model together, in one call; other new words go through the whole
+    tokenizer, each by itself.
+
     What is known of words lies in flat arrays by the hash of the word: a large table, and
     a small one of new words that is merged into it when it has grown. When both have
     ``CACHE_WORDS`` words, the large one is dropped."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.pieces = Tokenizer(self.tokenizer.model)  # of byte-level letters, parted by white space
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.old, self.young = _Known.none(), _Known.none()
-        self.parts: dict[bytes, list[int]] = {}
-
-    @staticmethod
-    def letters(word: bytes) -> str | None:
-        """A word of Latin letters as the model takes it, or None. Such a word is one
-        run for the tokenizer: its normaliser only folds case."""
-        if word.isalpha():
-            return word.lower().decode()
-        try:
-            s = word.decode()
-        except UnicodeDecodeError:
-            return None
-        if not s.isalpha() or max(s) >= "\u0180" or "\u0130" in s:
-            return None
-        return s.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
-
-    def ids(self, word: bytes) -> list[int]:
-        """The ids of one word."""
-        if (run := self.letters(word)) is not None:
-            return [t.id for t in self.model.tokenize(run)]
-        if (m := LETTERS_END.fullmatch(word)) and self.letters(m[1]):
-            return self.part(m[1]) + self.part(m[2])
-        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-
-    def part(self, part: bytes) -> list[int]:
-        """The ids of letters or of the punctuation behind them, which many words share."""
-        if (found := self.parts.get(part)) is None:
-            if len(self.parts) >= MERGED:
-                self.parts.clear()
-            found = self.parts[part] = self.ids(part)
-        return found
+
+    def ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and where each word's begin (one entry
+        more than words). ``data`` are the words' bytes, a newline behind each."""
+        plain = np.logical_not(np.logical_or.reduceat(_odd(data), starts))
+        if plain.all():
+            return self._plain(data)
+        sizes = np.diff(np.append(starts, data.size))
+        flat, begin = self._plain(data[np.repeat(plain, sizes)])
+        words = [data[i : i + n - 1].tobytes() for i, n in zip(starts[~plain].tolist(), sizes[~plain].tolist())]
+        others = [self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words]
+        numbers = np.zeros(starts.size, np.int64)
+        numbers[plain], numbers[~plain] = np.diff(begin), [len(i) for i in others]
+        ids, own = np.empty(numbers.sum(), "<u4"), np.repeat(plain, numbers)
+        ids[own], ids[~own] = flat, np.array([t for i in others for t in i], "<u4")
+        return ids, np.concatenate([[0], np.cumsum(numbers)])
+
+    def _plain(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` of words without odd bytes."""
+        a = np.frombuffer(data.tobytes().decode().lower().encode(), np.uint8)
+        tops = np.flatnonzero(a == 10)
+        if not tops.size:
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        punct = PUNCTUATION[a]
+        parted = np.flatnonzero(punct[1:] & ~punct[:-1] & (a[:-1] != 10)) + 1
+        letters = PIECE_LETTERS[np.insert(a, parted, 32)].tobytes().decode("utf-32-le")
+        (found,) = self.pieces.encode_batch_fast([letters], add_special_tokens=False)
+        ids, pieces = np.array(found.ids, "<u4"), tops.size + parted.size
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if ends.size != pieces:  # marks of ends are missing or not only there
+            found = self.pieces.encode(letters, add_special_tokens=False)
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(pieces), "right")
+        last = np.arange(tops.size) + np.searchsorted(parted, tops)  # each word's last piece
+        return ids, np.concatenate([[0], ends[last]])
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -160,7 +176,7 @@ class WordEncoder:
             at = to
 
     def _together(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        data = b"\n".join(texts)
+        data = b"\n".join([*texts, b""])
         hashes, starts = word_hashes(data)
         hashes = hashes.view(np.int64)
         young = self.young.keys.find(hashes)
@@ -168,9 +184,15 @@ class WordEncoder:
         old[young < 0] = self.old.keys.find(hashes[young < 0])
         new = np.flatnonzero((young < 0) & (old < 0))
         if new.size:
-            words = data.split()
             fresh, first = np.unique(hashes[new], return_index=True)
-            self.young = self.young.with_(fresh, [self.ids(words[i]) for i in new[first].tolist()])
+            a, begin = np.frombuffer(data, np.uint8), starts[new[first]]
+            spaces = np.flatnonzero(SPACE[a])
+            size = spaces[np.searchsorted(spaces, begin)] - begin + 1  # with the space behind
+            at = np.cumsum(size)
+            words = a[np.repeat(begin - (at - size), size) + np.arange(at[-1])]
+            words[at - 1] = 10
+            ids, begin = self.ids(words, at - size)
+            self.young = self.young.and_(_Known(Lookup(fresh[:0]), begin, ids), fresh)
             young = self.young.keys.find(hashes)
         flat = np.concatenate([self.young.ids, self.old.ids])
         begin = np.where(young >= 0, self.young.begin[young], self.old.begin[old] + self.young.ids.size)
@@ -203,14 +225,23 @@ class _Known:
         """Numbers of ids; of -1, something."""
         return self.begin[np.minimum(at + 1, self.begin.size - 1)] - self.begin[at]
 
-    def with_(self, keys: np.ndarray, ids: list[list[int]]) -> _Known:
-        begin = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-        return self.and_(_Known(Lookup(keys[:0]), begin, np.array([t for i in ids for t in i], "<u4")), keys)
-
     def and_(self, other: _Known, keys: np.ndarray | None = None) -> _Known:
         return _Known(Lookup(np.concatenate([self.keys.keys, other.keys.keys if keys is None else keys])), np.concatenate([self.begin, other.begin[1:] + self.ids.size]), np.concatenate([self.ids, other.ids]))
 
 
+def _odd(data: np.ndarray) -> np.ndarray:
+    """Marks the bytes by which a word isn't Latin letters with ASCII punctuation behind: the
+    tokenizer's normaliser only folds the case of such words, and its rules part them there.
+    Words begin at the start and behind newlines."""
+    odd, second, latin, punct = ~SIMPLE[data], (data & 0xC0) == 0x80, LATIN[data], PUNCTUATION[data]
+    pair = data[:-1].astype(np.uint16) << 8 | data[1:]
+    odd[1:] |= second[1:] != latin[:-1]  # not a letter of two bytes
+    odd[1:] |= (pair == 0xC397) | (pair == 0xC3B7) | (pair == 0xC4B0)  # signs, and the dotted I
+    odd[1:] |= punct[:-1] & ~punct[1:] & (data[1:] != 10)  # letters behind punctuation
+    odd[:1] |= second[:1]
+    return odd
+
+
 @lru_cache(maxsize=2)
 def encoder_of(path: str) -> WordEncoder | TextEncoder:
     """A worker's own encoder: what it has learnt serves the worker's next tasks."""
@@ -222,11 +253,11 @@ def build_planes(ids: np.ndarray, bits: int):
     chunk and in all)."""
     cur = ids
     for level in range(bits - 1, -1, -1):
-        one = (cur >> cur.dtype.type(level)) & cur.dtype.type(1) == 1
+        one = (cur & cur.dtype.type(1 << level)).astype(bool)
         packed = np.packbits(one)
         sums = np.add.reduceat(np.bitwise_count(packed), np.arange(0, packed.size, CHUNK_BITS // 8), dtype=np.int64) if one.size else np.zeros(0, np.int64)
         yield packed.tobytes(), np.concatenate([[0], np.cumsum(sums)]).astype("<u4")
-        cur = np.concatenate([cur[~one], cur[one]])
+        cur = np.concatenate([cur.take(np.flatnonzero(~one)), cur.take(np.flatnonzero(one))])  # by places: masks cost five times as much
 
 
 def encode_shard(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
@@ -246,6 +277,11 @@ def encode_shard(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *frames, *chunks])
 
 
+@lru_cache(maxsize=1)
+def _opener() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 @dataclass
 class Shard:
     """A shard read from its bytes; chunks are opened when they are asked for."""
@@ -268,21 +304,21 @@ class Shard:
             frames.append(data[at : at + size])
             at += size
         count = -(-head["tokens"] // CHUNK_BITS)
-        directory = np.frombuffer(zstandard.ZstdDecompressor().decompress(frames.pop()), "<u4").reshape(head["bits"], 2 * count + 1).astype(np.int64)
+        directory = np.frombuffer(_opener().decompress(frames.pop()), "<u4").reshape(head["bits"], 2 * count + 1).astype(np.int64)
         places = np.concatenate([[0], np.cumsum(directory[:, count + 1 :].ravel())])
         return cls(head["docs"], head["tokens"], head["bits"], frames, directory[:, : count + 1], places, data[at:])
 
     def _open(self, i: int) -> bytes:
-        return zstandard.ZstdDecompressor().decompress(self.frames[i])
+        return _opener().decompress(self.frames[i])
 
     def _chunk(self, level: int, k: int) -> np.ndarray:
         """The packed bits of a chunk of a plane."""
         i = level * (self.ranks.shape[1] - 1) + k
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.body[self.places[i] : self.places[i + 1]]), np.uint8)
+        return np.frombuffer(_opener().decompress(self.body[self.places[i] : self.places[i + 1]]), np.uint8)
 
     def _plane(self, level: int) -> np.ndarray:
         packed = [self._chunk(level, k) for k in range(self.ranks.shape[1] - 1)]
-        return np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.tokens).astype(bool)
+        return np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.tokens).view(bool)
 
     def _rank(self, level: int, place: int) -> tuple[int, int]:
         """Ones before a place of a plane, and the bit there (0 behind the end)."""
@@ -322,7 +358,7 @@ class Shard:
             one = self._plane(level)
             zeros = self.tokens - int(one.sum())
             above = np.empty_like(cur)
-            above[~one], above[one] = cur[:zeros], cur[zeros:]
+            above[np.flatnonzero(~one)], above[np.flatnonzero(one)] = cur[:zeros], cur[zeros:]
             above |= one.astype(cur.dtype) << cur.dtype.type(self.bits - 1 - level)
             cur = above
         return cur.astype(np.uint32)

@@ -590,6 +590,19 @@ def test_words_alone_have_the_ids_of_the_text(monkeypatch):
     assert [g.tobytes() for _ in range(3) for g in e.encode([o.encode() for o in odd])] == want * 3
 
 
+def test_new_words_are_encoded_together():
+    import public_tokenizers
+
+    e = wavelet.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "Rement$$$ thonnthe&&& naïve, ÉCOLE!! Łódź... #### dogs' ſtraße <| a"
+    want = e.tokenizer.encode(text, add_special_tokens=False).ids
+    e.tokenizer = None  # no word needs a call of its own
+    assert next(e.encode([text.encode()])).tolist() == want
+    e.last[:] = False  # nor a vocabulary that marks ends
+    e.old = e.young = wavelet._Known.none()
+    assert next(e.encode([text.encode()])).tolist() == want
+
+
 def test_other_tokenizers_take_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
