@@ -9,9 +9,9 @@ context decides with the symbols already excluded, down to a uniform order -1 ov
 
 Counting is distributed: tasks pre-aggregate distinct (context, byte) pairs; shorter
 contexts come from all pairs by sums. Only the costs of the most frequent pairs of full
-order travel to the executors (at most ``HEAD_PAIRS``, whatever the corpus); all other
-pairs of a text, seen or not, are joined by code with costs that come from all pairs of
-all orders.
+order travel to the workers (at most ``HEAD_PAIRS``, whatever the corpus), in files of the
+shared folder that tasks write, so the driver holds names only; all other pairs of a text,
+seen or not, are joined by code with costs that come from all pairs of all orders.
 
 Word counts for the base score are kept by a 64-bit hash of the word. The most frequent
 ``HEAD_WORDS`` travel with the scorer; rarer words (each in few documents, so no task is
@@ -30,15 +30,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import keep, quoted, release, small_batches, unused, utf8
+from taxolens.llm.common import fresh_path, keep, open_shared, publish, quoted, release, small_batches, unused, utf8
 from taxolens.llm.hashing import Lookup, hashed_words
 
 ORDER = 5
 #: Pairs of full order and words that travel with the scorer: 24 bytes each.
 HEAD_PAIRS, HEAD_WORDS = 1 << 20, 1 << 18
+#: They lie in so many files at most.
+HEAD_FILES = 16
 #: The end of a text; no word has it. It also fills the contexts before the first byte.
 END = 10
 #: Hash that stands for the end token.
@@ -147,8 +150,14 @@ class Head:
     cost: np.ndarray
 
     @classmethod
-    def of(cls, table: pa.Table, key: str, cost: str) -> Head:
-        return cls(Lookup(table.column(key).to_numpy()), table.column(cost).to_numpy())
+    def read(cls, paths: tuple[str, ...]) -> Head:
+        keys, costs = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for path in paths:
+            with open_shared(path, "rb") as f:
+                own = np.frombuffer(f.read(), np.int64).reshape(2, -1)
+            keys.append(own[0])
+            costs.append(own[1].view(np.float64))
+        return cls(Lookup(np.concatenate(keys)), np.concatenate(costs))
 
     def costs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Costs (0 outside the head); and which keys are in it."""
@@ -159,6 +168,35 @@ class Head:
         return value, known
 
 
+def write_head(rows: DataFrame, label: str) -> tuple[str, ...]:
+    """Write keys and costs (two columns) by tasks; the paths of the files."""
+    folder = fresh_path(rows.sparkSession, label)
+
+    def write(batches):
+        keys, costs = [], []
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy())
+            costs.append(batch.column(1).to_numpy().view(np.int64))
+        if keys:
+            path = f"{folder}/head-{TaskContext.get().partitionId():03d}"
+            publish(path, np.concatenate(keys + costs).tobytes())
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+        release()
+
+    return tuple(sorted(r.path for r in rows.coalesce(HEAD_FILES).mapInArrow(write, "path string").collect()))
+
+
+#: The heads that a worker has read last, by their paths.
+_READ: dict[tuple, tuple[Head, ...]] = {}
+
+
+def _heads(paths: tuple[tuple[str, ...], ...]) -> tuple[Head, ...]:
+    if paths not in _READ:
+        _READ.clear()
+        _READ[paths] = tuple(Head.read(p) for p in paths)
+    return _READ[paths]
+
+
 def _contexts(table: DataFrame, k: int) -> DataFrame:
     return table.groupBy(_context(k).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
 
@@ -186,7 +224,8 @@ def _unseen_costs(codes: DataFrame, tables: list[DataFrame], order: int) -> Data
         free = F.col("kinds") - F.coalesce("out", F.lit(0))
         mass = F.col("total") - F.coalesce("gone", F.lit(0)) + free
         more = F.when(F.col("done"), 0.0).when(F.col("n").isNotNull(), F.log10(F.col("n") / mass)).when(free > 0, F.log10(free / mass)).otherwise(0.0)
-        part = part.select("code", (F.col("cost") + more).alias("cost"), (F.col("done") | F.col("n").isNotNull()).alias("done"))
+        # kept: six orders in one plan weigh on the driver
+        part = keep(part.select("code", (F.col("cost") + more).alias("cost"), (F.col("done") | F.col("n").isNotNull()).alias("done")), "escapes")
     left = max(1, 256 - tables[0].count())
     return part.select("code", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") - float(np.log10(left))).alias("cost"))
 
@@ -221,15 +260,15 @@ PART = "n_tokens long, n_known long, head_score double, pair_score double, tail
 RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _scorer(shared, order: int):
-    """An Arrow UDF from texts to PART: what the heads (pairs, words) of the broadcast
-    ``shared`` say, and what is left to be joined."""
+def _scorer(paths: tuple[tuple[str, ...], ...], order: int):
+    """An Arrow UDF from texts to PART: what the heads (pairs, words) in the files ``paths``
+    say, and what is left to be joined."""
     names = [x.split()[0] for x in PART.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64()), pa.list_(pa.int32())] * 2]
 
     @F.arrow_udf(PART)
     def part(column: pa.Array) -> pa.Array:
-        head, head_words = shared.value
+        head, head_words = _heads(paths)
         texts, out, pieces, at = utf8(column), [], [], 0
         canon = [_canonical(t.lower().split()) for t in texts]
         while at < len(canon):
@@ -261,15 +300,14 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, most: int =
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     tables = gram_tables(training, order)
     seen = keep(_seen_costs(tables, order), "costs")
-    pairs_head = seen.where(F.col("n") >= _threshold(seen, most)).select("code", "cost").toArrow()
-    words_head = words.where(F.col("c") >= _threshold(words, head, "c")).select("word", F.log10(F.col("c") + F.lit(0.5)).alias("cost")).toArrow()
-    shared = spark.sparkContext.broadcast((Head.of(pairs_head, "code", "cost"), Head.of(words_head, "word", "cost")))
+    pairs_head = seen.where(F.col("n") >= _threshold(seen, most)).select("code", "cost")
+    words_head = words.where(F.col("c") >= _threshold(words, head, "c")).select("word", F.log10(F.col("c") + F.lit(0.5)).alias("cost"))
+    heads = write_head(pairs_head, "head-pairs"), write_head(words_head, "head-words")
     below = np.log10(total + 0.5 * (distinct + 1))
 
     rest = quoted([c for c in docs.columns if c != "text" and c.lower() not in RESULT])
     s, row = unused(docs.columns, "__s"), unused(docs.columns, "__row")
-    part = keep(docs.select(*rest, F.monotonically_increasing_id().alias(row), _scorer(shared, order)(F.col("text")).alias(s)), "scored")
-    shared.unpersist()
+    part = keep(docs.select(*rest, F.monotonically_increasing_id().alias(row), _scorer(heads, order)(F.col("text")).alias(s)), "scored")
     each = lambda a, b: part.select(F.col(row).alias("at"), F.explode(F.arrays_zip(F.col(f"{s}.{a}").alias("k"), F.col(f"{s}.{b}").alias("times"))).alias("t")).select("at", "t.k", "t.times")
     tail = (
         each("tail", "times").join(words, F.col("k") == F.col("word"), "left").groupBy("at")

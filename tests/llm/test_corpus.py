@@ -258,6 +258,15 @@ def test_scores(docs, none):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in empty)
 
 
+def test_heads_stay_off_the_driver(docs, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("the driver holds a head")
+
+    monkeypatch.setattr(type(docs), "toArrow", refused)
+    monkeypatch.setattr(docs.sparkSession.sparkContext, "broadcast", refused)
+    assert ppm.score(docs, docs.where(ppm.fold() != ppm.HELD_OUT)).count() == len(ROWS)
+
+
 def brute_ppm(texts, order):
     """log10 probabilities by the definition, from plain counts."""
     tries = [defaultdict(Counter) for _ in range(order + 1)]
