@@ -82,6 +82,20 @@ def release() -> None:
         _TRIM(0)
 
 
+#: What a worker holds between tasks, by key, and the operator whose tasks it was for.
+_HELD: dict = {}
+_OWNER = [""]
+
+
+def only(owner: str) -> dict:
+    """What this worker holds for an operator; what it held for another one goes."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        _HELD.clear()
+        release()
+    return _HELD
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply), on a fresh array."""
     x = x ^ (x >> np.uint64(31))

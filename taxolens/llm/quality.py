@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from taxolens.llm.common import keep, mix64, quoted, release, small_batches, unused, utf8
+from taxolens.llm.common import fresh_path, mix64, only, quoted, release, small_batches, unused, utf8
 from taxolens.llm.hashing import SPACE, hashed_words
 
 #: Buckets for words and for character n-grams, each.
@@ -145,6 +146,7 @@ def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def _extract(batches):
+    only("quality")
     for batch in batches:
         texts = utf8(batch.column("text"))
         found = [_features(t, h) for t, h in zip(texts, hashed_words(texts))]
@@ -155,6 +157,18 @@ def _extract(batches):
     release()
 
 
+def _as_vectors(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, features), kept: features are written as the struct that vectors are
+    in Parquet and read as vectors, so no worker loads Spark ML to make them."""
+    from pyspark.ml.linalg import VectorUDT
+
+    struct = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(2 << BITS).alias("size"), F.col("at").alias("indices"), F.col("value").alias("values"))
+    path = fresh_path(rows.sparkSession, "features")
+    rows.select("doc_id", "label", struct.alias("features")).write.parquet(path)
+    schema = StructType([StructField("doc_id", LongType()), StructField("label", IntegerType()), StructField("features", VectorUDT())])
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
 def _weighed(rows: DataFrame, share: dict[int, float]) -> DataFrame:
     """``rows`` with a weight ``w``, so that each class has its share of all weight."""
     count = dict(rows.groupBy("label").count().collect())
@@ -167,25 +181,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     classes. Features stay on the executors; the driver gets weights and sums."""
     from pyspark.ml.classification import LogisticRegression  # here, so that workers do without
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.linalg import Vectors, VectorUDT
 
     small_batches(docs.sparkSession)
     sample = class_sample(labels, label, per_class)
-    rows = keep(sampled_texts(docs, sample).mapInArrow(_extract, "doc_id long, label int, at array<int>, value array<double>"), "features")
+    rows = _as_vectors(sampled_texts(docs, sample).mapInArrow(_extract, "doc_id long, label int, at array<int>, value array<double>"))
     left = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(5)) == 0  # for calibration
     classes = {(r.left, r.label) for r in rows.select(left.alias("left"), "label").distinct().collect()}
     if len({y for _, y in classes}) < 2:
         return None
     for_fit = ~left if {(False, 0), (False, 1)} <= classes else F.lit(True)
     for_scale = left if {(True, 0), (True, 1)} <= classes else F.lit(True)
-    vector = F.udf(lambda at, value: Vectors.sparse(2 << BITS, at, value), VectorUDT())
-    sparse = rows.select("doc_id", "label", vector("at", "value").alias("features"))
-    fit = _weighed(sparse.where(for_fit), {0: 0.5, 1: 0.5})
+    fit = _weighed(rows.where(for_fit), {0: 0.5, 1: 0.5})
     found = LogisticRegression(weightCol="w", maxIter=rounds, regParam=PENALTY, standardization=False).fit(fit)
     known = labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()
     all_ = sum(r["count"] for r in known)
     margin = vector_to_array("rawPrediction")[1]
-    held = found.transform(sparse.where(for_scale)).select("label", array_to_vector(F.array(margin)).alias("features"))
+    held = found.transform(rows.where(for_scale)).select("label", array_to_vector(F.array(margin)).alias("features"))
     platt = LogisticRegression(weightCol="w", maxIter=50, regParam=1e-3, standardization=False).fit(_weighed(held, {int(r[label]): r["count"] / all_ for r in known}))
     weights = found.coefficients.toArray()
     return QualityModel(weights[: 1 << BITS].astype(np.float32), weights[1 << BITS :].astype(np.float32), float(found.intercept), max(0.05, float(platt.coefficients[0])), float(platt.intercept))
@@ -196,6 +207,7 @@ def judge(model: QualityModel | None, reject_below: float = REJECT_BELOW):
 
     @F.arrow_udf(RESULT)
     def quality(column: pa.Array) -> pa.Array:
+        only("quality")
         texts = utf8(column)
         scores = [model.probability(t, h) for t, h in zip(texts, hashed_words(texts))] if model else [1.0] * len(texts)
         out = []

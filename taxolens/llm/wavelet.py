@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import fresh_path, keep, open_shared, publish, release, small_batches, utf8
+from taxolens.llm.common import fresh_path, keep, only, open_shared, publish, release, small_batches, utf8
 from taxolens.llm.hashing import SPACE, TOGETHER, Lookup, word_hashes
 
 MAGIC = b"WMX2"
@@ -242,10 +242,12 @@ def _odd(data: np.ndarray) -> np.ndarray:
     return odd
 
 
-@lru_cache(maxsize=2)
 def encoder_of(path: str) -> WordEncoder | TextEncoder:
     """A worker's own encoder: what it has learnt serves the worker's next tasks."""
-    return WordEncoder(path) if by_words(path) else TextEncoder(path)
+    held = only("wavelet")
+    if path not in held:
+        held[path] = WordEncoder(path) if by_words(path) else TextEncoder(path)
+    return held[path]
 
 
 def build_planes(ids: np.ndarray, bits: int):

@@ -560,6 +560,25 @@ def test_differences_equal_their_definition():
 # ---- 8
 
 
+def test_a_worker_holds_what_one_operator_needs():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e = wavelet.encoder_of(path)
+    assert wavelet.encoder_of(path) is e
+    assert not list(quality._extract([]))
+    assert wavelet.encoder_of(path) is not e
+
+
+def test_features_are_vectors_without_python(spark):
+    rows = spark.createDataFrame([(1, 0, [3, 70], [0.5, 2.0]), (2, 1, [], [])], "doc_id long, label int, at array<int>, value array<double>")
+    got = quality._as_vectors(rows)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {r.doc_id: r.features for r in got.collect()}
+    assert found[1].size == 2 << quality.BITS and found[1].indices.tolist() == [3, 70] and found[1].values.tolist() == [0.5, 2.0]
+    assert found[2].size == 2 << quality.BITS and found[2].indices.size == 0
+
+
 def test_tasks_grow_with_the_text(spark, none):
     docs = spark.createDataFrame([(i, "é" * 50) for i in range(100)] + [(100, None)], "doc_id long, text string")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
