@@ -157,3 +157,19 @@ def exact_array_sum(values: Column) -> Column:
     shares = lambda given: (upper(given).cast("double") * half + lower(given).cast("double")) / (half * half)
     small = lambda given: F.size(given).between(3, 512) & F.forall(given, lambda v: v.between(2.0**-10, 1.0))
     return let(F.filter(values, lambda v: v.isNotNull()), lambda given: F.when(F.size(given).between(1, 2), few(given)).when(small(given), shares(given)).otherwise(whole(given)))
+
+
+def share_limbs(v: Column) -> list[Column]:
+    """Three whole numbers of a double of 0 to 1 without bits below 2**-93, for sums (``shares_sum``)."""
+    half = float(1 << 31)
+    rest = v * half - F.floor(v * half)
+    return [F.floor(v * half), F.floor(rest * half), F.floor((rest * half - F.floor(rest * half)) * half)]
+
+
+def shares_sum(high: Column, middle: Column, low: Column) -> Column:
+    """The double next to the sum whose limbs add up to these, of up to 2**21 values. The
+    lowest limb is 0 unless a value is below 2**-10, so mostly one addition is the only rounding."""
+    half = float(1 << 31)
+    two = lambda power: F.lit(1 << power).cast("decimal(20,0)")
+    whole = (high.cast("decimal(17,0)") * two(31) + middle.cast("decimal(17,0)")).cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + low.cast("decimal(17,0)")
+    return F.when(low == 0, (high.cast("double") * half + middle.cast("double")) / (half * half)).otherwise(whole.cast("double") / (half * half * half))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolens.session import run_dir, ship
+from taxolens.session import local_path, open_shared, run_dir, ship
 
 #: The C library's own way to return freed memory, where it has one.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -105,28 +105,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def local_path(uri: str) -> str:
-    """``file:`` URIs as plain paths; others as they are."""
-    for prefix in ("file://", "file:"):
-        if uri.startswith(prefix):
-            return "/" + uri[len(prefix) :].lstrip("/")
-    return uri
-
-
-def open_shared(uri: str, mode: str):
-    """Open a file of the shared folder on an executor, by pyarrow's file systems
-    where it isn't a local mount. Writers get a name of their own and rename."""
-    path = local_path(uri)
-    if "://" not in path:
-        if "w" in mode:
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-        return open(path, mode)  # noqa: SIM115
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_output_stream(inner) if "w" in mode else system.open_input_file(inner)
-
-
 def publish(uri: str, payload: bytes) -> None:
     """Write a whole file so that a reader sees all of it or none; a task that is
     run again replaces it by the same bytes."""

@@ -92,52 +92,55 @@ def keyword_memberships(x: Fixture) -> DataFrame:
 
 @query
 def keyword_overlap(x: Fixture) -> DataFrame:
-    return audit.overlaps(audit.memberships(x.topics()), salted=False)
+    return audit.overlaps(x.keyword_sets(), salted=False)
 
 
 @query
 def keyword_overlap_salted(x: Fixture) -> DataFrame:
-    return audit.overlaps(audit.memberships(x.topics()))
+    return audit.overlaps(x.keyword_sets())
 
 
 @query
 def keyword_overlap_counts(x: Fixture) -> DataFrame:
     """All lines of the orders: the large posting-list join."""
-    return audit.overlap_counts(x.topics())
+    return audit.overlap_counts(x.bare_topics(), x.keyword_sets())
 
 
 @query
 def jaccard_topk(x: Fixture) -> DataFrame:
-    topics = x.topics()
-    sets = audit.keyword_sets(topics)
-    near = audit.shared_keywords(audit.neighbours(topics, sets=sets), topics, sets)
+    sets = x.keyword_sets()
+    near = store(audit.neighbours(x.bare_topics(), sets=sets), "near")
+    near = audit.shared_keywords(near, x.bare_topics(), sets)
     return near.select("src", "dst", "shared", F.col("all").alias("all_keywords"), r("similarity", 9), F.col("place").cast("long").alias("place"), F.array_join("shared_keywords", "; ").alias("shared_keywords"))
 
 
-def _shares(x: Fixture) -> DataFrame:
-    topics = x.topics()
-    near = store(audit.neighbours(topics), "near")
-    out = None
-    for v in audit.LEVELS:
-        one = audit.parent_shares(near, topics, v).withColumn("level", F.lit(v))
-        out = one if out is None else out.unionByName(one)
-    return out
+def _near(x: Fixture) -> tuple[DataFrame, DataFrame]:
+    """Topics and their neighbours, stored."""
+    topics = store(x.bare_topics(), "topics")
+    return topics, store(audit.neighbours(topics, sets=x.keyword_sets()), "near")
 
 
 @query
 def parent_shares(x: Fixture) -> DataFrame:
-    return _shares(x).select("level", "topic_id", "parent_id", r("share", 9), "count", "own", F.col("place").cast("long").alias("place"))
+    topics, near = _near(x)
+    return audit.parent_shares(near, topics).select("level", "topic_id", "parent_id", r("share", 9), "count", "own", F.col("place").cast("long").alias("place"))
 
 
 @query
 def plurality_parent(x: Fixture) -> DataFrame:
-    topics = x.topics()
-    best = audit.plurality(audit.parent_shares(audit.neighbours(topics), topics, "subfield"))
+    topics, near = _near(x)
+    best = audit.plurality(audit.parent_shares(near, topics, "subfield"))
     return best.select("topic_id", "plurality_id", r("plurality_share", 9), "plurality_count", r("stated_share", 9))
 
 
+def _assessed(x: Fixture, level: str) -> DataFrame:
+    topics, near = _near(x)
+    return audit.assess(topics, level=level, near=near)
+
+
 def _audit(x: Fixture, level: str) -> DataFrame:
-    return audit.rank(audit.assess(x.topics(), level=level)).withColumn("topic_id", text.short_id("topic_id")).withColumn("rank", F.col("rank").cast("long"))
+    # ranges are found by reading the rows once more, so they are stored
+    return audit.rank(store(_assessed(x, level), "assessed")).withColumn("topic_id", text.short_id("topic_id")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query
@@ -157,7 +160,7 @@ def audit_domain(x: Fixture) -> DataFrame:
 
 @query
 def audit_summary(x: Fixture) -> DataFrame:
-    return audit.summary(audit.assess(x.topics()))
+    return audit.summary(_assessed(x, "subfield"))
 
 
 @query
