@@ -28,7 +28,7 @@ from taxolens.operators.components import store
 from taxolens.operators.ordering import places
 from taxolens.session import open_shared, ship
 
-#: A task's block holds 16 times so many sets at most, looks at 512 times so many pairs at
+#: A task's block holds 16 times so many sets at most, looks at 128 times so many pairs at
 #: once, and at 2,048 times so many numbers of its own sets.
 POSTING = 4096
 #: Frequencies up to which the rounds expand keywords; then all.
@@ -202,7 +202,7 @@ def _past(files: list[str], posting: int) -> Iterator[list[np.ndarray]]:
 
 def _ramp(most: int) -> Callable[[], int]:
     """Few numbers first, for bounds are met early."""
-    now = [most // 32]
+    now = [most // 8]
 
     def limit() -> int:
         now[0] = min(most, 2 * now[0] + 1)
@@ -231,7 +231,7 @@ def _meeting(files: list[str], kind: str, k: int, after: bool, posting: int) ->
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, posting):
-            best, counts, most = Best(block, k), {}, _ramp(512 * posting)
+            best, counts, most = Best(block, k), {}, _ramp(128 * posting)
             for ids, n, size, lengths, words in _past(files, posting):
                 for own, other, shared in block.met(lengths, words, most):
                     if kind == "best":
